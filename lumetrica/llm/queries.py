@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op4_decontamination
+from .language_id import op6_language_id
 from .sentencepiece import op1_sentencepiece
 from .simhash import op7_simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_decontamination": op4_decontamination,
+    "op6_language_id": op6_language_id,
     "op7_simhash_dedup": op7_simhash_dedup,
 }
 
