@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op4_decontamination
+from .document_fingerprints import op8_document_fingerprints
 from .language_id import op6_language_id
 from .sentencepiece import op1_sentencepiece
 from .simhash import op7_simhash_dedup
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op6_language_id": op6_language_id,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_document_fingerprints": op8_document_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
