@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op4_decontamination
 from .document_fingerprints import op8_document_fingerprints
 from .language_id import op6_language_id
+from .license_scan import op9_license_scan
 from .sentencepiece import op1_sentencepiece
 from .simhash import op7_simhash_dedup
+from .url_filter import op3_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_url_filter": op3_url_filter,
     "op4_decontamination": op4_decontamination,
     "op6_language_id": op6_language_id,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_document_fingerprints": op8_document_fingerprints,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
