@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import metrics
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = [metrics]
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
