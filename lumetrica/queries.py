@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import checks, metrics, selection, text
+from .plans import alignment, checks, metrics, selection, text
 
-MODULES = [metrics, text, selection, checks]
+MODULES = [metrics, text, selection, checks, alignment]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
