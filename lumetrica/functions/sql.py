@@ -13,7 +13,7 @@ class ClassifyInsertions:
     """classify_insertions(reference, hypothesis, rules): a row for each inserted word."""
 
     def eval(self, ref: str, hyp: str, rules: str):
-        for x in classify(ref, hyp, rules):
+        for x in classify([ref], [hyp], rules)[0]:
             yield x["word"], x["place"], x["category"], x["context"]
 
 
