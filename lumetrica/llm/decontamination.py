@@ -53,9 +53,12 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of the texts, and where each text's words begin (one bound more than texts)."""
-    chars = BYTES[data]
+def word_hashes(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts, and where each text's words begin (one bound more than texts).
+
+    letters: what each byte stands for, 0 for bytes between words.
+    """
+    chars = letters[data]
     inside = chars != 0
     first = inside.copy()
     first[1:] &= ~inside[:-1]

@@ -27,9 +27,12 @@ from pyspark.sql import types as T
 
 from .common import blocks, stash, table, utf8
 from .components import connected_components
+from .decontamination import grams, word_hashes
 
 SEED = 42
 HALF = 0xFFFFFFFF
+#: Blanks are between words, A-Z become a-z, the byte 0 is a letter like any other.
+BLANKS = np.array([0 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b or 1 for b in range(256)], np.uint8)
 #: A byte -> 8 lanes of 8 bits, of which each holds one bit: 255 of them can be added before a lane runs over.
 LANES = np.array([int.from_bytes(bytes((b >> i) & 1 for i in range(8)), "little") for b in range(256)], np.uint64)
 
@@ -131,19 +134,77 @@ def near_dedup(
     return rows.join(classes, "fp").select(id_col, fingerprint, "component_id", "component", *extra)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs, one of each group: that with the smallest id; of several with that id one, whichever text they have."""
+def _shingle_sets(kept: list[str], text_col: str, words: int, sketch: int | None):
+    """The distinct shingle hashes of each text, rising: all, or the `sketch` smallest.  Fewer words make one shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(batch.schema.get_field_index(text_col)))
+            out = []
+            for start, stop in blocks(np.diff(offsets)):
+                found, bounds = word_hashes(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start], BLANKS)
+                hashes = grams(found, words)
+                for a, b in zip(bounds, bounds[1:], strict=False):
+                    own = np.unique(hashes[a : b - words + 1] if b - a >= words else grams(found[a:b], int(b - a)) if b > a else hashes[:0])
+                    out.append(own[:sketch].view(np.int64))
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.int64()))], names=[*kept, "shingles"])
+
+    return run
+
+
+def shingle_sets(docs: DataFrame, kept: list[str], text_col: str, words: int, sketch: int | None = None) -> DataFrame:
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in kept), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    return docs.select(*kept, text_col).mapInArrow(_shingle_sets(kept, text_col, words, sketch), schema)
+
+
+def similar_texts(docs: DataFrame, key: str, text_col: str = "text", words: int = 5, least: float = 0.8, sketch: int = 8) -> DataFrame:
+    """(a, b): keys of texts of which at least the share `least` of all distinct word shingles is common to both.
+
+    Fingerprints of 64 bits lie about 10 bits apart at a likeness of 0.8, too far for small balls, so candidates come from
+    shared shingles: each text looks up its `sketch` smallest shingle hashes.  A bucket's texts meet its representatives (up
+    to four, those whose sketches are most shared: the middle of a group of edits), not each other, so a bucket costs no more
+    than its size; whole shingle sets then decide.  key: equal for equal texts.
+    """
+    rows = stash(shingle_sets(docs, [key], text_col, words, sketch).dropDuplicates([key]), "sketches")
+    each = rows.select(F.col(key).alias("t"), F.explode("shingles").alias("h"))
+    sizes = each.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    each = stash(each.join(sizes, "h"), "buckets")
+    scores = each.groupBy("t").agg(F.sum("size").alias("score"))
+    scored = each.join(scores, "t").select("h", "t", "score")
+    best = scored.groupBy("h", F.pmod("t", F.lit(4)).alias("part")).agg(F.max(F.struct("score", "t")).alias("m")).select("h", F.col("m.t").alias("r"))
+    met = scored.join(best, "h").where("t != r")
+    pairs = stash(met.select(F.least("t", "r").alias("a"), F.greatest("t", "r").alias("b")).distinct(), "candidates")
+    some = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
+    full = stash(shingle_sets(docs.join(some, key, "left_semi"), [key], text_col, words).dropDuplicates([key]), "shingles")
+    both = pairs.join(full.select(F.col(key).alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col(key).alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("common") >= least * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 3, least: float = 0.8) -> DataFrame:
+    """The rows of docs, one of each group: that with the smallest id; of several with that id one, whichever text they have.
+
+    Groups: what links of fingerprints (`radius` bits) and of whole shingle sets (likeness `least`) reach.
+    """
     keyed = docs.withColumn("_text", F.xxhash64(text_col))
-    groups = stash(near_dedup(keyed, id_col, text_col, words, radius, extra=("_text",)), "groups")
-    own = groups.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    first = own.groupBy("component").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("_text").alias("text"))).alias("k"))
-    kept = first.select("k.id", "k.text").distinct()
-    copies = groups.groupBy(F.col(id_col).alias("id"), F.col("_text").alias("text")).agg((F.count("*") > 1).alias("repeated"))
-    same = lambda a: (F.col(id_col).eqNullSafe(F.col(f"{a}.id"))) & (F.col("_text") == F.col(f"{a}.text"))
-    kept = kept.alias("a").join(copies.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.text") == F.col("b.text"))).select("a.*", "repeated")
-    kept = stash(kept, "kept")
-    single = keyed.join(kept.where("NOT repeated").alias("k"), same("k"), "left_semi")
-    repeated = keyed.join(kept.where("repeated").alias("k"), same("k"), "left_semi").dropDuplicates([id_col, "_text"])
+    rows = stash(simhash(keyed, id_col, text_col, words, ("_text",)), "fingerprints")
+    # nodes are texts; the texts of one fingerprint hang on the smallest of them
+    heads = stash(rows.groupBy("fp").agg(F.min("_text").alias("head")), "distinct-fingerprints")
+    equal = rows.select("fp", "_text").distinct().join(heads, "fp").select(F.col("_text").alias("a"), F.col("head").alias("b"))
+    near = near_pairs(heads, radius)
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    likes = similar_texts(keyed, "_text", text_col, words, least)
+    linked = connected_components(equal.where("a != b").union(near).union(likes), "a", "b")
+    groups = rows.select(id_col, "_text").join(linked.withColumnRenamed("node", "_text"), "_text", "left").withColumn("component", F.coalesce("component", "_text"))
+    # per group the first row by id (null last), then by text; how often it is there
+    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("_text").alias("text"))
+    copies = groups.groupBy("component", id_col, "_text").agg(F.count("*").alias("n"))
+    kept = stash(copies.groupBy("component").agg(F.min_by(F.struct(F.col(id_col).alias("id"), F.col("_text").alias("text"), (F.col("n") > 1).alias("repeated")), order).alias("k")).select("k.*"), "kept")
+    same = F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_text") == F.col("text_"))
+    kept = kept.withColumnRenamed("text", "text_")
+    single = keyed.join(kept.where("NOT repeated"), same, "left_semi")
+    repeated = keyed.join(kept.where("repeated"), same, "left_semi").dropDuplicates([id_col, "_text"])
     return single.unionByName(repeated).drop("_text")
 
 
