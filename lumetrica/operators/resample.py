@@ -24,9 +24,9 @@ def poisson(unit: Column, draw: Column) -> Column:
 
 
 def draws(rows: DataFrame, keys: list[str], unit: str, sums: list[str], resamples: int) -> DataFrame:
-    """keys, draw, and the weighted sums of the columns."""
-    weighted = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("k", poisson(F.col(unit), F.col("draw")))
-    return weighted.groupBy(*keys, "draw").agg(*(F.sum(F.col(c) * F.col("k")).alias(c) for c in sums))
+    """keys, _draw, and the weighted sums of the columns."""
+    weighted = rows.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_weight", poisson(F.col(unit), F.col("_draw")))
+    return weighted.groupBy(*keys, "_draw").agg(*(F.sum(F.col(c) * F.col("_weight")).alias(c) for c in sums))
 
 
 def bootstrap_ci(rows: DataFrame, keys: list[str], unit: str, errors: str = "errors", words: str = "ref_words", resamples: int = 100, least: int = 10) -> DataFrame:
