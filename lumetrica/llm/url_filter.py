@@ -7,7 +7,9 @@ either model is its share among those with the same context, smoothed towards
 the next shorter context (weight `strength`), down to the uniform distribution.
 A URL's score is the difference of the two log likelihoods per character.  The
 threshold lies between the mean scores of accepted and rejected examples, as far
-from each in standard deviations; scores at or above it are allowed.
+from each in standard deviations (each variance averaged with the mean of both,
+as few examples of one kind look more alike than they are); scores at or above it
+are allowed.
 
 Equal URLs are scored once.  URLs fall into n-grams; each distinct n-gram is
 scored once and its score is joined back, so hot hosts only make hot n-grams,
@@ -105,10 +107,12 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     def moments(kind: Column) -> list[Column]:
         x, w = F.when(kind, F.col("score")), F.when(kind, F.col("times"))
         mean = F.try_divide(F.sum(x * w), F.sum(w))
-        return [mean, F.sqrt(F.greatest(F.try_divide(F.sum(x * x * w), F.sum(w)) - mean * mean, F.lit(1e-12)))]
+        return [mean, F.greatest(F.try_divide(F.sum(x * x * w), F.sum(w)) - mean * mean, F.lit(1e-12))]
 
-    (m_good, s_good), (m_bad, s_bad) = moments(good), moments(bad)
-    threshold = scores.agg(F.coalesce((m_good * s_bad + m_bad * s_good) / (s_good + s_bad), F.lit(0.0)).alias("threshold"))  # one row
+    (m_good, v_good), (m_bad, v_bad) = moments(good), moments(bad)
+    one = scores.agg(m_good.alias("mg"), v_good.alias("vg"), m_bad.alias("mb"), v_bad.alias("vb"))  # one row
+    s_good, s_bad = (F.sqrt(F.col(v) / 2 + (F.col("vg") + F.col("vb")) / 4) for v in ("vg", "vb"))
+    threshold = one.select(F.coalesce((F.col("mg") * s_bad + F.col("mb") * s_good) / (s_good + s_bad), F.lit(0.0)).alias("threshold"))
     judged = rows.join(scores.select(F.col("url").alias("u"), "score"), F.col("url").eqNullSafe(F.col("u")), "left").crossJoin(F.broadcast(threshold))
     own = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
     return judged.select(
