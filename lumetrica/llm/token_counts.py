@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 from .sentencepiece import encode_documents
 
 
@@ -27,6 +27,7 @@ def histogram(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 def limits(counts: DataFrame, span: int = 1024) -> DataFrame:
     """A row for each length L of a histogram (length, n_docs): docs_up_to and tokens_up_to L, docs_over L,
     truncated_tokens (all documents cut at L), total_docs, total_tokens, and quantile (share of documents up to L)."""
+    counts = stash(counts, "lengths")  # both sums below start from it
     cells = counts.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.expr(f"length DIV {span}").alias("r"))
     ranges = cells.groupBy("r").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of lengths
