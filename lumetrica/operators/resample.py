@@ -14,18 +14,27 @@ from pyspark.sql import functions as F
 CUTS = [1580030169, 3160060337, 3950075422, 4213413783, 4279248373, 4292415291, 4294609777, 4294923275, 4294962463]
 
 
-def poisson(unit: Column, draw: Column) -> Column:
-    """A Poisson(1) weight from the first 32 bits of a digest."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("#", unit.cast("string"), draw.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+def digest_bits(unit: Column, draw: Column) -> Column:
+    """The first 32 bits of the digest of a unit and a resample's number."""
+    return F.conv(F.substring(F.md5(F.concat_ws("#", unit.cast("string"), draw.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def poisson(bits: Column) -> Column:
+    """A Poisson(1) weight from 32 uniform bits."""
     out = F.lit(0)
     for cut in CUTS:
-        out = out + (u >= cut).cast("int")
+        out = out + (bits >= cut).cast("int")
     return out
 
 
 def draws(rows: DataFrame, keys: list[str], unit: str, sums: list[str], resamples: int) -> DataFrame:
-    """keys, _draw, and the weighted sums of the columns."""
-    weighted = rows.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_weight", poisson(F.col(unit), F.col("_draw")))
+    """keys, _draw, and the weighted sums of the columns.
+
+    A unit's rows are gathered first (one row per key and unit), so that each weight is drawn once for it.
+    """
+    units = rows.groupBy(*keys, unit).agg(*(F.sum(c).alias(c) for c in sums))
+    weighted = units.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_bits", digest_bits(F.col(unit), F.col("_draw")))
+    weighted = weighted.withColumn("_weight", poisson(F.col("_bits")))
     return weighted.groupBy(*keys, "_draw").agg(*(F.sum(F.col(c) * F.col("_weight")).alias(c) for c in sums))
 
 

@@ -9,8 +9,8 @@ from .base import norm_sql, rounded, table, words_sql
 
 
 def normalize_text(spark, sf_dir):
-    t = X.normalize(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.cast("binary")).alias("digest"), X.word_count(t).alias("words"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.normalize(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), X.word_count(F.col("t")).alias("words"))
 
 
 def strip_markup(spark, sf_dir):
