@@ -134,11 +134,21 @@ def near_dedup(
     return rows.join(classes, "fp").select(id_col, fingerprint, "component_id", "component", *extra)
 
 
-def _shingle_sets(kept: list[str], text_col: str, words: int, sketch: int | None):
-    """The distinct shingle hashes of each text, rising: all, or the `sketch` smallest.  Fewer words make one shingle."""
+#: Bits of the filter by which tasks leave out texts that are in no candidate pair.
+FILTER_BITS = 1 << 22
+
+
+def _shingle_sets(kept: list[str], text_col: str, words: int, sketch: int | None, wanted):
+    """The distinct shingle hashes of each text, rising: all, or the `sketch` smallest.  Fewer words make one shingle.
+
+    wanted: a broadcast bitmap; only rows whose first kept column (a long) has its bit set are worked on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if wanted is None else np.unpackbits(wanted.value)
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(bits[batch.column(batch.schema.get_field_index(kept[0])).to_numpy() & (FILTER_BITS - 1)] > 0))
             data, offsets = utf8(batch.column(batch.schema.get_field_index(text_col)))
             out = []
             for start, stop in blocks(np.diff(offsets)):
@@ -153,18 +163,19 @@ def _shingle_sets(kept: list[str], text_col: str, words: int, sketch: int | None
     return run
 
 
-def shingle_sets(docs: DataFrame, kept: list[str], text_col: str, words: int, sketch: int | None = None) -> DataFrame:
+def shingle_sets(docs: DataFrame, kept: list[str], text_col: str, words: int, sketch: int | None = None, wanted=None) -> DataFrame:
     schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in kept), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    return docs.select(*kept, text_col).mapInArrow(_shingle_sets(kept, text_col, words, sketch), schema)
+    return docs.select(*kept, text_col).mapInArrow(_shingle_sets(kept, text_col, words, sketch, wanted), schema)
 
 
-def similar_texts(docs: DataFrame, key: str, text_col: str = "text", words: int = 5, least: float = 0.8, sketch: int = 8) -> DataFrame:
+def similar_texts(docs: DataFrame, key: str, text_col: str = "text", words: int = 5, least: float = 0.8, sketch: int = 16) -> DataFrame:
     """(a, b): keys of texts of which at least the share `least` of all distinct word shingles is common to both.
 
     Fingerprints of 64 bits lie about 10 bits apart at a likeness of 0.8, too far for small balls, so candidates come from
     shared shingles: each text looks up its `sketch` smallest shingle hashes.  A bucket's texts meet its representatives (up
     to four, those whose sketches are most shared: the middle of a group of edits), not each other, so a bucket costs no more
-    than its size; whole shingle sets then decide.  key: equal for equal texts.
+    than its size.  Pairs whose sketches share less than three eighths are left (at a likeness of 0.8 two sketches of 16 share
+fewer than 6 once in 10,000 pairs); whole shingle sets then decide.  key: equal for equal texts.
     """
     rows = stash(shingle_sets(docs, [key], text_col, words, sketch).dropDuplicates([key]), "sketches")
     each = rows.select(F.col(key).alias("t"), F.explode("shingles").alias("h"))
@@ -174,10 +185,18 @@ def similar_texts(docs: DataFrame, key: str, text_col: str = "text", words: int
     scored = each.join(scores, "t").select("h", "t", "score")
     best = scored.groupBy("h", F.pmod("t", F.lit(4)).alias("part")).agg(F.max(F.struct("score", "t")).alias("m")).select("h", F.col("m.t").alias("r"))
     met = scored.join(best, "h").where("t != r")
-    pairs = stash(met.select(F.least("t", "r").alias("a"), F.greatest("t", "r").alias("b")).distinct(), "candidates")
+    pairs = met.select(F.least("t", "r").alias("a"), F.greatest("t", "r").alias("b")).distinct()
+    of = lambda df, end, name: df.select(F.col(key).alias(end), F.col("shingles").alias(name))
+    pairs = pairs.join(of(rows, "a", "x"), "a").join(of(rows, "b", "y"), "b").where(
+        F.size(F.array_intersect("x", "y")) >= 0.375 * (least / 0.8) * F.least(F.size("x"), F.size("y"))).select("a", "b")
+    pairs = stash(pairs, "candidates")
     some = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    full = stash(shingle_sets(docs.join(some, key, "left_semi"), [key], text_col, words).dropDuplicates([key]), "shingles")
-    both = pairs.join(full.select(F.col(key).alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col(key).alias("b"), F.col("shingles").alias("y")), "b")
+    bits = np.zeros(FILTER_BITS, np.uint8)
+    bits[some.select(F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("k")).distinct().toArrow()["k"].to_numpy()] = 1  # half a megabyte when packed
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    full = shingle_sets(docs, [key], text_col, words, wanted=wanted).join(some, key, "left_semi")
+    full = stash(full.dropDuplicates([key]), "shingles")
+    both = pairs.join(of(full, "a", "x"), "a").join(of(full, "b", "y"), "b")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(F.col("common") >= least * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
@@ -203,9 +222,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     kept = stash(copies.groupBy("component").agg(F.min_by(F.struct(F.col(id_col).alias("id"), F.col("_text").alias("text"), (F.col("n") > 1).alias("repeated")), order).alias("k")).select("k.*"), "kept")
     same = F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_text") == F.col("text_"))
     kept = kept.withColumnRenamed("text", "text_")
-    single = keyed.join(kept.where("NOT repeated"), same, "left_semi")
-    repeated = keyed.join(kept.where("repeated"), same, "left_semi").dropDuplicates([id_col, "_text"])
-    return single.unionByName(repeated).drop("_text")
+    out = keyed.join(kept.where("NOT repeated"), same, "left_semi")
+    if kept.where("repeated").limit(1).count():
+        out = out.unionByName(keyed.join(kept.where("repeated"), same, "left_semi").dropDuplicates([id_col, "_text"]))
+    return out.drop("_text")
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
