@@ -136,6 +136,18 @@ def near_dedup(
 
 #: Bits of the filter by which tasks leave out texts that are in no candidate pair.
 FILTER_BITS = 1 << 22
+#: Bits of one value of bitmap_construct_agg.
+BITMAP = 1 << 15
+
+
+def _bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """FILTER_BITS bits as bytes (half a megabyte at any size), set where a key ends in their number; executors set and merge them."""
+    place = F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1))
+    parts = keys.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(BITMAP - 1))).alias("bits"))
+    found = np.zeros((FILTER_BITS // BITMAP, BITMAP // 8), np.uint8)
+    for part, bits in parts.collect():
+        found[part] = np.frombuffer(bits, np.uint8)
+    return found.ravel()
 
 
 def _shingle_sets(kept: list[str], text_col: str, words: int, sketch: int | None, wanted):
@@ -145,7 +157,7 @@ def _shingle_sets(kept: list[str], text_col: str, words: int, sketch: int | None
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if wanted is None else np.unpackbits(wanted.value)
+        bits = None if wanted is None else np.unpackbits(wanted.value, bitorder="little")
         for batch in batches:
             if bits is not None:
                 batch = batch.filter(pa.array(bits[batch.column(batch.schema.get_field_index(kept[0])).to_numpy() & (FILTER_BITS - 1)] > 0))
@@ -175,7 +187,7 @@ def similar_texts(docs: DataFrame, key: str, text_col: str = "text", words: int
     shared shingles: each text looks up its `sketch` smallest shingle hashes.  A bucket's texts meet its representatives (up
     to four, those whose sketches are most shared: the middle of a group of edits), not each other, so a bucket costs no more
     than its size.  Pairs whose sketches share less than three eighths are left (at a likeness of 0.8 two sketches of 16 share
-fewer than 6 once in 10,000 pairs); whole shingle sets then decide.  key: equal for equal texts.
+    fewer than 6 once in 10,000 pairs); whole shingle sets then decide.  key: equal for equal texts.
     """
     rows = stash(shingle_sets(docs, [key], text_col, words, sketch).dropDuplicates([key]), "sketches")
     each = rows.select(F.col(key).alias("t"), F.explode("shingles").alias("h"))
@@ -191,9 +203,7 @@ fewer than 6 once in 10,000 pairs); whole shingle sets then decide.  key: equal
         F.size(F.array_intersect("x", "y")) >= 0.375 * (least / 0.8) * F.least(F.size("x"), F.size("y"))).select("a", "b")
     pairs = stash(pairs, "candidates")
     some = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    bits = np.zeros(FILTER_BITS, np.uint8)
-    bits[some.select(F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("k")).distinct().toArrow()["k"].to_numpy()] = 1  # half a megabyte when packed
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(some, key))
     full = shingle_sets(docs, [key], text_col, words, wanted=wanted).join(some, key, "left_semi")
     full = stash(full.dropDuplicates([key]), "shingles")
     both = pairs.join(of(full, "a", "x"), "a").join(of(full, "b", "y"), "b")
