@@ -225,11 +225,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
     likes = similar_texts(keyed, "_text", text_col, words, least)
     linked = connected_components(equal.where("a != b").union(near).union(likes), "a", "b")
-    groups = rows.select(id_col, "_text").join(linked.withColumnRenamed("node", "_text"), "_text", "left").withColumn("component", F.coalesce("component", "_text"))
-    # per group the first row by id (null last), then by text; how often it is there
-    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("_text").alias("text"))
-    copies = groups.groupBy("component", id_col, "_text").agg(F.count("*").alias("n"))
-    kept = stash(copies.groupBy("component").agg(F.min_by(F.struct(F.col(id_col).alias("id"), F.col("_text").alias("text"), (F.col("n") > 1).alias("repeated")), order).alias("k")).select("k.*"), "kept")
+    # per text, then per group: the first row by id (null last), then by text; how often it is there
+    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
+    texts = rows.groupBy("_text", id_col).agg(F.count("*").alias("n")).groupBy("_text").agg(
+        F.min_by(F.struct(F.col(id_col).alias("id"), (F.col("n") > 1).alias("repeated")), rank).alias("first"))
+    groups = texts.join(linked.withColumnRenamed("node", "_text"), "_text", "left").withColumn("component", F.coalesce("component", "_text"))
+    order = F.struct(F.col("first.id").isNull().alias("no_id"), F.col("first.id").alias("id"), F.col("_text").alias("text"))
+    kept = stash(groups.groupBy("component").agg(F.min_by(F.struct("first.id", F.col("_text").alias("text"), "first.repeated"), order).alias("k")).select("k.*"), "kept")
     same = F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_text") == F.col("text_"))
     kept = kept.withColumnRenamed("text", "text_")
     out = keyed.join(kept.where("NOT repeated"), same, "left_semi")
