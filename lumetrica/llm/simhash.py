@@ -16,12 +16,13 @@ no other is there.  Repeated rows stay.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,6 +139,8 @@ def near_dedup(
 FILTER_BITS = 1 << 22
 #: Bits of one value of bitmap_construct_agg.
 BITMAP = 1 << 15
+#: Bounds of sizes give way by so much, so that rounding loses no pair.
+ROUNDING = 1e-6
 
 
 def _bitmap(keys: DataFrame, key: str) -> np.ndarray:
@@ -150,46 +153,67 @@ def _bitmap(keys: DataFrame, key: str) -> np.ndarray:
     return found.ravel()
 
 
-def _shingle_sets(kept: list[str], text_col: str, words: int, sketch: int | None, wanted):
+def _shingle_sets(kept: list[str], text_col: str, words: int, sketch: int | None, wanted, prefix):
     """The distinct shingle hashes of each text, rising: all, or the `sketch` smallest.  Fewer words make one shingle.
 
     wanted: a broadcast bitmap; only rows whose first kept column (a long) has its bit set are worked on.
+    prefix: a likeness, and frequent hashes with their counts as a broadcast; rarest first, as many hashes as one of must be
+    shared by texts that are so alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else np.unpackbits(wanted.value, bitorder="little")
+        often, times = prefix[1].value if prefix else (np.empty(0, np.uint64), None)
+
+        def first(own: np.ndarray) -> np.ndarray:
+            if len(often):
+                at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                own = own[np.argsort(np.where(often[at] == own, times[at], 0), kind="stable")]
+            return own[: len(own) - math.ceil(prefix[0] * len(own) - ROUNDING) + 1]
+
         for batch in batches:
             if bits is not None:
                 batch = batch.filter(pa.array(bits[batch.column(batch.schema.get_field_index(kept[0])).to_numpy() & (FILTER_BITS - 1)] > 0))
             data, offsets = utf8(batch.column(batch.schema.get_field_index(text_col)))
-            out = []
+            out, sizes = [], []
             for start, stop in blocks(np.diff(offsets)):
                 found, bounds = word_hashes(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start], BLANKS)
                 hashes = grams(found, words)
                 for a, b in zip(bounds, bounds[1:], strict=False):
                     own = np.unique(hashes[a : b - words + 1] if b - a >= words else grams(found[a:b], int(b - a)) if b > a else hashes[:0])
-                    out.append(own[:sketch].view(np.int64))
+                    sizes.append(len(own))
+                    out.append((first(own) if prefix else own[:sketch]).view(np.int64))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.int64()))], names=[*kept, "shingles"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=[*kept, "n", "shingles"])
 
     return run
 
 
-def shingle_sets(docs: DataFrame, kept: list[str], text_col: str, words: int, sketch: int | None = None, wanted=None) -> DataFrame:
-    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in kept), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    return docs.select(*kept, text_col).mapInArrow(_shingle_sets(kept, text_col, words, sketch, wanted), schema)
+def shingle_sets(docs: DataFrame, kept: list[str], text_col: str, words: int, sketch: int | None = None, wanted=None, prefix=None) -> DataFrame:
+    """The columns `kept`, n (distinct shingles of the text) and shingles (the hashes of those asked for)."""
+    own = (T.StructField(c, docs.schema[c].dataType) for c in kept)
+    schema = T.StructType([*own, T.StructField("n", T.IntegerType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    return docs.select(*kept, text_col).mapInArrow(_shingle_sets(kept, text_col, words, sketch, wanted, prefix), schema)
 
 
-def similar_texts(docs: DataFrame, key: str, text_col: str = "text", words: int = 5, least: float = 0.8, sketch: int = 16) -> DataFrame:
-    """(a, b): keys of texts of which at least the share `least` of all distinct word shingles is common to both.
+def _alike(docs: DataFrame, pairs: DataFrame, key: str, text_col: str, words: int, least: float) -> DataFrame:
+    """Of the pairs (a, b) those whose whole shingle sets have the likeness `least`."""
+    pairs = stash(pairs, "candidates")
+    some = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(some, key))
+    full = shingle_sets(docs, [key], text_col, words, wanted=wanted).join(some, key, "left_semi")
+    full = stash(full.dropDuplicates([key]), "shingles")
+    of = lambda end, name: full.select(F.col(key).alias(end), F.col("shingles").alias(name))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+    return stash(both.where(F.col("common") >= least * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "alike")
 
-    Fingerprints of 64 bits lie about 10 bits apart at a likeness of 0.8, too far for small balls, so candidates come from
-    shared shingles: each text looks up its `sketch` smallest shingle hashes.  A bucket's texts meet its representatives (up
-    to four, those whose sketches are most shared: the middle of a group of edits), not each other, so a bucket costs no more
-    than its size.  Pairs whose sketches share less than three eighths are left (at a likeness of 0.8 two sketches of 16 share
-    fewer than 6 once in 10,000 pairs); whole shingle sets then decide.  key: equal for equal texts.
-    """
-    rows = stash(shingle_sets(docs, [key], text_col, words, sketch).dropDuplicates([key]), "sketches")
+
+def _quick_pairs(docs: DataFrame, key: str, text_col: str, words: int, least: float, sketch: int) -> DataFrame:
+    """Candidates (a, b) that draw large groups together: each text looks up its `sketch` smallest shingle hashes, and a
+    bucket's texts meet its representatives (up to four, those whose sketches are most shared: the middle of a group of
+    edits), so a bucket costs no more than its size.  Sketches that share less than three eighths are left."""
+    rows = stash(shingle_sets(docs, [key], text_col, words, sketch).drop("n").dropDuplicates([key]), "sketches")
     each = rows.select(F.col(key).alias("t"), F.explode("shingles").alias("h"))
     sizes = each.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     each = stash(each.join(sizes, "h"), "buckets")
@@ -199,16 +223,65 @@ def similar_texts(docs: DataFrame, key: str, text_col: str = "text", words: int
     met = scored.join(best, "h").where("t != r")
     pairs = met.select(F.least("t", "r").alias("a"), F.greatest("t", "r").alias("b")).distinct()
     of = lambda df, end, name: df.select(F.col(key).alias(end), F.col("shingles").alias(name))
-    pairs = pairs.join(of(rows, "a", "x"), "a").join(of(rows, "b", "y"), "b").where(
+    return pairs.join(of(rows, "a", "x"), "a").join(of(rows, "b", "y"), "b").where(
         F.size(F.array_intersect("x", "y")) >= 0.375 * (least / 0.8) * F.least(F.size("x"), F.size("y"))).select("a", "b")
-    pairs = stash(pairs, "candidates")
-    some = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(some, key))
-    full = shingle_sets(docs, [key], text_col, words, wanted=wanted).join(some, key, "left_semi")
-    full = stash(full.dropDuplicates([key]), "shingles")
-    both = pairs.join(of(full, "a", "x"), "a").join(of(full, "b", "y"), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("common") >= least * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+
+
+def _frequent(docs: DataFrame, key: str, text_col: str, words: int, share: int = 64, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, rising, that several texts of a sample have, and in how many; at most the `most` most frequent.
+
+    They set the order in which shingles are looked up, and so the cost.  Which pairs are found does not rest on them.
+    """
+    sample = shingle_sets(docs.where(F.pmod(key, F.lit(share)) == 0), [key], text_col, words).dropDuplicates([key])
+    counted = stash(sample.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "frequent")
+    floor, left = 1, most
+    for c, n in sorted(map(tuple, counted.groupBy("c").count().collect()), reverse=True):
+        left -= n
+        if left < 0:
+            floor = c
+            break
+    found = counted.where(F.col("c") > floor).toArrow()
+    hashes = found["h"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["c"].to_numpy()[order]
+
+
+def _whole_pairs(docs: DataFrame, key: str, text_col: str, words: int, least: float, classes: DataFrame) -> DataFrame:
+    """Candidates (a, b) among which are all pairs of likeness `least` that lie in two classes (node, component; else alone).
+
+    A prefix filter: with all shingles in one order, rarest first, two sets that are so alike share one of the first
+    n - least * n + 1 of each.  At the first they share, nothing before it is common, so what is left of either, that
+    shingle included, is no less than the overlap that the likeness asks for.  A pair is made only where that holds.
+    """
+    prefix = least, docs.sparkSession.sparkContext.broadcast(_frequent(docs, key, text_col, words))
+    rows = shingle_sets(docs, [key], text_col, words, prefix=prefix)
+    each = rows.select(F.col(key).alias("t"), "n", F.posexplode("shingles").alias("i", "h"))
+    each = each.select("h", "t", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"))
+    texts = Window.partitionBy("h")
+    shared = each.select("*", F.min("t").over(texts).alias("x"), F.max("t").over(texts).alias("y")).where("x != y").select("h", "t", "at").distinct()
+    shared = stash(shared, "prefixes")
+    shared = shared.join(classes.withColumnRenamed("node", "t"), "t", "left").select(
+        "h", "t", F.coalesce("component", "t").alias("c"), F.shiftright("at", 32).alias("n"), (F.shiftright("at", 32) - F.col("at").bitwiseAND(F.lit(HALF))).alias("rest"))
+    mixed = shared.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
+    shared = stash(shared.join(mixed, "h", "left_semi"), "shared-prefixes")
+    part = least / (1 + least)
+    short = shared.where(F.col("rest") >= 2 * part * F.col("n") - ROUNDING).select("h", *(F.col(c).alias(f"{c}_") for c in ("t", "c", "n", "rest")))
+    met = shared.join(short, "h").where(
+        (F.col("c") != F.col("c_")) & (F.col("n_") <= F.col("n")) & (F.least("rest", "rest_") >= part * (F.col("n") + F.col("n_")) - ROUNDING))
+    return met.select(F.least("t", "t_").alias("a"), F.greatest("t", "t_").alias("b")).distinct()
+
+
+def similar_texts(docs: DataFrame, key: str, text_col: str = "text", words: int = 5, least: float = 0.8, sketch: int = 16) -> DataFrame:
+    """(a, b): keys of texts of which at least the share `least` of all distinct word shingles is common to both; enough of
+    these pairs that they link what all such pairs link.
+
+    Fingerprints of 64 bits lie about 10 bits apart at a likeness of 0.8, too far for small balls, so candidates come from
+    shared shingles.  Quick ones draw large groups together first; then an exact join finds every pair between two of the
+    groups so far.  Pairs inside one group link nothing more, so a group's square is never made.  key: equal for equal texts.
+    """
+    quick = _alike(docs, _quick_pairs(docs, key, text_col, words, least, sketch), key, text_col, words, least)
+    classes = connected_components(quick, "a", "b")
+    return quick.union(_alike(docs, _whole_pairs(docs, key, text_col, words, least, classes), key, text_col, words, least))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 3, least: float = 0.8) -> DataFrame:

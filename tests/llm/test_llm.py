@@ -241,6 +241,36 @@ def test_keep_one_of_each_group(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_similar_texts_loses_no_link_on_templates_and_chains(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage = [word() for _ in range(150)]
+    own = []
+    for _ in range(250):  # pairs of about 0.85 on a passage that makes all others about 0.6
+        x = passage + [word() for _ in range(50)]
+        own += [x, [*x[:-8], *(word() for _ in range(8))], passage + [word() for _ in range(35 + rng.randint(0, 9))]]
+    x = [word() for _ in range(120)]
+    for i in range(150):  # a chain of versions
+        own.append(x)
+        at = rng.randrange(110)
+        x = [*x[:at], word(), *x[at + 1 : 110], *(word() for _ in range(5)), *x[115:]]
+    keys = [rng.getrandbits(63) for _ in own]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in own]
+    wanted = [(i, j) for i in range(len(own)) for j in range(i) if (n := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    table = spark.createDataFrame([(k, " ".join(x)) for k, x in zip(keys, own, strict=True)], "t long, text string")
+    found = [(r.a, r.b) for r in simhash.similar_texts(table, "t").collect()]
+    assert len(wanted) > 250 and set(found) <= {tuple(sorted((keys[i], keys[j]))) for i, j in wanted}
+
+    def groups(pairs):
+        root = {k: k for k in keys}
+        find = lambda k: k if root[k] == k else find(root[k])
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(k) for k in keys]
+
+    assert groups(found) == groups((keys[i], keys[j]) for i, j in wanted)
+
+
 def test_fingerprints_and_edits(spark, docs, rows):
     found = {(r.doc_id, r.fingerprint): r for r in document_fingerprints.compare_with_edits(docs.where("doc_id IS NOT NULL")).collect()}
     order = sorted(((k, t or "") for k, t in rows), key=lambda x: -x[0])
