@@ -7,9 +7,10 @@ broadcast; its size is languages * 2**bits floats whatever the corpus, and more
 than `max_languages` labels are refused.  Batches are scored sparsely in numpy:
 the rows of the matrix at a text's n-grams are added up per text.
 
-The score is the posterior of the prediction, its log likelihoods scaled down to
-those of `evidence` n-grams for longer texts, so that it says how clear a text
-is rather than how long.
+The prediction has the largest posterior, by all n-grams of the text and the
+prior.  The score is that posterior tempered: log likelihoods and log prior are
+scaled down alike to `evidence` n-grams for longer texts, so that it says how
+clear a text is rather than how long, and never points to another language.
 
 Nulls: a null text, or one without a letter, is "und" with score 0.  Rows
 without a label or text teach nothing.  Without any labelled row every text is
@@ -91,7 +92,7 @@ class Model:
         self.labels, self.prior, self.matrix, self.orders, self.bits = labels, prior, matrix, orders, bits
 
     def scores(self, texts: list[str], evidence: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best language's row for each text and its posterior."""
+        """The best language's row for each text and its tempered posterior."""
         chars, bounds = code_points(texts)
         owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
         total, n = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
@@ -100,8 +101,9 @@ class Model:
                 heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
                 total[of[heads]] += np.add.reduceat(self.matrix[slots], heads, axis=0, dtype=np.float64)
                 n += np.bincount(of, minlength=len(texts))
-        scaled = total * np.minimum(1, evidence / np.maximum(n, 1))[:, None] + self.prior
-        best = np.argmax(scaled, axis=1)
+        total += self.prior
+        best = np.argmax(total, axis=1)
+        scaled = total * np.minimum(1, evidence / np.maximum(n, 1))[:, None]
         return best, 1 / np.exp(scaled - scaled[np.arange(len(best)), best][:, None]).sum(axis=1)
 
 

@@ -179,6 +179,17 @@ def test_language_id(spark, sf_dir, docs):
     assert [r.lang_pred for r in again] == [r.lang_pred for r in language_id.predict(docs.drop("score"), model).collect()]
 
 
+def test_a_rare_language_beside_a_dominant_close_one(spark):
+    rng = random.Random(17)
+    text = lambda n, share: "".join("a" if rng.random() < share else "b" for _ in range(n))
+    rows = [(i, text(40, 0.5), "hot", "s", 0) for i in range(3000)] + [(3000, text(300_000, 0.62), "rare", "s", 0)]  # enough to learn from
+    model = language_id.train(frame(spark, rows), F.lit(True), alpha=0.01)
+    long = frame(spark, [(i, text(5000, (0.5, 0.62)[i % 2]), None, "s", 0) for i in range(20)] + [(20, "a", None, "s", 0)])
+    found = {r.doc_id: r for r in language_id.predict(long, model).collect()}
+    assert [found[i].lang_pred for i in range(21)] == ["hot", "rare"] * 10 + ["hot"]  # on a single letter the prior decides
+    assert all(0.5 <= r.score <= 1 for r in found.values())
+
+
 def fingerprint(text):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 3 else [b" ".join(w)] if w else []
