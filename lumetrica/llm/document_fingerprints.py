@@ -4,8 +4,9 @@ A text falls into tokens at its spaces; a token of over `long` characters falls
 into pieces of `piece` characters.  Over the token hashes go k-gram hashes,
 rolled up by doubling, and of every `window` of them in a row the smallest is
 kept, on ties the rightmost, with its place.  Two texts that share k + window - 1
-tokens in a row share a kept hash there.  Texts of fewer tokens keep the one hash
-of all they have; an empty text keeps nothing.
+tokens in a row share a kept hash there.  Texts of fewer tokens than k keep the one
+hash of all they have, texts of fewer hashes than a window the smallest of all;
+an empty text keeps nothing.
 
 Hash and place share one long, so that a single minimum finds both: the upper
 36 bits are the hash, the lower 28 are 2**28 - 1 less the place (a token's number
@@ -48,7 +49,7 @@ def _once(value: Column, then) -> Column:
 
 
 def _pairs(values: Column, reach: int, size: int, join) -> Column:
-    """Each value joined with that `reach` later, doubled until `size` in a row are in; as many as whole rows fit, or the first."""
+    """Each value joined with that `reach` later, doubled until `size` in a row are in; `size` values at least."""
     if reach == size:
         return values
     whole = F.greatest(F.size(values) - reach, F.lit(1))
@@ -62,8 +63,11 @@ def winnowed(text: Column, k: int = 4, window: int = 8) -> Column:
         raise ValueError("k and window must be powers of two")
     hashes = F.transform(tokens(text), lambda x: F.xxhash64(x))
     placed = lambda h: F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i))
-    grams = _once(hashes, lambda h: _once(_pairs(h, 1, k, lambda a, b: F.xxhash64(a, b)), placed))
-    kept = F.array_distinct(_once(grams, lambda g: _pairs(g, 1, window, lambda a, b: F.least(a, b))))
+    # fewer tokens than k make one hash of all, fewer hashes than a window one minimum of all
+    rolled = lambda h: F.when(F.size(h) < k, F.array(F.xxhash64(h))).otherwise(_pairs(h, 1, k, lambda a, b: F.xxhash64(a, b)))
+    least = lambda g: F.when(F.size(g) < window, F.array(F.array_min(g))).otherwise(_pairs(g, 1, window, lambda a, b: F.least(a, b)))
+    grams = _once(hashes, lambda h: _once(rolled(h), placed))
+    kept = F.array_distinct(_once(grams, least))
     return F.when(F.length(text) > 0, kept).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -320,6 +320,27 @@ def test_winnowing_guarantee_and_rightmost_ties(spark):
     assert cuts == ["ab", *["q" * 8] * 5]
 
 
+def test_winnowing_of_short_texts_takes_all_tokens(spark):
+    k, window = 4, 8
+    words = [f"w{i}" for i in range(k + window + 1)]
+    texts_ = [("", ""), *((" ".join(words[:n]), " ".join([*words[: n - 1], "other"])) for n in range(1, k + window + 1))]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(texts_)], "n int, a string, b string")
+    w, places = document_fingerprints.winnowed, document_fingerprints.places_of
+    one = F.transform(F.split("a", " "), lambda x: F.xxhash64(x))
+    rows = df.select("n", w(F.col("a")).alias("a"), w(F.col("b")).alias("b"), places(w(F.col("a"))).alias("p"), one.alias("h")).orderBy("n").collect()
+    pair = lambda pairs: [r[0] for r in spark.createDataFrame(pairs, "x long, y long").select(F.xxhash64("x", "y")).collect()]
+    h = rows[-1].h
+    two = pair(list(zip(h, h[1:], strict=False)))
+    four = [x >> 28 for x in pair(list(zip(two, two[2:], strict=False)))]
+    for r in rows:
+        if r.n < k:
+            assert len(r.a) == min(r.n, 1) and (r.n == 0 or r.p == [0] and r.a != r.b)
+        else:
+            grams = four[: r.n - k + 1]
+            wanted = {min(range(i, min(i + window, len(grams))), key=lambda j: (grams[j], -j)) for i in range(max(1, len(grams) - window + 1))}
+            assert r.p == sorted(wanted) and [x >> 28 for x in r.a] == [grams[j] for j in r.p]
+
+
 def test_license_scan(spark, docs):
     own = [None, "", "MIT License", "the mit  license; MIT-LICENSE", "Released under the MIT License.", "General Public\nLicense apache License", "mit licens", "license mit", "Licensed under CC BY-NC 4.0.", "x " * 50 + "Licensed under the Apache License, Version 2.0"]
     df = frame(spark, [(i, t, None, None, None) for i, t in enumerate(own)]).withColumn("words", F.lit(1)).withColumn("places", F.lit(1))
