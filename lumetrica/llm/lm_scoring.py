@@ -8,9 +8,9 @@ each id in its class.
 
 The model has one attention layer with positions as a bias by distance:
 logits(class) = e W_e + softmax(q k + bias) v W_a + b, with e, q, k, v of the
-ids so far, and p(id) = p(class) p(id in class).  It is trained on windows from
-every training text, its beginning and one more for each `bytes_per_window`
-bytes, at places drawn from the text's hash.  Each task trains a copy on its windows and
+ids so far, and p(id) = p(class) p(id in class).  It is trained on windows of
+`SPAN` ids, one after the other, over every training text from its beginning to
+its end.  Each task trains a copy on its windows and
 Spark averages the copies, weighted by windows, for some rounds.
 
 Scoring cuts a text into chunks of `CHUNK` ids; a window is a chunk and the one
@@ -30,7 +30,6 @@ and the base score follows its formula (c = 0, N = 0, V = 0).
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -240,33 +239,26 @@ def fit(flat: np.ndarray, rows: np.ndarray, kinds: np.ndarray, batch: int = 64,
     return flat
 
 
-def _windows(model: bytes, text_col: str, bytes_per_window: int):
-    """array<int> of SPAN + 1 ids for each window, -1 where a text has ended."""
-    reach = 16 * SPAN  # bytes that hold enough ids in nearly all texts; fewer ids make a shorter window
+def _windows(model: bytes, text_col: str):
+    """array<int> of SPAN + 1 ids for each window of whole texts, -1 where a text has ended; each id after BOS is to come in one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = _processor(model)
+        known, lists = Words(), []
         for _, _, _, texts in _blocks(batches, text_col):
-            words, bounds, begins = [], [0], []
-            for text in texts:
-                seed = zlib.crc32(text)
-                for w in range(1 + len(text) // bytes_per_window):
-                    at = (seed + w * 2654435761) % (len(text) + 1) if w else 0
-                    found = split(text[at : at + reach])
-                    whole = at + reach >= len(text)
-                    # a word that the window's edge cuts is left out
-                    found = found[bool(at) : len(found) - (not whole)] if len(found) > 2 else found
-                    words += [*found, *[b""] * whole]
-                    bounds.append(len(words))
-                    begins.append(at == 0)
-            pieces = _pieces(processor, words)
+            if known.full():
+                known, lists = Words(), []
+            own = [[*split(text), b""] for text in texts]
+            lists += _pieces(processor, known.learn(list(chain.from_iterable(own))))
             out = []
-            for i, begin in enumerate(begins):
-                ids = [BOS] if begin else []
-                for x in pieces[bounds[i] : bounds[i + 1]]:
-                    ids += x
-                out.append((ids + [-1] * (SPAN + 1))[: SPAN + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["ids"])
+            for words in own:
+                ids = np.fromiter(chain([BOS], chain.from_iterable(lists[x] for x in known.rows(words))), np.int32)
+                n = -(-(len(ids) - 1) // SPAN)
+                held = np.full(n * SPAN + 1, -1, np.int32)
+                held[: len(ids)] = ids
+                out.append(np.lib.stride_tricks.sliding_window_view(held, SPAN + 1)[::SPAN])
+            ids = np.concatenate(out).ravel()
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) + 1, SPAN + 1), pa.int32()), pa.array(ids))], names=["ids"])
 
     return run
 
@@ -418,7 +410,7 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.select(text_col).mapInArrow(_count_words(text_col), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def train(texts: DataFrame, counts: DataFrame, text_col: str = "text", model_path: str | None = None, rounds: int = 2, bytes_per_window: int = 8192) -> Scorer:
+def train(texts: DataFrame, counts: DataFrame, text_col: str = "text", model_path: str | None = None, rounds: int = 2) -> Scorer:
     """A model of the texts; counts are those of word_counts."""
     model = model_bytes(model_path or default_model())
     processor = _processor(model)
@@ -428,7 +420,7 @@ def train(texts: DataFrame, counts: DataFrame, text_col: str = "text", model_pat
     begins = np.array([processor.id_to_piece(i).startswith("▁") for i in range(len(pieces))], np.int64)
     words = Vocabulary(pieces, begins)
     flat = initial(words.prior)
-    windows = stash(texts.select(text_col).mapInArrow(_windows(model, text_col, bytes_per_window), "ids array<int>"), "windows")
+    windows = stash(texts.select(text_col).mapInArrow(_windows(model, text_col), "ids array<int>"), "windows")
     for _ in range(rounds):
         state = texts.sparkSession.sparkContext.broadcast((flat, words))
         sums = windows.mapInArrow(_learn(state), "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toArrow()  # SIZE + 1 rows

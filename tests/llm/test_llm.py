@@ -381,6 +381,22 @@ def test_lm_gradient_and_probabilities():
     assert np.allclose(scorer.logs(each.ravel(), np.full(3000, 41), 7), scorer.logs(each.ravel(), np.full(3000, 41), 512), atol=1e-3)
 
 
+def test_lm_windows_cover_whole_texts():
+    import pyarrow as pa
+
+    model = sp.model_bytes(sp.default_model())
+    processor = lm_scoring._processor(model)
+    own = ["", "one", *texts(30, 18, 400), "x" * 20_000, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(own)], names=["text"])
+    found = [w for out in lm_scoring._windows(model, "text")(iter([batch, batch])) for w in out.column(0).to_pylist()]
+    wanted = []
+    for text in own * 2:
+        ids = [lm_scoring.BOS, *(x for w in lm_scoring._pieces(processor, [*lm_scoring.split((text or "").encode()), b""]) for x in w)]
+        for i in range(0, len(ids) - 1, lm_scoring.SPAN):
+            wanted.append((ids[i : i + lm_scoring.SPAN + 1] + [-1] * lm_scoring.SPAN)[: lm_scoring.SPAN + 1])
+    assert found == wanted
+
+
 def test_lm_scores(spark, docs, rows):
     found = lm_scoring.score(docs, common_words=5).collect()
     held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in rows}
