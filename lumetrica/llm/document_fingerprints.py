@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text falls into tokens at its spaces; a token of over `long` characters falls
-into pieces of `piece` characters.  Over the token hashes go k-gram hashes,
+A text falls into tokens at its spaces; a token of over `long` characters gives way
+to all its runs of `piece` characters, one from each place, so that what is inserted
+before a run does not change it.  Over the token hashes go k-gram hashes,
 rolled up by doubling, and of every `window` of them in a row the smallest is
 kept, on ties the rightmost, with its place.  Two texts that share k + window - 1
-tokens in a row share a kept hash there.  Texts of fewer tokens than k keep the one
+tokens in a row share a kept hash there; so do two that share over `long` characters
+without a space.  Texts of fewer tokens than k keep the one
 hash of all they have, texts of fewer hashes than a window the smallest of all;
 an empty text keeps nothing.
 
@@ -43,6 +45,19 @@ def tokens(text: Column, long: int = 32, piece: int = 8) -> Column:
     return _once(F.split(text, " "), cut)
 
 
+def token_hashes(text: Column, long: int = 32, piece: int = 8) -> Column:
+    """A hash for each token, or for each run of `piece` (a power of two) characters of a token of over `long`."""
+
+    def rolled(x: Column) -> Column:
+        return _once(F.transform(F.split(x, ""), lambda c: F.xxhash64(c)), lambda h: _pairs(h, 1, piece, lambda a, b: F.xxhash64(a, b)))
+
+    def hashes(found: Column) -> Column:
+        parts = F.transform(found, lambda x: F.when(F.length(x) > long, rolled(x)).otherwise(F.array(F.xxhash64(x))))
+        return F.when(F.exists(found, lambda x: F.length(x) > long), F.flatten(parts)).otherwise(F.transform(found, lambda x: F.xxhash64(x)))
+
+    return _once(F.split(text, " "), hashes)
+
+
 def _once(value: Column, then) -> Column:
     """then(value), where value is the one element of an array, so that it is computed once."""
     return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
@@ -61,7 +76,7 @@ def winnowed(text: Column, k: int = 4, window: int = 8) -> Column:
     """array<bigint> of kept hashes with their places, by place."""
     if min(k, window) < 1 or k & (k - 1) or window & (window - 1):
         raise ValueError("k and window must be powers of two")
-    hashes = F.transform(tokens(text), lambda x: F.xxhash64(x))
+    hashes = token_hashes(text)
     placed = lambda h: F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i))
     # fewer tokens than k make one hash of all, fewer hashes than a window one minimum of all
     rolled = lambda h: F.when(F.size(h) < k, F.array(F.xxhash64(h))).otherwise(_pairs(h, 1, k, lambda a, b: F.xxhash64(a, b)))

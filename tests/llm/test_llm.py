@@ -341,6 +341,23 @@ def test_winnowing_of_short_texts_takes_all_tokens(spark):
             assert r.p == sorted(wanted) and [x >> 28 for x in r.a] == [grams[j] for j in r.p]
 
 
+def test_winnowing_of_unspaced_texts_at_every_offset(spark):
+    rng = random.Random(19)
+    text = lambda n: "".join(rng.choice("日本語文字列😀é中国\n\tabc") for _ in range(n))
+    rows = []
+    for i in range(12):
+        x = text(400)
+        span = text(33)
+        rows += [(x, x[: 10 + i] + "!" + x[10 + i :], 0.8), (text(i) + span + text(20), text(2 * i + 1) + span + text(9), 0.0)]
+    w, hashes = document_fingerprints.winnowed, document_fingerprints.hashes_of
+    df = spark.createDataFrame(rows, "a string, b string, least double").select("least", hashes(w(F.col("a"))).alias("a"), hashes(w(F.col("b"))).alias("b"))
+    for r in df.collect():
+        both = len(set(r.a) & set(r.b))
+        assert both and both >= r.least * len(set(r.a) | set(r.b))
+    n = spark.createDataFrame([("ab " + "q" * 40 + " é",)], "t string").select(F.size(document_fingerprints.token_hashes(F.col("t"))).alias("n")).first().n
+    assert n == 1 + 33 + 1
+
+
 def test_license_scan(spark, docs):
     own = [None, "", "MIT License", "the mit  license; MIT-LICENSE", "Released under the MIT License.", "General Public\nLicense apache License", "mit licens", "license mit", "Licensed under CC BY-NC 4.0.", "x " * 50 + "Licensed under the Apache License, Version 2.0"]
     df = frame(spark, [(i, t, None, None, None) for i, t in enumerate(own)]).withColumn("words", F.lit(1)).withColumn("places", F.lit(1))
