@@ -1,10 +1,11 @@
-"""What the operators of this subpackage share: tables, stashes, blocks of text."""
+"""What the operators of this subpackage share: tables, stashes, names, blocks of text, bitmaps."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task works on at a time; one longer text makes a block of its own.
 BLOCK_BYTES = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Spark deletes the shuffle files of a query at its end where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of stashes, a list for each scratch block that is open.
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,23 +27,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.  Where that is unset, one of our own in local mode (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         held = context._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not context.master.startswith(("local[", "local")) or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
             held = context._jsc.sc().getCheckpointDir()
         found = held.get()
     return found
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later jobs start there, whichever executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet in the shared folder and read it back: later jobs start there, whichever executor is lost.
+
+    Its shuffle files go when it is written, the table itself at the end of the scratch block around it, else when the
+    application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    system, target = _file_system(spark, path)
+    system.deleteOnExit(target)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Stashes written inside are deleted at the end; what leaves the block must be written with kept()."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            system, target = _file_system(spark, path)
+            system.delete(target, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A stash that outlives the innermost scratch block."""
+    out = stash(df, name)
+    if _scopes:
+        path = _scopes[-1].pop()
+        if len(_scopes) > 1:
+            _scopes[-2].append(path)
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores after it as it takes to clash with none of the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def digest(text: Column) -> Column:
+    """128 bits that stand for a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def ascii_lower(column: Column) -> Column:
@@ -71,3 +143,26 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.empty(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+#: Bits of one value of bitmap_construct_agg.
+BITMAP = 1 << 15
+
+
+def bitmap(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """2**bits bits, one byte for each eight, set where a key (a long) ends in their number; executors set and merge them.
+
+    Its size is fixed, whatever the number of keys: a filter that lets more through as it fills, and never loses a key.
+    """
+    place = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
+    parts = keys.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(BITMAP - 1))).alias("bits"))
+    found = np.zeros((max(1, (1 << bits) // BITMAP), BITMAP // 8), np.uint8)
+    for part, own in parts.collect():
+        found[part] = np.frombuffer(own, np.uint8)
+    return found.ravel()
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key (64-bit, signed or not) is set."""
+    place = keys.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
