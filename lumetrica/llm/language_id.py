@@ -12,15 +12,17 @@ prior.  The score is that posterior tempered: log likelihoods and log prior are
 scaled down alike to `evidence` n-grams for longer texts, so that it says how
 clear a text is rather than how long, and never points to another language.
 
-Nulls: a null text, or one without a letter, is "und" with score 0.  Rows
+Nulls: a null text, or one without a letter (as str.isalpha has it: no digits, fractions
+or circled numbers), is "und" with score 0.  Rows
 without a label or text teach nothing.  Without any labelled row every text is
 "und".  Equal likelihoods go to the first language by name.  Repeated rows each
-count and each give a row; other columns are never looked at.
+count and each give a row; other columns are never looked at and may have any
+name but those of the two new ones (a parameter).  An empty table gives an empty
+result.  A very long text is scored whole, in a block of its own.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,6 @@ from pyspark.sql import types as T
 
 from .common import blocks, id_bucket, table
 
-LETTER = re.compile(r"[^\W\d_]")
 FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
@@ -128,12 +129,12 @@ def train(
     return Model(labels, np.log(n / n.sum()), np.ascontiguousarray(matrix), orders, bits)
 
 
-def _predict(model, kept: list[str], text_col: str, evidence: int):
+def _predict(model, kept: list[str], text_col: str, evidence: int, new: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
-        names = [*kept, "lang_pred", "score"]
+        names = [*kept, *new]
         for batch, start, stop, texts in _texts(batches, text_col):
-            letters = [bool(LETTER.search(x)) for x in texts]
+            letters = [any(map(str.isalpha, x)) for x in texts]
             if own.labels:
                 best, score = own.scores(texts, evidence)
                 found = [own.labels[b] if ok else "und" for b, ok in zip(best.tolist(), letters, strict=True)]
@@ -146,12 +147,12 @@ def _predict(model, kept: list[str], text_col: str, evidence: int):
     return run
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", evidence: int = 30) -> DataFrame:
-    """docs with lang_pred and score."""
-    if clash := {"lang_pred", "score"} & set(docs.columns):
+def predict(docs: DataFrame, model: Model, text_col: str = "text", evidence: int = 30, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two columns more, called `names`: the language and its score."""
+    if clash := {x.lower() for x in names} & {x.lower() for x in docs.columns}:
         raise ValueError(f"columns in the way: {sorted(clash)}")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), docs.columns, text_col, evidence), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), docs.columns, text_col, evidence, names), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 4, fold: int = 2, **options) -> DataFrame:
