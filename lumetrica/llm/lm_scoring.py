@@ -10,21 +10,29 @@ The model has one attention layer with positions as a bias by distance:
 logits(class) = e W_e + softmax(q k + bias) v W_a + b, with e, q, k, v of the
 ids so far, and p(id) = p(class) p(id in class).  It is trained on windows of
 `SPAN` ids, one after the other, over every training text from its beginning to
-its end.  Each task trains a copy on its windows and
-Spark averages the copies, weighted by windows, for some rounds.
+its end; equal windows are one with a weight.
+
+The result depends on the table alone, not on its files: a window's hash deals it
+to one of `shards`, whose number follows from the count of all ids; the windows
+of least hash (a bounded number) train a first model; from it each shard trains a
+copy on its windows, sorted and then shuffled by the shard's number; the copies
+are averaged by weight in whole numbers (fixed point), whose sum has no order.
 
 Scoring cuts a text into chunks of `CHUNK` ids; a window is a chunk and the one
 before it, of which the chunk's ids are scored, so every id is scored once with
 CHUNK to 2 * CHUNK - 1 ids of context (fewer at a text's beginning).  Windows of
-many texts go through masked attention in one batch.
+many texts go through masked attention in batches of one shape.
 
 Words beyond the `common_words` most frequent ones (a bounded dictionary that
-goes to the tasks) are joined with the counts by word, for the base scores.
+goes to the tasks) are joined with the counts by word, for the base scores; a
+text gives each of them once, with its count.
 
 Nulls: a null text counts as empty: one end.  A null id hashes as the empty
 text.  Repeated rows each count and each give a row.  An empty table gives an
 empty result; without training rows the model is that of the smoothing alone,
-and the base score follows its formula (c = 0, N = 0, V = 0).
+and the base score follows its formula (c = 0, N = 0, V = 0).  A very long text is
+cut into windows like any other.  Only the id and the text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -36,12 +44,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, id_bucket, stash, table, utf8
+from .common import blocks, id_bucket, scratch, stash, table, utf8
 from .sentencepiece import default_model, model_bytes
 
 CHUNK = 16
@@ -187,111 +196,190 @@ LATER = APART < 0
 SCALE = np.float32(1 / math.sqrt(WIDTH))
 
 
-def gradient(flat: np.ndarray, rows: np.ndarray, kinds: np.ndarray) -> tuple[float, np.ndarray]:
+def gradient(flat: np.ndarray, rows: np.ndarray, kinds: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """Mean loss and gradient over windows: rows (windows, SPAN) of the ids read, kinds of the ids to come, -1 for none."""
     p, g = parts_of(flat), np.zeros_like(flat)
     d = parts_of(g)
-    e = p["E"][rows]
-    q, k, v = e @ p["Wq"], e @ p["Wk"], e @ p["Wv"]
-    s = (q @ k.transpose(0, 2, 1)) * SCALE + p["near"][np.maximum(APART, 0)]
-    s[:, LATER] = -1e9
-    s = np.exp(s - s.max(axis=2, keepdims=True))
-    s /= s.sum(axis=2, keepdims=True)
-    a = s @ v
-    z = e @ p["We"] + a @ p["Wa"] + p["b"]
-    z = np.exp(z - z.max(axis=2, keepdims=True))
-    z /= z.sum(axis=2, keepdims=True)
-    there = kinds >= 0
-    n = max(1, int(there.sum()))
-    w, t = np.nonzero(there)
-    loss = -float(np.log(np.maximum(z[w, t, kinds[w, t]], 1e-30)).sum()) / n
-    z[w, t, kinds[w, t]] -= 1
-    z *= (there / np.float32(n))[:, :, None]
     flat2 = lambda x: x.reshape(-1, x.shape[-1])
-    d["We"][:], d["Wa"][:], d["b"][:] = flat2(e).T @ flat2(z), flat2(a).T @ flat2(z), flat2(z).sum(axis=0)
-    de, da = z @ p["We"].T, z @ p["Wa"].T
-    dv = s.transpose(0, 2, 1) @ da
-    ds = da @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+    e = np.take(p["E"], rows, axis=0, mode="clip")
+    qkv = (flat2(e) @ np.concatenate([p["Wq"] * SCALE, p["Wk"], p["Wv"]], axis=1)).reshape(*rows.shape, 3 * WIDTH)
+    q, k, v = qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    s += np.where(LATER, np.float32(-1e9), p["near"][np.maximum(APART, 0)])
+    np.minimum(s, 60, out=s)
+    np.exp(s, out=s)
+    s *= 1 / s.sum(axis=2, keepdims=True)
+    a = np.matmul(s, v)
+    both, weight = np.concatenate([e, a], axis=2).reshape(-1, 2 * WIDTH), np.concatenate([p["We"], p["Wa"]])
+    z = both @ weight
+    z += p["b"]
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    z *= 1 / np.maximum(z.sum(axis=1, keepdims=True), 1e-30)
+    own = kinds.ravel()
+    share = (own >= 0).astype(z.dtype)
+    if weights is not None:
+        share *= np.repeat(weights, SPAN)
+    share /= max(1e-9, float(share.sum()))
+    at = np.arange(len(own)), np.maximum(own, 0)
+    loss = -float(np.log(np.maximum(z[at], 1e-30)) @ share)
+    z[at] -= 1
+    z *= share[:, None]
+    d["We"][:], d["Wa"][:] = np.vsplit(both.T @ z, 2)
+    d["b"][:] = z.sum(axis=0)
+    dboth = z @ weight.T
+    da = np.ascontiguousarray(dboth[:, WIDTH:]).reshape(a.shape)
+    ds = np.matmul(da, v.transpose(0, 2, 1))
+    ds -= (a * da).sum(axis=2, keepdims=True)
+    ds *= s
     d["near"][:] = np.bincount(APART[~LATER], ds.sum(axis=0)[~LATER], SPAN)
-    dq, dk = (ds @ k) * SCALE, (ds.transpose(0, 2, 1) @ q) * SCALE
-    for name, x in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
-        d[name][:] = flat2(e).T @ flat2(x)
-        de = de + x @ p[name].T
+    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), da)], axis=2).reshape(-1, 3 * WIDTH)
+    for name, x in zip(("Wq", "Wk", "Wv"), np.hsplit(flat2(e).T @ dqkv, 3), strict=True):
+        d[name][:] = x
+    d["Wq"] *= SCALE
+    de = dboth[:, :WIDTH] + dqkv @ np.concatenate([p["Wq"] * SCALE, p["Wk"], p["Wv"]], axis=1).T
+    of, de = rows.ravel().astype(np.intp), np.ascontiguousarray(de.T)
     for i in range(WIDTH):
-        d["E"][:, i] = np.bincount(rows.ravel(), de[:, :, i].ravel(), len(d["E"]))
+        d["E"][:, i] = np.bincount(of, de[i], len(d["E"]))
     return loss, g
 
 
-def fit(flat: np.ndarray, rows: np.ndarray, kinds: np.ndarray, batch: int = 64, rate: float = 0.01, least_steps: int = 200, most_passes: int = 8) -> np.ndarray:
-    """The parameters after Adam over the windows; few windows are passed several times."""
+def fit(
+    flat: np.ndarray, rows: np.ndarray, kinds: np.ndarray, weights: np.ndarray, seed: int = 0, batch: int = 128, rate: float = 0.01,
+    least_steps: int = 1, most_passes: int = 8,
+) -> np.ndarray:
+    """The parameters after Adam over the windows, at a rate that falls to a tenth; few windows are passed several times."""
     flat, m, s, step = flat.copy(), np.zeros_like(flat), np.zeros_like(flat), 0
     n = -(-len(rows) // batch)
-    for turn in range(max(1, min(most_passes, -(-least_steps // max(1, n))))):
-        order = np.random.default_rng(turn).permutation(len(rows))
+    turns = max(1, min(most_passes, -(-least_steps // max(1, n))))
+    rng = np.random.default_rng(seed)
+    for _ in range(turns):
+        order = rng.permutation(len(rows))
         for i in range(0, len(rows), batch):
             at = order[i : i + batch]
-            _, g = gradient(flat, rows[at], kinds[at])
+            _, g = gradient(flat, rows[at], kinds[at], weights[at])
+            own = rate * (1 - 0.9 * step / (turns * n))
             step += 1
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
-            flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+            flat -= own * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
     return flat
 
 
-def _windows(model: bytes, text_col: str):
-    """array<int> of SPAN + 1 ids for each window of whole texts, -1 where a text has ended; each id after BOS is to come in one window."""
+class Ids:
+    """Words of blocks of texts, and the ids of the words met so far."""
+
+    def __init__(self, model: bytes):
+        self.processor = _processor(model)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = Words()
+        self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The row of each word (each text's with its end), the words of each text, and the words that are new."""
+        words: list[bytes] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = split(text)
+            own.append(b"")
+            counts[i] = len(own)
+            words += own
+        fresh = self.known.learn(words)
+        if fresh:
+            new = _pieces(self.processor, fresh)
+            size = np.fromiter(map(len, new), np.int64, len(new))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.int32, int(size.sum()))])
+            self.lengths = np.concatenate([self.lengths, size])
+        return self.known.rows(words), counts, fresh
+
+    def ids(self, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has."""
+        size = self.lengths[rows]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.starts[rows] - ends + size, size) + np.arange(ends[-1])]
+        return ids, np.add.reduceat(size, np.cumsum(counts) - counts)
+
+
+#: What stands in a window where a text has ended.
+NOTHING = 0xFFFF
+
+
+def windows_of(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(windows, SPAN + 1): the id before (or BOS) and SPAN ids to come, over whole texts."""
+    own = -(-counts // SPAN)
+    heads = np.cumsum(counts) - counts
+    place = np.arange(len(ids)) - np.repeat(heads, counts)
+    row = np.repeat(np.cumsum(own) - own, counts) + place // SPAN
+    out = np.full((int(own.sum()), SPAN + 1), NOTHING, np.uint16)
+    out[row, place % SPAN + 1] = ids
+    before = np.empty(len(ids), np.int64)
+    before[1:], before[heads] = ids[:-1], BOS
+    begins = place % SPAN == 0
+    out[row[begins], 0] = before[begins]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = _processor(model)
-        known, lists = Words(), []
-        for _, _, _, texts in _blocks(batches, text_col):
-            if known.full():
-                known, lists = Words(), []
-            own = [[*split(text), b""] for text in texts]
-            lists += _pieces(processor, known.learn(list(chain.from_iterable(own))))
-            out = []
-            for words in own:
-                ids = np.fromiter(chain([BOS], chain.from_iterable(lists[x] for x in known.rows(words))), np.int32)
-                n = -(-(len(ids) - 1) // SPAN)
-                held = np.full(n * SPAN + 1, -1, np.int32)
-                held[: len(ids)] = ids
-                out.append(np.lib.stride_tricks.sliding_window_view(held, SPAN + 1)[::SPAN])
-            ids = np.concatenate(out).ravel()
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) + 1, SPAN + 1), pa.int32()), pa.array(ids))], names=["ids"])
 
-    return run
+def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of bytes in a row, and how many each text has."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], "<u2")[bounds[0] // 2 : bounds[-1] // 2], np.diff(bounds) // 2
 
 
-def _learn(state, buffer: int = 20_000):
-    """A task's training: (slot, weighted sum of the parameter), and the weights under slot -1."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of whole texts as bytes."""
+    for batch in batches:
+        if len(batch):
+            found = windows_of(*_ids_of(batch.column(0)))
+            for i in range(0, len(found), 1 << 15):
+                yield pa.RecordBatch.from_arrays([_as_bytes(found[i : i + (1 << 15)].ravel(), np.full(len(found[i : i + (1 << 15)]), SPAN + 1))], names=["ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, words = state.value
-        held: list[np.ndarray] = []
-        seen, own = 0, flat
 
-        def train(own: np.ndarray) -> np.ndarray:
-            ids = np.concatenate(held)
-            rows = words.row[np.maximum(ids[:, :-1], 0)]
-            kinds = np.where(ids[:, 1:] >= 0, words.kind[np.maximum(ids[:, 1:], 0)], -1)
-            return fit(own, rows, kinds)
+def _as_bytes(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    bounds = np.concatenate([[0], np.cumsum(2 * counts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(ids, "<u2"))])
+
+
+#: Parameters are averaged as multiples of this.
+UNIT = 2.0**-24
 
-        for batch in batches:
-            column = batch.column(0)
-            held.append(np.asarray(column.flatten()).reshape(-1, SPAN + 1))
-            seen += len(column)
-            if sum(map(len, held)) >= buffer:
-                own, held = train(own), []
-        if held:
-            own = train(own)
-        if seen:
-            slots, values = np.arange(-1, len(own)), np.concatenate([[seen], own.astype(np.float64) * seen])
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(values)], names=["slot", "value"])
+
+def _learn(state, rate: float, least_steps: int):
+    """Training on the windows of one shard: (slot, weight times the parameter as a whole number), and the weight under slot -1."""
+
+    def run(own: pa.Table, shard: int) -> pa.Table:
+        flat, words = state.value
+        own = own.take(pc.sort_indices(own, [("ids", "ascending")]))
+        ids = np.frombuffer(b"".join(own["ids"].to_pylist()), "<u2").reshape(-1, SPAN + 1).astype(np.int64)
+        weights = own["n"].to_numpy().astype(np.float64)
+        rows = words.row[np.where(ids[:, :-1] == NOTHING, 0, ids[:, :-1])]
+        kinds = np.where(ids[:, 1:] == NOTHING, -1, words.kind[np.where(ids[:, 1:] == NOTHING, 0, ids[:, 1:])])
+        found = fit(flat, rows, kinds, weights, shard, rate=rate, least_steps=least_steps).astype(np.float64)
+        weight = len(rows)
+        values = np.concatenate([[weight], np.rint(found / UNIT).astype(np.int64) * weight])
+        return pa.table({"slot": pa.array(np.arange(-1, len(found)), pa.int32()), "value": pa.array(values.astype(np.int64))})
 
     return run
 
 
+def _averaged(grouped, state, rate: float, least_steps: int) -> np.ndarray | None:
+    """The mean of the copies that groups of windows (by shard) train; None without windows."""
+    learn = _learn(state, rate, least_steps)
+    copies = grouped.applyInArrow(lambda key, own: learn(own, key[0].as_py()), "slot int, value long")
+    sums = copies.groupBy("slot").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()  # SIZE + 1 rows
+    if not sums:
+        return None
+    values = {r["slot"]: int(r["value"]) for r in sums}
+    return np.array([values[i] / values[-1] * UNIT for i in range(SIZE)], np.float32)
+
+
+def summed(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums from each head to the next, of whole multiples of 2**-32, so that they do not depend on where a row stands in its batch."""
+    return np.add.reduceat(np.rint(values.astype(np.float64) * 2.0**32).astype(np.int64), heads) / 2.0**32
+
+
 class Scorer:
     """The trained model with its products per embedding row worked out."""
 
@@ -324,7 +412,7 @@ class Scorer:
         place = np.arange(len(ids)) + np.repeat(first * CHUNK - heads, counts)
         before = np.empty(len(ids), ids.dtype)
         before[1:], before[heads] = ids[:-1], BOS
-        n = int(chunks.sum())
+        n = -(-int(chunks.sum()) // batch) * batch  # batches of one shape, so that a text's score does not depend on its neighbours
         # a chunk of nothing stands before the first
         rows, kinds = np.zeros((n + 1) * CHUNK, np.intp), np.zeros(n * CHUNK, np.intp)
         rows[place + CHUNK], kinds[place] = self.words.row[before], self.words.kind[ids]
@@ -334,7 +422,7 @@ class Scorer:
         take = lambda x, at: np.take(x, at, axis=0, mode="clip")
         lines, ones = np.arange(batch * CHUNK) * self.words.kinds, np.ones(self.words.kinds, np.float32)
         for a in range(0, n, batch):
-            b = min(n, a + batch)
+            b = a + batch
             parts = take(self.kv, rows[a : b + 1])
             both = np.concatenate([parts[:-1], parts[1:]], axis=1)
             own = rows[a + 1 : b + 1]
@@ -344,8 +432,9 @@ class Scorer:
             if self.wide_weights:
                 np.minimum(s, 60, out=s)
             np.exp(s, out=s)
-            mixed = np.matmul(s, both[:, :, WIDTH:]).reshape(-1, WIDTH + 1)
-            z = (mixed[:, :WIDTH] * (1 / mixed[:, WIDTH:])) @ self.from_attention
+            mixed = np.matmul(s, both[:, :, WIDTH:])
+            # a product for each chunk: rows of one large product round by their place in it
+            z = np.matmul(mixed[:, :, :WIDTH] * (1 / mixed[:, :, WIDTH:]), self.from_attention).reshape(batch * CHUNK, -1)
             z += take(self.direct, own.ravel())
             if self.wide_logits:
                 np.clip(z, -60, 60, out=z)
@@ -353,82 +442,91 @@ class Scorer:
             got = z.ravel()[lines[: len(z)] + own_kind]
             np.exp(z, out=z)
             out[a * CHUNK : b * CHUNK] = got - np.log(z @ ones)
-        return np.add.reduceat(out[place] + self.words.inside[ids], heads, dtype=np.float64)
+        return summed(out[place] + self.words.inside[ids], heads)
 
 
-def _score(state, model: bytes, id_col: str, text_col: str, passed: list[str]):
+def _encode(state, model: bytes, text_col: str, passed: list[str]):
+    """The ids of each text, its base score by common words, and its other words with their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = _processor(model)
-        scorer, common, unit = state.value
+        common = state.value
         uid = TaskContext.get().partitionId() << 33
-        names = [*passed, "uid", "n_tokens", "common_score", "common_known", "rare", "score"]
-        known = None
+        names = [*passed, "uid", "n_tokens", "common_score", "common_known", "rare", "ids"]
+        known, base, lists = Ids(model), np.zeros(0), []  # base: log10 of a common word's base probability, nan for others
         for batch, start, stop, texts in _blocks(batches, text_col):
-            if known is None or known.full():
-                known, lists = Words(), []
-                base = np.zeros(0)  # log10 of a common word's base probability, nan for others
-                flat, starts, lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            words: list[bytes] = []
-            counts = np.zeros(len(texts), np.int64)
-            for i, text in enumerate(texts):
-                own = split(text)
-                own.append(b"")
-                counts[i] = len(own)
-                words += own
-            fresh = known.learn(words)
-            rows = known.rows(words)
-            if fresh:
-                new = _pieces(processor, fresh)
-                size = np.fromiter(map(len, new), np.int64, len(new))
-                flat = np.concatenate([flat, np.fromiter(chain.from_iterable(new), np.int32, int(size.sum()))])
-                starts = np.concatenate([starts, len(flat) - size.sum() + np.cumsum(size) - size])
-                lengths = np.concatenate([lengths, size])
-                base = np.concatenate([base, np.fromiter((common.get(x, math.nan) for x in fresh), np.float64, len(new))])
-                lists += fresh
-            size = lengths[rows]
-            ends = np.cumsum(size)
-            ids = flat[np.repeat(starts[rows] - ends + size, size) + np.arange(ends[-1])]
+            if known.known.full():
+                known.clear()
+                base, lists = np.zeros(0), []
+            rows, counts, fresh = known.block(texts)
+            base = np.concatenate([base, np.fromiter((common.get(x, math.nan) for x in fresh), np.float64, len(fresh))])
+            lists += fresh
+            ids, sizes = known.ids(rows, counts)
             heads = np.cumsum(counts) - counts
-            logs = scorer.logs(ids, np.add.reduceat(size, heads))
             found = base[rows]
             rare = np.isnan(found)
-            sums = np.add.reduceat(np.where(rare, 0.0, found), heads)
+            sums = summed(np.where(rare, 0.0, found), heads)
             n_rare = np.add.reduceat(rare.astype(np.int64), heads)
-            odd = rows[rare]
-            bounds = np.concatenate([[0], np.cumsum(n_rare)])
-            column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array([lists[x] for x in odd.tolist()], pa.binary()))
+            # each text's rare words once, with their counts
+            pairs, times = np.unique(np.stack([np.repeat(np.arange(len(texts)), counts)[rare], rows[rare]]), axis=1, return_counts=True)
+            bounds = np.searchsorted(pairs[0], np.arange(len(texts) + 1))
+            each = pa.StructArray.from_arrays([pa.array([lists[x] for x in pairs[1].tolist()], pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
             own = [batch.column(batch.schema.get_field_index(c)).slice(start, stop - start) for c in passed]
-            values = [pa.array(uid + np.arange(len(texts))), pa.array(counts), pa.array(sums), pa.array(counts - n_rare), column, pa.array(logs / math.log(10))]
+            values = [pa.array(uid + np.arange(len(texts))), pa.array(counts), pa.array(sums), pa.array(counts - n_rare),
+                      pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), each), _as_bytes(ids, sizes)]
             uid += len(texts)
             yield pa.RecordBatch.from_arrays([*own, *values], names=names)
 
     return run
 
 
+def _score(state):
+    """The last column (ids) gives way to the log10 probability of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = state.value
+        for batch in batches:
+            ids, counts = _ids_of(batch.column(batch.num_columns - 1))
+            logs = [scorer.logs(ids[counts[:a].sum() : counts[:b].sum()].astype(np.intp), counts[a:b]) for a, b in blocks(counts, 1 << 18)]
+            score = pa.array(np.concatenate([*logs, np.zeros(0)]) / math.log(10))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*batch.schema.names[:-1], "score"])
+
+    return run
+
+
 def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c) over all texts; the empty word is the end of a text."""
     return texts.select(text_col).mapInArrow(_count_words(text_col), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def train(texts: DataFrame, counts: DataFrame, text_col: str = "text", model_path: str | None = None, rounds: int = 2) -> Scorer:
-    """A model of the texts; counts are those of word_counts."""
-    model = model_bytes(model_path or default_model())
+def vocabulary(counts: DataFrame, model: bytes) -> tuple[Vocabulary, int]:
+    """The vocabulary of the words with their counts, and how many ids they have together."""
     processor = _processor(model)
+    if processor.vocab_size() >= NOTHING:
+        raise ValueError("ids must fit 16 bits")
     pieces = np.zeros(processor.vocab_size())
     found = counts.mapInArrow(_count_pieces(model), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # the vocabulary at most
     pieces[found["piece"].to_numpy()] = found["n"].to_numpy()
     begins = np.array([processor.id_to_piece(i).startswith("▁") for i in range(len(pieces))], np.int64)
-    words = Vocabulary(pieces, begins)
+    return Vocabulary(pieces, begins), int(pieces.sum())
+
+
+def train(ids: DataFrame, words: Vocabulary, total: int, shard_windows: int = 1 << 17, first_windows: int = 1 << 14) -> Scorer:
+    """A model of the texts; ids: one column, the ids of each text with its end as bytes; total: how many there are.
+
+    shard_windows: windows of a shard, on average.  first_windows: how many windows, those of least hash, train the model
+    that all shards start from; every window then trains in its shard.
+    """
+    spark = ids.sparkSession
     flat = initial(words.prior)
-    windows = stash(texts.select(text_col).mapInArrow(_windows(model, text_col), "ids array<int>"), "windows")
-    for _ in range(rounds):
-        state = texts.sparkSession.sparkContext.broadcast((flat, words))
-        sums = windows.mapInArrow(_learn(state), "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toArrow()  # SIZE + 1 rows
-        if not len(sums):
-            break
-        values = np.zeros(SIZE + 1)
-        values[sums["slot"].to_numpy() + 1] = sums["value"].to_numpy()
-        flat = (values[1:] / values[0]).astype(np.float32)
+    shards = max(1, -(-total // (SPAN * shard_windows)))
+    with scratch(spark):
+        windows = ids.mapInArrow(_windows, "ids binary").groupBy("ids").agg(F.count("*").alias("n"))
+        windows = stash(windows.select(F.xxhash64("ids").alias("h"), "ids", "n"), "windows")
+        some = windows.orderBy("h", "ids").limit(first_windows).select(F.lit(0).alias("shard"), "ids", "n")
+        first = _averaged(some.groupBy("shard"), spark.sparkContext.broadcast((flat, words)), 0.01, 400)
+        if first is not None:
+            dealt = windows.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "ids", "n")
+            flat = _averaged(dealt.groupBy("shard"), spark.sparkContext.broadcast((first, words)), 0.004, 1)
     return Scorer(flat, words)
 
 
@@ -440,26 +538,28 @@ def score(
     if not 1 <= common_words <= 1_000_000:
         raise ValueError("common_words bounds what goes to every task: 1 to 1,000,000")
     spark = docs.sparkSession
-    held_out = id_bucket(F.col(id_col), folds) == fold
-    texts = docs.where(~held_out).select(F.col(text_col).alias("text"))
-    counts = stash(word_counts(texts), "words")
+    model = model_bytes(model_path or default_model())
+    rows = docs.select(F.col(id_col).alias("id"), (id_bucket(F.col(id_col), folds) == fold).alias("held_out"), F.col(text_col).alias("text"))
+    counts = stash(word_counts(rows.where("NOT held_out").select("text")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     unit = total + 0.1 * (distinct + 1)
-    model = train(texts, counts, model_path=model_path, **options)
     top = counts.orderBy(F.desc("c"), "word").limit(common_words).toArrow()
     common = dict(zip(map(bytes, top["word"].to_pylist()), np.log10((top["c"].to_numpy() + 0.1) / unit).tolist(), strict=True))
-    state = spark.sparkContext.broadcast((model, common, unit))
-    rows = docs.select(F.col(id_col), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType
+    words, n_ids = vocabulary(counts, model)
     schema = T.StructType([
-        T.StructField(id_col, kind), T.StructField("held_out", T.BooleanType()), T.StructField("uid", T.LongType()), T.StructField("n_tokens", T.LongType()),
-        T.StructField("common_score", T.DoubleType()), T.StructField("common_known", T.LongType()), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("score", T.DoubleType())])
-    scored = stash(rows.mapInArrow(_score(state, model_bytes(model_path or default_model()), id_col, "text", [id_col, "held_out"]), schema), "scored")
-    rare = scored.select("uid", F.explode("rare").alias("word")).join(counts, "word", "left")
-    base = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / F.lit(float(unit)))
-    rare = rare.groupBy("uid").agg(F.sum(base).alias("rare_score"), F.count("c").alias("rare_known"))
-    return scored.drop("rare").join(rare, "uid", "left").select(
-        id_col, "held_out", "n_tokens", (F.col("common_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("uid", T.LongType()), T.StructField("n_tokens", T.LongType()),
+        T.StructField("common_score", T.DoubleType()), T.StructField("common_known", T.LongType()),
+        T.StructField("rare", T._parse_datatype_string("array<struct<word:binary,n:bigint>>")), T.StructField("ids", T.BinaryType())])
+    encoded = stash(rows.mapInArrow(_encode(spark.sparkContext.broadcast(common), model, "text", ["id", "held_out"]), schema), "encoded")
+    scorer = spark.sparkContext.broadcast(train(encoded.where("NOT held_out").select("ids"), words, n_ids, **options))
+    rare = encoded.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n").join(counts, "word", "left")
+    base = F.col("n") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / F.lit(float(unit)))
+    # decimals: their sums are the same in any order
+    rare = rare.groupBy("uid").agg(F.sum(base.cast("decimal(30,12)")).cast("double").alias("rare_score"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"))
+    kept = encoded.select("id", "held_out", "uid", "n_tokens", "common_score", "common_known", "ids")
+    scored = kept.mapInArrow(_score(scorer), T.StructType([*kept.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    return scored.join(rare, "uid", "left").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("common_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"), "score")
 
 
