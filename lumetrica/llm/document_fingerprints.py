@@ -21,7 +21,8 @@ those that either has; two empty ones are alike (1).
 
 Nulls: a null text counts as empty.  Rows follow each other by descending id
 (null ids last), then by text; after the last comes the first.  Equal rows follow each other.
-A table of one row is its own next.  An empty table gives an empty result.
+A table of one row is its own next.  An empty table gives an empty result.  A text may have
+2**28 tokens at most.  Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, named, table
 
 PLACE_BITS = 28
 PLACES = (1 << PLACE_BITS) - 1
@@ -106,30 +107,34 @@ def as_text(kept: Column) -> Column:
         ":", (F.lit(PLACES) - x.bitwiseAND(F.lit(PLACES))).cast("string"), F.lower(F.hex(F.shiftrightunsigned(x, PLACE_BITS))))), ",")
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
-    """docs with next_<column>, the text and what `also` names of the next row by descending id; after the last row, the first.
+def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
+    """docs with the columns in `derived` and next_<column>, the text and the derived ones of the next row by descending id;
+    after the last row, the first.
 
     Quantiles of the ids cut the rows into ranges of about equal size.  The row that follows the last one of a range is
-    copied into that range, so each range finds its rows' successors by itself.  Only one row per range meets in one place.
+    copied into that range, so each range finds its rows' successors by itself.  Only one row per range meets in one place;
+    what is derived is worked out once for each row and each such copy.
     """
     spark = docs.sparkSession
+    derived = derived or {}
     parts = parts or max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key, part, halo = free(docs.columns, "key", "part", "halo")
     # ~id falls as the id rises; null ids come last
-    key = F.coalesce(F.bitwise_not(F.col(id_col).cast("long")), F.lit((1 << 63) - 1))
-    cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    number = F.coalesce(F.bitwise_not(named(id_col).cast("long")), F.lit((1 << 63) - 1))
+    cuts = docs.select(number.alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
     bounds = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    ranged = docs.withColumn("_key", key).withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col("_key"))))
-    least = ranged.groupBy("_range").agg(F.min("_key").alias("_key"))  # `parts` rows at most
-    heads = ranged.join(F.broadcast(least), ["_range", "_key"]).groupBy("_range").agg(
-        F.min(F.struct(F.xxhash64(text_col).alias("h"), text_col, *also)).alias("head"))
-    order = Window.orderBy("_range")  # one row per range
-    halo = heads.select(F.coalesce(F.lag("_range").over(order), F.max("_range").over(Window.partitionBy())).alias("_range"), "head.*")
-    columns = docs.columns
-    rows = ranged.withColumn("_halo", F.lit(0)).unionByName(halo.drop("h").withColumn("_halo", F.lit(1)), allowMissingColumns=True)
+    ranged = docs.withColumn(key, number).withColumn(part, F.size(F.filter(bounds, lambda b: b < F.col(key))))
+    least = ranged.groupBy(part).agg(F.min(key).alias(key))  # `parts` rows at most
+    heads = ranged.select(part, key, text_col).join(F.broadcast(least), [part, key]).groupBy(part).agg(
+        F.min(F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))).alias("head"))
+    order = Window.orderBy(part)  # one row per range
+    first = heads.select(F.coalesce(F.lag(part).over(order), F.max(part).over(Window.partitionBy())).alias(part), F.col("head.text").alias(text_col), F.lit(1).alias(halo))
+    columns = [*docs.columns, *derived]
+    rows = ranged.withColumn(halo, F.lit(0)).unionByName(first, allowMissingColumns=True).withColumns(derived)
     # ties by hash, then by text: equal ids of different texts have one order whatever the files
-    within = Window.partitionBy("_range").orderBy("_halo", "_key", F.xxhash64(text_col), text_col)
-    after = {f"next_{c}": F.lead(c).over(within) for c in (text_col, *also)}
-    return rows.withColumns(after).where("_halo = 0").select(*columns, *after)
+    within = Window.partitionBy(part).orderBy(halo, key, F.xxhash64(text_col), text_col)
+    after = {f"next_{c}": F.lead(c).over(within) for c in (text_col, *derived)}
+    return rows.withColumns(after).where(F.col(halo) == 0).select(*columns, *after)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, window: int = 8) -> DataFrame:
@@ -140,18 +145,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, window: int = 8) -> DataFrame:
     """Each text's fingerprint beside that of an edit of it (its second half gives way to the next text's beginning)."""
-    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).withColumn("kept", winnowed(F.col("text"), k, window))
-    rows = with_next(rows, id_col, "text", ("kept",)).withColumn("n_chars", F.length("text").cast("long"))
+    rows = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    rows = with_next(rows, "id", "text", {"kept": winnowed(F.col("text"), k, window)}).withColumn("n_chars", F.length("text").cast("long"))
     half = F.expr("CAST(n_chars DIV 2 AS INT)")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select(id_col, "n_chars", "kept", "next_kept", edited.alias("edited"))
+    rows = rows.select("id", "n_chars", "kept", "next_kept", edited.alias("edited"))
     rows = rows.select(
-        id_col, "n_chars", "kept", "next_kept", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnowed(F.col("edited"), k, window).alias("edited_kept"))
+        "id", "n_chars", "kept", "next_kept", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnowed(F.col("edited"), k, window).alias("edited_kept"))
     rows = rows.select("*", *(hashes_of(F.col(f"{c}kept")).alias(f"{c}hashes") for c in ("", "edited_", "next_")))
     own, other, after = (F.col(f"{c}hashes") for c in ("", "edited_", "next_"))
     rows = rows.select("*", F.size(F.array_intersect(own, other)).alias("with_edited"), F.size(F.array_intersect(own, after)).alias("with_next"))
     return rows.select(
-        id_col, "n_chars", "edited_sha256", as_text(F.col("kept")).alias("fingerprint"),
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(F.col("kept")).alias("fingerprint"),
         as_text(F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.size(own), F.size(other), F.col("with_edited")).alias("near_edited"),
         likeness(F.size(own), F.size(after), F.col("with_next")).alias("near_next"))
