@@ -13,7 +13,8 @@ The index has some hundred entries, whatever the corpus; matching stays inside
 each row, so no row or word is ever shuffled.
 
 Nulls: a null text has no words.  Repeated rows each give a row.  An empty table
-gives an empty result.
+gives an empty result.  A very long text is one row like any other.  Only the id
+and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,19 +36,26 @@ BASE = [
     ("general public license", "gpl"),
 ]
 
-# Label, notice, key phrases.
+# Label, notice or licence text, key phrases.
 NOTICES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0", ["apache license version 2 0"]),
+    ("apache-2.0-header", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ["may not use this file except in compliance", "without warranties or conditions of any kind"]),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ["redistribution and use", "source and binary forms"]),
+    ("bsd-2-clause-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ["redistributions of source code must retain", "redistributions in binary form must reproduce"]),
     ("cc-by-4.0", "Licensed under CC BY 4.0", ["cc by 4 0"]),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ["cc by nc 4 0"]),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ["cc by sa 4 0"]),
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", ["general public license version 2"]),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ["general public license version 3"]),
+    ("gpl-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", ["published by the free software foundation", "in the hope that it will be useful"]),
+    ("isc-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["for any purpose with or without fee", "appear in all copies"]),
     ("lgpl", "licensed under the GNU Lesser General Public License", ["lesser general public license"]),
     ("mit-notice", "Released under the MIT License", ["under the mit license"]),
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy", ["hereby granted free of charge"]),
+    ("mit-whole-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", ["deal in the software without restriction", "shall be included in all copies or substantial portions"]),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license"]),
+    ("unlicense-text", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ["free and unencumbered software", "released into the public domain"]),
+    ("zlib-text", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", ["alter it and redistribute it freely"]),
 ]
 
 
