@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Phrases of models that talk about the task instead of transcribing.
-CHATTY = r"(?i)^(sure|certainly|of course|here is|here's|the transcription|i'm sorry|i cannot)"
-CHATTY_WORDS = ["transcription:", "as an ai", "the audio", "the speaker says", "i'm sorry"]
-# Function words (86), and those that the longer list adds.
+# Patterns of chatbot wrapper text, and phrases of it (in lower-cased text).
+CHATTY = ["^Sure", "^Of course", "^Here(?:'s| is)", "^The user(?:'s)?", "transcri(?:be|ption|bed)", "written format"]
+CHATTY_PHRASES = [
+    "thank you for watching", "please subscribe", "like and subscribe", "sure", "of course", "here is", "here's", "the user", "transcription", "transcribed",
+    "written format",
+]
+# Function words of the rule sets "ngram" (94), "ngram_or_word" (86) and "function_first" (59).
 FUNCTION_WORDS = (
-    "a an the and or but if then so because as of at by for with about against into through during before after to from "
-    "up down in out on off over again once here there when where why how all any both each more most other some such no nor "
-    "not only same than too very can will just should now i me my we our you your he him his she her it its they them their "
-    "is are was were be been being have has had do does did").split()
-EXTRA_FUNCTION_WORDS = "above below between few further own shall under".split()
+    "the a an in on at to of for is was are were and or but that this it he she they we i you my your his her its our their be been being have has had do does "
+    "did will would shall should may might can could not no so if then than as with by from up about into through during before after above below between under "
+    "again further there here when where why how all each every both few more most other some such only own same too very just").split()
+FUNCTION_WORDS_86 = (
+    "the a an in on at to of for is was are were and or but that this it he she they we i you my your his her its our their be been being have has had do does "
+    "did will would should may might can could not no so if then than as with by from up about into through during before after again there here when where why "
+    "how all each every both more most other some such only same too very just").split()
+FUNCTION_WORDS_59 = (
+    "the a an is are was were to of in for on at by with and or but that this it he she they we i you my your his her its our their be been being have has had "
+    "do does did will would could should can may might shall not no so if than then just also").split()
 
 
 def normalize(text: Column) -> Column:
@@ -23,9 +31,9 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(kept, " +", " "))
 
 
-def word_count(normalized: Column) -> Column:
-    """Words of a normalized text; blank has none."""
-    return F.when(normalized == "", F.lit(0)).otherwise(F.length(normalized) - F.length(F.replace(normalized, F.lit(" "), F.lit(""))) + 1).cast("long")
+def word_count(text: Column) -> Column:
+    """Words that normalize() leaves of a text, in one pass over it."""
+    return F.regexp_count(F.lower(text), F.lit("[a-z0-9']+")).cast("long")
 
 
 def strip_markup(text: Column) -> Column:
@@ -50,17 +58,24 @@ def longest_quoted(text: Column) -> Column:
 
 
 def chatty(text: Column) -> Column:
-    return F.trim(text).rlike(CHATTY)
+    """Whether a raw hypothesis has wrapper text: any of the patterns, case aside."""
+    return F.coalesce(text, F.lit("")).rlike("(?i)" + "|".join(CHATTY))
 
 
-def chatty_words(text: Column) -> Column:
+def chatty_phrases(text: Column) -> Column:
+    """Whether any of the phrases is in the lower-cased text."""
     low = F.lower(text)
     found = F.lit(False)
-    for word in CHATTY_WORDS:
-        found = found | F.contains(low, F.lit(word))
+    for phrase in CHATTY_PHRASES:
+        found = found | F.contains(low, F.lit(phrase))
     return found
 
 
+def long_hypothesis(reference: Column, hypothesis: Column) -> Column:
+    """Over three times as long as its reference, which is not empty, and over 50 characters."""
+    return (F.length(reference) > 0) & (F.length(hypothesis) > 3 * F.length(reference)) & (F.length(hypothesis) > 50)
+
+
 def bucket_label(value: Column, edges: list[float]) -> Column:
     """"lo-hi s" with the upper edge inside, or ">last s"."""
     low, out = 0, None
@@ -80,9 +95,22 @@ def edits_from_rate(rate: Column, words: Column) -> Column:
     return F.bround(rate * words).cast("long")
 
 
-def first_number(*columns: Column) -> Column:
-    """The first that parses as a number."""
-    return F.coalesce(*(F.expr("NULL").cast("double"), *(c.try_cast("double") for c in columns)))
+def first_number(*columns: Column, required: str | None = None) -> Column:
+    """The first that parses as a number; null if none does, or an error that names `required`."""
+    found = F.coalesce(*(F.expr("NULL").cast("double"), *(c.try_cast("double") for c in columns)))
+    return found if required is None else F.coalesce(found, F.raise_error(F.lit(f"no usable {required}")).cast("double"))
+
+
+def head_label(layer: Column, head: Column) -> Column:
+    """L<layer>_h<head>."""
+    return F.format_string("L%d_h%d", layer.cast("int"), head.cast("int"))
+
+
+def utterance_wer(errors: Column, reference_words: Column, hypothesis_words: Column, empty_reference: float = 0.0) -> Column:
+    """An utterance's rate: 1 for a blank hypothesis; for a blank reference 0, or `empty_reference` if words were said (reports
+    take 0 there, rewards 1)."""
+    return F.when(reference_words == 0, F.when(hypothesis_words == 0, 0.0).otherwise(empty_reference)).when(hypothesis_words == 0, 1.0).otherwise(
+        errors / reference_words)
 
 
 def first_filled(*columns: Column, default: str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, word_count
+from ..functions.text import word_count
 
 MODELS = [("ada", 1), ("bix", 2), ("cor", 3)]
 VARIANTS = [("clean", 0), ("mild", 1), ("harsh", 2)]
@@ -27,8 +27,7 @@ def run_matrix(spark: SparkSession) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with n (words), and quality and toxic as labels that may be blank."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", normalize(F.col("text")).alias("t"))
-    docs = docs.select("doc_id", "lang", "source", word_count(F.col("t")).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", word_count(F.col("text")).alias("n"))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("string").alias("quality"), F.max("toxic").cast("string").alias("toxic"))
     return docs.join(labels, "doc_id", "left").na.fill("", ["quality", "toxic"])
 

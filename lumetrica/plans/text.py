@@ -9,8 +9,8 @@ from .base import norm_sql, rounded, table, words_sql
 
 
 def normalize_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", X.normalize(F.col("text")).alias("t"))
-    return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), X.word_count(F.col("t")).alias("words"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", X.normalize(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), X.word_count(F.col("text")).alias("words"))
 
 
 def strip_markup(spark, sf_dir):
@@ -24,8 +24,7 @@ def longest_quoted(spark, sf_dir):
 def chatty_flags(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     return rows.groupBy("role").agg(
-        F.count("*").alias("n"), F.count(F.when(X.chatty(F.col("text")), 1)).alias("opening"), F.count(F.when(X.chatty_words(F.col("text")), 1)).alias("phrases"),
-        F.count(F.when(F.length("text") > 300, 1)).alias("long"))
+        F.count("*").alias("n"), F.count(F.when(X.chatty(F.col("text")), 1)).alias("chatty"), F.count(F.when(X.chatty_phrases(F.col("text")), 1)).alias("phrases"))
 
 
 def safe_labels(spark, sf_dir):
@@ -94,9 +93,10 @@ ORACLE_SQL = {
     "strip_markup": f"WITH t AS (SELECT page_id, {STRIP} AS t FROM pages) SELECT page_id, md5(t) AS digest, length(t) AS length FROM t",
     "longest_quoted": """WITH q AS (SELECT page_id, html, regexp_extract_all(html, '"([^"]+)"', 1) AS q FROM pages)
 SELECT page_id, CASE WHEN len(q) > 0 THEN list_filter(q, lambda x: length(x) = list_max(list_transform(q, lambda y: length(y))))[1] ELSE trim(regexp_replace(html, '(?i)^(sure|certainly|here is|the transcription is)[^:]*:', '')) END AS quoted FROM q""",
-    "chatty_flags": """SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(trim(text), '(?i)^(sure|certainly|of course|here is|here''s|the transcription|i''m sorry|i cannot)')) AS opening,
-count(*) FILTER (WHERE lower(text) LIKE '%transcription:%' OR lower(text) LIKE '%as an ai%' OR lower(text) LIKE '%the audio%' OR lower(text) LIKE '%the speaker says%' OR lower(text) LIKE '%i''m sorry%') AS phrases,
-count(*) FILTER (WHERE length(text) > 300) AS long FROM conversations GROUP BY role""",
+    "chatty_flags": """SELECT role, count(*) AS n,
+  count(*) FILTER (WHERE regexp_matches(text, '(?i)^Sure|^Of course|^Here(?:''s| is)|^The user(?:''s)?|transcri(?:be|ption|bed)|written format')) AS chatty,
+  count(*) FILTER (WHERE regexp_matches(lower(text), 'thank you for watching|please subscribe|like and subscribe|sure|of course|here is|here''s|the user|transcription|transcribed|written format')) AS phrases
+FROM conversations GROUP BY role""",
     "safe_labels": "SELECT page_id, trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS label FROM pages",
     "duration_buckets": """WITH t AS (SELECT n_chars / 15.0::DOUBLE AS s FROM documents) SELECT CASE WHEN s <= 10 THEN '0-10s' WHEN s <= 30 THEN '10-30s' WHEN s <= 60 THEN '30-60s' WHEN s <= 120 THEN '60-120s' ELSE '>120s' END AS bucket,
 count(*) AS n, round(sum(s::DECIMAL(18,6))::DOUBLE, 4) AS total, round(max(s), 4) AS longest FROM t GROUP BY ALL""",
