@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import metrics as M
 from ..operators import resample as R
 from .base import BASELINE, predictions, rounded, with_pred
@@ -93,12 +94,12 @@ def cube_rates(spark, sf_dir):
 
 def bootstrap_ci(spark, sf_dir):
     rows = predictions(spark, sf_dir).where("ref_words > 0").select("model", "variant", F.col("lang").alias("group"), "doc_id", "errors", "ref_words")
-    return rounded(R.bootstrap_ci(rows, ["model", "variant", "group"], "doc_id", resamples=50))
+    return rounded(R.bootstrap_ci(rows, ["model", "variant", "group"], "doc_id"))
 
 
 def ci_overlap(spark, sf_dir):
     rows = predictions(spark, sf_dir).where("ref_words > 0").select("model", "variant", F.col("lang").alias("group"), "doc_id", "errors", "ref_words")
-    return M.ci_overlap(R.bootstrap_ci(rows, ["model", "variant", "group"], "doc_id", resamples=50), ["model", "variant"])
+    return M.ci_overlap(R.bootstrap_ci(rows, ["model", "variant", "group"], "doc_id"), ["model", "variant"])
 
 
 def _pairs(spark, sf_dir):
@@ -108,12 +109,30 @@ def _pairs(spark, sf_dir):
 
 
 def paired_bootstrap_p(spark, sf_dir):
-    return rounded(R.paired_bootstrap(_pairs(spark, sf_dir), ["model", "group"], "doc_id", "clean", "harsh", "ref_words", resamples=50))
+    return rounded(R.paired_bootstrap(_pairs(spark, sf_dir), ["model", "group"], "doc_id", "clean", "harsh", "ref_words"))
 
 
 def mann_whitney(spark, sf_dir):
-    rows = predictions(spark, sf_dir).where("variant = 'clean' AND wer IS NOT NULL")
-    return rounded(R.mann_whitney(rows, ["model"], "lang", "wer"), 5)
+    rows = predictions(spark, sf_dir).where("variant = 'clean'")
+    return rounded(R.mann_whitney(rows, ["model"], "lang", "wer", 50), 5)
+
+
+def ratio_bootstrap(spark, sf_dir):
+    rows = predictions(spark, sf_dir).select("model", "variant", "source", "doc_id", "wer", "ref_words")
+    return rounded(R.ratio_bootstrap(rows, "source", "source", "doc_id"))
+
+
+def pairwise_test(spark, sf_dir):
+    """Two models on the same documents, by language and source; blank sides as in reports."""
+    rows = predictions(spark, sf_dir).where("variant = 'mild' AND n > 0").select("lang", "source", "doc_id", "model", F.round(X.utterance_wer(F.col("errors"), F.col("n"), F.expr("s + i + h")), 4).alias("w"))
+    wide = rows.groupBy("lang", "source", "doc_id").pivot("model", ["ada", "cor"]).agg(F.max("w"))
+    return rounded(R.pairwise_test(wide, ["lang", "source"], "doc_id", "ada", "cor"))
+
+
+def utterance_rates(spark, sf_dir):
+    """Mean rate of utterances, a blank reference counting as reports and as rewards do."""
+    w = lambda empty: F.avg(X.utterance_wer(F.col("errors"), F.col("n"), F.expr("s + i + h"), empty))
+    return rounded(predictions(spark, sf_dir).groupBy("model", "variant").agg(F.count("*").alias("n"), w(0.0).alias("as_reported"), w(1.0).alias("as_rewarded")))
 
 
 def degradation_area(spark, sf_dir):
@@ -122,11 +141,18 @@ def degradation_area(spark, sf_dir):
     return rounded(M.area_under(rates.withColumn("level", level), ["model", "lang"], "level", "wer"))
 
 
-_BOOT = """, cuts AS (SELECT unnest([1580030169, 3160060337, 3950075422, 4213413783, 4279248373, 4292415291, 4294609777, 4294923275, 4294962463]) AS cut),
-units AS (SELECT doc_id, r AS draw, (SELECT count(*) FROM cuts WHERE cut <= u) AS k FROM (
-  SELECT DISTINCT doc_id, r, ('0x' || substr(md5(doc_id || '#' || r), 1, 8))::BIGINT AS u FROM documents, (SELECT unnest(range(1, 51)) AS r)))
+
+
+def boot_sql(draws: int) -> str:
+    """units (doc_id, draw, k): the weight k of each document in each draw."""
+    return f""", cuts AS (SELECT unnest([{', '.join(map(str, R.CUTS))}]) AS cut),
+digests AS (SELECT doc_id, b, md5(doc_id || '#' || b) AS x FROM (SELECT DISTINCT doc_id FROM documents), (SELECT unnest(range(0, {-(-draws // 8)})) AS b)),
+units AS (SELECT doc_id, draw, k FROM (SELECT doc_id, b * 8 + j + 1 AS draw, (SELECT count(*) FROM cuts WHERE cut <= ('0x' || substr(x, (4 * j + 1)::BIGINT, 4))::BIGINT) AS k
+  FROM digests, (SELECT unnest(range(0, 8)) AS j)) WHERE draw <= {draws} AND k > 0)
 """
-_CI = _BOOT + """, xs AS (SELECT model, variant, lang AS "group", draw, sum(errors * k)::DOUBLE / nullif(sum(ref_words * k), 0) AS x FROM pred JOIN units USING (doc_id) WHERE ref_words > 0 GROUP BY ALL),
+
+
+_CI = boot_sql(1000) + """, xs AS (SELECT model, variant, lang AS "group", draw, sum(errors * k)::DOUBLE / nullif(sum(ref_words * k), 0) AS x FROM pred JOIN units USING (doc_id) WHERE ref_words > 0 GROUP BY ALL),
 point AS (SELECT model, variant, lang AS "group", count(*) AS n, sum(errors)::DOUBLE / sum(ref_words) AS wer FROM pred WHERE ref_words > 0 GROUP BY ALL),
 ci AS (SELECT model, variant, "group", any_value(n) AS n, any_value(wer) AS wer, CASE WHEN any_value(n) >= 10 THEN avg(x) END AS mean,
   CASE WHEN any_value(n) >= 10 THEN quantile_cont(x, 0.025) END AS low, CASE WHEN any_value(n) >= 10 THEN quantile_cont(x, 0.975) END AS high FROM xs JOIN point USING (model, variant, "group") GROUP BY ALL)
@@ -135,7 +161,7 @@ R6 = 'model, variant, axis, "group"'
 
 QUERIES = {f.__name__: f for f in (
     wer_by_group, error_decomposition, rates_over_hits, fairness_table, mmr_nonzero, named_gap, paired_delta, gap_amplification, werd_long, wer_pivot,
-    insertion_pivot, overall, cube_rates, bootstrap_ci, ci_overlap, paired_bootstrap_p, mann_whitney, degradation_area)}
+    insertion_pivot, overall, cube_rates, bootstrap_ci, ci_overlap, paired_bootstrap_p, mann_whitney, ratio_bootstrap, pairwise_test, utterance_rates, degradation_area)}
 
 ORACLE_SQL = {
     "wer_by_group": with_pred(_RATES + f"SELECT {R6}, n, ref_words::BIGINT AS ref_words, s::BIGINT AS s, i::BIGINT AS i, d::BIGINT AS d, h::BIGINT AS h, round(wer, 6) AS wer, round(s / ref_words, 6) AS s_rate, round(i / ref_words, 6) AS i_rate, round(d / ref_words, 6) AS d_rate FROM rates"),
@@ -159,19 +185,42 @@ FROM fair f JOIN fair b ON f.model = b.model AND f.axis = b.axis AND b.variant =
     "bootstrap_ci": with_pred(_CI + 'SELECT model, variant, "group", n, round(wer, 6) AS wer, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM ci'),
     "ci_overlap": with_pred(_CI + """, e AS (SELECT model, variant, arg_min("group", (wer, "group")) AS best_group, arg_min("group", (-wer, "group")) AS worst_group, arg_min(low, (wer, "group")) AS l1, arg_min(high, (wer, "group")) AS h1, arg_min(low, (-wer, "group")) AS l2, arg_min(high, (-wer, "group")) AS h2 FROM ci GROUP BY ALL HAVING count(*) >= 2)
 SELECT model, variant, best_group, worst_group, greatest(l1, l2) <= least(h1, h2) AS overlap FROM e"""),
-    "paired_bootstrap_p": with_pred(_BOOT + """, w AS (SELECT model, lang AS "group", doc_id, any_value(ref_words) AS ref_words, max(errors) FILTER (WHERE variant = 'clean') AS a, max(errors) FILTER (WHERE variant = 'harsh') AS b FROM pred WHERE ref_words > 0 GROUP BY ALL),
+    "paired_bootstrap_p": with_pred(boot_sql(10_000) + """, w AS (SELECT model, lang AS "group", doc_id, any_value(ref_words) AS ref_words, max(errors) FILTER (WHERE variant = 'clean') AS a, max(errors) FILTER (WHERE variant = 'harsh') AS b FROM pred WHERE ref_words > 0 GROUP BY ALL),
 x AS (SELECT model, "group", draw, (sum(b * k) - sum(a * k))::DOUBLE / nullif(sum(ref_words * k), 0) AS x FROM w JOIN units USING (doc_id) GROUP BY ALL),
 p AS (SELECT model, "group", count(*) AS n, (sum(b) - sum(a))::DOUBLE / sum(ref_words) AS delta FROM w GROUP BY ALL)
 SELECT model, "group", any_value(n) AS n, round(any_value(delta), 6) AS delta, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, round(avg((x >= 0)::INT), 6) AS p, round(least(1.0, 2 * least(avg((x >= 0)::INT), avg((x <= 0)::INT))), 6) AS p_two_sided FROM x JOIN p USING (model, "group") GROUP BY ALL"""),
     "mann_whitney": with_pred(""", c AS (SELECT model, lang AS g, wer AS v FROM pred WHERE variant = 'clean' AND wer IS NOT NULL),
-z AS (SELECT model, g, count(*) AS size FROM c GROUP BY ALL HAVING count(*) >= 10),
-pr AS (SELECT x.model, x.g AS a, y.g AS b, x.size AS n_a, y.size AS n_b FROM z x JOIN z y ON x.model = y.model AND x.g < y.g),
+z AS (SELECT model, lang AS g, count(wer) AS size, quantile_cont(wer, 0.5) AS med FROM pred WHERE variant = 'clean' GROUP BY ALL HAVING count(*) >= 50 AND count(wer) >= 10),
+pr AS (SELECT x.model, x.g AS a, y.g AS b, x.size AS n_a, y.size AS n_b, x.med AS median_a, y.med AS median_b FROM z x JOIN z y ON x.model = y.model AND x.g < y.g),
 rk AS (SELECT pr.*, c.g, rank() OVER (PARTITION BY pr.model, a, b ORDER BY v) + (count(*) OVER (PARTITION BY pr.model, a, b, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY pr.model, a, b, v) AS t FROM pr JOIN c ON pr.model = c.model AND (c.g = a OR c.g = b)),
-s AS (SELECT model, a, b, n_a, n_b, sum(r) FILTER (WHERE g = a) AS r, sum(t * t - 1.0) AS ties FROM rk GROUP BY ALL),
-f AS (SELECT model, a, b, n_a, n_b, r - n_a * (n_a + 1) / 2.0 AS u, n_a::DOUBLE * n_b AS ab, (n_a + n_b)::DOUBLE AS n, ties FROM s),
+s AS (SELECT model, a, b, n_a, n_b, median_a, median_b, sum(r) FILTER (WHERE g = a) AS r, sum(t * t - 1.0) AS ties FROM rk GROUP BY ALL),
+f AS (SELECT model, a, b, n_a, n_b, median_a, median_b, r - n_a * (n_a + 1) / 2.0 AS u, n_a::DOUBLE * n_b AS ab, (n_a + n_b)::DOUBLE AS n, ties FROM s),
 y AS (SELECT *, greatest(abs(u - ab / 2) - 0.5, 0) / sqrt(ab / 12 * ((n + 1) - ties / (n * (n - 1)))) / sqrt(2.0) AS x FROM f),
-t AS (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM y)
-SELECT model, a, b, n_a, n_b, round(u, 5) AS u, round(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x), 5) AS p FROM t"""),
+t AS (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM y),
+p AS (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS p FROM t)
+SELECT model, a, b, n_a, n_b, round(median_a, 5) AS median_a, round(median_b, 5) AS median_b, round(u, 5) AS u, round(p, 5) AS p,
+  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM p"""),
+    "ratio_bootstrap": with_pred(boot_sql(200) + """, sizes AS (SELECT model, variant, source, count(*) AS r FROM pred GROUP BY ALL),
+seeds AS (SELECT *, 41 + row_number() OVER (ORDER BY model, variant, source) AS seed FROM sizes),
+us AS (SELECT model, variant, source, doc_id, ref_words AS w, CAST(round_even(coalesce(wer, 0) * ref_words, 0) AS BIGINT) AS e FROM pred WHERE ref_words > 0),
+point AS (SELECT model, variant, source, count(*) AS n, sum(w) AS w, sum(e) AS e FROM us GROUP BY ALL HAVING count(*) >= 50),
+xs AS (SELECT model, variant, source, draw, sum(e * k)::DOUBLE / sum(w * k) AS x FROM us JOIN units USING (doc_id) GROUP BY ALL),
+cis AS (SELECT model, variant, source, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM xs GROUP BY ALL)
+SELECT model, variant, 'source' AS group_axis, source AS "group", n, w::BIGINT AS ref_words, round(e::DOUBLE / w, 6) AS wer, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high,
+  round(hi - lo, 6) AS ci_width, 200 AS n_resamples, seed FROM point JOIN seeds USING (model, variant, source) JOIN cis USING (model, variant, source) WHERE r >= 50 AND trim(source) <> ''"""),
+    "pairwise_test": with_pred(boot_sql(1000) + """, u AS (SELECT lang, source, doc_id, model, round(CASE WHEN s + i + h = 0 THEN 1.0 ELSE errors / n::DOUBLE END, 4) AS w FROM pred WHERE variant = 'mild' AND n > 0),
+wide AS (SELECT lang, source, doc_id, max(w) FILTER (WHERE model = 'ada') AS a, max(w) FILTER (WHERE model = 'cor') AS b FROM u GROUP BY ALL),
+d AS (SELECT lang, source, doc_id, round((a - b) * 10000)::BIGINT AS d FROM wide WHERE a IS NOT NULL AND b IS NOT NULL),
+n AS (SELECT lang, source, count(*) AS n, sum(d) AS t FROM d GROUP BY ALL),
+x AS (SELECT lang, source, draw, sum(d * k)::DOUBLE / (sum(k) * 10000.0) AS x FROM d JOIN units USING (doc_id) GROUP BY ALL),
+p AS (SELECT lang, source, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi, avg((x <= 0)::INT) AS down, avg((x >= 0)::INT) AS up FROM x GROUP BY ALL)
+SELECT g.lang, g.source, coalesce(n, 0) AS n_paired, round(CASE WHEN n >= 20 THEN t / (n * 10000.0) END, 6) AS mean_diff, round(CASE WHEN n >= 20 THEN lo END, 6) AS ci_lower,
+  round(CASE WHEN n >= 20 THEN hi END, 6) AS ci_upper, round(CASE WHEN n >= 20 THEN least(1.0, 2 * CASE WHEN t >= 0 THEN down ELSE up END) END, 6) AS p_value,
+  CASE WHEN coalesce(n, 0) < 20 THEN 'too few pairs' END AS error
+FROM (SELECT DISTINCT lang, source FROM wide) g LEFT JOIN n ON g.lang IS NOT DISTINCT FROM n.lang AND g.source IS NOT DISTINCT FROM n.source LEFT JOIN p ON g.lang IS NOT DISTINCT FROM p.lang AND g.source IS NOT DISTINCT FROM p.source"""),
+    "utterance_rates": with_pred(""" SELECT model, variant, count(*) AS n,
+  round(avg(CASE WHEN n = 0 THEN 0.0 WHEN s + i + h = 0 THEN 1.0 ELSE errors / n::DOUBLE END), 6) AS as_reported,
+  round(avg(CASE WHEN n = 0 THEN CASE WHEN s + i + h = 0 THEN 0.0 ELSE 1.0 END WHEN s + i + h = 0 THEN 1.0 ELSE errors / n::DOUBLE END), 6) AS as_rewarded FROM pred GROUP BY ALL"""),
     "degradation_area": with_pred(""", r AS (SELECT model, lang, variant, sum(errors) / sum(n)::DOUBLE AS w FROM pred WHERE n > 0 GROUP BY ALL),
 w AS (SELECT model, lang, max(w) FILTER (WHERE variant = 'clean') AS a, max(w) FILTER (WHERE variant = 'mild') AS b, max(w) FILTER (WHERE variant = 'harsh') AS c FROM r GROUP BY ALL)
 SELECT model, lang, round((a + b) / 2 + (b + c) / 2, 6) AS area FROM w"""),
