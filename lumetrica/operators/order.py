@@ -7,40 +7,48 @@ from pyspark.sql import functions as F
 
 
 def stable_rank(rows: DataFrame, group: list[str], value: str, ident: str, block: int = 4096, name: str = "rank") -> DataFrame:
-    """rows with their rank (from 1) by value, then by the integer `ident`, within each group.
+    """rows with their rank (from 1) by value (a number, nulls first), then by the integer `ident`, within each group.
 
-    Rows are counted per value and block of ids; sums over these cells say where each cell begins, and only the rows of
-    a cell are sorted together, however many rows share a value or a group.
+    Quantiles cut the values into ranges, and a value that fills whole ranges is one by itself, cut into blocks of ids.
+    Sums over these cells say where each begins, and only the rows of a cell are sorted together, however many rows a group
+    has or share a value.
     """
-    cell = [*group, value, "_block"]
-    cut = rows.withColumn("_block", F.floor(F.col(ident) / block))
+    parts = max(8, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    kind = rows.schema[value].dataType
+    literal = lambda values: F.array(*(F.lit(v).cast(kind) for v in values)) if values else F.array().cast(f"array<{kind.simpleString()}>")
+    common = F.coalesce(F.array_contains(literal([v for v in sorted(set(found)) if found.count(v) > 1]), F.col(value)), F.lit(False))
+    place = 2 * F.size(F.filter(literal(sorted(set(found))), lambda b: b < F.col(value))) + common.cast("int")
+    cut = rows.withColumns({"_range": place, "_block": F.when(common, F.floor(F.col(ident) / block)).otherwise(0)})
+    cell = [*group, "_range", "_block"]
     counts = cut.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(cell))).agg(F.count("*").alias("_n"))
     keys = [f"_k{i}" for i in range(len(cell))]
     before = Window.partitionBy(*keys[: len(group)]).orderBy(*keys[len(group) :]).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(cell, keys, strict=True)]
     joined = cut.join(starts, same).drop(*keys)
-    within = Window.partitionBy(*cell).orderBy(ident)
-    return joined.withColumn(name, F.col("_start") + F.row_number().over(within)).drop("_block", "_start")
+    within = Window.partitionBy(*cell).orderBy(value, ident)
+    return joined.withColumn(name, F.col("_start") + F.row_number().over(within)).drop("_range", "_block", "_start")
 
 
-def pareto_frontier(points: DataFrame, x: str, y: str, cuts: int = 64) -> DataFrame:
+def pareto_frontier(points: DataFrame, x: str, y: str, cuts: int | None = None) -> DataFrame:
     """Points that no other beats in one measure without being worse in the other; both are to be small.
 
-    x is cut into ranges at quantiles; a point falls if a lower range has a y that is no larger, or a point before it in its own range.
+    Only the least y of each x can stay, so one partial aggregation leaves a row per x.  Quantiles cut these into ranges; a
+    row falls if a lower range has a y that is no larger, or a smaller x of its own range.
     """
-    bounds = points.agg(F.percentile_approx(x, [i / cuts for i in range(1, cuts)])).first()[0] or []
+    points = points.where(f"{x} IS NOT NULL AND {y} IS NOT NULL")
+    best = points.groupBy(F.col(x).alias("_x")).agg(F.min(y).alias("_y"))
+    cuts = cuts or max(8, 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = best.agg(F.percentile_approx("_x", [i / cuts for i in range(1, cuts)])).first()[0] or []
     limits = F.array(*(F.lit(float(b)) for b in sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
-    cut = points.where(f"{x} IS NOT NULL AND {y} IS NOT NULL").withColumn("_r", F.size(F.filter(limits, lambda b: b < F.col(x))))
-    least = cut.groupBy("_r").agg(F.min(y).alias("_m"))
-    below = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # `cuts` rows at most
-    floors = least.select("_r", F.min("_m").over(below).alias("_floor"))
-    # among points of one x only the smallest y can stay; before it, all smaller x
-    same = Window.partitionBy("_r", x)
-    sx = Window.partitionBy("_r").orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)
-    ranked = cut.join(F.broadcast(floors), "_r").withColumn("_d", F.dense_rank().over(Window.partitionBy("_r").orderBy(x)).cast("long"))
-    ranked = ranked.withColumns({"_same": F.min(y).over(same), "_before": F.min(y).over(sx)})
-    return ranked.where((F.col(y) == F.col("_same")) & (F.col("_before").isNull() | (F.col("_before") > F.col(y))) & (F.col("_floor").isNull() | (F.col("_floor") > F.col(y)))).drop("_r", "_floor", "_d", "_same", "_before")
+    cut = best.withColumn("_r", F.size(F.filter(limits, lambda b: b < F.col("_x"))))
+    below = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    floors = cut.groupBy("_r").agg(F.min("_y").alias("_m")).select("_r", F.min("_m").over(below).alias("_floor"))
+    before = Window.partitionBy("_r").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    kept = cut.join(F.broadcast(floors), "_r").withColumn("_before", F.least(F.min("_y").over(before), "_floor"))
+    kept = kept.where(F.col("_before").isNull() | (F.col("_before") > F.col("_y"))).select("_x", "_y")
+    return points.join(kept, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))).drop("_x", "_y")
 
 
 def occam_winner(rows: DataFrame, keys: list[str], score: str, cost: str, ident: str, band: float) -> DataFrame:
@@ -80,3 +88,30 @@ def band(value: Column, edges: list[tuple[float, str]], other: str) -> Column:
     for edge, label in edges:
         out = F.when(value >= edge, label) if out is None else out.when(value >= edge, label)
     return out.otherwise(other)
+
+
+def by_ordinal(rows: DataFrame, column: str, ordered: list[str], name: str = "ordinal") -> DataFrame:
+    """rows with the place (from 0) of a column's value in a given order; values that it lacks come after all of it."""
+    places = F.create_map(*(x for i, v in enumerate(ordered) for x in (F.lit(v), F.lit(i))))
+    return rows.withColumn(name, F.coalesce(F.try_element_at(places, F.col(column)), F.lit(len(ordered))))
+
+
+def largest_feasible(rows: DataFrame, keys: list[str], feasible: Column, *sizes: str) -> DataFrame:
+    """Per key the feasible candidate with the largest sizes, the first size first."""
+    return rows.where(feasible).groupBy(*keys).agg(F.max(F.struct(*sizes)).alias("m")).select(*keys, *(F.col(f"m.{c}").alias(c) for c in sizes))
+
+
+def largest_near_best(rows: DataFrame, keys: list[str], size: str, score: str, feasible: Column, share: float = 0.95) -> DataFrame:
+    """Per key the largest size whose score is at least a share of the best, among the feasible."""
+    usable = rows.where(feasible)
+    best = usable.groupBy(*keys).agg(F.max(score).alias("best"))
+    return usable.join(best, keys).where(F.col(score) >= share * F.col("best")).groupBy(*keys).agg(F.max(size).alias(size), F.max("best").alias("best"))
+
+
+def eval_proxy(rows: DataFrame, keys: list[str], group: str, value: str, least: int = 3) -> DataFrame:
+    """keys, mean, groups (labels with `least` values), gap: largest less smallest mean of these groups, 0 if there are fewer than two."""
+    per = rows.where(F.trim(group) != "").groupBy(*keys, group).agg(F.avg(value).alias("m"), F.count(value).alias("n")).where(F.col("n") >= least)
+    gaps = per.groupBy(*keys).agg(F.count("*").alias("groups"), (F.max("m") - F.min("m")).alias("gap"))
+    means = rows.groupBy(*keys).agg(F.coalesce(F.avg(value), F.lit(1.0)).alias("mean"))
+    groups = F.coalesce(F.col("groups"), F.lit(0))
+    return means.join(gaps, keys, "left").select(*keys, "mean", groups.alias("groups"), F.when(groups >= 2, F.col("gap")).otherwise(0.0).alias("gap"))

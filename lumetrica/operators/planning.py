@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,18 +14,19 @@ from pyspark.sql import functions as F
 from .order import stable_rank
 
 
-def greedy_segments(histogram: list[tuple[int, float, int]], budget: float, cap: int, padded: bool) -> list[tuple[int, float, int, int, int]]:
-    """The greedy plan over a histogram (bucket, duration, rows), in order: (bucket, duration, batch, room, size).
+def greedy_segments(histogram: Iterable[tuple[int, float, int]], budget: float, cap: int, padded: bool) -> Iterator[tuple[int, float, int, int, int, int]]:
+    """The greedy plan over a histogram (bucket, duration, rows), in order: (bucket, duration, batch, room, size, last).
 
-    Of the rows of one duration, by rank: the first `room` go into `batch`, each further `size` into the batches after it.
-    A batch closes when one more row would cost over the budget (total: sum of durations; padded: rows times the longest)
-    or exceed the cap; a row over the budget is a batch by itself.  One step per distinct duration, not per row.
+    Of the rows of one duration, by rank: the first `room` go into `batch`, each further `size` into the batches after it, up
+    to `last`.  Batches count from 0 in each bucket.  A batch closes when one more row would cost over the budget (total: sum
+    of durations; padded: rows times the longest) or exceed the cap; a row over the budget is a batch by itself.  One step
+    per distinct duration, not per row.
     """
-    out, batch, last = [], -1, None
+    batch, bucket_now = 0, None
     n, total = 0, 0.0
     for bucket, value, count in histogram:
-        if bucket != last:
-            batch, n, total, last = batch + 1, 0, 0.0, bucket
+        if bucket != bucket_now:
+            batch, n, total, bucket_now = 0, 0, 0.0, bucket
 
         def fits(k: int, held: int, cost: float, value: float = value) -> bool:
             return held + k <= cap and ((held + k) * value if padded else cost + k * value) <= budget + 1e-9
@@ -34,33 +37,43 @@ def greedy_segments(histogram: list[tuple[int, float, int]], budget: float, cap:
             low, high = (mid, high) if fits(mid, n, total) else (low, mid - 1)
         room = low if n or low else min(1, count)
         size = max(1, min(cap, math.floor((budget + 1e-9) / value) if value > 0 else cap))
-        out.append((bucket, value, batch, room, size))
-        rest = count - room
+        first, rest = batch, count - room
         if rest == 0:
             n, total = n + room, total + room * value
         else:
             more = -(-rest // size)
             batch, n = batch + more, rest - (more - 1) * size
             total = n * value
-    return out
+        yield bucket, value, first, room, size, batch
 
 
 def batch_plan(rows: DataFrame, ident: str, duration: str, edges: list[float], budget: float, cap: int, padded: bool = False) -> DataFrame:
     """ident, duration, bucket, batch_id: buckets by duration, rows in each by duration, then id.
 
-    Only the histogram of durations (one row per distinct value) is worked through on the driver; rows find their batch by
-    their rank among rows of the same duration.
+    Only the histogram of durations is worked through in order, a task per bucket that reads it as a stream (greedy filling
+    has no other order); rows find their batch by their rank among rows of the same duration.
     """
     bucket = F.lit(0)
     for edge in edges:
         bucket = bucket + (F.col(duration) > edge).cast("int")
-    cut = rows.select(ident, duration).withColumn("bucket", bucket)
-    histogram = [tuple(r) for r in cut.groupBy("bucket", duration).count().orderBy("bucket", duration).collect()]
-    plan = rows.sparkSession.createDataFrame(greedy_segments(histogram, budget, cap, padded) or [], f"bucket int, {duration} double, batch long, room long, size long")
+    cut = rows.select(ident, F.col(duration).cast("double").alias(duration)).withColumn("bucket", bucket)
+    histogram = cut.groupBy("bucket", duration).count().repartition("bucket").sortWithinPartitions("bucket", duration)
+    columns = ["bucket", duration, "batch", "room", "size", "last"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps = (x for part in batches for x in zip(part["bucket"].tolist(), part[duration].tolist(), part["count"].tolist(), strict=True))
+        segments = greedy_segments(steps, budget, cap, padded)
+        while some := list(islice(segments, 10_000)):
+            yield pd.DataFrame(some, columns=columns)
+
+    plan = histogram.mapInPandas(run, f"bucket int, {duration} double, batch long, room long, size long, last long")
+    ends = plan.groupBy("bucket").agg((F.max("last") + 1).alias("batches"))  # one row per bucket
+    starts = ends.select("bucket", F.coalesce(F.sum("batches").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    plan = plan.join(F.broadcast(starts), "bucket")
     ranked = stable_rank(cut.withColumn("_one", F.lit(0)), ["bucket", duration], "_one", ident).drop("_one")
     joined = ranked.join(plan, ["bucket", duration])
     batch = F.when(F.col("rank") <= F.col("room"), F.col("batch")).otherwise(F.col("batch") + 1 + F.floor((F.col("rank") - F.col("room") - 1) / F.col("size")))
-    return joined.select(ident, duration, "bucket", batch.cast("long").alias("batch_id"))
+    return joined.select(ident, duration, "bucket", (F.col("start") + batch).cast("long").alias("batch_id"))
 
 
 def plan_summary(plan: DataFrame, duration: str) -> DataFrame:
@@ -68,6 +81,55 @@ def plan_summary(plan: DataFrame, duration: str) -> DataFrame:
     return plan.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum(duration).alias("total"), (F.count("*") * F.max(duration)).alias("padded"))
 
 
+def validate_plan(plan: DataFrame, rows: DataFrame, ident: str, duration: str, budget: float, cap: int) -> DataFrame:
+    """One row: rows, planned rows, batches, batches over the cap or the budget, ids that the plan lacks, has besides or has
+    twice, and the status; every row must be planned exactly once."""
+    per = plan.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum(duration).alias("s"))
+    batches = per.agg(
+        F.count("*").alias("batches"), F.count(F.when(F.col("n") > cap, 1)).alias("over_cap"), F.count(F.when((F.col("s") > budget + 1e-6) & (F.col("n") > 1), 1)).alias("over_budget"))
+    planned, own = plan.groupBy(ident).agg(F.count("*").alias("p")), rows.groupBy(ident).agg(F.count("*").alias("r"))
+    p, r = F.coalesce(F.col("p"), F.lit(0)), F.coalesce(F.col("r"), F.lit(0))
+    ids = planned.join(own, ident, "full").agg(
+        F.sum(r).alias("rows"), F.sum(p).alias("planned"), F.count(F.when(p == 0, 1)).alias("missing"), F.count(F.when(r == 0, 1)).alias("extra"), F.count(F.when(p > 1, 1)).alias("planned_twice"))
+    out = batches.crossJoin(ids)  # one row each
+    bad = sum((F.col(c) for c in ("over_cap", "over_budget", "missing", "extra", "planned_twice")), F.lit(0))
+    return out.withColumn("status", F.when(bad == 0, "pass").otherwise("fail"))
+
+
+def mega_batches(rows: DataFrame, ident: str, duration: str, budget: float, cap: int, factor: int = 50, least: int = 4) -> DataFrame:
+    """ident, duration, mega, batch: a fixed shuffle is cut into mega-batches of `factor` typical batches, each is sorted by duration
+    (then id) and filled greedily while rows times the longest stay within the budget and rows within the cap; batches below
+    `least` rows are joined with the next such ones of their mega-batch until they are large enough.
+
+    A mega-batch has a bounded number of rows and is planned as a whole by one task; ranks in the shuffle come from counts.
+    """
+    median = rows.agg(F.percentile_approx(duration, 0.5)).first()[0] or 0.0
+    size = max(1, int(budget / (median + 1e-6))) * factor
+    shuffled = stable_rank(rows.select(ident, duration, digest_order(F.col(ident)).alias("_o"), F.lit(0).alias("_all")), ["_all"], "_o", ident)
+    dealt = shuffled.select(ident, duration, F.floor((F.col("rank") - 1) / size).cast("long").alias("mega"))
+    kind = rows.schema[ident].dataType.simpleString()
+
+    def plan(chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values([duration, ident], kind="stable")
+        batches: list[list[int]] = [[]]
+        for i, value in enumerate(chunk[duration]):  # rising, so each is the longest so far
+            if batches[-1] and ((len(batches[-1]) + 1) * value > budget or len(batches[-1]) >= cap):
+                batches.append([])
+            batches[-1].append(i)
+        final, carry = [], []
+        for batch in batches:
+            if len(batch) >= least:
+                final.append(batch)
+                continue
+            carry = carry + batch
+            if len(carry) >= least:
+                final, carry = [*final, carry], []
+        number = {i: n for n, batch in enumerate([*final, carry]) for i in batch}
+        return chunk.assign(batch=[number[i] for i in range(len(chunk))])
+
+    return dealt.groupBy("mega").applyInPandas(plan, f"{ident} {kind}, {duration} double, mega long, batch long")
+
+
 def calibration_subset(rows: DataFrame, group: str, value: str, ident: str) -> DataFrame:
     """Per group the rows at the first, middle, 90 % and last place by value, each once."""
     ranked = stable_rank(rows, [group], value, ident)
@@ -115,34 +177,42 @@ def group_folds(rows: DataFrame, speaker: str, stratum: str, folds: int) -> Data
     return ranked.select(speaker, stratum, ((F.col("rank") - 1) % folds).cast("int").alias("fold"))
 
 
-def pack(rows: DataFrame, ident: str, length: str, capacity: int, open_rows: int = 64) -> DataFrame:
-    """ident, row, start, used: best-fit packing into rows of fixed capacity, per partition, with a bounded number of open rows.
+def pack(rows: DataFrame, ident: str, length: str, capacity: int, buffer: int = 1000) -> DataFrame:
+    """ident, row, start, used: documents packed into rows of `capacity`, filled to the last place.
 
-    What fits no open row opens a new one; if as many are open as may be, the fullest is closed.  Longer items are cut to the capacity.
+    Each row takes the longest document of the buffer that still fits; where none fits, the shortest is cropped to what is
+    left, so only a partition's last row may stay short.  The buffer of each task holds `buffer` documents, refilled after
+    each pick; documents come in the partition's order, and of equally long ones the first is taken.
     """
     kind = rows.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 33
-        free: dict[int, int] = {}
-        count = 0
-        for batch in batches:
+        row, left, number = TaskContext.get().partitionId() << 33, capacity, 0
+        held: list[tuple[int, int, object]] = []  # (length, order of coming, id)
+        for batch in chain(batches, [None]):
             out = []
-            for key, size in zip(batch[ident], batch[length], strict=True):
-                size = min(int(size), capacity)
-                fit = min((r for r in free if free[r] >= size), key=lambda r: (free[r], r), default=None)
-                if fit is None:
-                    if len(free) >= open_rows:
-                        del free[min(free, key=lambda r: (free[r], r))]
-                    fit, count = count, count + 1
-                    free[fit] = capacity
-                out.append((key, base + fit, capacity - free[fit], size))
-                free[fit] -= size
-            yield pd.DataFrame(out, columns=[ident, "row", "start", "used"])
-
-    return rows.select(ident, length).mapInPandas(run, f"{ident} {kind}, row long, start long, used long")
+            incoming = [] if batch is None else list(zip(batch[length], batch[ident], strict=True))
+            at = 0
+            while at < len(incoming) or batch is None and held:
+                while at < len(incoming) and len(held) < buffer:
+                    insort(held, (int(incoming[at][0]), number, incoming[at][1]))
+                    at, number = at + 1, number + 1
+                if len(held) < buffer and batch is not None:
+                    break
+                fits = bisect_right(held, left, key=lambda x: x[0])
+                # the longest that fits, the first of equally long ones; else the shortest, cropped
+                pick = bisect_left(held, held[fits - 1][0], key=lambda x: x[0]) if fits else 0
+                size, _, key = held.pop(pick)
+                out.append((key, row, capacity - left, min(size, left)))
+                left -= min(size, left)
+                if left == 0:
+                    row, left = row + 1, capacity
+            if out:
+                yield pd.DataFrame(out, columns=[ident, "row", "start", "used"])
+
+    return rows.select(ident, F.coalesce(length, F.lit(0)).alias(length)).mapInPandas(run, f"{ident} {kind}, row long, start long, used long")
 
 
 def pack_size(costs: DataFrame, key: str, order: str, cost: str, budget: float) -> DataFrame:

@@ -57,3 +57,73 @@ def missing_and_extra(found: DataFrame, expected: DataFrame, key: str) -> DataFr
     lost = expected.select(key).distinct().join(found.select(key).distinct(), key, "left_anti").select(key, F.lit("missing").alias("side"))
     more = found.select(key).distinct().join(expected.select(key).distinct(), key, "left_anti").select(key, F.lit("extra").alias("side"))
     return lost.unionByName(more)
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that the table knows, with its columns, and one row: how many it does not know."""
+    marked = table.withColumn("known", F.lit(True))
+    joined = rows.join(marked, key, "left")
+    lost = joined.agg(F.count("*").alias("rows"), F.count(F.when(F.col("known").isNull(), 1)).alias("unmatched"))
+    return joined.where("known").drop("known"), lost
+
+
+def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows without replacement, those with the least digest of seed and key (then the least key)."""
+    order = F.md5(F.concat_ws("#", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return rows.withColumn("_o", order).orderBy("_o", key).limit(n).drop("_o")
+
+
+def existence(rows: DataFrame, known: DataFrame, key: str, n: int = 100) -> DataFrame:
+    """Of a sample of n rows, how many the table `known` lacks; a verdict."""
+    lost = sample(rows.select(key), key, n).join(known.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("n"))
+    return verdicts(lost, "existence", F.lit(key), F.col("n"), F.col("n") == 0)
+
+
+def manifest_check(rows: DataFrame, required: list[str], expected: int | None, ident: str, wrong: Column, mismatch: Column, silent: Column) -> DataFrame:
+    """One row: counts of what is wrong with a manifest, and its status.  A column that is missing is counted, not an error."""
+    n = F.count("*")
+    missing = [c for c in required if c not in rows.columns]
+    counts = rows.groupBy(ident).agg(
+        n.alias("n"), F.sum(wrong.cast("long")).alias("wrong"), F.sum(mismatch.cast("long")).alias("mismatch"), F.sum(silent.cast("long")).alias("silent"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    one = counts.agg(
+        total("n", "rows"), F.count(F.when((F.col("n") > 1) & (F.col(ident).cast("string") != ""), 1)).alias("duplicate_ids"),
+        total("wrong", "wrong_format"), total("mismatch", "duration_mismatches"), total("silent", "silent"))
+    good = F.lit(not missing)
+    for c in ("duplicate_ids", "wrong_format", "duration_mismatches", "silent"):
+        good = good & (F.col(c) == 0)
+    if expected is not None:
+        good = good & (F.col("rows") == expected)
+    return one.withColumns({"missing_columns": F.lit(len(missing)).cast("long"), "status": F.when(good, "pass").otherwise("fail")})
+
+
+def run_gates(deltas: DataFrame, delta: str, baseline: Column, floor: float, mean_most: float, max_most: float) -> DataFrame:
+    """Gates over the changes of many runs: "mixed_sign" (some rise, some do not, not all about 0; a baseline below the floor is a
+    warning only), "mean_change" and "max_change" (absolute, at most)."""
+    x = F.col(delta)
+    one = deltas.agg(
+        F.count(F.when(x > 0, 1)).alias("up"), F.count(F.when(x <= 0, 1)).alias("other"), F.max(F.abs(x)).alias("most"), F.avg(F.abs(x)).alias("mean"), F.max(baseline).alias("base"))
+    mixed = (F.col("up") > 0) & (F.col("other") > 0) & (F.col("most") >= 1e-6)
+    state = F.when(F.col("base") < floor, "warn").when(mixed, "pass").otherwise("fail")
+    gate = lambda name, value, status: F.struct(F.lit(name).alias("gate"), value.cast("double").alias("value"), status.alias("status"))
+    within = lambda c, most: F.when(F.col(c) <= most, "pass").otherwise("fail")
+    return one.select(F.explode(F.array(
+        gate("mixed_sign", F.col("up"), state), gate("mean_change", F.col("mean"), within("mean", mean_most)), gate("max_change", F.col("most"), within("most", max_most)))).alias("g")).select("g.*")
+
+
+def config_gates(config: DataFrame, equal: dict[str, str], below: dict[str, float]) -> DataFrame:
+    """(name, actual, passed) for a table of settings (name, value as text): values that must be equal, numbers that must be below.
+    A setting that is missing fails."""
+    spark = config.sparkSession
+    wanted = spark.createDataFrame([*((k, v, None) for k, v in equal.items()), *((k, None, float(v)) for k, v in below.items())], "name string, wanted string, most double")
+    number = F.col("value").try_cast("double")
+    same = F.coalesce(number == F.col("wanted").try_cast("double"), F.lower("value") == F.lower("wanted"))
+    passed = F.coalesce(F.when(F.col("most").isNull(), same).otherwise(number < F.col("most")), F.lit(False))
+    return wanted.join(config, "name", "left").select("name", F.col("value").alias("actual"), passed.alias("passed"))
+
+
+def stage_gate(now: DataFrame, before: DataFrame, config: list[str], loss: str, top: int = 3, least: int = 2) -> DataFrame:
+    """One row: how many of the `top` configurations by loss (finite ones) two stages share, and whether that is enough."""
+    best = lambda df: df.where((F.col(loss) < float("inf")) & ~F.isnan(loss)).orderBy(loss, *config).limit(top).select(*config)
+    shared = best(now).join(best(before), config).agg(F.count("*").alias("shared"))
+    return shared.withColumn("gate", F.when(F.col("shared") >= least, "PASSED").otherwise("FAILED"))

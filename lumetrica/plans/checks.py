@@ -95,9 +95,17 @@ def batch_plan_padded(spark, sf_dir):
 
 
 def plan_validation(spark, sf_dir):
-    plan = _plan(spark, sf_dir, False)
-    s = P.plan_summary(plan, "seconds").agg(F.count("*").alias("batches"), F.max("n").alias("most_rows"), F.max("total").alias("most_seconds"), F.sum("n").alias("rows"), F.median("n").alias("median_rows"))
-    return s.withColumn("passed", (F.col("most_rows") <= 16) & (F.col("most_seconds") <= 160))
+    """Both plans: limits kept, every row planned exactly once, medians and buckets."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"))
+    out = None
+    for padded in (False, True):
+        plan = _plan(spark, sf_dir, padded)
+        found = P.validate_plan(plan, rows, "row_id", "seconds", 160, 16)
+        sums = P.plan_summary(plan, "seconds").agg(F.max("n").alias("most_rows"), F.max("total" if not padded else "padded").alias("most_seconds"), F.median("n").alias("median_rows"))
+        buckets = plan.agg(*(F.count(F.when(F.col("bucket") == i, 1)).alias(f"bucket{i}") for i in range(3)))
+        one = found.crossJoin(sums).crossJoin(buckets).withColumn("cost", F.lit("padded" if padded else "total"))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
 
 
 def calibration_subset(spark, sf_dir):

@@ -117,12 +117,9 @@ def existing_files(spark, sf_dir):
 
 
 def mega_batches(spark, sf_dir):
-    """Frame-budget batches inside shuffled mega-batches: rows fall into mega-batches by digest, each is planned by duration."""
+    """The batches of shuffled mega-batches, by padded seconds: 160, at most 16 rows, at least 4."""
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), F.col("l_quantity").alias("seconds"))
-    rows = rows.withColumn("mega", (P.digest_order(F.col("row_id")) % 16).cast("int"))
-    sizes = rows.groupBy("mega", "seconds").agg(F.count("*").alias("n"))
-    size = F.greatest(F.lit(1), F.least(F.lit(16), F.floor(160 / F.col("seconds"))))
-    return rounded(sizes.groupBy("mega").agg(F.sum("n").alias("rows"), F.sum(F.ceil(F.col("n") / size)).alias("batches"), F.max(F.col("seconds") * size).alias("largest")))
+    return P.mega_batches(rows, "row_id", "seconds", 160, 16)
 
 
 def best_candidates(spark, sf_dir):
@@ -175,7 +172,6 @@ SELECT model, axis, """ + ", ".join(f"round(max(ratio) FILTER (WHERE variant = '
     "plan_mapping": "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS place FROM lineitem WHERE (l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_quantity > 45)",
     "frozen_ids": "SELECT DISTINCT l.doc_id, l.doc_id * 7919 % 10007 AS ordinal, d.lang, d.lang IS NULL AS missing FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id",
     "existing_files": "SELECT source, count(*) AS n, count(p.page_id) AS existing FROM documents d LEFT JOIN (SELECT DISTINCT page_id FROM pages) p ON d.doc_id = p.page_id GROUP BY 1",
-    "mega_batches": "WITH a AS (SELECT ('0x' || substr(md5(CAST(l_orderkey * 8 + l_linenumber AS VARCHAR)), 1, 8))::BIGINT % 16 AS mega, l_quantity AS s, count(*) AS n FROM lineitem GROUP BY ALL) SELECT mega::INT AS mega, sum(n)::BIGINT AS rows, sum(ceil(n / greatest(1, least(16, floor(160 / s)))))::BIGINT AS batches, round(max(s * greatest(1, least(16, floor(160 / s)))), 6) AS largest FROM a GROUP BY 1",
     "best_candidates": with_pred(", x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY wer, model, variant) AS r FROM pred WHERE n > 0), b AS (SELECT lang, wer, count(*) OVER (PARTITION BY lang) AS c FROM x WHERE r = 1) SELECT lang, count(*) AS accepted, round(avg(wer), 6) AS mean_wer FROM b WHERE wer <= CASE WHEN c < 150 THEN 0.2 ELSE 0.1 END GROUP BY 1"),
     "document_lengths": f"WITH t AS (SELECT lang, {norm_sql('text')} AS t FROM documents) SELECT lang, count(*) AS n, sum({_LS})::BIGINT AS words, max({_LS}) AS longest, min({_LS}) AS shortest FROM t GROUP BY 1",
     "status_by_hour": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(max(value), 6) AS peak FROM events GROUP BY ALL",
