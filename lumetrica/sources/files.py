@@ -12,26 +12,44 @@ from pyspark.sql import types as T
 from ..functions.text import first_filled
 
 
-def read_strings(spark: SparkSession, path: str | list[str], columns: list[str], sep: str = ",", recursive: bool = False, pattern: str | None = None) -> DataFrame:
-    """CSV or TSV with a header, every column text, missing as blank; plus file_name."""
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether the path (or a glob) names anything, in any store that Spark reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0
+
+
+def read_strings(
+    spark: SparkSession, path: str | list[str], columns: list[str], sep: str = ",", recursive: bool = False, pattern: str | None = None,
+    exclude: str | None = None, multiline: bool = True,
+) -> DataFrame:
+    """CSV or TSV with a header, every column text, missing as blank; plus file_name.
+
+    exclude: files whose name holds this are left out.  multiline: whether fields may hold line breaks; without them large
+    files are split among tasks.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.read.schema(schema).options(header=True, sep=sep, multiLine=True, escape='"', enforceSchema=False, recursiveFileLookup=recursive)
+    reader = spark.read.schema(schema).options(header=True, sep=sep, multiLine=multiline, escape='"', enforceSchema=False, recursiveFileLookup=recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     df = reader.csv(path)
+    if exclude:
+        df = df.where(~F.contains("_metadata.file_name", F.lit(exclude)))
     return df.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), F.col("_metadata.file_name").alias("file_name"))
 
 
+def read_typed(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",", multiline: bool = True) -> DataFrame:
+    """CSV with a header and types; what does not parse is null, blank text stays blank."""
+    return spark.read.schema(schema).options(header=True, sep=sep, multiLine=multiline, escape='"', enforceSchema=False, emptyValue="").csv(path)
+
+
 def with_row_index(df: DataFrame, name: str = "_row_index") -> DataFrame:
-    """A dense index in file order: counts per partition give each its offset, so only the counts meet in one place."""
+    """A dense index in file order (files by path, as Spark lists them): counts per partition give each its offset, so only the
+    counts, one row per partition, meet in one place."""
     numbered = df.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
-    counts = numbered.groupBy("_p").count().orderBy("_p").collect()  # one per partition
-    offsets, total = [], 0
-    for row in counts:
-        offsets += [F.lit(row["_p"]), F.lit(total)]
-        total += row["count"]
-    start = F.element_at(F.create_map(*offsets), F.col("_p")) if offsets else F.lit(0)
-    return numbered.withColumn(name, start + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p")
+    before = F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = numbered.groupBy("_p").count().select("_p", F.coalesce(before, F.lit(0)).alias("_s"))
+    return numbered.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_s")
 
 
 def run_of_file(df: DataFrame, models: list[str], default: str = "clean") -> DataFrame:
@@ -54,7 +72,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_json_document(spark: SparkSession, path: str, schema: str, optional: bool = False) -> DataFrame:
+    """One document, over many lines; no row where an optional file is missing."""
+    if optional and not there(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
@@ -101,7 +122,7 @@ def parse_sections(lines: DataFrame, file: str = "file_name", number: str = "lin
                     *(F.regexp_extract(text, row, i).cast("double").alias(c) for i, c in ((2, "wer"), (3, "low"), (4, "high"))))
 
 
-WAV = "path string, sample_rate int, channels int, bit_depth int, frames long, seconds double, codec string"
+WAV = "path string, sample_rate int, channels int, bit_depth int, frames long, seconds double, codec string, bitrate long"
 
 
 def wav_headers(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
@@ -109,7 +130,7 @@ def wav_headers(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataF
 
     def one(content: bytes) -> tuple:
         if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-            return (None,) * 6
+            return (None,) * 7
         at, found = 12, None
         while at + 8 <= len(content):
             kind, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
@@ -120,9 +141,9 @@ def wav_headers(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataF
             elif kind == b"data" and found:
                 code, channels, rate, align, depth = found
                 frames = size // max(1, align)
-                return rate, channels, depth, frames, frames / max(1, rate), f"pcm_s{depth}le" if code == 1 else str(code)
+                return rate, channels, depth, frames, frames / max(1, rate), f"pcm_s{depth}le" if code == 1 else str(code), rate * channels * depth
             at += 8 + size + size % 2
-        return (None,) * 6
+        return (None,) * 7
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -131,6 +152,20 @@ def wav_headers(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataF
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(run, WAV)
 
 
+def durations(manifest: DataFrame, headers: DataFrame, path: str, cache: str, fallback: float = 5.0) -> DataFrame:
+    """manifest with seconds: from the cache (a table of path and seconds), else from the headers (those of wav_headers), which
+    then go to the cache; unreadable files have the fallback and are not cached."""
+    spark = manifest.sparkSession
+    known = spark.read.parquet(cache) if there(spark, cache) else None
+    wanted = manifest.select(F.col(path).alias("path")).distinct()
+    fresh = wanted if known is None else wanted.join(known, "path", "left_anti")
+    new = headers.select("path", "seconds").join(fresh, "path", "left_semi").where("seconds IS NOT NULL").dropDuplicates(["path"])
+    if known is None or fresh.limit(1).count():
+        new.write.mode("append").parquet(cache)
+    found = spark.read.schema("path string, seconds double").parquet(cache).select(F.col("path").alias(path), "seconds")
+    return manifest.join(found, path, "left").withColumn("seconds", F.coalesce("seconds", F.lit(fallback)))
+
+
 def within_budget(docs: DataFrame, order: str, text: str, doc_cap: int, max_chars: int) -> DataFrame:
     """Texts cut at doc_cap, in order while their sum stays within max_chars (a corpus sample for a tokenizer trainer)."""
     cut = docs.withColumn(text, F.substring(text, 1, doc_cap)).withColumn("_l", F.length(text))

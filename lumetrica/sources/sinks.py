@@ -5,16 +5,23 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import there
+
 
 def union_tables(tables: list[DataFrame]) -> DataFrame:
     """All rows under the ordered union of the columns; what a table lacks is null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def write_csv(tables: list[DataFrame], path: str) -> None:
+def write_csv(tables: list[DataFrame], path: str, spark: SparkSession | None = None) -> None:
+    """All tables under the union of their columns; without any table an empty file (which needs the session)."""
+    if not tables:
+        spark = spark or SparkSession.getActiveSession()
+        spark.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
     union_tables(tables).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -25,12 +32,7 @@ def append_json_lines(df: DataFrame, path: str) -> None:
 def append_new(df: DataFrame, path: str, key: str) -> int:
     """Append the rows whose key the table at path has not yet; how many there were. A second call with the same rows adds none."""
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key)
-    except Exception as error:  # a first run finds no table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        done = None
+    done = spark.read.parquet(path).select(key) if there(spark, path) else None  # a first run finds no table
     fresh = df.dropDuplicates([key]) if done is None else df.dropDuplicates([key]).join(done, key, "left_anti")
     fresh = fresh.persist()
     n = fresh.count()

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: telemetry windows, resumable append, latest status, patience."""
+"""Structured Streaming forms: telemetry windows, resumable append, latest status, patience, rolling means."""
 
 from __future__ import annotations
 
@@ -50,3 +50,20 @@ def patience(stream: DataFrame, threshold: float = 0.1, most: int = 3) -> DataFr
 
     return stream.select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandasWithState(
         step, "user_id long, best double, bad int, stopped boolean", "best double, bad int, stopped boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+def rolling_means(stream: DataFrame, width: int = 8, group: str = "event_type") -> DataFrame:
+    """Per group, after each batch: how many batches it has been in, and the mean over the last `width` of these batches' means."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, held = state.get if state.exists else (0, [])
+        total, n = 0.0, 0
+        for part in batches:
+            total, n = total + float(part["value"].sum()), n + int(part["value"].count())
+        held = [*held, total / n][-width:] if n else list(held)
+        seen += n > 0
+        state.update((seen, held))
+        yield pd.DataFrame({group: [key[0]], "batches": [seen], "rolling": [sum(held) / len(held) if held else None]})
+
+    return stream.select(group, "value").groupBy(group).applyInPandasWithState(
+        step, f"{group} string, batches long, rolling double", "seen long, held array<double>", "update", GroupStateTimeout.NoTimeout)

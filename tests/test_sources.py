@@ -81,3 +81,57 @@ def test_streams(spark, sf_dir, tmp_path):
     q.awaitTermination()
     best = {r.user_id: r.b for r in spark.sql("SELECT user_id, min(best) AS b FROM p GROUP BY user_id").collect()}
     assert best == {r.user_id: r.b for r in events.groupBy("user_id").agg(F.min("value").alias("b")).collect()}
+
+
+def test_excluded_typed_and_optional_files(spark, tmp_path):
+    write(tmp_path / "p/a.csv", "id,x\n1,2.5\n2,bad\n")
+    write(tmp_path / "p/a_checkpoint.csv", "id,x\n9,9\n")
+    assert {r.id for r in S.read_strings(spark, str(tmp_path / "p"), ["id", "x"], exclude="checkpoint", multiline=False).collect()} == {"1", "2"}
+    assert [tuple(r) for r in S.read_typed(spark, str(tmp_path / "p/a.csv"), "id int, x double").orderBy("id").collect()] == [(1, 2.5), (2, None)]
+    assert S.read_json_document(spark, str(tmp_path / "none.json"), "a int", optional=True).count() == 0
+    assert S.read_json_document(spark, write(tmp_path / "d.json", '{\n"a": 3}'), "a int", optional=True).first().a == 3
+    K.write_csv([], str(tmp_path / "empty"), spark)
+    assert spark.read.text(str(tmp_path / "empty")).count() == 0 and S.there(spark, str(tmp_path / "empty"))
+
+
+def test_durations_and_their_cache(spark, tmp_path):
+    headers = spark.createDataFrame([("a", 2.0), ("b", None), ("c", 4.0)], "path string, seconds double")
+    manifest = spark.createDataFrame([(1, "a"), (2, "b"), (3, "gone")], "id int, audio string")
+    cache = str(tmp_path / "cache")
+    first = {r.id: r.seconds for r in S.durations(manifest, headers, "audio", cache).collect()}
+    assert first == {1: 2.0, 2: 5.0, 3: 5.0} and spark.read.parquet(cache).count() == 1
+    more = manifest.union(spark.createDataFrame([(4, "c")], manifest.schema))
+    again = {r.id: r.seconds for r in S.durations(more, headers, "audio", cache).collect()}
+    assert again == {**first, 4: 4.0} and spark.read.parquet(cache).count() == 2
+
+
+def test_sql_functions(spark):
+    from lumetrica.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(i, "the cat sat", "the the cat sat umbrella", 1, 3) for i in range(40)], "id long, ref string, hyp string, e long, w long").createOrReplaceTempView("pairs")
+    rows = spark.sql("SELECT word, category, count(*) AS n FROM pairs, LATERAL classify_insertions(ref, hyp, 'ngram') GROUP BY ALL").collect()
+    assert {(r.word, r.category): r.n for r in rows} == {("the", "function"): 40, ("umbrella", "content"): 40}
+    same = spark.sql("SELECT x.word, x.category, count(*) AS n FROM (SELECT explode(insertions(ref, hyp)) AS x FROM pairs) GROUP BY ALL").collect()
+    assert {(r.word, r.category): r.n for r in same} == {("the", "function"): 40, ("umbrella", "content"): 40}
+    one = spark.sql("SELECT bootstrap_interval(id, e, w) AS b, any_value(count_words('A b-c')) AS n, any_value(edits_of_rate(0.5, 5)) AS e FROM pairs").first()
+    assert all(abs(x - 1 / 3) < 1e-9 for x in one.b) and len(one.b) == 3 and (one.n, one.e) == (3, 2)
+
+
+def test_status_and_rolling_streams(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for i in range(3):
+        events.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = J.read_events(spark, str(tmp_path / "in"))
+    J.latest_status(stream).writeStream.format("memory").queryName("s").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start().awaitTermination()
+    wanted = {r.user_id: r.event_type for r in events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type")).collect()}
+    assert {r.user_id: r.event_type for r in spark.sql("SELECT * FROM s").collect()} == wanted
+    J.rolling_means(stream, 2).writeStream.format("memory").queryName("m").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination()
+    last = spark.sql("SELECT event_type, max(batches) AS n, max_by(rolling, batches) AS r FROM m GROUP BY 1").collect()
+    means = {}  # of the batches that have the kind, in the order in which files are read
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    for f in files:
+        for r in spark.read.parquet(str(f)).groupBy("event_type").agg(F.avg("value").alias("m")).collect():
+            means.setdefault(r.event_type, []).append(r.m)
+    for r in last:
+        assert r.n == len(means[r.event_type]) and abs(r.r - sum(means[r.event_type][-2:]) / len(means[r.event_type][-2:])) < 1e-9
