@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, stash, table, utf8
+from .common import bitmap, blocks, digest, free, in_bitmap, kept, named, scratch, stash, table, utf8
 from .components import connected_components
 from .decontamination import grams, word_hashes
 
@@ -56,30 +56,40 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(kept: list[str], text_col: str, words: int):
+def _fingerprints(kept: list[str], text_col: str, words: int, sketch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
+        hash64 = xxhash.xxh64_intdigest
         for batch in batches:
             data, offsets = utf8(batch.column(batch.schema.get_field_index(text_col)))
-            out = []
+            out, least = [], []
             for start, stop in blocks(np.diff(offsets)):
                 raw = data[offsets[start] : offsets[stop]].tobytes()
                 for i in range(start, stop):
                     found = shingles(raw[offsets[i] - offsets[start] : offsets[i + 1] - offsets[start]], words)
-                    out.append(majority(np.array([digest(x, SEED) for x in found], np.uint64)))
+                    hashes = np.array([hash64(x, SEED) for x in found], np.uint64)
+                    out.append(majority(hashes))
+                    if sketch:
+                        least.append(np.unique(hashes)[:sketch].view(np.int64))
             own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.array(out, np.uint64).view(np.int64))], names=[*kept, "fp"])
+            new = {"fp": pa.array(np.array(out, np.uint64).view(np.int64))}
+            if sketch:
+                new["sketch"] = pa.array(least, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own, *new.values()], names=[*kept, *new])
 
     return run
 
 
 def simhash(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, extra: tuple[str, ...] = (),
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, extra: tuple[str, ...] = (), sketch: int = 0,
 ) -> DataFrame:
-    """id_col, fp (the fingerprint as a signed long) and the columns in `extra`."""
+    """id_col, the columns in `extra`, fp (the fingerprint as a signed long) and, if asked for, sketch (the smallest distinct
+    hashes of shingles)."""
     kept = [id_col, *extra]
-    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in kept), T.StructField("fp", T.LongType())])
-    return docs.select(*kept, text_col).mapInArrow(_fingerprints(kept, text_col, words), schema)
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in kept] + [T.StructField("fp", T.LongType())]
+    if sketch:
+        fields.append(T.StructField("sketch", T.ArrayType(T.LongType())))
+    columns = dict.fromkeys([*kept, text_col])
+    return docs.select(*map(named, columns)).mapInArrow(_fingerprints(kept, text_col, words, sketch), T.StructType(fields))
 
 
 def _half(which, fp="fp"):
@@ -92,7 +102,8 @@ def _half(which, fp="fp"):
 def near_pairs(fps: DataFrame, radius: int = 3, crowded: int = 200) -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints of the column fp that differ in `radius` bits or fewer.
 
-    radius: 0 to 3.  crowded: a half that more fingerprints share is looked up by a byte of the other half as well.
+    radius: 0 to 3.  crowded: a half that more fingerprints share is looked up by a byte of the other half as well, and
+    where that is crowded, too, by six of the 24 bits left.  Four parts of which three bits differ have one that is equal.
     """
     if not 0 <= radius <= 3:
         raise ValueError("two halves and balls of one bit find distances up to 3")
@@ -103,17 +114,28 @@ def near_pairs(fps: DataFrame, radius: int = 3, crowded: int = 200) -> DataFrame
     probe = probe.select(
         _half(F.col("which")).bitwiseXOR(F.when(F.col("bit") == 32, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, bit)"))).alias("key"),
         "which", F.col("fp").alias("other"))
-    hot = halves.groupBy("key").count().where(F.col("count") > crowded).select("key", F.lit(True).alias("hot"))
+    whole = F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("left"))
 
-    def dealt(df: DataFrame, fp: str) -> DataFrame:
-        """Rows of crowded keys four times, each with another byte of the other half; the rest once."""
+    def by_byte(df: DataFrame, fp: str) -> DataFrame:
+        """Rows four times, with one byte of the other half each and the 24 bits that are left."""
         rest = F.when(F.col("which") == 1, F.col(fp)).otherwise(F.shiftrightunsigned(fp, 32)).bitwiseAND(F.lit(HALF))
-        parts = F.array(*(F.shiftrightunsigned(rest, 8 * i).bitwiseAND(F.lit(255)) + F.lit(256 * (i + 1)) for i in range(4)))
-        marked = df.join(hot, "key", "left")
-        return marked.select("key", F.explode(F.when(F.col("hot"), parts).otherwise(F.array(F.lit(0).cast("long")))).alias("part"), fp)
+        parts = F.array(*(F.struct(
+            (F.shiftrightunsigned(rest, 8 * i).bitwiseAND(F.lit(255)) + F.lit(256 * (i + 1))).cast("long").alias("part"),
+            rest.bitwiseAND(F.lit((1 << 8 * i) - 1)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(rest, 8 * (i + 1)), 8 * i)).cast("long").alias("left")) for i in range(4)))
+        cut = F.when(F.col("hot"), parts).otherwise(F.array(whole)) if "hot" in df.columns else parts
+        return df.select("key", F.explode(cut).alias("p"), fp).select("key", "p.part", "p.left", fp)
+
+    hot = stash(halves.groupBy("key").count().where(F.col("count") > crowded).select("key", F.lit(True).alias("hot")), "crowded-halves")
+    hotter = by_byte(halves.join(hot.select("key"), "key", "left_semi"), "fp").groupBy("key", "part").count()
+    hotter = stash(hotter.where(F.col("count") > crowded).select("key", "part", F.lit(True).alias("hotter")), "crowded-bytes")
+
+    def dealt(df: DataFrame, fp: str) -> DataFrame:
+        cut = by_byte(df.join(hot, "key", "left"), fp).join(hotter, ["key", "part"], "left")
+        sixes = F.array(*(F.shiftrightunsigned("left", 6 * i).bitwiseAND(F.lit(63)) + F.lit(64 * (i + 1)) for i in range(4)))
+        return cut.select("key", "part", F.explode(F.when(F.col("hotter"), sixes).otherwise(F.array(F.lit(0).cast("long")))).alias("six"), fp)
 
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
-    found = dealt(halves, "fp").join(dealt(probe, "other"), ["key", "part"]).where((F.col("other") < F.col("fp")) & near)
+    found = dealt(halves, "fp").join(dealt(probe, "other"), ["key", "part", "six"]).where((F.col("other") < F.col("fp")) & near)
     return found.select(F.col("other").alias("a"), F.col("fp").alias("b")).distinct()
 
 
@@ -123,46 +145,30 @@ def near_dedup(
     """id_col, fingerprint (16 hex digits), component_id (the smallest id that links reach from the row, its own included),
     component (the same class as a number that no class shares), and the columns in `extra`."""
     rows = stash(simhash(docs, id_col, text_col, words, extra), "fingerprints")
-    fps = stash(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
-    linked = connected_components(near_pairs(fps, radius), "a", "b")
-    classes = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    best = classes.where(F.col("component") != F.col("fp")).groupBy("component").agg(F.min("least").alias("below"))
-    classes = classes.join(best, "component", "left")
-    # the smallest fingerprint of a class is no member of `best`'s rows: its own least id counts, too
-    centre = classes.where(F.col("component") == F.col("fp")).select("component", F.least("least", "below").alias("component_id"))
-    classes = classes.select("fp", "component").join(centre, "component").select("fp", "component", "component_id")
+    with scratch(docs.sparkSession):
+        fps = stash(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
+        linked = connected_components(near_pairs(fps, radius), "a", "b")
+        classes = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        best = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+        classes = kept(classes.join(best, "component").select("fp", "component", "component_id"), "classes")
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return rows.join(classes, "fp").select(id_col, fingerprint, "component_id", "component", *extra)
 
 
-#: Bits of the filter by which tasks leave out texts that are in no candidate pair.
-FILTER_BITS = 1 << 22
-#: Bits of one value of bitmap_construct_agg.
-BITMAP = 1 << 15
+#: Bits (as a power of two) of the filter by which tasks leave out what is in no candidate pair.
+FILTER_BITS = 24
 #: Bounds of sizes give way by so much, so that rounding loses no pair.
 ROUNDING = 1e-6
 
 
-def _bitmap(keys: DataFrame, key: str) -> np.ndarray:
-    """FILTER_BITS bits as bytes (half a megabyte at any size), set where a key ends in their number; executors set and merge them."""
-    place = F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1))
-    parts = keys.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(BITMAP - 1))).alias("bits"))
-    found = np.zeros((FILTER_BITS // BITMAP, BITMAP // 8), np.uint8)
-    for part, bits in parts.collect():
-        found[part] = np.frombuffer(bits, np.uint8)
-    return found.ravel()
-
+def _prefixes(kept: list[str], text_col: str, words: int, prefix):
+    """n, the number of distinct shingles of each text, and their hashes: all, rising, or a prefix.  Fewer words make one shingle.
 
-def _shingle_sets(kept: list[str], text_col: str, words: int, sketch: int | None, wanted, prefix):
-    """The distinct shingle hashes of each text, rising: all, or the `sketch` smallest.  Fewer words make one shingle.
-
-    wanted: a broadcast bitmap; only rows whose first kept column (a long) has its bit set are worked on.
     prefix: a likeness, and frequent hashes with their counts as a broadcast; rarest first, as many hashes as one of must be
     shared by texts that are so alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if wanted is None else np.unpackbits(wanted.value, bitorder="little")
         often, times = prefix[1].value if prefix else (np.empty(0, np.uint64), None)
 
         def first(own: np.ndarray) -> np.ndarray:
@@ -172,67 +178,95 @@ def _shingle_sets(kept: list[str], text_col: str, words: int, sketch: int | None
             return own[: len(own) - math.ceil(prefix[0] * len(own) - ROUNDING) + 1]
 
         for batch in batches:
-            if bits is not None:
-                batch = batch.filter(pa.array(bits[batch.column(batch.schema.get_field_index(kept[0])).to_numpy() & (FILTER_BITS - 1)] > 0))
-            data, offsets = utf8(batch.column(batch.schema.get_field_index(text_col)))
-            out, sizes = [], []
-            for start, stop in blocks(np.diff(offsets)):
-                found, bounds = word_hashes(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start], BLANKS)
-                hashes = grams(found, words)
-                for a, b in zip(bounds, bounds[1:], strict=False):
-                    own = np.unique(hashes[a : b - words + 1] if b - a >= words else grams(found[a:b], int(b - a)) if b > a else hashes[:0])
-                    sizes.append(len(own))
-                    out.append((first(own) if prefix else own[:sketch]).view(np.int64))
+            sets = shingle_sets(batch.column(batch.schema.get_field_index(text_col)), words)
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=[*kept, "n", "shingles"])
+            found = [(first(x) if prefix else x).view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(map(len, sets)), pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=[*kept, "n", "shingles"])
 
     return run
 
 
-def shingle_sets(docs: DataFrame, kept: list[str], text_col: str, words: int, sketch: int | None = None, wanted=None, prefix=None) -> DataFrame:
-    """The columns `kept`, n (distinct shingles of the text) and shingles (the hashes of those asked for)."""
-    own = (T.StructField(c, docs.schema[c].dataType) for c in kept)
-    schema = T.StructType([*own, T.StructField("n", T.IntegerType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    return docs.select(*kept, text_col).mapInArrow(_shingle_sets(kept, text_col, words, sketch, wanted, prefix), schema)
-
-
-def _alike(docs: DataFrame, pairs: DataFrame, key: str, text_col: str, words: int, least: float) -> DataFrame:
-    """Of the pairs (a, b) those whose whole shingle sets have the likeness `least`."""
-    pairs = stash(pairs, "candidates")
-    some = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(some, key))
-    full = shingle_sets(docs, [key], text_col, words, wanted=wanted).join(some, key, "left_semi")
-    full = stash(full.dropDuplicates([key]), "shingles")
-    of = lambda end, name: full.select(F.col(key).alias(end), F.col("shingles").alias(name))
-    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return stash(both.where(F.col("common") >= least * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "alike")
-
-
-def _quick_pairs(docs: DataFrame, key: str, text_col: str, words: int, least: float, sketch: int) -> DataFrame:
-    """Candidates (a, b) that draw large groups together: each text looks up its `sketch` smallest shingle hashes, and a
-    bucket's texts meet its representatives (up to four, those whose sketches are most shared: the middle of a group of
-    edits), so a bucket costs no more than its size.  Sketches that share less than three eighths are left."""
-    rows = stash(shingle_sets(docs, [key], text_col, words, sketch).drop("n").dropDuplicates([key]), "sketches")
-    each = rows.select(F.col(key).alias("t"), F.explode("shingles").alias("h"))
+def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, rising."""
+    data, offsets = utf8(column)
+    out = []
+    for start, stop in blocks(np.diff(offsets)):
+        found, bounds = word_hashes(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start], BLANKS)
+        hashes = grams(found, words)
+        out += [np.unique(hashes[a : b - words + 1] if b - a >= words else grams(found[a:b], int(b - a)) if b > a else hashes[:0]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return out
+
+
+def _with_prefixes(docs: DataFrame, kept: list[str], words: int, prefix=None) -> DataFrame:
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in kept]
+    schema = T.StructType([*fields, T.StructField("n", T.IntegerType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    return docs.select(*kept, "text").mapInArrow(_prefixes(kept, "text", words, prefix), schema)
+
+
+def _wanted(bits):
+    """The rows whose first column (a long) has its bit set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits.value, batch.column(0).to_numpy())))
+
+    return run
+
+
+def _compare(words: int, least: float):
+    """The pairs (a, b) whose texts x and y have the likeness."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731,B023
+            good = []
+            for x, y in zip(shingle_sets(at("x"), words), shingle_sets(at("y"), words), strict=True):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= least * (len(x) + len(y) - common) - ROUNDING)
+            yield pa.RecordBatch.from_arrays([at("a"), at("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose whole shingle sets have the likeness `least`; each candidate's text moves, no other."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        pairs = stash(pairs, "candidates")
+        some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts.select("node", "key"), "node")
+        some = stash(some, "wanted")
+        bits = spark.sparkContext.broadcast(bitmap(some.select(F.xxhash64("key").alias("k")), "k", FILTER_BITS))
+        found = docs.select(F.xxhash64("key").alias("k"), "key", "text")
+        found = found.mapInArrow(_wanted(bits), found.schema).groupBy("key").agg(F.first("text").alias("text"))
+        found = stash(found.join(some, "key").select("node", "text"), "texts-of-candidates")
+        of = lambda end, name: found.select(F.col("node").alias(end), F.col("text").alias(name))
+        both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+        return kept(both.mapInArrow(_compare(words, least), pairs.schema), "alike")
+
+
+def _quick_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b) that draw large groups together: each text looks up the hashes of its sketch, and a bucket's texts meet
+    its representatives (up to four, those whose sketches are most shared: the middle of a group of edits), so a bucket costs
+    no more than its size.  Sketches that share less than three eighths are left.  What is missed here the exact join finds."""
+    each = texts.select(F.col("node").alias("t"), F.explode("sketch").alias("h"))
     sizes = each.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     each = stash(each.join(sizes, "h"), "buckets")
     scores = each.groupBy("t").agg(F.sum("size").alias("score"))
     scored = each.join(scores, "t").select("h", "t", "score")
-    best = scored.groupBy("h", F.pmod("t", F.lit(4)).alias("part")).agg(F.max(F.struct("score", "t")).alias("m")).select("h", F.col("m.t").alias("r"))
+    best = scored.groupBy("h", F.pmod(F.hash("t"), F.lit(4)).alias("part")).agg(F.max(F.struct("score", "t")).alias("m")).select("h", F.col("m.t").alias("r"))
     met = scored.join(best, "h").where("t != r")
     pairs = met.select(F.least("t", "r").alias("a"), F.greatest("t", "r").alias("b")).distinct()
-    of = lambda df, end, name: df.select(F.col(key).alias(end), F.col("shingles").alias(name))
-    return pairs.join(of(rows, "a", "x"), "a").join(of(rows, "b", "y"), "b").where(
+    of = lambda end, name: texts.select(F.col("node").alias(end), F.col("sketch").alias(name))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(
         F.size(F.array_intersect("x", "y")) >= 0.375 * (least / 0.8) * F.least(F.size("x"), F.size("y"))).select("a", "b")
 
 
-def _frequent(docs: DataFrame, key: str, text_col: str, words: int, share: int = 64, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, words: int, share: int = 64, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, rising, that several texts of a sample have, and in how many; at most the `most` most frequent.
 
     They set the order in which shingles are looked up, and so the cost.  Which pairs are found does not rest on them.
     """
-    sample = shingle_sets(docs.where(F.pmod(key, F.lit(share)) == 0), [key], text_col, words).dropDuplicates([key])
+    sample = _with_prefixes(docs.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), ["key"], words).dropDuplicates(["key"])
     counted = stash(sample.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "frequent")
     floor, left = 1, most
     for c, n in sorted(map(tuple, counted.groupBy("c").count().collect()), reverse=True):
@@ -246,71 +280,102 @@ def _frequent(docs: DataFrame, key: str, text_col: str, words: int, share: int =
     return hashes[order], found["c"].to_numpy()[order]
 
 
-def _whole_pairs(docs: DataFrame, key: str, text_col: str, words: int, least: float, classes: DataFrame) -> DataFrame:
-    """Candidates (a, b) among which are all pairs of likeness `least` that lie in two classes (node, component; else alone).
+def _postings(bits):
+    """(h, t, c, n) for each hash of a prefix that has its bit set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("shingles"))
+            counts = lists.value_lengths().fill_null(0).to_numpy()
+            flat = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(counts)), counts)
+            good = in_bitmap(bits.value, flat)
+            t, c, n = (batch.column(batch.schema.get_field_index(x)).to_numpy()[row[good]] for x in ("node", "c", "n"))
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (flat[good], t, c, n))), names=["h", "t", "c", "n"])
+
+    return run
+
+
+def _whole_pairs(docs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Candidates (a, b) among which are all pairs of likeness `least` that lie in two classes (the column c of texts).
 
     A prefix filter: with all shingles in one order, rarest first, two sets that are so alike share one of the first
-    n - least * n + 1 of each.  At the first they share, nothing before it is common, so what is left of either, that
-    shingle included, is no less than the overlap that the likeness asks for.  A pair is made only where that holds.
+    n - least * n + 1 of each.  What they share beyond lies after one of the two prefixes, so what the prefixes share and
+    what is left of a set after its prefix add up to the overlap that the likeness asks for.  A pair is a candidate only
+    where that holds: of two equally large sets nearly half of the prefixes must be common.
+    Only hashes that two classes share are dealt out with their texts.
     """
-    prefix = least, docs.sparkSession.sparkContext.broadcast(_frequent(docs, key, text_col, words))
-    rows = shingle_sets(docs, [key], text_col, words, prefix=prefix)
-    each = rows.select(F.col(key).alias("t"), "n", F.posexplode("shingles").alias("i", "h"))
-    each = each.select("h", "t", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"))
-    texts = Window.partitionBy("h")
-    shared = each.select("*", F.min("t").over(texts).alias("x"), F.max("t").over(texts).alias("y")).where("x != y").select("h", "t", "at").distinct()
-    shared = stash(shared, "prefixes")
-    shared = shared.join(classes.withColumnRenamed("node", "t"), "t", "left").select(
-        "h", "t", F.coalesce("component", "t").alias("c"), F.shiftright("at", 32).alias("n"), (F.shiftright("at", 32) - F.col("at").bitwiseAND(F.lit(HALF))).alias("rest"))
-    mixed = shared.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
-    shared = stash(shared.join(mixed, "h", "left_semi"), "shared-prefixes")
-    part = least / (1 + least)
-    short = shared.where(F.col("rest") >= 2 * part * F.col("n") - ROUNDING).select("h", *(F.col(c).alias(f"{c}_") for c in ("t", "c", "n", "rest")))
-    met = shared.join(short, "h").where(
-        (F.col("c") != F.col("c_")) & (F.col("n_") <= F.col("n")) & (F.least("rest", "rest_") >= part * (F.col("n") + F.col("n_")) - ROUNDING))
-    return met.select(F.least("t", "t_").alias("a"), F.greatest("t", "t_").alias("b")).distinct()
-
-
-def similar_texts(docs: DataFrame, key: str, text_col: str = "text", words: int = 5, least: float = 0.8, sketch: int = 16) -> DataFrame:
-    """(a, b): keys of texts of which at least the share `least` of all distinct word shingles is common to both; enough of
-    these pairs that they link what all such pairs link.
-
-    Fingerprints of 64 bits lie about 10 bits apart at a likeness of 0.8, too far for small balls, so candidates come from
-    shared shingles.  Quick ones draw large groups together first; then an exact join finds every pair between two of the
-    groups so far.  Pairs inside one group link nothing more, so a group's square is never made.  key: equal for equal texts.
+    spark = docs.sparkSession
+    prefix = least, spark.sparkContext.broadcast(_frequent(docs, words))
+    rows = _with_prefixes(docs, ["key"], words, prefix).groupBy("key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    rows = stash(rows.join(texts.select("key", "node", "c"), "key").select("node", "c", "n", "shingles"), "prefixes")
+    mixed = rows.select("c", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
+    mixed = stash(mixed, "mixed")
+    bits = spark.sparkContext.broadcast(bitmap(mixed, "h", FILTER_BITS))
+    shared = rows.mapInArrow(_postings(bits), "h long, t long, c long, n int").join(mixed, "h", "left_semi")
+    shared = stash(shared, "shared-prefixes")
+    other = shared.select("h", *(F.col(c).alias(f"{c}_") for c in ("t", "c", "n")))
+    met = shared.join(other, "h").where((F.col("t") < F.col("t_")) & (F.col("c") != F.col("c_")))
+    met = met.where(F.least("n", "n_") >= least * F.greatest("n", "n_") - ROUNDING).groupBy("t", "t_", "n", "n_").agg(F.count("*").alias("common"))
+    after = lambda n: F.ceil(least * F.col(n) - ROUNDING) - 1  # noqa: E731  the shingles after the prefix
+    wanted = least / (1 + least) * (F.col("n") + F.col("n_"))
+    return met.where(F.col("common") + F.greatest(after("n"), after("n_")) >= wanted - ROUNDING).select(F.col("t").alias("a"), F.col("t_").alias("b"))
+
+
+def text_groups(docs: DataFrame, words: int = 5, radius: int = 3, least: float = 0.8, sketch: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (id, key: equal for equal texts, text): rows (id, key, fp), texts (key, node), one row per key, and groups (node, component).
+
+    Links: fingerprints within `radius` bits, and whole shingle sets of which at least the share `least` of all distinct
+    shingles is common to both; enough of these that they link what all such pairs link.
+
+    Fingerprints of 64 bits lie about 10 bits apart at a likeness of 0.8, too far for small balls, so further candidates
+    come from shared shingles.  Quick ones draw large groups together first; then an exact join finds every pair between
+    two of the groups so far.  Pairs inside one group link nothing more, so a group's square is never made.
     """
-    quick = _alike(docs, _quick_pairs(docs, key, text_col, words, least, sketch), key, text_col, words, least)
-    classes = connected_components(quick, "a", "b")
-    return quick.union(_alike(docs, _whole_pairs(docs, key, text_col, words, least, classes), key, text_col, words, least))
+    spark = docs.sparkSession
+    rows = stash(simhash(docs, "id", "text", words, ("key",), sketch), "fingerprints")
+    one = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    texts = stash(one.withColumn("node", F.monotonically_increasing_id()), "texts")
+    with scratch(spark):
+        # the texts of one fingerprint hang on the first of them
+        heads = stash(texts.groupBy("fp").agg(F.min("node").alias("head")), "distinct-fingerprints")
+        equal = texts.join(heads, "fp").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+        near = near_pairs(heads, radius)
+        near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(
+            heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+        links = stash(equal.union(near), "links")
+        quick = _alike(docs, texts, _quick_pairs(texts, least), words, least)
+        classes = connected_components(links.union(quick), "a", "b")
+        classed = stash(texts.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "classes")
+        whole = _alike(docs, texts, _whole_pairs(docs, classed, words, least), words, least)
+        stars = classed.where("node != c").select(F.col("node").alias("a"), F.col("c").alias("b"))
+        linked = kept(connected_components(stars.union(whole), "a", "b"), "groups")
+    return rows, texts.select("key", "node"), linked
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 3, least: float = 0.8) -> DataFrame:
     """The rows of docs, one of each group: that with the smallest id; of several with that id one, whichever text they have.
 
     Groups: what links of fingerprints (`radius` bits) and of whole shingle sets (likeness `least`) reach.
+    Texts are told apart by 128-bit digests; a null text counts as empty.  Other columns may have any name.
     """
-    keyed = docs.withColumn("_text", F.xxhash64(text_col))
-    rows = stash(simhash(keyed, id_col, text_col, words, ("_text",)), "fingerprints")
-    # nodes are texts; the texts of one fingerprint hang on the smallest of them
-    heads = stash(rows.groupBy("fp").agg(F.min("_text").alias("head")), "distinct-fingerprints")
-    equal = rows.select("fp", "_text").distinct().join(heads, "fp").select(F.col("_text").alias("a"), F.col("head").alias("b"))
-    near = near_pairs(heads, radius)
-    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    likes = similar_texts(keyed, "_text", text_col, words, least)
-    linked = connected_components(equal.where("a != b").union(near).union(likes), "a", "b")
-    # per text, then per group: the first row by id (null last), then by text; how often it is there
-    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
-    texts = rows.groupBy("_text", id_col).agg(F.count("*").alias("n")).groupBy("_text").agg(
-        F.min_by(F.struct(F.col(id_col).alias("id"), (F.col("n") > 1).alias("repeated")), rank).alias("first"))
-    groups = texts.join(linked.withColumnRenamed("node", "_text"), "_text", "left").withColumn("component", F.coalesce("component", "_text"))
-    order = F.struct(F.col("first.id").isNull().alias("no_id"), F.col("first.id").alias("id"), F.col("_text").alias("text"))
-    kept = stash(groups.groupBy("component").agg(F.min_by(F.struct("first.id", F.col("_text").alias("text"), "first.repeated"), order).alias("k")).select("k.*"), "kept")
-    same = F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_text") == F.col("text_"))
-    kept = kept.withColumnRenamed("text", "text_")
-    out = keyed.join(kept.where("NOT repeated"), same, "left_semi")
-    if kept.where("repeated").limit(1).count():
-        out = out.unionByName(keyed.join(kept.where("repeated"), same, "left_semi").dropDuplicates([id_col, "_text"]))
-    return out.drop("_text")
+    mark, other, own = free(docs.columns, "text_key", "kept_key", "kept_id")
+    keyed = docs.select(named(id_col).alias("id"), digest(named(text_col)).alias("key"), named(text_col).alias("text"))
+    with scratch(docs.sparkSession):
+        rows, texts, linked = text_groups(keyed, words, radius, least)
+        # per text, then per group: the first row by id (null last), then by text; whether it is there more than once
+        rank = F.struct(F.col("id").isNull(), F.col("id"))
+        first = rows.groupBy("key", "id").agg(F.count("*").alias("n")).groupBy("key").agg(F.min_by(F.struct("id", "n"), rank).alias("first"))
+        groups = first.join(texts, "key").join(linked, "node", "left").select("key", "first.*", F.coalesce("component", "node").alias("component"))
+        order = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
+        best = groups.groupBy("component").agg(F.min_by(F.struct("id", "key", "n"), order).alias("k"))
+        best = kept(best.select(F.col("k.id").alias(own), F.col("k.key").alias(other), (F.col("k.n") > 1).alias("repeated")), "kept")
+    marked = docs.withColumn(mark, digest(named(text_col)))
+    same = named(id_col).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(other))
+    out = marked.join(best.where("NOT repeated"), same, "left_semi")
+    if best.where("repeated").limit(1).count():
+        out = out.unionByName(marked.join(best.where("repeated"), same, "left_semi").dropDuplicates([id_col, mark]))
+    return out.drop(mark)
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
