@@ -1,7 +1,11 @@
 """A training corpus from raw documents: known languages, no near copies, no benchmark passages, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the shared folder and
-rereads for the next stage.  All but the last return the columns of documents.
+rereads for the next stage.  All but the last return the columns of documents, whatever other columns these have.
+
+Nulls and odd rows: a null or blank text is in no known language and goes at the first stage.  Null ids stay (of a group,
+a row with an id is kept before one without); of repeated rows one stays.  Very long texts pass whole.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumetrica.llm import decontamination, language_id, sentencepiece, simhash
-from lumetrica.llm.common import id_bucket, stash, table
+from lumetrica.llm.common import free, id_bucket, kept, scratch, table
 
 #: The least posterior with which a language is taken as known: with fewer than half, no language has a majority.
 LEAST_SCORE = 0.5
@@ -19,8 +23,9 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language: no letter, or no language with at least LEAST_SCORE of the posterior."""
     model = language_id.train(docs, id_bucket(F.col("doc_id"), 4) != 2)
-    found = language_id.predict(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    names = free(docs.columns, "lang_pred", "score")
+    found = language_id.predict(docs, model, names=names)
+    return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_SCORE)).drop(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten words in a row of a benchmark text, or a whole shorter one."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_spans") == 0).select(docs.columns)
+    names = free(docs.columns, "words", "spans", "items")
+    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), names=names)
+    return found.where(F.size(names[1]) == 0).drop(*names)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
