@@ -11,6 +11,8 @@ from .document_fingerprints import op8_document_fingerprints
 from .language_id import op6_language_id
 from .license_scan import op9_license_scan
 from .lm_scoring import op10_lm_scoring
+from .oracles import ORACLE_SQL as _SQL
+from .oracles import QUERIES as _PARTS
 from .sentencepiece import op1_sentencepiece
 from .sharding import op5_sharding
 from .simhash import op7_simhash_dedup
@@ -28,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
+    **_PARTS,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(_SQL)
