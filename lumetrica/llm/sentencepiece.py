@@ -14,7 +14,8 @@ the library on whole texts.
 
 Nulls: a null text counts as empty: begin and end ids only, decoded to "".
 Rows are mapped one by one: ties, repeats, null ids and other columns change
-nothing, and an empty table gives an empty result.
+nothing, and an empty table gives an empty result.  A very long text is a block
+of its own.  Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

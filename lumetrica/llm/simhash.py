@@ -5,13 +5,16 @@ Fingerprint: 64 bits; a bit is 1 if it is set in over half the XXH64 values
 `radius` = 3 bits or fewer.  Of their two 32-bit halves one then differs in one
 bit at most, so each distinct fingerprint looks up the 33 values of that small
 ball in the table of the others' halves, and whole distances verify the matches.
-Buckets that hold very many fingerprints are divided once more, by the bytes of
-the other half (of four bytes that differ in three bits, one is equal).  Equal
-fingerprints are one node, so exact copies never make pairs.
+Buckets that hold very many fingerprints are divided by the bytes of the other
+half (of four bytes that differ in three bits, one is equal), and then by six of
+the 24 bits left.  Equal fingerprints are one node, so exact copies never make
+pairs; a fingerprint has 43,744 others within three bits at most, however large
+its group.
 
 Nulls: a null or blank text has no shingle and fingerprint zero, which links
 like any other.  A null id keeps its row and is never a component's id unless
 no other is there.  Repeated rows stay.  An empty table gives an empty result.
+A very long text is a block of its own.  Other columns may have any name.
 """
 
 from __future__ import annotations

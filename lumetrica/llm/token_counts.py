@@ -7,7 +7,8 @@ cut at the limit, and which quantile a length is.  The sums run within ranges of
 `span` lengths and over the ranges' totals, so no task gets the whole histogram.
 
 Nulls: a null text counts as empty: begin and end ids alone.  Repeated rows each
-count.  An empty table has an empty histogram.
+count.  An empty table has an empty histogram.  A very long text is encoded whole.
+Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
