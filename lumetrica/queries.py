@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import alignment, checks, metrics, reports, selection, studies, text
+from .plans import alignment, checks, composites, metrics, reports, selection, studies, text
 
-MODULES = [metrics, text, selection, checks, reports, studies, alignment]
+MODULES = [metrics, text, selection, checks, reports, studies, composites, alignment]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -52,8 +52,16 @@ def with_row_index(df: DataFrame, name: str = "_row_index") -> DataFrame:
     return numbered.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_s")
 
 
+def unknown_runs(df: DataFrame, models: list[str]) -> DataFrame:
+    """(file_name, rows) of the files that run_of_file drops."""
+    known = df.select("file_name").distinct()
+    known = run_of_file(known, models).select("file_name")
+    return df.join(known, "file_name", "left_anti").groupBy("file_name").agg(F.count("*").alias("rows"))
+
+
 def run_of_file(df: DataFrame, models: list[str], default: str = "clean") -> DataFrame:
-    """model and perturbation from file names "<model>_<perturbation>.csv" (model names may hold dots and underscores); unknown models are dropped."""
+    """model and perturbation from file names "<model>_<perturbation>.csv" (model names may hold dots and underscores); unknown models are
+    dropped (unknown_runs counts them)."""
     stem = F.regexp_replace("file_name", r"\.csv$", "")
     model = F.lit(None).cast("string")
     for name in sorted(models, key=len):  # the longest name that fits stands last and wins

@@ -83,3 +83,11 @@ def latex(df: DataFrame, digits: int = 1, most: int = 1000) -> str:
     safe = lambda x: str(x).replace("\\", r"\textbackslash{}").replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
     body = [" & ".join(safe(_text(v, digits)) for v in r) + r" \\" for r in rows]
     return "\n".join([r"\begin{tabular}{l" + "r" * (len(names) - 1) + "}", r"\toprule", " & ".join(map(safe, names)) + r" \\", r"\midrule", *body, r"\bottomrule", r"\end{tabular}"]) + "\n"
+
+
+def report(title: str, sections: dict[str, DataFrame | None], digits: int = 2) -> str:
+    """A Markdown report of small tables; a section whose table is missing says so."""
+    parts = [f"# {title}\n"]
+    for name, df in sections.items():
+        parts.append(f"## {name}\n\n" + (markdown(df, digits) if df is not None else "Not available.\n"))
+    return "\n".join(parts)

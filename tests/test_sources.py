@@ -21,6 +21,7 @@ def test_strings_runs_and_variants(spark, tmp_path):
     write(tmp_path / "p/zzz_noise.csv", "utterance_id,hypothesis\nu4,d\n")
     df = S.run_of_file(S.read_strings(spark, str(tmp_path / "p"), ["utterance_id", "hypothesis"]), ["ada", "ada_v1.2"])
     assert {(r.utterance_id, r.hypothesis, r.model, r.perturbation) for r in df.collect()} == {("u1", "a, b", "ada_v1.2", "clean"), ("u2", "", "ada_v1.2", "clean"), ("u3", "c", "ada", "clean")}
+    assert [tuple(r) for r in S.unknown_runs(S.read_strings(spark, str(tmp_path / "p"), ["utterance_id", "hypothesis"]), ["ada", "ada_v1.2"]).collect()] == [("zzz_noise.csv", 1)]
     assert {r.audio_variant for r in S.with_variant(df).collect()} == {"clean"}
     assert sorted(r._row_index for r in S.with_row_index(df).collect()) == [0, 1, 2]
 
@@ -63,6 +64,7 @@ def test_sinks(spark, tmp_path):
     safe = K.json_safe(spark.createDataFrame([(float("inf"),), (1.0,)], "v double")).collect()
     assert [(r.v, r.v_note) for r in safe] == [(None, "Infinity"), (1.0, None)]
     assert K.markdown(a).splitlines()[-1] == "| 1 | 2.00 |" and "2.0" in K.latex(a)
+    assert K.report("All", {"A": a, "B": None}).splitlines()[-1] == "Not available." and "| 1 | 2.00 |" in K.report("All", {"A": a})
     assert K.nested_report(spark.createDataFrame([("m", "a", 1.0), ("m", "b", 2.0)], "model string, g string, wer double"), ["model"], "g", ["wer"]).first().report == '{"a":{"wer":1.0},"b":{"wer":2.0}}'
 
 
