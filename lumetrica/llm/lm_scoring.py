@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, id_bucket, scratch, stash, table, utf8
+from .common import blocks, id_bucket, stash, table, utf8
 from .sentencepiece import default_model, model_bytes
 
 CHUNK = 16
@@ -216,7 +216,7 @@ def gradient(flat: np.ndarray, rows: np.ndarray, kinds: np.ndarray, weights: np.
     np.minimum(z, 60, out=z)
     np.exp(z, out=z)
     z *= 1 / np.maximum(z.sum(axis=1, keepdims=True), 1e-30)
-    own = kinds.ravel()
+    own = kinds.ravel().astype(np.intp)
     share = (own >= 0).astype(z.dtype)
     if weights is not None:
         share *= np.repeat(weights, SPAN)
@@ -351,12 +351,12 @@ def _learn(state, rate: float, least_steps: int):
 
     def run(own: pa.Table, shard: int) -> pa.Table:
         flat, words = state.value
-        own = own.take(pc.sort_indices(own, [("ids", "ascending")]))
-        ids = np.frombuffer(b"".join(own["ids"].to_pylist()), "<u2").reshape(-1, SPAN + 1).astype(np.int64)
-        weights = own["n"].to_numpy().astype(np.float64)
-        rows = words.row[np.where(ids[:, :-1] == NOTHING, 0, ids[:, :-1])]
-        kinds = np.where(ids[:, 1:] == NOTHING, -1, words.kind[np.where(ids[:, 1:] == NOTHING, 0, ids[:, 1:])])
-        found = fit(flat, rows, kinds, weights, shard, rate=rate, least_steps=least_steps).astype(np.float64)
+        row_of, kind_of = np.zeros(NOTHING + 1, np.uint16), np.full(NOTHING + 1, -1, np.int8)
+        row_of[: len(words.row)], kind_of[: len(words.kind)] = words.row, words.kind
+        own = own.take(pc.sort_indices(own, [("ids", "ascending")])).combine_chunks()
+        ids = _ids_of(own["ids"].chunk(0))[0].reshape(-1, SPAN + 1)
+        rows, kinds = row_of[ids[:, :-1]], kind_of[ids[:, 1:]]
+        found = fit(flat, rows, kinds, own["n"].to_numpy().astype(np.float32), shard, rate=rate, least_steps=least_steps).astype(np.float64)
         weight = len(rows)
         values = np.concatenate([[weight], np.rint(found / UNIT).astype(np.int64) * weight])
         return pa.table({"slot": pa.array(np.arange(-1, len(found)), pa.int32()), "value": pa.array(values.astype(np.int64))})
@@ -519,14 +519,16 @@ def train(ids: DataFrame, words: Vocabulary, total: int, shard_windows: int = 1
     spark = ids.sparkSession
     flat = initial(words.prior)
     shards = max(1, -(-total // (SPAN * shard_windows)))
-    with scratch(spark):
-        windows = ids.mapInArrow(_windows, "ids binary").groupBy("ids").agg(F.count("*").alias("n"))
-        windows = stash(windows.select(F.xxhash64("ids").alias("h"), "ids", "n"), "windows")
-        some = windows.orderBy("h", "ids").limit(first_windows).select(F.lit(0).alias("shard"), "ids", "n")
-        first = _averaged(some.groupBy("shard"), spark.sparkContext.broadcast((flat, words)), 0.01, 400)
-        if first is not None:
-            dealt = windows.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "ids", "n")
-            flat = _averaged(dealt.groupBy("shard"), spark.sparkContext.broadcast((first, words)), 0.004, 1)
+    windows = ids.mapInArrow(_windows, "ids binary").withColumn("h", F.xxhash64("ids"))
+    # so few hashes are below the mark that about twice as many windows as wanted pass before anything is shuffled
+    share = min(1.0, 2 * first_windows * SPAN / max(1, total))
+    some = windows.where(F.col("h") <= int(min(2**63 - 1, -(2**63) + share * 2**64))).groupBy("h", "ids").agg(F.count("*").alias("n"))
+    some = some.orderBy("h", "ids").limit(first_windows).select(F.lit(0).alias("shard"), "ids", "n")
+    first = _averaged(some.groupBy("shard"), spark.sparkContext.broadcast((flat, words)), 0.01, 400)
+    if first is not None:
+        each = windows.groupBy("h", "ids").agg(F.count("*").alias("n"))
+        dealt = each.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "ids", "n")
+        flat = _averaged(dealt.groupBy("shard"), spark.sparkContext.broadcast((first, words)), 0.004, 1)
     return Scorer(flat, words)
 
 
