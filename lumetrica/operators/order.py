@@ -65,19 +65,50 @@ def latest(rows: DataFrame, keys: list[str], value: str, *order: str) -> DataFra
     return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def early_stop(rows: DataFrame, key: str, order: list[str], loss: str, threshold: float, patience: int) -> DataFrame:
+def by_time(rows: DataFrame, key: str, ts: str, ident: str, name: str = "pos") -> DataFrame:
+    """rows with their place (from 1) by time, then by the integer `ident`, within each key, however many rows a key has."""
+    clock = rows.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    return stable_rank(clock, [key], "_t", ident, name=name).drop("_t")
+
+
+def running(rows: DataFrame, key: str, pos: str, value: Column, name: str, least: bool = True, inclusive: bool = True, block: int = 4096) -> DataFrame:
+    """rows with the least (or largest) value so far within each key, by place; null before the first.
+
+    Places are cut into blocks: each block is gone through by itself and takes over what the blocks before it have come to.
+    """
+    pick, both = (F.min, F.least) if least else (F.max, F.greatest)
+    cut = rows.withColumns({"_v": value, "_b": F.floor((F.col(pos) - 1) / block)})
+    totals = cut.groupBy(key, "_b").agg(pick("_v").alias("_m"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    carry = totals.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), pick("_m").over(before).alias("_m"))
+    joined = cut.join(carry, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")))
+    within = Window.partitionBy(key, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return joined.withColumn(name, both(pick("_v").over(within), "_m")).drop("_v", "_b", "_k", "_c", "_m")
+
+
+def last_rows(rows: DataFrame, key: str, pos: str, reach: int, block: int = 4096) -> tuple[DataFrame, Column]:
+    """rows with a column `_b` so that a window by (key, _b), ordered by place, sees the `reach` rows before each row; and the
+    predicate that keeps each row once afterwards (those before a block stand in it as copies)."""
+    own = F.floor((F.col(pos) - 1) / block)
+    late = F.pmod(F.col(pos) - 1, F.lit(block)) >= block - reach
+    copies = F.when(late, F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own"))))
+    cut = rows.withColumn("_p", F.explode(F.coalesce(copies, F.array(F.struct(own.alias("b"), F.lit(True).alias("own"))))))
+    return cut.withColumns({"_b": F.col("_p.b"), "_own": F.col("_p.own")}).drop("_p"), F.col("_own")
+
+
+def early_stop(rows: DataFrame, key: str, ts: str, ident: str, loss: str, threshold: float, patience: int) -> DataFrame:
     """Per key the place (from 1) at which a run would stop: the `patience`-th row in a row that is worse than the best so far by the threshold."""
-    w = Window.partitionBy(key).orderBy(*order)
-    x = rows.withColumn("pos", F.row_number().over(w)).withColumn("best", F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = running(by_time(rows, key, ts, ident), key, "pos", F.col(loss), "best", inclusive=False)
     x = x.withColumn("bad", F.coalesce(F.col(loss) > F.col("best") * (1 + threshold), F.lit(False)))
-    x = x.withColumn("last_good", F.coalesce(F.max(F.when(~F.col("bad"), F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    return x.groupBy(key).agg(F.min(F.when(F.col("pos") - F.col("last_good") >= patience, F.col("pos"))).alias("stop_at"), F.count("*").alias("steps"))
+    x = running(x, key, "pos", F.when(~F.col("bad"), F.col("pos")), "last_good", least=False)
+    stop = F.min(F.when(F.col("pos") - F.coalesce("last_good", F.lit(0)) >= patience, F.col("pos")))
+    return x.groupBy(key).agg(stop.alias("stop_at"), F.count("*").alias("steps"))
 
 
-def ema_last(rows: DataFrame, key: str, order: list[str], value: str, beta: float) -> DataFrame:
+def ema_last(rows: DataFrame, key: str, ts: str, ident: str, value: str, beta: float) -> DataFrame:
     """The last value of the moving average with bias correction, as one weighted sum."""
-    w = Window.partitionBy(key).orderBy(*order)
-    x = rows.withColumns({"k": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(key))})
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
+    x = by_time(rows, key, ts, ident, "k").join(sizes, key)
     part = F.col(value) * (1 - beta) * F.pow(F.lit(beta), F.col("n") - F.col("k"))
     return x.groupBy(key).agg((F.sum(part) / (1 - F.pow(F.lit(beta), F.max("n")))).alias("ema"), F.max("n").alias("n"))
 

@@ -47,38 +47,47 @@ def verdict_bands(spark, sf_dir):
 
 
 def running_best(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    x = _events(spark, sf_dir).select("user_id", "event_id", "ts", "value", F.min("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("best"))
-    x = x.withColumn("delta", F.col("best") - F.lag("best").over(w))
-    return rounded(x.select("user_id", "event_id", "best", "delta"))
+    """The least value so far at every event of a user, and how far it fell."""
+    x = O.by_time(_events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), "user_id", "ts", "event_id")
+    x = O.running(x, "user_id", "pos", F.col("value"), "best")
+    before = O.running(x, "user_id", "pos", F.col("value"), "before", inclusive=False)
+    return rounded(before.select("user_id", "event_id", "best", (F.col("best") - F.col("before")).alias("delta")))
 
 
 def rolling_penalty(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
-    x = _events(spark, sf_dir).withColumn("rolling", F.avg("value").over(w))
+    x, own = O.last_rows(O.by_time(_events(spark, sf_dir), "user_id", "ts", "event_id"), "user_id", "pos", 9)
+    w = Window.partitionBy("user_id", "_b").orderBy("pos").rowsBetween(-9, 0)
+    x = x.withColumn("rolling", F.avg("value").over(w)).where(own)
     return rounded(x.groupBy("user_id").agg(F.max(F.abs(F.col("value") - F.col("rolling"))).alias("largest"), F.count("*").alias("n")), 10)
 
 
 def leak_detector(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    x = _events(spark, sf_dir).withColumn("before", F.lag("value", 5).over(w)).withColumn("first", F.first("value").over(w))
-    x = x.withColumn("grown", F.col("value") - F.coalesce("before", "first"))
+    """Growth over five rows, or since a user's first."""
+    x = O.by_time(_events(spark, sf_dir), "user_id", "ts", "event_id").select("user_id", "pos", "value")
+    first = x.where("pos = 1").select("user_id", F.col("value").alias("first"))
+    x, own = O.last_rows(x, "user_id", "pos", 5)
+    x = x.withColumn("before", F.lag("value", 5).over(Window.partitionBy("user_id", "_b").orderBy("pos"))).where(own).join(first, "user_id")
+    x = x.withColumn("grown", F.col("value") - F.when(F.col("pos") > 5, F.col("before")).otherwise(F.col("first")))
     return rounded(x.groupBy("user_id").agg(F.max("grown").alias("largest"), F.count(F.when(F.col("grown") > 50, 1)).alias("alarms")))
 
 
 def early_stop(spark, sf_dir):
-    return O.early_stop(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "value", 0.1, 3).select("user_id", F.col("stop_at").cast("long"), "steps")
+    return O.early_stop(_events(spark, sf_dir), "user_id", "ts", "event_id", "value", 0.1, 3).select("user_id", F.col("stop_at").cast("long"), "steps")
 
 
 def ema(spark, sf_dir):
-    return rounded(O.ema_last(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "value", 0.9), 10)
+    return rounded(O.ema_last(_events(spark, sf_dir), "user_id", "ts", "event_id", "value", 0.9), 10)
+
+
+def _placed(spark, sf_dir):
+    """Events with r, their place among a user's, and n, how many the user has."""
+    sizes = _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
+    return O.by_time(_events(spark, sf_dir), "user_id", "ts", "event_id", "r").join(sizes, "user_id")
 
 
 def loss_trend(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    x = _events(spark, sf_dir).withColumns({"r": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("user_id"))})
     q = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
-    x = x.groupBy("user_id").agg(F.avg(F.when(F.col("r") <= q, F.col("value"))).alias("first_quarter"), F.avg(F.when(F.col("r") > F.col("n") - q, F.col("value"))).alias("last_quarter"))
+    x = _placed(spark, sf_dir).groupBy("user_id").agg(F.avg(F.when(F.col("r") <= q, F.col("value"))).alias("first_quarter"), F.avg(F.when(F.col("r") > F.col("n") - q, F.col("value"))).alias("last_quarter"))
     return rounded(x.withColumn("falling", F.col("last_quarter") < F.col("first_quarter")), 10)
 
 
@@ -90,21 +99,18 @@ def monotone_levels(spark, sf_dir):
 
 
 def gpu_steady_stats(spark, sf_dir):
-    per = Window.partitionBy("user_id")
-    x = _events(spark, sf_dir).withColumns({"t0": F.min("ts").over(per), "t1": F.max("ts").over(per)})
-    x = x.where((F.col("ts") >= F.col("t0") + F.expr("INTERVAL 1 HOUR")) & (F.col("ts") <= F.col("t1") - F.expr("INTERVAL 3 MINUTE")))
-    low = Window.partitionBy("user_id").orderBy("value", "event_id")
-    x = x.withColumns({"r": F.row_number().over(low), "n": F.count("*").over(per)})
+    ends = _events(spark, sf_dir).groupBy("user_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    x = _events(spark, sf_dir).join(ends, "user_id").where((F.col("ts") >= F.col("t0") + F.expr("INTERVAL 1 HOUR")) & (F.col("ts") <= F.col("t1") - F.expr("INTERVAL 3 MINUTE")))
+    sizes = x.groupBy("user_id").agg(F.count("*").alias("n"))
+    x = O.stable_rank(x, ["user_id"], "value", "event_id", name="r").join(sizes, "user_id")
     g = x.groupBy("user_id").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 10) + 1, F.col("value"))).alias("p10"),
+        F.max("n").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 10) + 1, F.col("value"))).alias("p10"),
         F.max("value").alias("peak"), F.avg((F.col("value") >= 50).cast("double")).alias("active"))
     return rounded(g.select("user_id", "n", *(F.when(F.col("n") >= 20, F.col(c)).alias(c) for c in ("mean", "median", "p10", "peak", "active"))), 10)
 
 
 def warm_up_skip(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    x = _events(spark, sf_dir).withColumns({"r": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("user_id"))})
-    return rounded(x.where("n <= 10 OR r > 5").groupBy("user_id").agg(F.count("*").alias("kept"), F.avg("value").alias("mean")), 10)
+    return rounded(_placed(spark, sf_dir).where("n <= 10 OR r > 5").groupBy("user_id").agg(F.count("*").alias("kept"), F.avg("value").alias("mean")), 10)
 
 
 def status_counts(spark, sf_dir):
@@ -122,8 +128,9 @@ def parse_log_lines(spark, sf_dir):
 
 
 def advantage(spark, sf_dir):
-    per = Window.partitionBy("user_id")
-    x = _events(spark, sf_dir).select("user_id", "event_id", ((F.col("value") - F.avg("value").over(per)) / F.greatest(F.coalesce(F.stddev_samp("value").over(per), F.lit(0.0)), F.lit(1e-8))).alias("advantage"))
+    e = _events(spark, sf_dir).select("user_id", "event_id", "value")
+    per = e.groupBy("user_id").agg(F.avg("value").alias("m"), F.greatest(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), F.lit(1e-8)).alias("s"))
+    x = e.join(per, "user_id").select("user_id", ((F.col("value") - F.col("m")) / F.col("s")).alias("advantage"))
     return rounded(x.groupBy("user_id").agg(F.max("advantage").alias("top"), F.min("advantage").alias("bottom"), F.count("*").alias("n")), 10)
 
 

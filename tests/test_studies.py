@@ -181,3 +181,23 @@ def test_gates(spark):
     assert (one.rows, one.duplicate_ids, one.duration_mismatches, one.silent, one.missing_columns, one.status) == (2, 1, 2, 1, 1, "fail")
     losses = spark.createDataFrame([(1, 0.1), (2, float("nan")), (3, 0.2), (4, 0.3), (5, float("inf"))], "c int, loss double")
     assert V.stage_gate(losses, losses.where("c <> 1"), ["c"], "loss").first() == (2, "PASSED")
+
+
+def test_running_and_last_rows_over_blocks(spark):
+    rng = random.Random(9)
+    rows = [("hot" if rng.random() < 0.8 else "b", i, rng.randint(0, 100)) for i in range(400)]
+    df = O.by_time(spark.createDataFrame(rows, "k string, i long, v int").withColumn("ts", F.timestamp_seconds((F.col("i") * 7919) % 50)), "k", "ts", "i")
+    low = O.running(df, "k", "pos", F.col("v"), "low", block=16)
+    both = O.running(low, "k", "pos", F.col("v"), "high", least=False, inclusive=False, block=16).collect()
+    from pyspark.sql import Window
+
+    cut, own = O.last_rows(df, "k", "pos", 3, block=16)
+    sums = cut.withColumn("s", F.sum("v").over(Window.partitionBy("k", "_b").orderBy("pos").rowsBetween(-3, 0))).where(own).collect()
+    for k in ("hot", "b"):
+        own_rows = sorted((r for r in rows if r[0] == k), key=lambda r: ((r[1] * 7919) % 50, r[1]))
+        values = [v for _, _, v in own_rows]
+        found = sorted((r for r in both if r.k == k), key=lambda r: r.pos)
+        assert [r.i for r in found] == [i for _, i, _ in own_rows] and [r.pos for r in found] == list(range(1, len(values) + 1))
+        assert [r.low for r in found] == [min(values[: n + 1]) for n in range(len(values))]
+        assert [r.high for r in found] == [max(values[:n], default=None) for n in range(len(values))]
+        assert [r.s for r in sorted((r for r in sums if r.k == k), key=lambda r: r.pos)] == [sum(values[max(0, n - 3) : n + 1]) for n in range(len(values))]
