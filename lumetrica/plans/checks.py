@@ -141,17 +141,17 @@ def pack_documents(spark, sf_dir):
 
 
 def _cover(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    base = e.where("event_type = 'error'").groupBy(F.col("user_id").alias("unit")).agg(F.count("*").alias("base_count"))
-    heads = e.withColumn("head", (F.col("event_id") % 97).cast("int"))
-    masked = base.crossJoin(F.broadcast(heads.select("head").distinct())).join(
-        heads.where("event_type = 'error'").groupBy(F.col("user_id").alias("unit"), "head").agg(F.count("*").alias("hits")), ["unit", "head"], "left")
-    return base, masked.select("head", "unit", (F.col("base_count") - F.coalesce("hits", F.lit(0))).alias("count"))
+    """Errors by user, and what is left of them without each head's; only users that a head has errors of are listed with it."""
+    e = table(spark, sf_dir, "events").withColumn("head", (F.col("event_id") % 97).cast("int"))
+    errors = e.where("event_type = 'error'").select(F.col("user_id").alias("unit"), "head")
+    base = errors.groupBy("unit").agg(F.count("*").alias("base_count"))
+    masked = errors.groupBy("unit", "head").agg(F.count("*").alias("hits")).join(base, "unit")
+    return base, masked.select("head", "unit", (F.col("base_count") - F.col("hits")).alias("count"), "hits"), e.select("head").distinct()
 
 
 def coverage_edges(spark, sf_dir):
-    base, masked = _cover(spark, sf_dir)
-    return C.coverage_edges(base, masked)
+    base, masked, _ = _cover(spark, sf_dir)
+    return C.coverage_edges(base, masked.drop("hits"))
 
 
 def greedy_cover(spark, sf_dir):
@@ -160,8 +160,10 @@ def greedy_cover(spark, sf_dir):
 
 
 def head_scores(spark, sf_dir):
-    base, masked = _cover(spark, sf_dir)
-    x = base.join(masked, "unit").groupBy("head").agg(F.sum("base_count").alias("before"), F.sum("count").alias("after"), F.count(F.when(F.col("count") < F.col("base_count"), 1)).alias("helped"))
+    base, masked, heads = _cover(spark, sf_dir)
+    hits = masked.groupBy("head").agg(F.sum("hits").alias("hits"), F.count("*").alias("helped"))
+    x = heads.join(hits, "head", "left").crossJoin(F.broadcast(base.agg(F.sum("base_count").alias("before"))))  # one row
+    x = x.select("head", "before", (F.col("before") - F.coalesce("hits", F.lit(0))).alias("after"), F.coalesce("helped", F.lit(0)).alias("helped"))
     return rounded(x.withColumn("delta", (F.col("before") - F.col("after")) / F.col("before")))
 
 
