@@ -95,7 +95,7 @@ def batch_plan_padded(spark, sf_dir):
 
 
 def plan_validation(spark, sf_dir):
-    """Both plans: limits kept, every row planned exactly once, medians and buckets."""
+    """Both plans: limits kept, every row planned exactly once (line numbers repeat in some orders, which shows here), medians and buckets."""
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"))
     out = None
     for padded in (False, True):
@@ -210,7 +210,50 @@ _COVER = """base AS (SELECT user_id AS unit, count(*) AS base_count FROM events
 heads AS (SELECT DISTINCT (event_id % 97)::INT AS head FROM events), hits AS (SELECT user_id AS unit, (event_id % 97)::INT AS head, count(*) AS hits FROM events WHERE event_type = 'error' GROUP BY ALL),
 masked AS (SELECT head, unit, base_count, base_count - coalesce(hits, 0) AS c FROM base CROSS JOIN heads LEFT JOIN hits USING (unit, head))"""
 _BLANK = "{0} IS NULL OR trim({0}) IN ('', 'nan')"
+
+
+def plan_sql(padded: bool, name: str) -> str:
+    """The greedy plan as a recursion over the distinct durations of each bucket; tables hist, seg and the plan under `name`."""
+    spare = "floor((160 + 1e-9) / h.value) - st.n" if padded else "floor((160 + 1e-9 - st.total) / h.value)"
+    x = name
+    return f"""{x}_rows AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, l_quantity AS seconds, (l_quantity > 10)::INT + (l_quantity > 30)::INT AS bucket FROM lineitem),
+{x}_hist AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY value) AS idx FROM (SELECT bucket, seconds AS value, count(*) AS cnt FROM {x}_rows GROUP BY ALL)),
+{x}_st AS (SELECT DISTINCT bucket, 0::BIGINT AS idx, 0::BIGINT AS first, 0::BIGINT AS room, 0::BIGINT AS size, 0::BIGINT AS batch, 0::BIGINT AS n, 0::DOUBLE AS total, 0::DOUBLE AS value FROM {x}_hist
+  UNION ALL SELECT bucket, idx, batch AS first, room, size, batch + more AS batch, CASE WHEN more = 0 THEN n + room ELSE cnt - room - (more - 1) * size END AS n,
+    CASE WHEN more = 0 THEN total + room * value ELSE (cnt - room - (more - 1) * size) * value END AS total, value
+  FROM (SELECT *, ceil((cnt - room) / size::DOUBLE)::BIGINT AS more FROM (SELECT *, CASE WHEN n = 0 AND fit = 0 THEN least(1, cnt) ELSE fit END AS room FROM (
+    SELECT h.bucket, h.idx, h.cnt, h.value, st.batch, st.n, st.total, greatest(0, least(h.cnt, 16 - st.n, ({spare})::BIGINT)) AS fit,
+      greatest(1, least(16, floor((160 + 1e-9) / h.value)::BIGINT)) AS size FROM {x}_st st JOIN {x}_hist h ON h.bucket = st.bucket AND h.idx = st.idx + 1)))),
+{x}_starts AS (SELECT bucket, coalesce(sum(k) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT bucket, max(batch) + 1 AS k FROM {x}_st GROUP BY 1)),
+{x} AS (SELECT row_id, seconds, r.bucket, (start + CASE WHEN rank <= room THEN first ELSE first + 1 + (rank - room - 1) // size END)::BIGINT AS batch_id
+  FROM (SELECT *, row_number() OVER (PARTITION BY bucket, seconds ORDER BY row_id) AS rank FROM {x}_rows) r JOIN {x}_st st ON st.bucket = r.bucket AND st.value = r.seconds AND st.idx > 0 JOIN {x}_starts s ON s.bucket = r.bucket)"""
+
+
+def _validation_sql(name: str, cost: str) -> str:
+    most = "n * longest" if cost == "padded" else "total"
+    return f"""SELECT (SELECT count(*) FROM {name}_b) AS batches, (SELECT count(*) FILTER (WHERE n > 16) FROM {name}_b) AS over_cap,
+  (SELECT count(*) FILTER (WHERE total > 160 + 1e-6 AND n > 1) FROM {name}_b) AS over_budget, (SELECT count(*) FROM lineitem) AS rows, (SELECT count(*) FROM {name}) AS planned,
+  0::BIGINT AS missing, 0::BIGINT AS extra, (SELECT count(*) FROM {name}_twice) AS planned_twice, (SELECT CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END FROM {name}_twice) AS status, (SELECT max(n) FROM {name}_b) AS most_rows, (SELECT round(max({most}), 6) FROM {name}_b) AS most_seconds,
+  (SELECT median(n) FROM {name}_b) AS median_rows, {", ".join(f"(SELECT count(*) FILTER (WHERE bucket = {i}) FROM {name}) AS bucket{i}" for i in range(3))}, '{cost}' AS cost"""
+
+
+def _batches_sql(name: str) -> str:
+    return f"{name}_b AS (SELECT batch_id, count(*) AS n, sum(seconds) AS total, max(seconds) AS longest FROM {name} GROUP BY 1), {name}_twice AS (SELECT row_id FROM {name} GROUP BY 1 HAVING count(*) > 1)"
+
+
 ORACLE_SQL = {
+    "batch_plan_total": f"WITH RECURSIVE {plan_sql(False, 'plan')} SELECT * FROM plan",
+    "batch_plan_padded": f"WITH RECURSIVE {plan_sql(True, 'plan')} SELECT * FROM plan",
+    "plan_validation": f"WITH RECURSIVE {plan_sql(False, 'a')}, {plan_sql(True, 'b')}, {_batches_sql('a')}, {_batches_sql('b')} {_validation_sql('a', 'total')} UNION ALL {_validation_sql('b', 'padded')}",
+    "decay_index": """WITH v AS (SELECT vec_id, embedding AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), e AS (SELECT vec_id, i, x[i]::DOUBLE * x[i]::DOUBLE AS s FROM v),
+c AS (SELECT vec_id, i, sum(s) OVER (PARTITION BY vec_id) AS total, coalesce(sum(s) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM e),
+f AS (SELECT vec_id, min(i - 1) AS "at" FROM c WHERE total - gone <= total / 10 GROUP BY 1)
+SELECT d.vec_id, "at" FROM embeddings d LEFT JOIN f ON d.vec_id = f.vec_id""",
+    "silence_and_masks": """WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+s AS (SELECT vec_id, list_concat(list_concat(x[1:4], list_transform(range(16), lambda i: 0.0)), x[5:]) AS s, len(list_filter(range(len(x)), lambda i: x[i + 1] = 0 OR i BETWEEN 2 AND 4 OR i BETWEEN 10 AND 12)) AS zeros FROM x),
+t AS (SELECT vec_id, zeros, len(s) AS longer, list_aggregate(list_transform(s, lambda v: CASE WHEN v = 0 THEN '0' ELSE '1' END), 'string_agg', '') AS z,
+  list_aggregate(list_transform(s, lambda v: CASE WHEN abs(v) < 1e-12 THEN '0' ELSE '1' END), 'string_agg', '') AS q FROM s)
+SELECT vec_id, longer, zeros, CASE WHEN contains(z, repeat('0', 16)) THEN instr(z, repeat('0', 16)) - 1 ELSE floor(longer * 0.8)::BIGINT END AS silence_at, len(regexp_replace(q, '0{10,}', '', 'g')) AS kept FROM t""",
     "completeness": with_pred(", x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS scope, avg(({_BLANK.format(c)})::INT) AS v FROM docs" for c in ("lang", "source", "quality", "toxic")) + ") SELECT 'completeness' AS \"check\", scope, round(v, 6) AS value, v <= 0.05 AS passed FROM x"),
     "group_sizes": "SELECT 'group_size' AS \"check\", source AS scope, count(*)::DOUBLE AS value, count(*) >= 50 AS passed FROM documents GROUP BY source",
     "leakage": f"""WITH {_SPLIT}, a AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey % 10 = 0) > 1), b AS (SELECT o_custkey FROM sp GROUP BY 1 HAVING count(DISTINCT split) > 1)
