@@ -593,6 +593,6 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_gives_a_row_for_each_document(spark, sf_dir, name):
-    table = "pages" if name.startswith("op3") else "documents"
+    table = "pages" if name.startswith(("op3", "url")) else "documents"
     n = QUERIES[name](spark, sf_dir).count()
     assert n > 0 and (name.startswith("op2") or n == spark.read.parquet(f"{sf_dir}/{table}.parquet").count())
