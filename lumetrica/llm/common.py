@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task works on at a time; one longer text makes a block of its own.
 BLOCK_BYTES = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Spark deletes the shuffle files of a query at its end where this is set.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a stash is written: Spark deletes the query's shuffle files at its end, and batches for Python stay small.
+WHILE_STASHING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 #: Paths of stashes, a list for each scratch block that is open.
 _scopes: list[list[str]] = []
 
@@ -54,15 +54,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WHILE_STASHING}
+    for k, v in WHILE_STASHING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     system, target = _file_system(spark, path)
     system.deleteOnExit(target)
     if _scopes:
@@ -139,7 +141,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_binary())
+    column = (pc.fill_null(column, "") if column.null_count else column).cast(pa.large_binary())  # only nulls cost a copy
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.empty(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]

@@ -70,7 +70,7 @@ def split(text: bytes) -> list[bytes]:
 class Words:
     """Distinct words, each with a row in the order of first meeting (within a block in any order)."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 120_000):
         self.limit, self.row_of = limit, {}
 
     def full(self) -> bool:
@@ -95,7 +95,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_col: str):
             yield batch, start, stop, [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
 
 
-def _count_words(text_col: str, limit: int = 250_000):
+def _count_words(text_col: str, limit: int = 120_000):
     """(word, n) of a task's texts; the end of a text is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
