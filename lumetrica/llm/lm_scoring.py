@@ -368,7 +368,8 @@ def _averaged(grouped, state, rate: float, least_steps: int) -> np.ndarray | Non
     """The mean of the copies that groups of windows (by shard) train; None without windows."""
     learn = _learn(state, rate, least_steps)
     copies = grouped.applyInArrow(lambda key, own: learn(own, key[0].as_py()), "slot int, value long")
-    sums = copies.groupBy("slot").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()  # SIZE + 1 rows
+    sums = copies.groupBy("slot").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"))
+    sums = stash(sums, "copies").collect()  # SIZE + 1 rows; the windows' shuffle files go with the writing
     if not sums:
         return None
     values = {r["slot"]: int(r["value"]) for r in sums}
