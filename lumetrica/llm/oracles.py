@@ -70,6 +70,19 @@ places AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, i,
 items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, id FROM hits) GROUP BY rid)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)""",
+    "op11_collocations": f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lower("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g, list_slice(w, i, i + n - 1) AS words, count(*) AS f
+  FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n)) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE n = 1 GROUP BY lang),
+c AS (SELECT lang, n, g, words, f AS a, unnest(range(1, n)) AS k FROM g WHERE n > 1 AND f >= 10),
+cut AS (SELECT c.lang, c.n, c.g, c.words, c.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN g x ON x.lang = c.lang AND x.g = array_to_string(list_slice(c.words, 1, k), ' ') JOIN g y ON y.lang = c.lang AND y.g = array_to_string(list_slice(c.words, k + 1, c.n), ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_part AS (SELECT lang, array_to_string(list_slice(words, i, i + 1), ' ') AS g, max(f) AS longer FROM (SELECT lang, words, f, unnest([1, 2]) AS i FROM g WHERE n = 3 AND f >= 10) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_part p ON p.lang = b.lang AND p.g = b.g AND b.n = 2 WHERE p.longer IS NULL OR 100 * p.longer < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, total.n AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) <= 2000""",
     "url_rules": f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, {_lower("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
 SELECT page_id, host, path, {_rule_cases(0)} AS rule, {_rule_cases(1)} AS verdict FROM h""",

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import op11_collocations
 from .decontamination import op4_decontamination
 from .document_fingerprints import op8_document_fingerprints
 from .language_id import op6_language_id
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_collocations": op11_collocations,
     **_PARTS,
 }
 
