@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .collocations import op11_collocations
 from .decontamination import op4_decontamination
+from .divergence import op12_source_divergence
 from .document_fingerprints import op8_document_fingerprints
+from .html_extraction import op13_html_extraction
 from .language_id import op6_language_id
 from .license_scan import op9_license_scan
 from .lm_scoring import op10_lm_scoring
@@ -32,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_collocations": op11_collocations,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_html_extraction": op13_html_extraction,
     **_PARTS,
 }
 
