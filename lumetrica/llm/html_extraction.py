@@ -51,6 +51,15 @@ BORDERS = frozenset("ul ol menu dl table body html".split())
 #: Ancestors that say something by their tag.
 TELLING = frozenset("address article aside blockquote details dialog dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header li main menu nav ol p pre section table td th ul".split())
 
+PARTS = frozenset("in:article in:aside in:details in:dialog in:footer in:form in:header in:hidden in:main in:menu in:nav".split())
+
+# Words that short blocks of boilerplate hold.
+CUES = frozenset("""
+abonnieren accept accueil advert advertisement anzeige archives aviso categories click comment comentarios commentaires comments contact contacto cookie cookies copyright datenschutz decline email
+facebook impressum imprint inicio javascript kommentare kontakt legal login menu newsletter password policy popular posted powered privacy publicidad publicité related reply reserved share sitemap
+sponsored startseite submit subscribe suscribirse tags terms tweet
+""".split())
+
 _TAG = re.compile(r"""<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -117,6 +126,19 @@ def _told(name: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+def _near(stack: list[tuple[str, tuple[str, ...]]]) -> list[str]:
+    """What the two innermost elements that are parts of a page say; `plain` if there is none."""
+    out: list[str] = []
+    sides = ["near", "then"]
+    for _, own in reversed(stack[-32:]):
+        if found := [x for x in own if x.startswith("name:") or x in PARTS]:
+            side = sides.pop(0)
+            out += [f"{side}:{x}" for x in found]
+            if not sides:
+                break
+    return out or ["plain"]
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The runs of text between borders of block elements, in page order, those without text left out."""
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -128,7 +150,7 @@ def leaf_blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             if around is None:
-                around = tuple(told)
+                around = (*told, *_near(stack))
             out.append(Block(text, next((x for x, _ in reversed(stack[-8:]) if x in BLOCK_TAGS), ""), around, linked, started))
         parts, linked = [], 0
 
@@ -230,7 +252,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
         if "©" in x.text or "(c)" in x.text:
             own.append("copyright")
         if words <= 16:
-            own += {f"word:{w}" for w in re.findall(r"[^\W\d_]+", x.text.lower())}
+            own += [f"word:{w}" for w in sorted(CUES.intersection(re.findall(r"[^\W\d_]+", x.text.lower())))]
         out.append([*own, *x.around])
     return out
 
@@ -264,7 +286,7 @@ class Field:
         return [*reversed([*out, label])]
 
 
-def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 120, ridge: float = 1.0, least: int = 3) -> Field:
+def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 150, ridge: float = 0.3, least: int = 3) -> Field:
     """The field of greatest regularised likelihood: forward and backward sums over all pages at once, steps by Adam.
 
     Features that fewer than `least` blocks have are left out.
@@ -354,10 +376,10 @@ def _paragraph(rng: random.Random) -> str:
 def _content(rng: random.Random) -> str:
     """Blocks of an article, each with MARK."""
     out = []
-    if rng.random() < 0.85:
-        title = f"<h1>{MARK}{_sentence(rng, rng.randint(2, 12))}</h1>"
-        out.append(f"<header>{title}</header>" if rng.random() < 0.15 else title)
-    for _ in range(rng.choice([1, 2, 4, 7, 12, 20])):
+    if (how := rng.random()) < 0.75:
+        title = f"<{(tag := 'h1' if how < 0.6 else 'h2')}>{MARK}{_sentence(rng, rng.randint(1, 12))}</{tag}>"
+        out.append(f"<header>{title}{_part(rng, 'share') if rng.random() < 0.3 else ''}</header>" if rng.random() < 0.3 else title)
+    for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 7, 12, 20])):
         kind, text = rng.random(), MARK + _paragraph(rng)
         if rng.random() < 0.15:
             text += f' <a href="#">{_sentence(rng, 3)}</a> {_sentence(rng, 4)}'
@@ -377,8 +399,8 @@ def _content(rng: random.Random) -> str:
             out.append("<table>" + "".join(f"<tr><td>{MARK}{_sentence(rng, 2)}</td><td>{MARK}{_sentence(rng, 1)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>")
         else:
             out.append(f"<div>{text}</div>")
-        if rng.random() < 0.05:
-            out.append(_part(rng, rng.choice(["advert", "share", "sidebar", "form", "notice"])))
+        if rng.random() < 0.12:
+            out.append(_part(rng, rng.choice(["advert", "advert", "share", "sidebar", "form", "notice"])))
     return "".join(out)
 
 
@@ -392,12 +414,13 @@ def _part(rng: random.Random, kind: str) -> str:
             inner = f"<h{(n := rng.randint(2, 4))}>{said()}</h{n}>" * (rng.random() < 0.5) + inner + f"<p>{said()} {_paragraph(rng)}</p>" * (rng.random() < 0.4)
     elif kind == "comments":
         one = lambda: rng.choice([
-            f"<div class='comment'><b>{_sentence(rng, 2)}</b><p>{_paragraph(rng)}</p></div>", f"<li><p>{_paragraph(rng)}</p>{link('Reply')}</li>", f"<article class='comment-body'><p>{_paragraph(rng)}</p></article>"])
+            f"<div class='comment'><b>{_sentence(rng, 2)}</b><p>{_paragraph(rng)}</p></div>", f"<li><p>{_paragraph(rng)}</p>{link('Reply')}</li>", f"<article class='comment-body'><p>{_paragraph(rng)}</p></article>",
+            f"<article><p>{_paragraph(rng)}</p></article>", f"<p>{_paragraph(rng)}</p>", f"<div><p>{_paragraph(rng)}</p><p>{_paragraph(rng)}</p></div>"])
         inner = f"<h{(n := rng.randint(2, 4))}>{said()}</h{n}>" + "".join(one() for _ in range(rng.randint(1, 6))) + f"<form><label>{said()}</label><input name=c></form>" * (rng.random() < 0.4)
     elif kind == "form":
         inner = f"<p>{said()} {_sentence(rng, 8)}</p>" * (rng.random() < 0.6) + f"<label>{said()}</label><input name='q'><button>{said()}</button>"
     else:
-        inner = rng.choice([f"<p>{said()} {_paragraph(rng)}</p>", f"<p>{said()}</p>", said(), f"{_sentence(rng, rng.randint(3, 14))} {_sentence(rng, 6)}", f"<div>{said()}</div>{link(said())}"])
+        inner = rng.choice([f"<p>{said()} {_paragraph(rng)}</p>", f"<p>{_paragraph(rng)}</p><p>{_paragraph(rng)}</p>", _paragraph(rng), f"<h1>{said()}</h1>", f"<p>{said()}</p>", said(), f"{_sentence(rng, rng.randint(3, 14))} {_sentence(rng, 6)}", f"<div>{said()}</div>{link(said())}"])
     tag = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form", "comments": "section", "advert": "aside"}.get(kind, "div")
     name = rng.choice(NAMES[kind].split())
     how = rng.random()
@@ -417,22 +440,31 @@ def generated(count: int, seed: int = 13) -> list[str]:
         inner = _content(rng)
         how, name = rng.random(), rng.choice(NAMES["content"].split())
         after = some("share", 0.3) + some("comments", 0.35) + some("advert", 0.15)
-        if how < 0.35:
+        if how < 0.3:
             inner = f"<article>{inner}{after if rng.random() < 0.5 else ''}</article>{after if rng.random() < 0.5 else ''}"
-        elif how < 0.5:
+        elif how < 0.42:
             inner = f"<main>{inner}</main>{after}"
-        elif how < 0.85:
+        elif how < 0.78:
             inner = f'<{(tag := rng.choice(["div", "div", "section"]))} {rng.choice(["class", "id"])}="{name}{rng.choice(["", "", "-wrap", "_box", " x1"])}">{inner}</{tag}>{after}'
-        elif how < 0.92:
+        elif how < 0.83:
             inner = f"<table><tr><td>{some('menu', 0.7)}</td><td>{inner}</td></tr></table>{after}"
-        else:
+        elif how < 0.9:
             inner = f"<div>{inner}</div>{after}"
+        else:
+            inner += after
         before = some("notice", 0.25) + some("header", 0.5) + some("menu", 0.7) + some("advert", 0.3) + some("form", 0.15) + some("sidebar", 0.15)
         behind = some("sidebar", 0.4) + some("advert", 0.2) + some("form", 0.2) + some("comments", 0.1) + some("footer", 0.8) + some("notice", 0.15)
+        if rng.random() < 0.3:
+            within = rng.choice(["main", "main", f'div class="{rng.choice(NAMES["content"].split())}"', 'div id="main"', "section"])
+            inner = f"<{within}>{inner}{some('sidebar', 0.3)}</{within.split()[0]}>"
         if rng.random() < 0.3:
             inner = f'<div id="{rng.choice(["page", "wrapper", "container", "wrap", "box", "outer"])}"><section>{inner}</section></div>'
         if rng.random() < 0.03:
             inner = f'<form action="/" id="page">{inner}</form>'
+        if (how := rng.random()) < 0.1:
+            before = behind = ""
+        elif how < 0.13:
+            inner = ""
         out.append(f"<html><head><title>{_sentence(rng, 4)}</title><style>p{{}}</style></head><body>{before}{inner}{behind}<script>var t='<p>x</p>';</script></body></html>")
     return out
 
@@ -464,7 +496,7 @@ def main_text(page: str, field: Field) -> str:
     return "\n\n".join(x.text for x, content in zip(blocks, field.labels(blocks), strict=True) if content)
 
 
-def fit(pages: DataFrame, html_col: str = "html", sample: int = 128, made: int = 500) -> Field:
+def fit(pages: DataFrame, html_col: str = "html", sample: int = 128, made: int = 700) -> Field:
     """A field of `made` generated pages and up to `sample` pages of the table."""
     hashed = F.xxhash64(named(html_col))
     short = pages.where(F.length(named(html_col)) <= SAMPLE_CHARS)
