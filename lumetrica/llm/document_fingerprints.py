@@ -1,20 +1,17 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text falls into tokens at its spaces; a token of over `long` characters gives way
-to all its runs of `piece` characters, one from each place, so that what is inserted
-before a run does not change it.  Over the token hashes go k-gram hashes,
-rolled up by doubling, and of every `window` of them in a row the smallest is
+Every text is a run of characters (code points), with or without spaces.  Each k of them in a
+row have a hash, and of every `window` such hashes in a row the smallest is
 kept, on ties the rightmost, with its place.  Two texts that share k + window - 1
-tokens in a row share a kept hash there; so do two that share over `long` characters
-without a space.  Texts of fewer tokens than k keep the one
-hash of all they have, texts of fewer hashes than a window the smallest of all;
-an empty text keeps nothing.
+characters in a row share a kept hash there, wherever it stands in either.
+Texts shorter than k have one hash of all they have, texts of fewer hashes than
+a window keep the smallest of all; an empty text keeps nothing.
 
 Hash and place share one long, so that a single minimum finds both: the upper
-36 bits are the hash, the lower 28 are 2**28 - 1 less the place (a token's number
-in its text), by which the rightmost of equal hashes is the smallest.  Hashes of k
-tokens and minima over a window come from log2 passes, each over pairs that lie
-twice as far apart; both sizes are powers of two.
+36 bits are the hash, the lower 28 are 2**28 - 1 less the place (a character's number
+in its text), by which the rightmost of equal hashes is the smallest.  Minima over a
+window come from log2 passes, each over pairs that lie twice as far apart; the window is a
+power of two.
 
 Likeness of two fingerprints: the share of kept hashes that both have among
 those that either has; two empty ones are alike (1).
@@ -22,7 +19,7 @@ those that either has; two empty ones are alike (1).
 Nulls: a null text counts as empty.  Rows follow each other by descending id
 (null ids last), then by text; after the last comes the first.  Equal rows follow each other.
 A table of one row is its own next.  An empty table gives an empty result.  A text may have
-2**28 tokens at most.  Only the id and the text are read, so other columns may have any name.
+2**28 characters at most.  Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -36,27 +33,8 @@ PLACE_BITS = 28
 PLACES = (1 << PLACE_BITS) - 1
 
 
-def tokens(text: Column, long: int = 32, piece: int = 8) -> Column:
-    """What stands between spaces; what is over `long` characters in pieces of `piece`, each of which begins at the token's start."""
-
-    def cut(found: Column) -> Column:
-        cuts = F.transform(found, lambda x: F.when(F.length(x) > long, F.regexp_extract_all(x, F.lit(rf"(?s).{{1,{piece}}}"), F.lit(0))).otherwise(F.array(x)))
-        return F.when(F.exists(found, lambda x: F.length(x) > long), F.flatten(cuts)).otherwise(found)
-
-    return _once(F.split(text, " "), cut)
-
-
-def token_hashes(text: Column, long: int = 32, piece: int = 8) -> Column:
-    """A hash for each token, or for each run of `piece` (a power of two) characters of a token of over `long`."""
-
-    def rolled(x: Column) -> Column:
-        return _once(F.transform(F.split(x, ""), lambda c: F.xxhash64(c)), lambda h: _pairs(h, 1, piece, lambda a, b: F.xxhash64(a, b)))
-
-    def hashes(found: Column) -> Column:
-        parts = F.transform(found, lambda x: F.when(F.length(x) > long, rolled(x)).otherwise(F.array(F.xxhash64(x))))
-        return F.when(F.exists(found, lambda x: F.length(x) > long), F.flatten(parts)).otherwise(F.transform(found, lambda x: F.xxhash64(x)))
-
-    return _once(F.split(text, " "), hashes)
+#: Windows of one segment; a text is gone through segment by segment, so that only what is kept grows with it.
+SEGMENT = 1 << 13
 
 
 def _once(value: Column, then) -> Column:
@@ -64,27 +42,35 @@ def _once(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
 
 
-def _pairs(values: Column, reach: int, size: int, join) -> Column:
-    """Each value joined with that `reach` later, doubled until `size` in a row are in; `size` values at least."""
-    if reach == size:
+def _least(values: Column, reach: int, window: int) -> Column:
+    """The least of each `window` (a power of two) of values in a row, `window` values at least: pairs that lie twice as far apart each time."""
+    if reach == window:
         return values
-    whole = F.greatest(F.size(values) - reach, F.lit(1))
     later = F.slice(values, reach + 1, F.size(values))
-    return _once(F.slice(F.zip_with(values, later, join), 1, whole), lambda x: _pairs(x, 2 * reach, size, join))
+    return _once(F.slice(F.zip_with(values, later, lambda a, b: F.least(a, b)), 1, F.size(values) - reach), lambda x: _least(x, 2 * reach, window))
 
 
-def winnowed(text: Column, k: int = 4, window: int = 8) -> Column:
+def winnowed(text: Column, k: int = 8, window: int = 16) -> Column:
     """array<bigint> of kept hashes with their places, by place."""
-    if min(k, window) < 1 or k & (k - 1) or window & (window - 1):
-        raise ValueError("k and window must be powers of two")
-    hashes = token_hashes(text)
-    placed = lambda h: F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i))
-    # fewer tokens than k make one hash of all, fewer hashes than a window one minimum of all
-    rolled = lambda h: F.when(F.size(h) < k, F.array(F.xxhash64(h))).otherwise(_pairs(h, 1, k, lambda a, b: F.xxhash64(a, b)))
-    least = lambda g: F.when(F.size(g) < window, F.array(F.array_min(g))).otherwise(_pairs(g, 1, window, lambda a, b: F.least(a, b)))
-    grams = _once(hashes, lambda h: _once(rolled(h), placed))
-    kept = F.array_distinct(_once(grams, least))
-    return F.when(F.length(text) > 0, kept).otherwise(F.array().cast("array<bigint>"))
+    if window < 1 or window & (window - 1) or k < 1:
+        raise ValueError("k must be positive, window a power of two")
+    chars = F.encode(text, "UTF-32")  # four bytes a character, so that a run of them is found without a search
+
+    def gram(points: Column, i: Column) -> Column:
+        return F.xxhash64(F.substring(points, 4 * i + 1, F.lit(4 * k))).bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - i.cast("long"))
+
+    def minima(points: Column, first: Column, grams: Column) -> Column:
+        """The least hash of every window that begins in a segment."""
+        last = F.least(first + (SEGMENT + window - 2), grams - 1)
+        return _once(F.transform(F.sequence(first, last), lambda i: gram(points, i)), lambda g: _least(g, 1, window))
+
+    def kept(points: Column) -> Column:
+        grams = F.greatest(F.lit(1), F.floor(F.length(points) / 4).cast("int") - (k - 1))  # of a text shorter than k, one gram of all it has
+        few = F.array(F.array_min(F.transform(F.sequence(F.lit(0), grams - 1), lambda i: gram(points, i))))
+        begins = F.sequence(F.lit(0), F.greatest(grams - window, F.lit(0)), F.lit(SEGMENT))
+        return F.when(grams < window, few).otherwise(F.flatten(F.transform(begins, lambda first: F.array_distinct(minima(points, first, grams)))))
+
+    return F.when(F.length(text) > 0, F.array_distinct(_once(chars, kept))).otherwise(F.array().cast("array<bigint>"))
 
 
 def hashes_of(kept: Column) -> Column:
@@ -137,13 +123,13 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Co
     return rows.withColumns(after).where(F.col(halo) == 0).select(*columns, *after)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, window: int = 8) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, window: int = 16) -> DataFrame:
     """docs with `kept` (array<bigint>), `hashes` and `places`."""
     kept = docs.withColumn("kept", winnowed(F.coalesce(text_col, F.lit("")), k, window))
     return kept.withColumns({"hashes": hashes_of(F.col("kept")), "places": places_of(F.col("kept"))})
 
 
-def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, window: int = 8) -> DataFrame:
+def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, window: int = 16) -> DataFrame:
     """Each text's fingerprint beside that of an edit of it (its second half gives way to the next text's beginning)."""
     rows = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     rows = with_next(rows, "id", "text", {"kept": winnowed(F.col("text"), k, window)}).withColumn("n_chars", F.length("text").cast("long"))
