@@ -21,7 +21,7 @@ nothing passes it are done in the first pass and never shuffled.
 Words are compared by 64-bit hashes.
 
 Nulls: a null text has no words.  An item without words has no window.  A null
-item_id is left out.  An id on several items counts once in the lists; repeated
+item_id counts as the empty one.  An id on several items counts once in the lists; repeated
 documents each give a row.  An empty benchmark leaves every document clean, an
 empty table gives an empty result.  A very long text is one row of its task and
 of the rows that are joined back.  Columns of any name pass through.
@@ -241,7 +241,7 @@ def find_contamination(
         raise ValueError(f"columns in the way: {sorted(clash)}")
     spark = docs.sparkSession
     own = docs.columns
-    items = benchmark.select(named(item_col).cast("string").alias("item"), named(item_text).alias("text")).where("item IS NOT NULL")
+    items = benchmark.select(F.coalesce(named(item_col).cast("string"), F.lit("")).alias("item"), named(item_text).alias("text"))
     postings = items.mapInArrow(_item_postings(k, window), "size int, hash long, around array<long>, item string")
     postings = stash(postings.distinct(), "benchmark-fingerprints")
     sizes = sorted(r["size"] for r in postings.select("size").distinct().collect())  # `window` numbers at most

@@ -60,7 +60,7 @@ QUERIES = {"url_rules": url_rules, "edited_digests": edited_digests, "license_ba
 
 ORACLE_SQL = {
     "op4_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words('text')} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS id, {_words('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS id, {_words('text')} AS w FROM benchmark),
 bn AS (SELECT id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM bn, unnest(range(1, len(w) - n + 2)) t(i)),
 sizes AS (SELECT DISTINCT n FROM bn),
