@@ -6,9 +6,10 @@ shard fits.  The split needs no pass per bit: bytes are summed once per cell of
 `depth` bits, and a row's shard is the shortest prefix of its cell whose sum fits.
 
 Rows with one id share a hash, and cells may still be too large: rows of a cell
-over the limit go on with bits of a second hash, of the row's id, text and number in the stashed table, which tells
+over the limit go on with bits of a second hash, of the row's id, text and number among equal rows, which tells
 repeats apart; again one sum per cell finds the shortest prefix that fits.  A row that
-is over the limit by itself is a shard of its own (marked `oversized`).
+is over the limit by itself is a shard of its own (marked `oversized`).  Shards depend on the rows alone, not on how files
+or partitions hold them: equal rows are numbered by partition, with the counts of the partitions before.
 
 Nulls: a null id counts as the empty text, a null text as 0 bytes.  Repeated rows each have a shard.  An
 empty table gives no shards.  Only the id and the text are read, so other columns may have any name (but
@@ -17,7 +18,7 @@ for `shard` where shards are written).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import free, named, stash, table
@@ -38,6 +39,15 @@ def directory(cells: DataFrame, key: list[str], depth: int, max_bytes: int) -> D
     return cells.join(least, [*key, "cell"], "left")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with the number (from 0) of each among those of its id and text; a row's upper bits are its partition, so that no group meets in one task."""
+    rows = rows.withColumn("part", F.shiftright("row", 33))
+    before = Window.partitionBy("h", "t").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition that has any
+    starts = rows.groupBy("h", "t", "part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = Window.partitionBy("h", "t", "part").orderBy("row")
+    return rows.join(starts, ["h", "t", "part"]).withColumn("number", F.col("start") + F.row_number().over(within) - 1).drop("start", "part")
+
+
 def _assigned(rows: DataFrame, max_bytes: int, depth: int | None, deeper: int) -> DataFrame:
     """rows (id, bytes, h, t, row; row tells them apart) with shard and oversized instead of h and t."""
     if depth is None:
@@ -49,13 +59,13 @@ def _assigned(rows: DataFrame, max_bytes: int, depth: int | None, deeper: int) -
     rows = rows.join(cells, "cell")
     name = lambda h, bits, of: F.substring(F.lpad(F.conv(F.lpad(F.hex(h), 16, "0"), 16, 2), 64, "0"), F.lit(1), F.coalesce(bits, F.lit(of)).cast("int"))
     plain = rows.where("bits IS NOT NULL").select("id", "row", "bytes", name(F.col("h"), F.col("bits"), depth).alias("shard"), F.lit(False).alias("oversized"))
-    rest = rows.where("bits IS NULL").drop("bits").withColumn("h2", F.xxhash64(F.lit(7), "h", "t", "row")).withColumnRenamed("cell", "first")
+    rest = _numbered(rows.where("bits IS NULL").drop("bits")).withColumn("h2", F.xxhash64(F.lit(7), "h", "t", "number")).withColumnRenamed("cell", "first")
     rest = rest.withColumn("cell", _prefix(F.col("h2"), deeper)).withColumn("alone", F.col("bytes") > max_bytes)
     second = rest.where("NOT alone").groupBy("first", "cell").agg(F.sum("bytes").alias("bytes"))
     second = directory(second, ["first"], deeper, max_bytes).select("first", "cell", "bits")
     rest = rest.join(second, ["first", "cell"], "left")
     # a row alone has all its bits as a name, as have the rows of a cell that no bits could part
-    shard = F.concat(name(F.col("h"), F.lit(depth), depth), F.lit("."), F.when(F.col("alone"), F.concat(F.lit("row"), F.col("row"))).otherwise(name(F.col("h2"), F.col("bits"), 64)))
+    shard = F.concat(name(F.col("h"), F.lit(depth), depth), F.lit("."), F.when(F.col("alone"), F.concat_ws("-", F.lit("row"), F.lower(F.hex("t")), "number")).otherwise(name(F.col("h2"), F.col("bits"), 64)))
     return plain.unionByName(rest.select("id", "row", "bytes", shard.alias("shard"), F.col("alone").alias("oversized")))
 
 
