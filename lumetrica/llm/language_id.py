@@ -3,8 +3,10 @@
 Training counts n-grams of 1 to `orders` characters (lower-cased code points,
 whole texts) of every labelled row in 2**bits buckets per language; Spark sums
 the tasks' counts.  The matrix of log probabilities (languages x buckets) is
-broadcast; its size is languages * 2**bits floats whatever the corpus, and more
-than `max_languages` labels are refused.  Batches are scored sparsely in numpy:
+broadcast; its size is languages * 2**bits floats whatever the corpus.  More than `group`
+labels are counted, broadcast and scored `group` at a time, and each text carries its best label and the
+sum of its posteriors from group to group: memory keeps its bound and the result is the same, at a pass
+for each group.  Batches are scored sparsely in numpy:
 the rows of the matrix at a text's n-grams are added up per text.
 
 The prediction has the largest posterior, by all n-grams of the text and the
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, id_bucket, table
+from .common import blocks, free, id_bucket, table
 
 FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], np.uint32)
 
@@ -92,8 +94,8 @@ class Model:
     def __init__(self, labels: list[str], prior: np.ndarray, matrix: np.ndarray, orders: int, bits: int):
         self.labels, self.prior, self.matrix, self.orders, self.bits = labels, prior, matrix, orders, bits
 
-    def scores(self, texts: list[str], evidence: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best language's row for each text and its tempered posterior."""
+    def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The log likelihood with the prior of each text and language, and the number of each text's n-grams."""
         chars, bounds = code_points(texts)
         owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
         total, n = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
@@ -102,57 +104,74 @@ class Model:
                 heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
                 total[of[heads]] += np.add.reduceat(self.matrix[slots], heads, axis=0, dtype=np.float64)
                 n += np.bincount(of, minlength=len(texts))
-        total += self.prior
-        best = np.argmax(total, axis=1)
-        scaled = total * np.minimum(1, evidence / np.maximum(n, 1))[:, None]
-        return best, 1 / np.exp(scaled - scaled[np.arange(len(best)), best][:, None]).sum(axis=1)
+        return total + self.prior, n
 
 
 def train(
     docs: DataFrame, learn: Column, text_col: str = "text", label_col: str = "lang",
-    orders: int = 3, bits: int = 16, alpha: float = 0.5, max_languages: int = 500,
-) -> Model:
-    """A model of the rows where `learn` holds and label and text are there."""
+    orders: int = 3, bits: int = 16, alpha: float = 0.5, group: int = 128,
+) -> list[Model]:
+    """Models of the rows where `learn` holds and label and text are there, each of `group` labels at most, in the order of labels."""
     rows = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias(label_col), text_col)
-    known = rows.groupBy(label_col).count().orderBy(label_col).limit(max_languages + 1).collect()
-    if len(known) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    labels, n = [x[0] for x in known], np.array([x[1] for x in known], np.float64)
-    if not labels:
-        return Model([], n, np.zeros((1 << bits, 0), np.float32), orders, bits)
-    counted = rows.mapInArrow(_count(labels, text_col, label_col, orders, bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(labels) << bits)
-    found = counted.toArrow()  # at most languages * 2**bits rows
-    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
-    counts = counts.reshape(len(labels), -1) + alpha
-    matrix = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
-    return Model(labels, np.log(n / n.sum()), np.ascontiguousarray(matrix), orders, bits)
-
-
-def _predict(model, kept: list[str], text_col: str, evidence: int, new: tuple[str, str]):
+    known = rows.groupBy(label_col).count().orderBy(label_col).collect()  # a row for each label
+    everything, out = sum(x[1] for x in known), []
+    for start in range(0, len(known), group):
+        labels, n = [x[0] for x in known[start : start + group]], np.array([x[1] for x in known[start : start + group]], np.float64)
+        own = rows if len(known) <= group else rows.where(F.col(label_col).between(labels[0], labels[-1]))
+        counted = own.mapInArrow(_count(labels, text_col, label_col, orders, bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        counts = np.zeros(len(labels) << bits)
+        found = counted.toArrow()  # at most group * 2**bits rows
+        counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+        counts = counts.reshape(len(labels), -1) + alpha
+        matrix = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
+        out.append(Model(labels, np.log(n / everything), np.ascontiguousarray(matrix), orders, bits))
+    return out
+
+
+#: What a text carries from group to group: its best label, that one's total, and the log of the sum of all tempered posteriors.
+CARRIED = (("label", "string"), ("total", "double"), ("mass", "double"))
+
+
+def _score(model, kept: list[str], text_col: str, evidence: int, carried: list[str], begun: bool, new: list[str], last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = model.value
-        names = [*kept, *new]
+        own: Model | None = model and model.value
         for batch, start, stop, texts in _texts(batches, text_col):
-            letters = [any(map(str.isalpha, x)) for x in texts]
-            if own.labels:
-                best, score = own.scores(texts, evidence)
-                found = [own.labels[b] if ok else "und" for b, ok in zip(best.tolist(), letters, strict=True)]
-                score = np.where(letters, np.clip(score, 0, 1), 0.0)
+            at = lambda c: batch.column(batch.schema.get_field_index(c)).slice(start, stop - start)  # noqa: E731, B023
+            letters = np.fromiter((any(map(str.isalpha, x)) for x in texts), bool, len(texts))
+            label, total, mass, scale = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts))
+            if own:
+                totals, n = own.totals(texts)
+                best = np.argmax(totals, axis=1)
+                label, total = np.array(own.labels, object)[best], totals[np.arange(len(best)), best]
+                scale = np.minimum(1, evidence / np.maximum(n, 1))
+                mass = np.log(np.exp((totals - total[:, None]) * scale[:, None]).sum(axis=1)) + total * scale
+            if begun:  # equal totals stay with the label before
+                before = at(carried[1]).to_numpy(zero_copy_only=False)
+                mass = np.logaddexp(mass, at(carried[2]).to_numpy(zero_copy_only=False))
+                label, total = np.where(total > before, label, np.array(at(carried[0]).to_pylist(), object)), np.maximum(total, before)
+            columns = [*map(at, kept)]
+            if last:
+                score = np.where(letters, np.clip(np.exp(total * scale - mass), 0, 1), 0.0) if own else np.zeros(len(texts))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.where(letters, label, "und"), pa.string()), pa.array(score, pa.float64())], names=[*kept, *new])
             else:
-                found, score = ["und"] * len(texts), np.zeros(len(texts))
-            columns = [batch.column(batch.schema.get_field_index(c)).slice(start, stop - start) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(label, pa.string()), pa.array(total), pa.array(mass)], names=[*kept, *carried])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", evidence: int = 30, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, models: list[Model], text_col: str = "text", evidence: int = 30, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with two columns more, called `names`: the language and its score."""
     if clash := {x.lower() for x in names} & {x.lower() for x in docs.columns}:
         raise ValueError(f"columns in the way: {sorted(clash)}")
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), docs.columns, text_col, evidence, names), schema)
+    context, fields, carried = docs.sparkSession.sparkContext, docs.schema.fields, free(docs.columns, *(c for c, _ in CARRIED))
+    between = T.StructType([*fields, *(T.StructField(c, T._parse_datatype_string(kind)) for c, (_, kind) in zip(carried, CARRIED, strict=True))])
+    result = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    found = docs
+    for i, model in enumerate(models or [None]):
+        last = i + 1 >= len(models)
+        held = model and context.broadcast(model)
+        found = found.mapInArrow(_score(held, docs.columns, text_col, evidence, carried, i > 0, [*names], last), result if last else between)
+    return found
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 4, fold: int = 2, **options) -> DataFrame:
