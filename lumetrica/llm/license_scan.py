@@ -1,10 +1,11 @@
 """License scans with a positional index of rare words, with DataFrame functions only.
 
 Templates are license notices as words, with the key phrases that none may lack.
-Document frequencies of the templates' words are counted over all rows.  Each
-template is found by its `anchors` highest-IDF words: wherever a text has one of
-them, the word's postings (template, position) say where the template would
-begin, and the words that agree on one beginning are added up.  A beginning is
+Document frequencies of the templates' words are counted over all rows.  Of the words
+that a template needs, the `anchors` of highest IDF are looked up wherever a file has them: a
+word's postings (template, position) say where the template would begin there.  The
+postings are intersected by relative position: beginnings are sorted, and only those
+stay on which all postings of the template agree.  Such a beginning is
 kept if its key phrases stand there word for word; its coverage is the share of
 the template's IDF that stands at the right relative positions.
 
@@ -87,7 +88,38 @@ def word_frequencies(words: DataFrame, vocabulary: list[str]) -> tuple[int, dict
     return counts.pop("", 0), counts
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchors: int = 2) -> DataFrame:
+def anchor_postings(templates: list, idf: dict[str, float], anchors: int) -> dict[str, list[tuple[int, int]]]:
+    """Word -> (template, place) of the rarest of the words that must be there (they are, wherever a template is kept)."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for number, (_, _, own, needed) in enumerate(templates):
+        for w in sorted({own[i] for i in needed}, key=lambda w: (-idf[w], w))[:anchors]:
+            out.setdefault(w, []).extend((number, i) for i in needed if own[i] == w)
+    return out
+
+
+#: A beginning is one long: the template, then the place, which may be before the text.
+PLACE_BITS, BEFORE = 40, 1 << 20
+
+
+def beginnings(words: Column, postings: dict[str, list[tuple[int, int]]]) -> Column:
+    """array<struct<t, start>> of the places on which all postings of a template agree."""
+    rare = F.array(*map(F.lit, sorted(postings)))
+    suggest = F.create_map(*(x for w, at in sorted(postings.items()) for x in (F.lit(w), F.array(*(F.lit((t << PLACE_BITS) + BEFORE - i) for t, i in at)))))
+    needed = [0] * (1 + max(t for at in postings.values() for t, _ in at))
+    for at in postings.values():
+        for t, _ in at:
+            needed[t] += 1
+    agree = F.array(*map(F.lit, needed))
+    met = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(rare, x.w))
+    found = F.array_sort(F.flatten(F.transform(met, lambda x: F.transform(F.element_at(suggest, x.w), lambda p: p + x.i))))
+    template = lambda x: F.shiftright(x, PLACE_BITS).cast("int")
+    # equal beginnings stand together: the last of as many as agree is equal to the first
+    run = F.transform(F.array(found), lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + F.get(agree, template(x)) - 1) == x, F.lit(False))))
+    return F.transform(F.array_distinct(F.element_at(run, 1)), lambda x: F.struct(
+        template(x).alias("t"), (x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) - BEFORE).cast("int").alias("start")))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchors: int = 3) -> DataFrame:
     """id_col, words, places: array of (template, base, label, start, coverage) whose key phrases all stand there."""
     templates = _templates()
     words = docs.select(id_col, words_of(F.col(text_col)).alias("words"))
@@ -95,13 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor
     n, df = word_frequencies(words, vocabulary)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary}
 
-    postings: dict[str, list] = {}
-    for number, (_, _, own, needed) in enumerate(templates):
-        # the rarest of the words that must be there (they are, wherever the template is kept)
-        for w in sorted({own[i] for i in needed}, key=lambda w: (-idf[w], w))[:anchors]:
-            postings.setdefault(w, []).extend((number, i) for i in needed if own[i] == w)
-    posted = F.create_map(*(x for w, at in sorted(postings.items()) for x in (
-        F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in at)))))
+    postings = anchor_postings(templates, idf, anchors)
     rows = F.array(*(
         F.struct(
             F.lit(label).alias("label"), F.lit(base).alias("base"), F.array(*map(F.lit, own)).alias("own"),
@@ -110,8 +136,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor
         for label, base, own, needed in templates))
     rare = F.array(*map(F.lit, sorted(postings)))
 
-    met = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(rare, x.w))
-    begins = F.array_distinct(F.flatten(F.transform(met, lambda x: F.transform(F.element_at(posted, x.w), lambda p: F.struct(p.t.alias("t"), (x.i - p.i).alias("start"))))))
     at = lambda start, i: F.get(F.col("words"), start + i)
     whole = lambda b: F.forall(F.get(rows, b.t).needed, lambda k: F.coalesce(at(b.start, k.i) == k.w, F.lit(False)))
 
@@ -124,7 +148,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor
         b.t.alias("template"), F.get(rows, b.t).base.alias("base"), F.get(rows, b.t).label.alias("label"), b.start.alias("start"), covered(b).alias("coverage")))
     # rows without a rare word (nearly all) take the short way
     some = F.arrays_overlap(F.col("words"), rare)
-    begins = F.when(some, begins).otherwise(F.array().cast("array<struct<t:int,start:int>>"))
+    begins = F.when(some, beginnings(F.col("words"), postings)).otherwise(F.array().cast("array<struct<t:int,start:int>>"))
     return words.withColumn("begins", begins).withColumn("places", places).drop("begins")
 
 
