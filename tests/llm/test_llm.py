@@ -169,15 +169,21 @@ def test_decontamination_against_all_windows(spark):
         for key, item in items:
             x = words_of(item)
             n = min(10, len(x))
-            spans = {tuple(x[q : q + n]) for q in range(len(x) - n + 1)} if x and key is not None else ()
+            spans = {tuple(x[q : q + n]) for q in range(len(x) - n + 1)} if x else ()
             for p in range(len(w) - n + 1 if spans else 0):
                 if tuple(w[p : p + n]) in spans:
                     hit |= set(range(p, p + n))
-                    ids.add(str(key))
+                    ids.add("" if key is None else str(key))
         digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(ids), digest, bool(hit))
 
 
+def test_items_without_an_id_contaminate(spark):
+    bench = spark.createDataFrame([(None, " ".join(f"w{i}" for i in range(30)))], "item_id long, text string")
+    row = decontamination.contamination(frame(spark, [(0, " ".join(f"w{i}" for i in range(30)), None, None, None)]), bench).first()
+    assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (30, 30, 1, True)
+
+
 def test_decontamination_of_repeated_words(spark):
     bench = spark.createDataFrame([(1, "same " * 500)], "item_id long, text string")
     found = decontamination.contamination(frame(spark, [(0, "same " * 350_000, None, None, None)]), bench).first()
@@ -218,12 +224,35 @@ def test_shards_fit_and_hold_every_row(spark, docs, limit):
     assert sharding.assign(docs.limit(0)).count() == 0
 
 
+def test_shards_depend_on_rows_alone(spark):
+    rows = [(7 if i < 300 else None if i < 400 else i, "same text" if i % 3 else f"text {i % 40}", None, None, None) for i in range(420)] + [(9, "x" * 500, None, None, None)] * 2
+    table = frame(spark, rows)
+    found = [Counter((r.doc_id, r.bytes, r.shard, r.oversized) for r in sharding.assign(x, max_bytes=90).collect()) for x in (table.coalesce(1), table.repartition(4), table.orderBy(F.desc("text")).repartition(7, "text"))]
+    assert found[0] == found[1] == found[2]
+    sizes = Counter()
+    for (_, size, shard, oversized), n in found[0].items():
+        sizes[shard] += size * n if not oversized else 0
+    assert max(sizes.values()) <= 90
+
+
 def test_written_shards(spark, docs, tmp_path):
     unique = docs.where("doc_id > 40").dropDuplicates(["doc_id"])
     found = sharding.write_shards(unique, str(tmp_path / "out"), max_bytes=3000)
     assert {(r.doc_id, r.shard) for r in spark.read.schema("doc_id long, shard string").parquet(str(tmp_path / "out")).collect()} == {(r.doc_id, r.shard) for r in found.collect()}
 
 
+def test_many_labels_are_scored_in_groups(spark):
+    rng = random.Random(8)
+    word = lambda i: "".join(chr(97 + (i * 7 + j * j + i // 26) % 26) for j in range(4))
+    rows = [(k, " ".join(word(i) for _ in range(6)) + " " + rng.choice("abc"), f"l{i:03}", None, None) for k, i in enumerate(list(range(620)) * 2)]
+    table = frame(spark, [*rows, (5000, None, "l001", None, None), (5001, "12", "l002", None, None)])
+    whole, parts = language_id.train(table, F.lit(True), bits=8, group=1000), language_id.train(table, F.lit(True), bits=8, group=250)
+    assert [len(x.labels) for x in whole] == [620] and [len(x.labels) for x in parts] == [250, 250, 120]
+    a, b = ({(r.doc_id, r.lang): (r.lang_pred, round(r.score, 9)) for r in language_id.predict(table, m).collect()} for m in (whole, parts))
+    assert a == b and a[5000, "l001"] == a[5001, "l002"] == ("und", 0.0)
+    assert language_id.identify(table, bits=8).count() == len(rows) + 2  # any number of labels
+
+
 def test_language_id(spark, sf_dir, docs):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = language_id.identify(table).collect()
@@ -401,58 +430,66 @@ def test_fingerprints_and_edits(spark, docs, rows):
     assert one.near_next == 1.0
 
 
-def test_winnowing_guarantee_and_rightmost_ties(spark):
+def plain_winnowed(text, k=8, window=16):
+    """(hash, place) of what winnowing keeps, straight from its definition."""
+    if not text:
+        return []
+    grams = [xxhash.xxh64_intdigest(text[i : i + k].encode("utf-32-be"), 42) >> 28 for i in range(max(1, len(text) - k + 1))]
+    signed = [x - (1 << 36) if x >> 35 else x for x in grams]
+    starts = range(max(1, len(grams) - window + 1))
+    places = dict.fromkeys(min(range(i, min(i + window, len(grams))), key=lambda j: (signed[j], -j)) for i in starts)
+    return [(signed[i], i) for i in places]
+
+
+def test_winnowing_equals_its_definition(spark, monkeypatch):
     rng = random.Random(13)
-    shared = [str(rng.randint(0, 9)) * 3 for _ in range(11)]  # k + window - 1 tokens
-    side = lambda: [str(rng.randint(100, 10**6)) for _ in range(rng.randint(0, 9))]
-    pairs = [(" ".join([*side(), *shared, *side()]), " ".join([*side(), *shared, *side()])) for _ in range(40)]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    w = document_fingerprints.winnowed
-    both = df.select(F.size(F.array_intersect(document_fingerprints.hashes_of(w(F.col("a"))), document_fingerprints.hashes_of(w(F.col("b"))))).alias("n"))
-    # the tokens at the shared span's edges stand between the same spaces
-    assert all(r.n >= 1 for r in both.collect())
-    same = spark.createDataFrame([("x x x x x x x x x x x x x x",)], "t string").select(document_fingerprints.places_of(w(F.col("t"))).alias("p")).first().p
-    assert same == [7, 8, 9, 10]  # of equal hashes the rightmost in each window
-    cuts = spark.createDataFrame([("ab " + "q" * 40,)], "t string").select(document_fingerprints.tokens(F.col("t")).alias("t")).first().t
-    assert cuts == ["ab", *["q" * 8] * 5]
-
-
-def test_winnowing_of_short_texts_takes_all_tokens(spark):
-    k, window = 4, 8
-    words = [f"w{i}" for i in range(k + window + 1)]
-    texts_ = [("", ""), *((" ".join(words[:n]), " ".join([*words[: n - 1], "other"])) for n in range(1, k + window + 1))]
-    df = spark.createDataFrame([(i, *x) for i, x in enumerate(texts_)], "n int, a string, b string")
-    w, places = document_fingerprints.winnowed, document_fingerprints.places_of
-    one = F.transform(F.split("a", " "), lambda x: F.xxhash64(x))
-    rows = df.select("n", w(F.col("a")).alias("a"), w(F.col("b")).alias("b"), places(w(F.col("a"))).alias("p"), one.alias("h")).orderBy("n").collect()
-    pair = lambda pairs: [r[0] for r in spark.createDataFrame(pairs, "x long, y long").select(F.xxhash64("x", "y")).collect()]
-    h = rows[-1].h
-    two = pair(list(zip(h, h[1:], strict=False)))
-    four = [x >> 28 for x in pair(list(zip(two, two[2:], strict=False)))]
-    for r in rows:
-        if r.n < k:
-            assert len(r.a) == min(r.n, 1) and (r.n == 0 or r.p == [0] and r.a != r.b)
-        else:
-            grams = four[: r.n - k + 1]
-            wanted = {min(range(i, min(i + window, len(grams))), key=lambda j: (grams[j], -j)) for i in range(max(1, len(grams) - window + 1))}
-            assert r.p == sorted(wanted) and [x >> 28 for x in r.a] == [grams[j] for j in r.p]
-
-
-def test_winnowing_of_unspaced_texts_at_every_offset(spark):
+    own = ["", "a", "é" * 9, "x😀y" * 20, "q" * 300, *("".join(rng.choice("abcde é\n😀日") for _ in range(n)) for n in [*range(1, 28), 100, 700])]
+    for segment in (1 << 13, 64):  # a text of many segments keeps what one of a single segment does
+        monkeypatch.setattr(document_fingerprints, "SEGMENT", segment)
+        kept = document_fingerprints.winnowed(F.col("t"))
+        df = spark.createDataFrame(list(enumerate(own)), "i int, t string").select("i", F.transform(kept, lambda x: F.shiftright(x, 28)).alias("h"), document_fingerprints.places_of(kept).alias("p"))
+        for r in df.collect():
+            assert list(zip(r.h, r.p, strict=True)) == plain_winnowed(own[r.i]), own[r.i]
+
+
+def test_winnowing_guarantee_at_every_offset(spark):
     rng = random.Random(19)
-    text = lambda n: "".join(rng.choice("日本語文字列😀é中国\n\tabc") for _ in range(n))
+    text = lambda n, of="日本語文字列😀é中国\n\tabc ": "".join(rng.choice(of) for _ in range(n))
     rows = []
-    for i in range(12):
-        x = text(400)
-        span = text(33)
-        rows += [(x, x[: 10 + i] + "!" + x[10 + i :], 0.8), (text(i) + span + text(20), text(2 * i + 1) + span + text(9), 0.0)]
-    w, hashes = document_fingerprints.winnowed, document_fingerprints.hashes_of
-    df = spark.createDataFrame(rows, "a string, b string, least double").select("least", hashes(w(F.col("a"))).alias("a"), hashes(w(F.col("b"))).alias("b"))
+    for i in range(30):
+        span = text(23)  # k + window - 1 characters
+        rows.append((text(i) + span + text(20), text(2 * i + 1) + span + text(9)))
+    hashes = lambda c: document_fingerprints.hashes_of(document_fingerprints.winnowed(F.col(c)))
+    df = spark.createDataFrame(rows, "a string, b string").select(F.size(F.array_intersect(hashes("a"), hashes("b"))).alias("n"))
+    assert all(r.n >= 1 for r in df.collect())
+
+
+def test_likeness_grows_with_what_clauses_share(spark):
+    """60 clauses without spaces, one character inserted into each, at any length of a clause."""
+    rng, lengths, rows = random.Random(3), (8, 12, 16, 20, 24, 31, 32, 33, 40, 48, 64), []
+    for n in lengths:
+        clauses = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for _ in range(60)]
+        edited = [c[:at] + rng.choice("xyz") + c[at:] for c in clauses for at in [rng.randint(0, n)]]
+        rows.append((n, " ".join(clauses), " ".join(edited)))
+    hashes = lambda c: document_fingerprints.hashes_of(document_fingerprints.winnowed(F.col(c)))
+    df = spark.createDataFrame(rows, "n int, a string, b string").select("n", hashes("a").alias("x"), hashes("b").alias("y"))
+    found = {r.n: len({*r.x} & {*r.y}) / len({*r.x} | {*r.y}) for r in df.collect()}
+    assert found[8] > 0.02 and found[20] > 0.2 and found[64] > 0.6
+    assert all(found[b] > found[a] - 0.08 for a, b in zip(lengths, lengths[1:], strict=False))
+
+
+def test_license_postings_are_intersected(spark):
+    rng = random.Random(41)
+    templates = license_scan._templates()
+    idf = {w: rng.random() for t in templates for w in t[2]}
+    postings = license_scan.anchor_postings(templates, idf, 3)
+    own = [[rng.choice([*postings, "x"]) for _ in range(rng.randint(0, 60))] for _ in range(60)]
+    own += [["x"] * rng.randint(0, 3) + t[2] + t[2][:5] for t in templates] + [t[2][2:] for t in templates]
+    df = spark.createDataFrame(list(enumerate(own)), "i int, words array<string>").select("i", license_scan.beginnings(F.col("words"), postings).alias("b"))
     for r in df.collect():
-        both = len(set(r.a) & set(r.b))
-        assert both and both >= r.least * len(set(r.a) | set(r.b))
-    n = spark.createDataFrame([("ab " + "q" * 40 + " é",)], "t string").select(F.size(document_fingerprints.token_hashes(F.col("t"))).alias("n")).first().n
-    assert n == 1 + 33 + 1
+        votes = Counter((t, i - p) for i, w in enumerate(own[r.i]) for t, p in postings.get(w, ()))
+        need = Counter(t for at in postings.values() for t, _ in at)
+        assert sorted(map(tuple, r.b)) == sorted(k for k, n in votes.items() if n == need[k[0]])
 
 
 def test_license_scan(spark, docs):

@@ -2,7 +2,6 @@
 
 import math
 import random
-import struct
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -18,33 +17,11 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def hash_text(x):
-    return signed(xxhash.xxh64_intdigest(x.encode(), 42))
-
-
-def hash_longs(*values):
-    seed = 42
-    for v in values:
-        seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
-    return signed(seed)
-
-
-def doubled(values, size, join):
-    reach = 1
-    while reach < size:
-        values = [join(a, b) for a, b in zip(values, values[reach:], strict=False)]
-        reach *= 2
-    return values
-
-
 def plain_kept(text):
-    hashes = []
-    for token in text.split(" "):
-        hashes += doubled([hash_text(c) for c in token], 8, hash_longs) if len(token) > 32 else [hash_text(token)]
-    grams = [hash_longs(*hashes)] if len(hashes) < 4 else doubled(hashes, 4, hash_longs)
     places = (1 << 28) - 1
+    grams = [signed(xxhash.xxh64_intdigest(text[i : i + 8].encode("utf-32-be"), 42)) for i in range(max(1, len(text) - 7))]
     grams = [(x & ~places) | (places - i) for i, x in enumerate(grams)]
-    kept = [min(grams)] if len(grams) < 8 else [min(grams[i : i + 8]) for i in range(len(grams) - 7)]
+    kept = [min(grams)] if len(grams) < 16 else [min(grams[i : i + 16]) for i in range(len(grams) - 15)]
     return list(dict.fromkeys(kept)) if text else []
 
 
