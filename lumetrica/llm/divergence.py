@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import blocks, kept, named, scratch, table, utf8
 
 #: Bytes of text that a task counts before it packs.
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 #: Terms of a chunk at most; groups of a block at most.
 CHUNK, SIDE = 4096, 32
 #: p is a share in parts of this, floored, plus 1, of counts that have PRIOR added.
@@ -148,7 +148,8 @@ def groups(docs: DataFrame, counts: DataFrame, tasks: int, lang_col: str = "lang
         "lang", "source", "n", F.sum("n").over(whole).alias("n_lang"), F.sum("v").over(whole).alias("v"), (F.row_number().over(whole.orderBy("source")) - 1).alias("slot"),
         F.ceil(F.count("*").over(whole) / SIDE).cast("int").alias("sides"))
     tiles = F.col("sides").cast("long") * (F.col("sides") + 1) / 2
-    return found.withColumn("block", F.expr(f"CAST(slot DIV {SIDE} AS INT)")).withColumn("slot", F.col("slot") % SIDE).withColumn("shards", F.greatest(F.lit(1), F.floor(F.lit(tasks) / tiles)).cast("int"))
+    return found.withColumn("block", F.expr(f"CAST(slot DIV {SIDE} AS INT)")).withColumn("slot", F.col("slot") % SIDE).withColumn(
+        "shards", F.greatest(F.lit(1), F.least(F.floor(F.lit(tasks) / tiles), F.ceil(F.col("v") / CHUNK))).cast("int"))
 
 
 def shares(count: np.ndarray, n, v) -> np.ndarray:
