@@ -39,7 +39,7 @@ from .common import UPPER, bitmap, in_bitmap, kept, named, scratch, shared_dir,
 #: Characters that end a piece.
 ENDS = r"[.,;:!?\n-\r]"
 #: Bytes of pieces whose n-grams a task adds up before it packs them.
-BLOCK = 1 << 24
+BLOCK = 1 << 22
 PARTIAL = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int8()), ("f", pa.int64())])
 COUNTED = "lang string, gram string, n tinyint, f long, h long"
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -185,7 +185,7 @@ def _merged(least: int, spill: str | None, memory: str):
     return run
 
 
-def counted(rows: DataFrame, sizes: tuple[int, ...], least: int, keep: np.ndarray | None = None, memory: str = "300MB") -> DataFrame:
+def counted(rows: DataFrame, sizes: tuple[int, ...], least: int, keep: np.ndarray | None = None, memory: str = "200MB") -> DataFrame:
     """(lang, gram, n, f, h) of all n-grams of these sizes that occur `least` times in pieces(); of size 0 all, which count the words.
 
     keep: a bitmap of the hashes of (n-1)-grams outside which the largest size is not counted.
