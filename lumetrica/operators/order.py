@@ -6,6 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that quantiles cut values into, at most.
+RANGES = 8192
+
+
+def count_below(bounds: Column, value: Column, size: int, equal: bool = False) -> Column:
+    """How many of at most `size` rising bounds are below the value (or equal, if asked), by halving; 0 for null."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, size).bit_length()))))
+
+    def step(low: Column, more: Column) -> Column:
+        bound = F.get(bounds, low + more - 1)
+        return F.when(F.coalesce(bound <= value if equal else bound < value, F.lit(False)), low + more).otherwise(low)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def with_ranges(rows: DataFrame, value: str, parts: int) -> DataFrame:
+    """rows with `_range`, which rises with the value, and `_common`, true where a value fills whole ranges and has one by itself.
+
+    Quantiles of all rows cut the ranges; they come as the one row of an aggregate within the query, which needs no job of its own.
+    """
+    quantiles = F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000)
+    bounded = rows.crossJoin(F.broadcast(rows.agg(quantiles.alias("_bounds"))))
+    below, upto = (count_below(F.col("_bounds"), F.col(value), parts, equal) for equal in (False, True))
+    cut = bounded.withColumns({"_below": below, "_upto": upto}).drop("_bounds")
+    return cut.withColumn("_common", F.col("_upto") - F.col("_below") > 1).withColumn("_range", 2 * F.col("_below") + F.col("_common").cast("int")).drop("_below", "_upto")
+
+
 def stable_rank(rows: DataFrame, group: list[str], value: str, ident: str, block: int = 4096, name: str = "rank") -> DataFrame:
     """rows with their rank (from 1) by value (a number, nulls first), then by the integer `ident`, within each group.
 
@@ -13,13 +40,8 @@ def stable_rank(rows: DataFrame, group: list[str], value: str, ident: str, block
     Sums over these cells say where each begins, and only the rows of a cell are sorted together, however many rows a group
     has or share a value.
     """
-    parts = max(8, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    kind = rows.schema[value].dataType
-    literal = lambda values: F.array(*(F.lit(v).cast(kind) for v in values)) if values else F.array().cast(f"array<{kind.simpleString()}>")
-    common = F.coalesce(F.array_contains(literal([v for v in sorted(set(found)) if found.count(v) > 1]), F.col(value)), F.lit(False))
-    place = 2 * F.size(F.filter(literal(sorted(set(found))), lambda b: b < F.col(value))) + common.cast("int")
-    cut = rows.withColumns({"_range": place, "_block": F.when(common, F.floor(F.col(ident) / block)).otherwise(0)})
+    parts = min(RANGES, max(8, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cut = with_ranges(rows, value, parts).withColumn("_block", F.when(F.col("_common"), F.floor(F.col(ident) / block)).otherwise(0)).drop("_common")
     cell = [*group, "_range", "_block"]
     counts = cut.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(cell))).agg(F.count("*").alias("_n"))
     keys = [f"_k{i}" for i in range(len(cell))]

@@ -164,3 +164,24 @@ def test_signals(spark):
                     S.find_run(F.col("x"), F.array(F.lit(0.0), F.lit(2.0))).alias("f"), S.find_run(F.col("x"), F.array(F.lit(9.0))).alias("g"), S.decay_index(F.col("x"), 1.0).alias("d"),
                     S.mask_chunks(F.col("x"), F.array(F.lit(5)), 3).alias("m")).first()
     assert row.q == [1.0, -1.0, 2.0] and row.i == [1.0, -1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 2.0] and row.s and row.f == 4 and row.g == 4 and row.m[-1] == 0.0
+
+
+def test_ranks_need_no_job_before_the_query_runs(spark):
+    import random
+
+    from lumetrica.operators.order import stable_rank
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([None, 1.5, 1.5, 1.5, float(rng.randint(0, 50))]), i) for i in rng.sample(range(10_000), 3_000)]
+    df = spark.createDataFrame(rows, "g string, v double, i long").repartition(5)
+    tracker, group = spark.sparkContext.statusTracker(), "plan-time"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        ranked = stable_rank(df, ["g"], "v", "i", block=64)
+        assert not tracker.getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for g in "ab":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [(r.i, r["rank"]) for r in ranked.where(f"g = '{g}'").orderBy("rank").collect()] == [(x[2], n) for n, x in enumerate(own, 1)]
+    assert stable_rank(df.limit(0), ["g"], "v", "i").count() == 0
