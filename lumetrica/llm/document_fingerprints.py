@@ -115,14 +115,34 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Co
         F.min(F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))).alias("head"))
     order = Window.orderBy(part)  # one row per range
     first = heads.select(F.coalesce(F.lag(part).over(order), F.max(part).over(Window.partitionBy())).alias(part), F.col("head.text").alias(text_col), F.lit(1).alias(halo))
-    columns = [*docs.columns, *derived]
-    rows = ranged.withColumn(halo, F.lit(0)).unionByName(first, allowMissingColumns=True).withColumns(derived)
+    columns, tie = [*docs.columns, *derived], free([*docs.columns, *derived, key, part, halo], "tie")[0]
     # ties by hash, then by text: equal ids of different texts have one order whatever the files
-    within = Window.partitionBy(part).orderBy(halo, key, F.xxhash64(text_col), text_col)
+    rows = ranged.withColumn(halo, F.lit(0)).unionByName(first, allowMissingColumns=True).withColumn(tie, F.xxhash64(text_col))
+    order = [halo, key, tie, text_col]
+    # what is derived is worked out behind the shuffle, which moves texts alone
+    rows = rows.repartition(part).sortWithinPartitions(part, *order).withColumns(derived)
+    within = Window.partitionBy(part).orderBy(*order)
     after = {f"next_{c}": F.lead(c).over(within) for c in (text_col, *derived)}
     return rows.withColumns(after).where(F.col(halo) == 0).select(*columns, *after)
 
 
+def winnowed_edit(kept: Column, next_kept: Column, edited: Column, own: Column, other: Column, k: int, window: int) -> Column:
+    """winnowed(edited) of a text of the first `own` characters of one text and the first `other` of the next, from what both texts keep.
+
+    Windows inside either part keep what they keep in its text: whatever stands before the part's last window is kept by
+    windows of the part.  Only the windows over the seam and the last ones of each part are worked out anew.
+    """
+    span, place = k + window - 1, lambda x: F.lit(PLACES) - x.bitwiseAND(F.lit(PLACES))
+    left, right = own - (span - 1), other - (span - 1)  # windows inside the parts
+    moved = lambda found, by: F.transform(found, lambda x: x - by.cast("long"))
+    piece = lambda start, size: winnowed(F.substring(edited, start + 1, size), k, window)
+    seam, last = left - window + 1, own + right - window + 1
+    parts = F.concat(
+        F.filter(kept, lambda x: place(x) < left), moved(piece(seam, own + (span - 1) - seam), seam),
+        moved(F.filter(next_kept, lambda x: place(x) < right), own), moved(piece(last, own + other - last), last))
+    return F.when((left >= window) & (right >= window), F.array_distinct(parts)).otherwise(winnowed(edited, k, window))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, window: int = 16) -> DataFrame:
     """docs with `kept` (array<bigint>), `hashes` and `places`."""
     kept = docs.withColumn("kept", winnowed(F.coalesce(text_col, F.lit("")), k, window))
@@ -135,9 +155,11 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = with_next(rows, "id", "text", {"kept": winnowed(F.col("text"), k, window)}).withColumn("n_chars", F.length("text").cast("long"))
     half = F.expr("CAST(n_chars DIV 2 AS INT)")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("id", "n_chars", "kept", "next_kept", edited.alias("edited"))
+    rows = rows.select("id", "n_chars", "kept", "next_kept", edited.alias("edited"), (F.col("n_chars").cast("int") - half).alias("own"))
+    other = F.length("edited") - F.col("own")
     rows = rows.select(
-        "id", "n_chars", "kept", "next_kept", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnowed(F.col("edited"), k, window).alias("edited_kept"))
+        "id", "n_chars", "kept", "next_kept", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnowed_edit(F.col("kept"), F.col("next_kept"), F.col("edited"), F.col("own"), other, k, window).alias("edited_kept"))
     rows = rows.select("*", *(hashes_of(F.col(f"{c}kept")).alias(f"{c}hashes") for c in ("", "edited_", "next_")))
     own, other, after = (F.col(f"{c}hashes") for c in ("", "edited_", "next_"))
     rows = rows.select("*", F.size(F.array_intersect(own, other)).alias("with_edited"), F.size(F.array_intersect(own, after)).alias("with_next"))
