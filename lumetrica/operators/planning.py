@@ -2,78 +2,146 @@
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
 from .order import stable_rank
 
 
-def greedy_segments(histogram: Iterable[tuple[int, float, int]], budget: float, cap: int, padded: bool) -> Iterator[tuple[int, float, int, int, int, int]]:
-    """The greedy plan over a histogram (bucket, duration, rows), in order: (bucket, duration, batch, room, size, last).
-
-    Of the rows of one duration, by rank: the first `room` go into `batch`, each further `size` into the batches after it, up
-    to `last`.  Batches count from 0 in each bucket.  A batch closes when one more row would cost over the budget (total: sum
-    of durations; padded: rows times the longest) or exceed the cap; a row over the budget is a batch by itself.  One step
-    per distinct duration, not per row.
+#: Rows of a chunk that is filled by itself, and chunks whose outcomes are composed at a time.
+CHUNK, FAN = 1 << 16, 1 << 10
+
+
+def batch_ends(values: np.ndarray, budget: float, cap: int, padded: bool) -> np.ndarray:
+    """For each place the place behind the batch that would begin there: a batch takes rows while their sum (or, padded, their
+    number times the longest) stays within the budget and their number within the cap, one row at least."""
+    n = len(values)
+    end, cost = np.arange(1, n + 1), values.copy()  # cost: the sum or the longest of the rows so far
+    live = np.arange(n)
+    for k in range(2, cap + 1):
+        live = live[live + k <= n]
+        if not len(live):
+            break
+        more = values[live + k - 1]
+        cost[live] = np.maximum(cost[live], more) if padded else cost[live] + more
+        live = live[(k * cost[live] if padded else cost[live]) <= budget]
+        end[live] = live + k
+    return end
+
+
+def _outcome(end: np.ndarray, own: int, most: int) -> tuple[list[int], list[int]]:
+    """For each place 0..most at which a chunk's first batch may begin: where, counted from the chunk's end, the next chunk's first one
+    begins, and how many begin here.  Batches that begin at one place go on alike, so all places are followed at once, by doubling."""
+    jump, count = np.minimum(end, len(end)), np.ones(len(end), np.int64)
+    while len(inner := np.flatnonzero(jump[:own] < own)):
+        count[inner] += count[jump[inner]]
+        jump[inner] = jump[jump[inner]]
+    exits, counts = np.maximum(np.arange(most + 1) - own, 0), np.zeros(most + 1, np.int64)
+    here = min(own, most + 1)
+    exits[:here], counts[:here] = jump[:here] - own, count[:here]
+    return exits.tolist(), counts.tolist()
+
+
+def _composed(maps: pd.DataFrame) -> tuple[list[int], list[int]]:
+    """The outcome of chunks that follow each other, from each state before the first."""
+    state, total = None, None
+    for exits, counts in zip(maps["exits"], maps["counts"], strict=True):
+        exits, counts = np.asarray(exits), np.asarray(counts)
+        state = np.arange(len(exits)) if state is None else state
+        total = counts[state] + (0 if total is None else total)
+        state = exits[state]
+    return state.tolist(), total.tolist()
+
+
+def chunk_starts(maps: DataFrame, group: list[str]) -> DataFrame:
+    """(group, chunk, exits, counts) -> (group, chunk, state, before): the state in which each chunk is entered, from state 0 before the first,
+    and the sum of the counts before it.
+
+    FAN chunks are composed to one outcome, a group's outcomes are followed in turn, and then the chunks of each by themselves.
     """
-    batch, bucket_now = 0, None
-    n, total = 0, 0.0
-    for bucket, value, count in histogram:
-        if bucket != bucket_now:
-            batch, n, total, bucket_now = 0, 0, 0.0, bucket
-
-        def fits(k: int, held: int, cost: float, value: float = value) -> bool:
-            return held + k <= cap and ((held + k) * value if padded else cost + k * value) <= budget + 1e-9
-
-        low, high = 0, min(count, cap)
-        while low < high:  # the most rows that the open batch still takes
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if fits(mid, n, total) else (low, mid - 1)
-        room = low if n or low else min(1, count)
-        size = max(1, min(cap, math.floor((budget + 1e-9) / value) if value > 0 else cap))
-        first, rest = batch, count - room
-        if rest == 0:
-            n, total = n + room, total + room * value
-        else:
-            more = -(-rest // size)
-            batch, n = batch + more, rest - (more - 1) * size
-            total = n * value
-        yield bucket, value, first, room, size, batch
-
-
-def batch_plan(rows: DataFrame, ident: str, duration: str, edges: list[float], budget: float, cap: int, padded: bool = False) -> DataFrame:
-    """ident, duration, bucket, batch_id: buckets by duration, rows in each by duration, then id.
-
-    Only the histogram of durations is worked through in order, a task per bucket that reads it as a stream (greedy filling
-    has no other order); rows find their batch by their rank among rows of the same duration.
+    keys = ", ".join(f"{c} {maps.schema[c].dataType.simpleString()}" for c in group)
+    outcome = "exits array<int>, counts array<long>"
+    maps = settled(maps.withColumn("upper", F.expr(f"chunk DIV {FAN}")))
+
+    def composed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("chunk")
+        exits, counts = _composed(part)
+        return pd.DataFrame([[*part[[*group, "upper"]].iloc[0], exits, counts]], columns=[*group, "upper", "exits", "counts"])
+
+    def followed(name: str):
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(name)
+            state, before, out = int(part["state"].iloc[0]) if "state" in part else 0, int(part["before"].iloc[0]) if "before" in part else 0, []
+            for exits, counts in zip(part["exits"], part["counts"], strict=True):
+                out.append((state, before))
+                before += int(counts[state])
+                state = int(exits[state])
+            return part[[*group, name]].assign(state=[x for x, _ in out], before=[x for _, x in out])
+
+        return run
+
+    upper = maps.groupBy(*group, "upper").applyInPandas(composed, f"{keys}, upper long, {outcome}")
+    upper = upper.groupBy(*group).applyInPandas(followed("upper"), f"{keys}, upper long, state int, before long")
+    return maps.join(upper, [*group, "upper"]).groupBy(*group, "upper").applyInPandas(followed("chunk"), f"{keys}, chunk long, state int, before long")
+
+
+def greedy_batches(placed: DataFrame, group: list[str], pos: str, duration: str, budget: float, cap: int, padded: bool, chunk: int = CHUNK) -> DataFrame:
+    """placed (with `pos`, from 1 in each group) with `batch`, from 0 in each group: each batch takes rows in order while it has room.
+
+    A batch that begins at a place takes the same rows whatever was before it, and `cap` rows at most.  So each chunk of places, with the
+    `cap` rows after it, is filled from each of the cap + 1 places where its first batch may begin; the outcomes are
+    composed, and then each chunk is filled from the one place that holds.
     """
+    chunk, placed = max(chunk, cap), settled(placed)
+    at = F.col(pos) - 1
+    own = F.struct(F.expr(f"({pos} - 1) DIV {chunk}").alias("chunk"), F.lit(True).alias("own"))
+    ahead = F.struct(F.expr(f"({pos} - 1) DIV {chunk} - 1").alias("chunk"), F.lit(False).alias("own"))
+    copies = F.when((at % chunk < cap) & (at >= chunk), F.array(own, ahead)).otherwise(F.array(own))
+    cut = placed.withColumn("_c", F.explode(copies)).withColumns({"chunk": F.col("_c.chunk"), "_own": F.col("_c.own")}).drop("_c")
+    keys, columns = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in group), [*placed.columns, "batch"]
+
+    def ordered(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int]:
+        part = part.sort_values(pos)
+        return part, batch_ends(part[duration].fillna(0).to_numpy(float), budget, cap, padded), int(part["_own"].sum())
+
+    def outcome(part: pd.DataFrame) -> pd.DataFrame:
+        part, ends, own = ordered(part)
+        exits, counts = _outcome(ends, own, cap)
+        return pd.DataFrame([[*part[[*group, "chunk"]].iloc[0], exits, counts]], columns=[*group, "chunk", "exits", "counts"])
+
+    def filled(part: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        part, ends, own = ordered(part)
+        begins, i = np.zeros(own, np.int64), int(start["state"].iloc[0])
+        while i < own:
+            begins[i] = 1
+            i = int(ends[i])
+        return part.iloc[:own].assign(batch=int(start["before"].iloc[0]) + np.cumsum(begins) - 1)[columns]
+
+    maps = cut.select(*group, pos, duration, "chunk", "_own").groupBy(*group, "chunk").applyInPandas(outcome, f"{keys}, chunk long, exits array<int>, counts array<long>")
+    starts = chunk_starts(maps, group)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
+    return settled(cut.groupBy(*group, "chunk").cogroup(starts.groupBy(*group, "chunk")).applyInPandas(filled, f"{fields}, batch long"))
+
+
+def batch_plan(rows: DataFrame, ident: str, duration: str, edges: list[float], budget: float, cap: int, padded: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """ident, duration, bucket, batch_id: buckets by duration, rows in each by duration, then id, filled greedily; a row over the
+    budget is a batch by itself.  Chunks of a bucket are filled side by side, however many rows or durations it has."""
     bucket = F.lit(0)
     for edge in edges:
         bucket = bucket + (F.col(duration) > edge).cast("int")
     cut = rows.select(ident, F.col(duration).cast("double").alias(duration)).withColumn("bucket", bucket)
-    histogram = cut.groupBy("bucket", duration).count().repartition("bucket").sortWithinPartitions("bucket", duration)
-    columns = ["bucket", duration, "batch", "room", "size", "last"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        steps = (x for part in batches for x in zip(part["bucket"].tolist(), part[duration].tolist(), part["count"].tolist(), strict=True))
-        segments = greedy_segments(steps, budget, cap, padded)
-        while some := list(islice(segments, 10_000)):
-            yield pd.DataFrame(some, columns=columns)
-
-    plan = histogram.mapInPandas(run, f"bucket int, {duration} double, batch long, room long, size long, last long")
-    ends = plan.groupBy("bucket").agg((F.max("last") + 1).alias("batches"))  # one row per bucket
+    ranked = stable_rank(cut, ["bucket"], duration, ident, name="_pos")
+    plan = greedy_batches(ranked, ["bucket"], "_pos", duration, budget + 1e-9, cap, padded, chunk)
+    ends = plan.groupBy("bucket").agg((F.max("batch") + 1).alias("batches"))  # one row per bucket
     starts = ends.select("bucket", F.coalesce(F.sum("batches").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    plan = plan.join(F.broadcast(starts), "bucket")
-    ranked = stable_rank(cut.withColumn("_one", F.lit(0)), ["bucket", duration], "_one", ident).drop("_one")
-    joined = ranked.join(plan, ["bucket", duration])
-    batch = F.when(F.col("rank") <= F.col("room"), F.col("batch")).otherwise(F.col("batch") + 1 + F.floor((F.col("rank") - F.col("room") - 1) / F.col("size")))
-    return joined.select(ident, duration, "bucket", (F.col("start") + batch).cast("long").alias("batch_id"))
+    return plan.join(F.broadcast(starts), "bucket").select(ident, duration, "bucket", (F.col("start") + F.col("batch")).alias("batch_id"))
 
 
 def plan_summary(plan: DataFrame, duration: str) -> DataFrame:
@@ -96,38 +164,63 @@ def validate_plan(plan: DataFrame, rows: DataFrame, ident: str, duration: str, b
     return out.withColumn("status", F.when(bad == 0, "pass").otherwise("fail"))
 
 
-def mega_batches(rows: DataFrame, ident: str, duration: str, budget: float, cap: int, factor: int = 50, least: int = 4) -> DataFrame:
-    """ident, duration, mega, batch: a fixed shuffle is cut into mega-batches of `factor` typical batches, each is sorted by duration
-    (then id) and filled greedily while rows times the longest stay within the budget and rows within the cap; batches below
-    `least` rows are joined with the next such ones of their mega-batch until they are large enough.
+def _gathered(tiny: DataFrame, least: int, chunk: int) -> DataFrame:
+    """(batch, n) of batches below `least` rows -> (batch, gather): those that come together have one number; the last may stay below.
 
-    A mega-batch has a bounded number of rows and is planned as a whole by one task; ranks in the shuffle come from counts.
+    What waits has fewer than `least` rows, so a chunk of batches has an outcome for each such number, and outcomes are composed.
+    """
+    ranked = stable_rank(tiny.withColumn("_all", F.lit(0)), ["_all"], "batch", "batch", name="_pos")
+    ranked = settled(ranked.withColumn("chunk", F.expr(f"(_pos - 1) DIV {chunk}")))
+
+    def outcome(part: pd.DataFrame) -> pd.DataFrame:
+        sizes, exits, counts = part.sort_values("batch")["n"].tolist(), [], []
+        for waiting in range(least):
+            full = 0
+            for n in sizes:
+                waiting += n
+                if waiting >= least:
+                    waiting, full = 0, full + 1
+            exits.append(waiting)
+            counts.append(full)
+        return pd.DataFrame([[0, part["chunk"].iloc[0], exits, counts]], columns=["_all", "chunk", "exits", "counts"])
+
+    def numbered(part: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("batch")
+        waiting, full, out = int(start["state"].iloc[0]), int(start["before"].iloc[0]), []
+        for n in part["n"].tolist():
+            out.append(full)
+            waiting += n
+            if waiting >= least:
+                waiting, full = 0, full + 1
+        return part[["batch"]].assign(gather=out)
+
+    starts = chunk_starts(ranked.groupBy("_all", "chunk").applyInPandas(outcome, "_all int, chunk long, exits array<int>, counts array<long>"), ["_all"])
+    return settled(ranked.groupBy("_all", "chunk").cogroup(starts.groupBy("_all", "chunk")).applyInPandas(numbered, "batch long, gather long"))
+
+
+def mega_batches(rows: DataFrame, ident: str, duration: str, budget: float, cap: int, factor: int = 50, least: int = 4, chunk: int = CHUNK) -> DataFrame:
+    """ident, duration, mega, batch: a fixed shuffle is cut into mega-batches of `factor` typical batches, each is sorted by duration
+    (then id), and batches are filled greedily through all of them while rows times the longest stay within the budget and
+    rows within the cap; a batch that a mega-batch leaves open goes on in the next one.  Batches below `least` rows wait for
+    the next such ones until they have as many together; batches count in the order in which they are complete, and what still
+    waits at the end comes last.
     """
     median = rows.agg(F.percentile_approx(duration, 0.5)).first()[0] or 0.0
     size = max(1, int(budget / (median + 1e-6))) * factor
-    shuffled = stable_rank(rows.select(ident, duration, digest_order(F.col(ident)).alias("_o"), F.lit(0).alias("_all")), ["_all"], "_o", ident)
-    dealt = shuffled.select(ident, duration, F.floor((F.col("rank") - 1) / size).cast("long").alias("mega"))
-    kind = rows.schema[ident].dataType.simpleString()
-
-    def plan(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values([duration, ident], kind="stable")
-        batches: list[list[int]] = [[]]
-        for i, value in enumerate(chunk[duration]):  # rising, so each is the longest so far
-            if batches[-1] and ((len(batches[-1]) + 1) * value > budget or len(batches[-1]) >= cap):
-                batches.append([])
-            batches[-1].append(i)
-        final, carry = [], []
-        for batch in batches:
-            if len(batch) >= least:
-                final.append(batch)
-                continue
-            carry = carry + batch
-            if len(carry) >= least:
-                final, carry = [*final, carry], []
-        number = {i: n for n, batch in enumerate([*final, carry]) for i in batch}
-        return chunk.assign(batch=[number[i] for i in range(len(chunk))])
-
-    return dealt.groupBy("mega").applyInPandas(plan, f"{ident} {kind}, {duration} double, mega long, batch long")
+    shuffled = stable_rank(rows.select(ident, F.col(duration).cast("double").alias(duration), digest_order(F.col(ident)).alias("_o"), F.lit(0).alias("_all")), ["_all"], "_o", ident)
+    dealt = shuffled.select("_all", ident, duration, F.expr(f"(rank - 1) DIV {size}").alias("mega"))  # a mega-batch has `size` rows
+    within = Window.partitionBy("mega").orderBy(duration, ident)
+    placed = dealt.withColumn("_pos", F.col("mega") * size + F.row_number().over(within))
+    filled = greedy_batches(placed, ["_all"], "_pos", duration, budget, cap, True, chunk)
+    sizes = settled(filled.groupBy("batch").agg(F.count("*").alias("n")))
+    gathered = _gathered(sizes.where(F.col("n") < least), least, chunk)
+    # a batch is complete at its own number, one that was gathered at that of its last part, what still waits behind all
+    parts = gathered.join(sizes, "batch").groupBy("gather").agg(F.max("batch").alias("_last"), F.sum("n").alias("_n"))
+    done = gathered.join(parts, "gather").select("batch", F.when(F.col("_n") >= least, F.col("_last")).otherwise(F.lit((1 << 62))).alias("_done"))
+    done = settled(done.unionByName(sizes.where(F.col("n") >= least).select("batch", F.col("batch").alias("_done"))))
+    order = stable_rank(done.select("_done").distinct().withColumn("_all", F.lit(0)), ["_all"], "_done", "_done", name="_number")
+    numbers = done.join(order, "_done").select("batch", (F.col("_number") - 1).alias("_number"))
+    return filled.join(numbers, "batch").select(ident, duration, "mega", F.col("_number").alias("batch"))
 
 
 def calibration_subset(rows: DataFrame, group: str, value: str, ident: str) -> DataFrame:

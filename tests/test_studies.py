@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,30 +84,57 @@ def test_batch_plans_and_their_validation(spark, padded):
     assert (no.status, no.missing, no.extra, no.planned_twice) == ("fail", 3, 1, 1)
 
 
-def test_mega_batches_against_a_plain_version(spark):
+@pytest.mark.parametrize("padded", [False, True])
+def test_batch_plans_of_distinct_durations_in_chunks(spark, padded):
+    """Every chunk has 64 of 1,500 rows with durations of their own, and batches of up to 12 rows reach over its end."""
+    rng = random.Random(8)
+    rows = [(i, round(rng.uniform(0.01, 30), 6)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, s double")
+    plan = P.batch_plan(df, "id", "s", [2, 9], 160, 12, padded, chunk=64)
+    assert {r.id: r.batch_id for r in plan.collect()} == plain_plan(rows, [2, 9], 160, 12, padded)
+
+
+def test_outcomes_of_chunks_from_each_start():
+    rng = random.Random(9)
+    for _ in range(40):
+        n, own, cap = rng.randint(1, 60), rng.randint(1, 50), rng.randint(1, 9)
+        own = min(n, own)
+        ends = P.batch_ends(np.array([rng.choice([1.0, 4.0, 9.0, 50.0]) for _ in range(n)]), 20.0, cap, rng.random() < 0.5)
+        exits, counts = P._outcome(ends, own, cap)
+        for start in range(cap + 1):
+            at, k = start, 0
+            while at < own:
+                at, k = int(ends[at]), k + 1
+            assert (exits[start], counts[start]) == (at - own, k)
+
+
+@pytest.mark.parametrize(("chunk", "least"), [(1 << 16, 4), (32, 4), (16, 7)])
+def test_mega_batches_against_a_plain_version(spark, chunk, least):
+    """Batches go on from one mega-batch to the next, and so do those that wait to be gathered."""
     rng = random.Random(6)
     rows = [(i, rng.choice([1.0, 2.0, 5.0, 9.0, 40.0, 90.0])) for i in range(900)]
-    found = P.mega_batches(spark.createDataFrame(rows, "id long, s double"), "id", "s", 60.0, 8, factor=3, least=4).collect()
+    found = P.mega_batches(spark.createDataFrame(rows, "id long, s double"), "id", "s", 60.0, 8, factor=3, least=least, chunk=chunk).collect()
     order = sorted(rows, key=lambda r: (int(hashlib.md5(str(r[0]).encode()).hexdigest()[:8], 16), r[0]))
     median = sorted(s for _, s in rows)[len(rows) // 2 - 1 + len(rows) % 2]
     size = max(1, int(60.0 / (median + 1e-6))) * 3
-    wanted = {}
-    for mega, at in enumerate(range(0, len(order), size)):
-        batches = [[]]
+    mega, batches, longest = {}, [[]], 0.0
+    for number, at in enumerate(range(0, len(order), size)):
         for i, s in sorted(order[at : at + size], key=lambda r: (r[1], r[0])):
-            if batches[-1] and ((len(batches[-1]) + 1) * s > 60.0 or len(batches[-1]) >= 8):
+            mega[i], longest = number, max(longest, s)
+            if batches[-1] and ((len(batches[-1]) + 1) * longest > 60.0 or len(batches[-1]) >= 8):
                 batches.append([])
+                longest = s
             batches[-1].append(i)
-        final, carry = [], []
-        for b in batches:
-            if len(b) < 4:
-                carry += b
-                if len(carry) >= 4:
-                    final, carry = [*final, carry], []
-            else:
-                final.append(b)
-        for n, b in enumerate([*final, carry]):
-            wanted |= {i: (mega, n) for i in b}
+    assert max(mega.values()) >= 3
+    final, carry = [], []
+    for b in batches:
+        if len(b) < least:
+            carry += b
+            if len(carry) >= least:
+                final, carry = [*final, carry], []
+        else:
+            final.append(b)
+    wanted = {i: (mega[i], n) for n, b in enumerate([*final, carry]) for i in b}
     assert {r.id: (r.mega, r.batch) for r in found} == wanted
 
 
