@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import settled
+
 
 def coverage_edges(base: DataFrame, masked: DataFrame, checked: DataFrame | None = None) -> DataFrame:
     """(unit, head): head lowers the unit's count; only heads that help one, harm none and did not fail the regression check.
@@ -19,24 +21,25 @@ def coverage_edges(base: DataFrame, masked: DataFrame, checked: DataFrame | None
     return both.where((F.col("base_count") > 0) & (F.col("count") < F.col("base_count"))).join(ok.select("head"), "head").select("unit", "head")
 
 
-def greedy_cover(edges: DataFrame, most: int = 1000) -> list[tuple[int, int]]:
-    """(head, newly covered units) in order: each time the head that covers most of what is left, the lowest of equal ones.
+def greedy_cover(edges: DataFrame, most: int | None = None) -> list[tuple[int, int]]:
+    """(head, newly covered units) in order: each time the head that covers most of what is left, the lowest of equal ones, until
+    every unit of an edge is covered.  most: if it is given and does not do, an error says how many units are left.
 
-    The heads picked so far are few and go along as a filter; the edges themselves stay distributed.
+    Units with the same heads are one row with their number; these rows stay distributed, and each round counts heads and
+    drops the rows of the head picked.
     """
     picked: list[tuple[int, int]] = []
-    edges = edges.distinct().persist()  # read once per round; lost parts are worked out anew
-    while len(picked) < most:
-        left = edges
-        if picked:
-            done = edges.where(F.col("head").isin([h for h, _ in picked])).select("unit").distinct()
-            left = edges.join(done, "unit", "left_anti")
-        best = left.groupBy("head").count().orderBy(F.desc("count"), "head").first()
+    left = settled(unit_signatures(edges.where("unit IS NOT NULL AND head IS NOT NULL")))
+    while True:
+        best = left.select(F.explode("heads").alias("head"), "units").groupBy("head").agg(F.sum("units").alias("n")).orderBy(F.desc("n"), "head").first()
         if best is None:
-            break
-        picked.append((best["head"], best["count"]))
-    edges.unpersist()
-    return picked
+            return picked
+        if most is not None and len(picked) >= most:
+            raise ValueError(f"{most} heads leave {left.agg(F.sum('units')).first()[0]} units uncovered")
+        picked.append((best["head"], best["n"]))
+        left = left.where(~F.array_contains("heads", best["head"]))
+        if len(picked) % 32 == 0:  # what is left is written anew, so that no round filters by all picks
+            left = settled(left)
 
 
 def exact_cover_size(signatures: list[frozenset], heads: int) -> int:

@@ -270,6 +270,47 @@ def group_folds(rows: DataFrame, speaker: str, stratum: str, folds: int) -> Data
     return ranked.select(speaker, stratum, ((F.col("rank") - 1) % folds).cast("int").alias("fold"))
 
 
+def balanced_folds(rows: DataFrame, speaker: str, label: str, folds: int, classes_at_once: int = 20_000) -> DataFrame:
+    """speaker, fold: whole speakers, dealt so that each fold has about the same number of rows of each label.
+
+    Speakers with the same count of every label are one class.  A class of m speakers gives each fold the same m DIV folds of them, in
+    the fixed shuffle's order; the fewer than `folds` that are over go, largest classes of speakers first, each to
+    the fold (of those that the class has not used) where the squares of the labels' counts, each over the label's total, grow least.
+    Only the table of classes is gone through in turn, and where there are more than `classes_at_once` of them,
+    parts of it are gone through side by side.
+    """
+    kind = rows.schema[speaker].dataType.simpleString()
+    counts = rows.groupBy(speaker, F.coalesce(F.col(label).cast("string"), F.lit("")).alias("_l")).agg(F.count("*").alias("_n"))
+    vectors = settled(counts.groupBy(speaker).agg(F.sort_array(F.collect_list(F.struct("_l", "_n"))).alias("_v")).withColumn("_class", F.xxhash64("_v")))
+    classes = vectors.groupBy("_class").agg(F.count("*").alias("_m"), F.first("_v").alias("_v"))
+    totals = {r["_l"]: r["t"] for r in counts.groupBy("_l").agg(F.sum("_n").alias("t")).collect()}  # a row for each label
+    names = {x: i for i, x in enumerate(sorted(totals))}
+    weight = np.array([1 / max(1, totals[x]) for x in names])
+    parts = classes.withColumn("_part", F.pmod(F.xxhash64(F.lit(5), "_class"), F.lit(-(-max(1, classes.count()) // classes_at_once))))
+
+    def dealt(part: pd.DataFrame) -> pd.DataFrame:
+        state, out = np.zeros((folds, len(names))), []
+        size = part["_v"].map(lambda v: sum(x["_n"] for x in v))
+        part = part.assign(_size=size).sort_values(["_size", "_class"], ascending=[False, True])
+        for name, m, v in zip(part["_class"], part["_m"], part["_v"], strict=True):
+            own = np.zeros(len(names))
+            for x in v:
+                own[names[x["_l"]]] = x["_n"]
+            free, extra = list(range(folds)), []
+            for _ in range(int(m) % folds):
+                cost = ((2 * state[free] + own) * own * weight**2).sum(axis=1)
+                extra.append(free.pop(int(np.argmin(np.round(cost, 12)))))
+                state[extra[-1]] += own
+            out.append((name, int(m) // folds * folds, extra))
+        return pd.DataFrame(out, columns=["_class", "_even", "_extra"])
+
+    plan = parts.groupBy("_part").applyInPandas(dealt, "_class long, _even long, _extra array<int>")
+    ranked = stable_rank(vectors.select(speaker, "_class", digest_order(F.col(speaker)).alias("_o")), ["_class"], "_o", speaker)
+    at = F.col("rank") - 1
+    fold = F.when(at < F.col("_even"), at % folds).otherwise(F.get("_extra", (at - F.col("_even")).cast("int")))
+    return ranked.join(plan, "_class").select(F.col(speaker).cast(kind).alias(speaker), fold.cast("int").alias("fold"))
+
+
 def pack(rows: DataFrame, ident: str, length: str, capacity: int, buffer: int = 1000) -> DataFrame:
     """ident, row, start, used: documents packed into rows of `capacity`, filled to the last place.
 

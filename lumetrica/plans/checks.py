@@ -130,6 +130,13 @@ def group_folds(spark, sf_dir):
     return P.group_folds(table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority"), "o_custkey", "o_orderpriority", 10)
 
 
+def balanced_folds(spark, sf_dir):
+    """Ten folds of whole customers with the same share of each order priority: fold, priority, customers, orders."""
+    orders = table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL")
+    folds = P.balanced_folds(orders, "o_custkey", "o_orderpriority", 10)
+    return orders.join(folds, "o_custkey").groupBy("fold", "o_orderpriority").agg(F.countDistinct("o_custkey").alias("customers"), F.count("*").alias("orders"))
+
+
 def pack_size(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").cast("long").alias("cost"))
     return P.pack_size(rows, "p_brand", "p_partkey", "cost", 100)
@@ -155,7 +162,7 @@ def coverage_edges(spark, sf_dir):
 
 
 def greedy_cover(spark, sf_dir):
-    picked = C.greedy_cover(coverage_edges(spark, sf_dir), 200)
+    picked = C.greedy_cover(coverage_edges(spark, sf_dir))
     return spark.createDataFrame([(i + 1, h, n) for i, (h, n) in enumerate(picked)] or [], "place int, head int, covers long")
 
 
@@ -201,7 +208,7 @@ def reverb(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     completeness, group_sizes, leakage, drift, duplicates, charset_failures, model_sanity, complete_slots, expected_missing, resume_remaining, run_matrix, union_by_name, batch_plan_total,
-    batch_plan_padded, plan_validation, calibration_subset, oversample_floor, stratified_quota, disjoint_split, group_folds, pack_size, pack_documents, coverage_edges, greedy_cover, head_scores,
+    batch_plan_padded, plan_validation, calibration_subset, oversample_floor, stratified_quota, disjoint_split, group_folds, balanced_folds, pack_size, pack_documents, coverage_edges, greedy_cover, head_scores,
     signal_power, snr_mix, silence_and_masks, decay_index, reverb)}
 
 _DIG = "('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8))::BIGINT"

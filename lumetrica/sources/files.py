@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -113,17 +115,34 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("epoch_ts IS NOT NULL AND util IS NOT NULL AND mem IS NOT NULL")
 
 
-def parse_sections(lines: DataFrame, file: str = "file_name", number: str = "line_no", text: str = "value") -> DataFrame:
+def filled_down(rows: DataFrame, key: str, pos: str, columns: list[str], block: int = 4096) -> DataFrame:
+    """rows with each null of the columns replaced by the last value before it, by position within its key.
+
+    Positions are cut into blocks: each is filled by itself, and its first nulls take what the blocks before it end with, so
+    that one long file is many tasks.
+    """
+    cut = rows.withColumn("_b", F.expr(f"CAST({pos} AS BIGINT) DIV {block}"))
+    last = cut.groupBy(key, "_b").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in columns))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    carried = last.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), *(F.last(c, ignorenulls=True).over(before).alias(f"_before_{c}") for c in columns))
+    joined = cut.join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")))
+    within = Window.partitionBy(key, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    found = joined.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(f"_before_{c}")) for c in columns})
+    return found.drop("_b", "_k", "_c", *(f"_before_{c}" for c in columns))
+
+
+def parse_sections(lines: DataFrame, file: str = "file_name", number: str = "line_no", text: str = "value", block: int = 4096) -> DataFrame:
     """Interval rows of a log whose sections ("== name"), models ("Model: x") and axes ("Axis: y") head the rows below them.
 
     A new section forgets model and axis, a new model forgets the axis.  Rows read "group: wer% [low, high]".
     """
-    w = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
     head = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
     x = lines.withColumns({"_s": head(r"^== *(.+?) *(?:==)?$"), "_m": head(r"^Model: *(.+)$"), "_a": head(r"^Axis: *(.+)$")})
-    x = x.withColumn("section", F.last("_s", ignorenulls=True).over(w))
-    x = x.withColumn("_mm", F.last(F.when(F.col("_s").isNotNull() | F.col("_m").isNotNull(), F.coalesce("_m", F.lit(""))), ignorenulls=True).over(w))
-    x = x.withColumn("_aa", F.last(F.when(F.col("_s").isNotNull() | F.col("_m").isNotNull() | F.col("_a").isNotNull(), F.coalesce("_a", F.lit(""))), ignorenulls=True).over(w))
+    # a heading sets what it names and clears what is below it; null leaves what was there
+    x = x.withColumns({
+        "section": F.col("_s"), "_mm": F.when(F.col("_s").isNotNull() | F.col("_m").isNotNull(), F.coalesce("_m", F.lit(""))),
+        "_aa": F.when(F.col("_s").isNotNull() | F.col("_m").isNotNull() | F.col("_a").isNotNull(), F.coalesce("_a", F.lit("")))})
+    x = filled_down(x, file, number, ["section", "_mm", "_aa"], block)
     row = r"^\s*(.+?): *([0-9.]+)% *\[([0-9.]+), *([0-9.]+)\]"
     x = x.where(F.col(text).rlike(row) & (F.col("_mm") != "") & (F.col("_aa") != ""))
     return x.select(file, "section", F.col("_mm").alias("model"), F.col("_aa").alias("axis"), F.regexp_extract(text, row, 1).alias("group"),
@@ -133,31 +152,62 @@ def parse_sections(lines: DataFrame, file: str = "file_name", number: str = "lin
 WAV = "path string, sample_rate int, channels int, bit_depth int, frames long, seconds double, codec string, bitrate long"
 
 
-def wav_headers(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
-    """What the headers of WAV files say; unreadable files have nulls."""
-
-    def one(content: bytes) -> tuple:
-        if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-            return (None,) * 7
-        at, found = 12, None
-        while at + 8 <= len(content):
-            kind, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
-            body = content[at + 8 : at + 8 + min(size, 40)]
-            if kind == b"fmt ":
-                number = lambda a, n, body=body: int.from_bytes(body[a : a + n], "little")
-                found = number(0, 2), number(2, 2), number(4, 4), number(12, 2), number(14, 2)
-            elif kind == b"data" and found:
-                code, channels, rate, align, depth = found
-                frames = size // max(1, align)
-                return rate, channels, depth, frames, frames / max(1, rate), f"pcm_s{depth}le" if code == 1 else str(code), rate * channels * depth
-            at += 8 + size + size % 2
+#: Bytes that are read of a file at once; headers are nearly always within the first such piece.
+PIECE = 1 << 12
+
+
+def wav_header(read_at: Callable[[int, int], bytes]) -> tuple:
+    """sample_rate .. bitrate from the chunks of a WAV file, of which read_at(place, bytes) gives a piece; seven nulls if it is none.
+
+    Chunks are stepped over by their sizes, so sound is never read, wherever the header ends.
+    """
+    start, held = 0, read_at(0, PIECE)
+
+    def at(place: int, size: int) -> bytes:
+        nonlocal start, held
+        if not start <= place <= place + size <= start + len(held):
+            start, held = place, read_at(place, PIECE)
+        return held[place - start : place - start + size]
+
+    first, place, found = at(0, 12), 12, None
+    if first[:4] != b"RIFF" or first[8:12] != b"WAVE":
         return (None,) * 7
+    while len(chunk := at(place, 8)) == 8:
+        kind, size = chunk[:4], int.from_bytes(chunk[4:], "little")
+        if kind == b"fmt " and len(body := at(place + 8, 16)) == 16:
+            found = [int.from_bytes(body[a:b], "little") for a, b in ((0, 2), (2, 4), (4, 8), (12, 14), (14, 16))]
+        elif kind == b"data" and found:
+            code, channels, rate, align, depth = found
+            frames = size // max(1, align)
+            return rate, channels, depth, frames, frames / max(1, rate), f"pcm_s{depth}le" if code == 1 else str(code), rate * channels * depth
+        place += 8 + size + size % 2
+    return (None,) * 7
+
+
+def wav_headers(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
+    """What the headers of WAV files say; unreadable files have nulls (of empty ones Spark's listing has no row).
+
+    The listing gives paths and lengths without contents; tasks open their files (of any store that pyarrow opens) and read pieces.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(p, *one(c)) for p, c in zip(batch["path"], batch["content"], strict=True)], columns=[x.split()[0] for x in WAV.split(", ")])
+        from pyarrow import fs
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(run, WAV)
+        for batch in batches:
+            out = []
+            for name in batch["path"]:
+                try:
+                    local = re.match("file:/+(.*)", name, re.S)
+                    store, inner = (fs.LocalFileSystem(), "/" + local[1]) if local else fs.FileSystem.from_uri(quote(name, safe=":/@"))
+                    with store.open_input_file(inner) as file:
+                        size = file.size()
+                        out.append((name, *wav_header(lambda a, n, file=file, size=size: file.read_at(max(0, min(n, size - a)), min(a, size)))))
+                except (OSError, ValueError):
+                    out.append((name, *(None,) * 7))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in WAV.split(", ")])
+
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+    return listed.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, WAV)
 
 
 def durations(manifest: DataFrame, headers: DataFrame, path: str, cache: str, fallback: float = 5.0) -> DataFrame:

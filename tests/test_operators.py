@@ -185,3 +185,31 @@ def test_ranks_need_no_job_before_the_query_runs(spark):
         own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
         assert [(r.i, r["rank"]) for r in ranked.where(f"g = '{g}'").orderBy("rank").collect()] == [(x[2], n) for n, x in enumerate(own, 1)]
     assert stable_rank(df.limit(0), ["g"], "v", "i").count() == 0
+
+
+def test_greedy_cover_runs_to_the_end_or_says_what_is_left(spark):
+    edges = spark.createDataFrame([(u, h) for h in range(6) for u in range(h * 10, h * 10 + 6 - h)] + [(0, 5), (None, 1), (3, None)], "unit long, head long")
+    picked = C.greedy_cover(edges)
+    assert picked == [(0, 6), (1, 5), (2, 4), (3, 3), (4, 2), (5, 1)] and sum(n for _, n in picked) == 21
+    with pytest.raises(ValueError, match="3 heads leave 6 units"):
+        C.greedy_cover(edges, most=3)
+    assert C.greedy_cover(edges.limit(0)) == []
+
+
+@pytest.mark.parametrize("at_once", [20_000, 40])
+def test_balanced_folds(spark, at_once):
+    rng = random.Random(12)
+    rows = [(s, rng.choice("aaaabbc") if s % 3 else "abc"[s % 7 % 3]) for s in range(400) for _ in range(rng.choice([1, 1, 2, 5, 9]))]
+    rows += [(1000, "a")] * 30 + [(1001, None)] * 4
+    df = spark.createDataFrame(rows, "speaker long, g string")
+    folds = P.balanced_folds(df, "speaker", "g", 5, at_once).collect()
+    assert len(folds) == len({r.speaker for r in folds}) == 402 and {r.fold for r in folds} == set(range(5))
+    fold = {r.speaker: r.fold for r in folds}
+    for label in "abc":
+        n = [sum(g == label and fold[s] == k for s, g in rows) for k in range(5)]
+        largest = max(sum(g == label for s, g in rows if s == x) for x, _ in rows)
+        assert max(n) - min(n) <= largest, (label, n)  # no label is further apart than one speaker's rows
+
+
+def test_balanced_folds_of_nothing(spark):
+    assert P.balanced_folds(spark.createDataFrame([], "speaker long, g string"), "speaker", "g", 5).count() == 0

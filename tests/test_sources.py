@@ -2,6 +2,7 @@
 
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumetrica.sources import files as S
@@ -139,3 +140,38 @@ def test_status_and_rolling_streams(spark, sf_dir, tmp_path):
             means.setdefault(r.event_type, []).append(r.m)
     for r in last:
         assert r.n == len(means[r.event_type]) and abs(r.r - sum(means[r.event_type][-2:]) / len(means[r.event_type][-2:])) < 1e-9
+
+
+def wav_bytes(extra=b"", frames=1600):
+    head = b"fmt " + (16).to_bytes(4, "little") + b"".join(x.to_bytes(n, "little") for x, n in ((1, 2), (1, 2), (16000, 4), (32000, 4), (2, 2), (16, 2)))
+    body = b"WAVE" + extra + head + b"data" + (2 * frames).to_bytes(4, "little") + bytes(2 * frames)
+    return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
+def test_headers_are_read_in_pieces(spark, tmp_path):
+    """A header behind a large chunk of another kind is found by two small reads; sound is never read."""
+    whole = wav_bytes(b"LIST" + (1 << 20).to_bytes(4, "little") + bytes(1 << 20), 10**6)
+    read = []
+
+    def read_at(place, size):
+        read.append(size)
+        return whole[place : place + size]
+
+    assert S.wav_header(read_at) == (16000, 1, 16, 10**6, 62.5, "pcm_s16le", 256000) and sum(read) <= 3 * S.PIECE
+    for i in range(0, 44):
+        assert S.wav_header(lambda a, n, i=i: wav_bytes()[:i][a : a + n]) == (None,) * 7
+    for name, content in (("a.wav", whole), ("b.wav", b"R"), ("c d.wav", wav_bytes())):
+        (tmp_path / name).write_bytes(content)
+    found = {r.path.rpartition("/")[2]: r.frames for r in S.wav_headers(spark, str(tmp_path)).collect()}
+    assert found == {"a.wav": 10**6, "b.wav": None, "c d.wav": 1600}
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 4096])
+def test_sections_are_carried_over_blocks(spark, block):
+    """Wherever a log is cut, its rows are those of the whole."""
+    lines = ["a: 1.0% [0.5, 1.5]", "== One ==", "Model: m", "Axis: x", "a: 1.0% [0.5, 1.5]", "junk", "b: 2.0% [1, 3]", "Axis: y", "a: 3.0% [1, 4]", "Model: n", "a: 9.0% [1, 9]", "Axis: x", "a: 4.0% [1, 9]",
+             "== Two", "a: 5.0% [1, 9]", "Model: m", "Axis: z", "", "a: 6.0% [1, 9]"]
+    df = spark.createDataFrame([(f, i, x) for f in "fg" for i, x in enumerate(lines)], "file_name string, line_no long, value string")
+    found = S.parse_sections(df, block=block).orderBy("file_name", "wer").collect()
+    one = [("One", "m", "x", "a", 1.0), ("One", "m", "x", "b", 2.0), ("One", "m", "y", "a", 3.0), ("One", "n", "x", "a", 4.0), ("Two", "m", "z", "a", 6.0)]
+    assert [(r.section, r.model, r.axis, r.group, r.wer) for r in found] == one * 2
