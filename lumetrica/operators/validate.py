@@ -111,6 +111,21 @@ def run_gates(deltas: DataFrame, delta: str, baseline: Column, floor: float, mea
         gate("mixed_sign", F.col("up"), state), gate("mean_change", F.col("mean"), within("mean", mean_most)), gate("max_change", F.col("most"), within("most", max_most)))).alias("g")).select("g.*")
 
 
+def target_gate(one: DataFrame, value: str, name: str, target: float | None, tolerance: float, beyond: str = "fail") -> DataFrame:
+    """gate, value, status of a one-row table: "pass" within the tolerance of the target, else `beyond`; without a target "skip"."""
+    status = F.lit("skip") if target is None else F.when(F.abs(F.col(value) - target) <= tolerance, "pass").otherwise(beyond)
+    return one.select(F.lit(name).alias("gate"), F.col(value).cast("double").alias("value"), status.alias("status"))
+
+
+def completeness_gate(rows: DataFrame, keys: list[str], expected: DataFrame, empty: Column, name: str = "completeness") -> DataFrame:
+    """gate, value (rows), status: "fail" unless every expected key has one row and no other is there, "warn" if some are empty."""
+    found = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.count(F.when(empty, 1)).alias("_e"))
+    both = expected.select(*keys).distinct().withColumn("_x", F.lit(True)).join(found, keys, "full")
+    one = both.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("value"), F.count(F.when(F.col("_x").isNull() | F.col("_n").isNull() | (F.col("_n") != 1), 1)).alias("_bad"), F.coalesce(F.sum("_e"), F.lit(0)).alias("_e"))
+    return one.select(F.lit(name).alias("gate"), F.col("value").cast("double").alias("value"), F.when(F.col("_bad") > 0, "fail").when(F.col("_e") > 0, "warn").otherwise("pass").alias("status"))
+
+
 def config_gates(config: DataFrame, equal: dict[str, str], below: dict[str, float]) -> DataFrame:
     """(name, actual, passed) for a table of settings (name, value as text): values that must be equal, numbers that must be below.
     A setting that is missing fails."""

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import metrics as M
 from ..operators import order as O
 from ..operators import validate as V
-from .base import predictions, rounded, table, with_pred
+from .base import predictions, rounded, run_matrix, table, with_pred
 
 # The order in which users are listed where an order is canonical.
 USER_ORDER = [f"u{i}" for i in (7, 3, 11, 0, 5, 2, 9, 1, 8, 4, 10, 6)]
@@ -106,6 +106,46 @@ def config_gates(spark, sf_dir):
         config, {"lr_scheduler": "constant", "warmup_ratio": "0", "batch_size": "4", "grad_accum_steps": "4", "target_mlp": "true", "effective_batch_size": "16"}, {"peak_vram_gb": 24.0})
 
 
+def sweep_gates(spark, sf_dir):
+    """The gates of a sweep: its baseline's insertion rate near a target, effects of both signs, a replay that stays close, every run of every
+    document there once, and the baseline's error rate near that of the labelled part."""
+    rows = predictions(spark, sf_dir)
+    clean = rows.where("variant = 'clean' AND n > 0")
+    inserted = clean.agg((F.sum("i") / F.sum("n")).alias("v"))
+    expected = table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(run_matrix(spark).select("model", "variant")))  # nine runs of each document
+    labelled_only = clean.where("quality <> ''").agg((F.sum("errors") / F.sum("n")).alias("e"))
+    wer = clean.agg((F.sum("errors") / F.sum("n")).alias("w")).crossJoin(labelled_only).select((F.col("w") - F.col("e")).alias("v"))  # one row each
+    return rounded(
+        V.target_gate(inserted, "v", "baseline_insertions", 0.02, 0.005, "note").unionByName(V.run_gates(_insertion_deltas(spark, sf_dir), "delta", F.col("base"), 0.001, 0.005, 0.02))
+        .unionByName(V.completeness_gate(rows, ["model", "variant", "doc_id"], expected, F.col("n") == 0)).unionByName(V.target_gate(wer, "v", "baseline_errors", 0.0, 0.005)))
+
+
+def settings_gates(spark, sf_dir):
+    """Gates on the settings that the last event of each kind carries: some must be equal, others below a bound; what is missing fails."""
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    config = events.groupBy(F.col("event_type").alias("name")).agg(F.max_by("k", F.struct("ts", "event_id")).alias("value"))
+    return V.config_gates(config, {"view": "50.0", "signup": "7", "absent": "1"}, {"click": 100.0, "error": 25.0, "purchase": 50.0})
+
+
+SEVERITIES, FLOORS = (("none", 1.0), ("mild", 0.1), ("harsh", 0.01)), (-40.0, -35.0, -30.0)
+
+
+def vad_scores(spark, sf_dir):
+    """Severity by floor: recordings whose later half is quieter, of whose frames those below the loudest by the floor are dropped: the share
+    that stays, the share of recordings that lose a frame, and the loudness of what is dropped."""
+    cells = spark.createDataFrame([(a, s, f) for a, s in SEVERITIES for f in FLOORS], "severity string, scale double, floor double")
+    rows = table(spark, sf_dir, "embeddings").select("embedding").crossJoin(F.broadcast(cells))  # nine cells
+    square = lambda x, i: F.when(i < 32, x.cast("double") * x).otherwise(x.cast("double") * x * F.col("scale") * F.col("scale"))
+    rows = rows.withColumn("e", F.transform("embedding", square))
+    power = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda f: F.aggregate(F.slice("e", 8 * f + 1, 8), F.lit(0.0), lambda a, x: a + x))
+    rows = rows.withColumn("p", power).withColumn("db", F.transform("p", lambda x: 10 * F.log10((x + 1e-12) / (F.array_max("p") + 1e-12))))
+    rows = rows.withColumn("gone", F.filter("db", lambda x: x < F.col("floor")))
+    out = rows.groupBy("severity", "floor").agg(
+        F.count("*").alias("n"), F.avg(1 - F.size("gone") / 8).alias("kept"), F.avg((F.size("gone") > 0).cast("double")).alias("shortened"),
+        F.try_divide(F.sum(F.aggregate("gone", F.lit(0.0), lambda a, x: a + x)), F.sum(F.size("gone"))).alias("dropped_db"))
+    return rounded(out)
+
+
 def stage_gate(spark, sf_dir):
     """The three best parts by price of two stages, and how many both have."""
     parts = table(spark, sf_dir, "part").select("p_size", "p_brand", "p_retailprice")
@@ -214,7 +254,7 @@ def shuffled_union(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     source_manifest, speaker_lookup, perturbed_manifest, count_and_seconds, manifest_check, existence_sample, transcription_sanity, filters_census, run_gates,
-    regression_guard, config_gates, stage_gate, capacity_choices, selected_models, throughput, eval_proxy, samples_per_step, grid_cells, sweep_table,
+    regression_guard, config_gates, sweep_gates, settings_gates, vad_scores, stage_gate, capacity_choices, selected_models, throughput, eval_proxy, samples_per_step, grid_cells, sweep_table,
     replay_difference, decoding_grid, interval_census, ordered_groups, shuffled_union)}
 
 _SOURCE_RATES = """, r AS (SELECT model, variant, source, sum(i)::DOUBLE / sum(n) AS i_rate, sum(errors)::DOUBLE / sum(n) AS wer FROM pred WHERE n > 0 GROUP BY ALL),
@@ -254,6 +294,25 @@ UNION ALL SELECT 'mean_change', round(mean, 6), CASE WHEN mean <= 0.005 THEN 'pa
 UNION ALL SELECT 'max_change', round(most, 6), CASE WHEN most <= 0.02 THEN 'pass' ELSE 'fail' END FROM one"""),
     "regression_guard": with_pred(_SOURCE_RATES + """, y AS (SELECT model, source, 'L' || CASE WHEN variant = 'mild' THEN 1 ELSE 2 END || '_h' || length(source) AS head, delta, change FROM x)
 SELECT model, source, head, round(delta, 6) AS improvement, round(change, 6) AS wer_change, change <= 0.005 AS regression_ok FROM y ORDER BY round(delta, 9), model, source, head LIMIT 50"""),
+    "sweep_gates": with_pred(_SOURCE_RATES + """, one AS (SELECT count(*) FILTER (WHERE delta > 0) AS up, count(*) FILTER (WHERE delta <= 0) AS other, max(abs(delta)) AS most, avg(abs(delta)) AS mean, max(base) AS base FROM x),
+b AS (SELECT sum(i)::DOUBLE / sum(n) AS ins, sum(errors)::DOUBLE / sum(n) - (sum(errors) FILTER (WHERE quality <> ''))::DOUBLE / sum(n) FILTER (WHERE quality <> '') AS wer FROM pred WHERE variant = 'clean' AND n > 0),
+k AS (SELECT model, variant, doc_id, count(*) AS c, count(*) FILTER (WHERE n = 0) AS e FROM pred GROUP BY ALL), w AS (SELECT DISTINCT model, variant, d.doc_id FROM documents d, runs),
+f AS (SELECT coalesce(sum(c), 0)::DOUBLE AS v, count(*) FILTER (WHERE w.doc_id IS NULL OR k.doc_id IS NULL OR c <> 1) AS bad, coalesce(sum(e), 0) AS e FROM w FULL JOIN k ON w.model = k.model AND w.variant = k.variant AND w.doc_id = k.doc_id)
+SELECT 'mixed_sign' AS gate, up::DOUBLE AS value, CASE WHEN base < 0.001 THEN 'warn' WHEN up > 0 AND other > 0 AND most >= 1e-6 THEN 'pass' ELSE 'fail' END AS status FROM one
+UNION ALL SELECT 'mean_change', round(mean, 6), CASE WHEN mean <= 0.005 THEN 'pass' ELSE 'fail' END FROM one
+UNION ALL SELECT 'max_change', round(most, 6), CASE WHEN most <= 0.02 THEN 'pass' ELSE 'fail' END FROM one
+UNION ALL SELECT 'baseline_insertions', round(ins, 6), CASE WHEN abs(ins - 0.02) <= 0.005 THEN 'pass' ELSE 'note' END FROM b
+UNION ALL SELECT 'baseline_errors', round(wer, 6), CASE WHEN abs(wer) <= 0.005 THEN 'pass' ELSE 'fail' END FROM b
+UNION ALL SELECT 'completeness', v, CASE WHEN bad > 0 THEN 'fail' WHEN e > 0 THEN 'warn' ELSE 'pass' END FROM f"""),
+    "settings_gates": """WITH c AS (SELECT event_type AS name, arg_max(json_extract_string(props, '$.k'), (ts, event_id)) AS value FROM events GROUP BY 1),
+w AS (SELECT * FROM (VALUES ('view', 50.0, NULL), ('signup', 7, NULL), ('absent', 1, NULL), ('click', NULL, 100.0), ('error', NULL, 25.0), ('purchase', NULL, 50.0)) t(name, wanted, most))
+SELECT w.name, c.value AS actual, coalesce(CASE WHEN most IS NULL THEN TRY_CAST(c.value AS DOUBLE) = wanted ELSE TRY_CAST(c.value AS DOUBLE) < most END, false) AS passed FROM w LEFT JOIN c ON c.name = w.name""",
+    "vad_scores": """WITH cells AS (SELECT * FROM (VALUES ('none', 1.0::DOUBLE), ('mild', 0.1::DOUBLE), ('harsh', 0.01::DOUBLE)) a(severity, scale), (VALUES (-40.0::DOUBLE), (-35.0::DOUBLE), (-30.0::DOUBLE)) b(floor)),
+e AS (SELECT vec_id, severity, floor, scale, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings, cells),
+p AS (SELECT vec_id, severity, floor, i // 8 AS f, sum(x * x * CASE WHEN i < 32 THEN 1 ELSE scale * scale END) AS p FROM e WHERE i < 64 GROUP BY ALL),
+d AS (SELECT *, 10 * log10((p + 1e-12) / (max(p) OVER (PARTITION BY vec_id, severity, floor) + 1e-12)) AS db FROM p),
+r AS (SELECT vec_id, severity, floor, count(*) FILTER (WHERE db < floor) AS gone, coalesce(sum(db) FILTER (WHERE db < floor), 0) AS s FROM d GROUP BY ALL)
+SELECT severity, floor, count(*) AS n, round(avg(1 - gone / 8.0::DOUBLE), 6) AS kept, round(avg((gone > 0)::INT::DOUBLE), 6) AS shortened, round(CASE WHEN sum(gone) > 0 THEN sum(s) / sum(gone) END, 6) AS dropped_db FROM r GROUP BY ALL""",
     "config_gates": """SELECT * FROM (VALUES ('lr_scheduler', 'constant', true), ('warmup_ratio', '0.0', true), ('batch_size', '4', true), ('grad_accum_steps', '8', false),
   ('target_mlp', 'True', true), ('effective_batch_size', NULL, false), ('peak_vram_gb', '23.5', true)) t(name, actual, passed)""",
     "stage_gate": """WITH a AS (SELECT p_size FROM part WHERE p_brand LIKE '%1' GROUP BY 1 ORDER BY min(p_retailprice), 1 LIMIT 3),

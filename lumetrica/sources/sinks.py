@@ -42,6 +42,49 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
     return n
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _commit(spark: SparkSession, path: str, batch: str) -> None:
+    """Mark a batch as whole: one empty file, which appears by a rename."""
+    system, mark = _file_system(spark, f"{path}/_commits/{batch}")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/.draft-{batch}")
+    system.create(draft, True).close()
+    if not system.rename(draft, mark) and not system.exists(mark):
+        raise OSError(f"{mark} cannot be written")
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """The batches whose rows count."""
+    system, folder = _file_system(spark, f"{path}/_commits")
+    return sorted(x.getPath().getName() for x in system.listStatus(folder) if not x.getPath().getName().startswith(".")) if system.exists(folder) else []
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all whole batches; what a crash left behind is not among them.  None before the first."""
+    batches = committed(spark, path)
+    return spark.read.option("basePath", path).parquet(*(f"{path}/batch={b}" for b in batches)).drop("batch") if batches else None
+
+
+def append_batch(df: DataFrame, path: str, key: str, batch: str) -> int:
+    """Append the rows whose key no whole batch has, as one batch, all or nothing; how many there were.
+
+    The rows go to a folder of the batch's name, and count once a mark of that name is there.  A batch that comes again after its mark adds
+    nothing; one that crashed before its mark writes its folder anew.  One writer at a time, as a stream is.
+    """
+    spark = df.sparkSession
+    if batch in committed(spark, path):
+        return 0
+    done = read_committed(spark, path)
+    fresh = df.dropDuplicates([key]) if done is None else df.dropDuplicates([key]).join(done.select(key), key, "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    n = spark.read.schema(df.schema).parquet(f"{path}/batch={batch}").count()
+    _commit(spark, path, batch)
+    return n
+
+
 def json_safe(df: DataFrame) -> DataFrame:
     """Doubles that JSON has no number for (NaN, infinities) are null, with their names in <column>_note."""
     out = df

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.sinks import append_new
+from ..sources.sinks import append_batch
 
 
 def read_events(spark: SparkSession, path: str, pattern: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -26,8 +27,16 @@ def telemetry_windows(events: DataFrame, width: str = "1 hour", late: str = "10
 
 
 def resume_append(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Append each key once, also after a restart that repeats a batch."""
-    return stream.writeStream.foreachBatch(lambda df, _: append_new(df, path, key) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append each key once, also after a crash between write and commit and after a restart that repeats a batch; sinks.read_committed reads the result.
+
+    A batch is named by its stream (the id that its checkpoint holds) and its number.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        own = df.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        append_batch(df, path, key, f"{own}-{number}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_status(stream: DataFrame) -> DataFrame:
@@ -40,11 +49,14 @@ def patience(stream: DataFrame, threshold: float = 0.1, most: int = 3) -> DataFr
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best, bad, stopped = state.get if state.exists else (float("inf"), 0, False)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for value in rows["value"]:
-            worse = value > best * (1 + threshold)
-            best, bad = min(best, float(value)), bad + 1 if worse else 0
-            stopped = stopped or bad >= most
+        value = pd.concat(list(batches)).sort_values(["ts", "event_id"])["value"].to_numpy(float)
+        before = np.minimum.accumulate(np.concatenate([[best], value]))  # the best before each row, and after all
+        worse = value > before[:-1] * (1 + threshold)
+        at = np.arange(1, len(value) + 1)
+        since = at - np.maximum.accumulate(np.where(worse, 0, at))  # rows since the last that was kept
+        since = np.where(since == at, since + bad, since)  # none was kept yet: the rows of the batches before count on
+        stopped = bool(stopped or (since >= most).any())
+        best, bad = float(before[-1]), int(since[-1]) if len(since) else bad
         state.update((best, bad, stopped))
         yield pd.DataFrame({"user_id": [key[0]], "best": [best], "bad": [bad], "stopped": [stopped]})
 

@@ -175,3 +175,40 @@ def test_sections_are_carried_over_blocks(spark, block):
     found = S.parse_sections(df, block=block).orderBy("file_name", "wer").collect()
     one = [("One", "m", "x", "a", 1.0), ("One", "m", "x", "b", 2.0), ("One", "m", "y", "a", 3.0), ("One", "n", "x", "a", 4.0), ("Two", "m", "z", "a", 6.0)]
     assert [(r.section, r.model, r.axis, r.group, r.wer) for r in found] == one * 2
+
+
+def test_a_batch_counts_wholly_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A crash between write and mark leaves nothing that counts; the batch comes again, and a third time, and each key is there once."""
+    path = str(tmp_path / "t")
+    frame = lambda ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id long, v string")
+    assert K.read_committed(spark, path) is None and K.append_batch(frame([1, 2, 2]), path, "id", "s-0") == 2
+    commit = K._commit
+    monkeypatch.setattr(K, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        K.append_batch(frame([2, 3, 4]), path, "id", "s-1")
+    assert sorted(r.id for r in K.read_committed(spark, path).collect()) == [1, 2]
+    monkeypatch.setattr(K, "_commit", commit)
+    assert [K.append_batch(frame([2, 3, 4]), path, "id", "s-1") for _ in range(3)] == [2, 0, 0]
+    assert K.append_batch(frame([]), path, "id", "s-2") == 0 and K.append_batch(frame([4, 5]), path, "id", "s-3") == 1
+    assert sorted(map(tuple, K.read_committed(spark, path).collect())) == [(i, f"v{i}") for i in range(1, 6)]
+
+
+def test_patience_goes_on_over_batches(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    rows = [(u, t, u * 1000 + t, rng.choice([1.0, 1.05, 1.5, 0.9, 2.0]) * (1 if u % 2 else 3 / (t + 1))) for u in range(6) for t in range(12)]
+    schema = "user_id long, ts long, event_id long, value double"
+    for k in range(4):
+        spark.createDataFrame([r for r in rows if r[1] // 3 == k], schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    found = {}
+    query = J.patience(stream, 0.1, 3).writeStream.outputMode("update").foreachBatch(lambda df, _: found.update({r.user_id: (r.best, r.bad, r.stopped) for r in df.collect()})).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    for u in range(6):
+        best, bad, stopped = float("inf"), 0, False
+        for _, _, _, v in sorted(r for r in rows if r[0] == u):
+            bad = bad + 1 if v > best * 1.1 else 0
+            best, stopped = min(best, v), stopped or bad >= 3
+        assert found[u] == (best, bad, stopped)
