@@ -113,34 +113,51 @@ def _seed(ident: str) -> int:
     return int(hashlib.md5(ident.encode()).hexdigest(), 16) % (1 << 31) + 42
 
 
+def silence_place(n: int, ident: str, share: float, rate: int) -> tuple[int, int]:
+    """Where a gap of a share of n samples begins, at 30 to 70 % of them (drawn by the id), and its length."""
+    return int(n * np.random.RandomState(_seed(ident)).uniform(0.3, 0.7)), int(n / rate * share * rate)
+
+
+def silence_gain(at: np.ndarray, n: int, gap: int, rate: int) -> np.ndarray:
+    """The gain of the samples at these places around a gap that begins at `gap`: 5 ms down before it, 5 ms up behind."""
+    fade = int(0.005 * rate)
+    if not 0 < fade < gap:
+        return np.ones(len(at), np.float32)
+    slope, away = max(1, fade - 1), np.where(at < gap, gap - 1 - at, at - gap if gap + fade < n else fade)
+    return np.clip(away / slope, 0, 1).astype(np.float32)
+
+
 def faded_silence(x: np.ndarray, ident: str, share: float, rate: int) -> np.ndarray:
-    """x with zeros for a share of its length put in at 30 to 70 % of it (drawn by its id), with 5 ms fades before and after."""
-    at, fade = int(len(x) * np.random.RandomState(_seed(ident)).uniform(0.3, 0.7)), int(0.005 * rate)
-    gain = np.ones(len(x), np.float32)
-    if 0 < fade < at:
-        gain[at - fade : at] = np.linspace(1, 0, fade)
-        if at + fade < len(x):
-            gain[at : at + fade] = np.linspace(0, 1, fade)
-    return np.insert(x * gain, at, np.zeros(int(len(x) / rate * share * rate), np.float32))
+    """x with zeros for a share of its length put in, with fades before and after."""
+    at, gap = silence_place(len(x), ident, share, rate)
+    return np.insert(x * silence_gain(np.arange(len(x)), len(x), at, rate), at, np.zeros(gap, np.float32))
+
+
+def mask_gain(at: np.ndarray, n: int, ident: str, share: float, chunks: int, rate: int) -> np.ndarray:
+    """The gain of the samples at these places of a recording of n, of which `chunks` pieces of a share in all are masked.
+
+    The recording is cut into as many equal stretches, and each has its piece at a place drawn by the id, with 5 ms down before and
+    up behind within the stretch, so that pieces lie apart.  Nothing is masked where a stretch is too short.
+    """
+    size, fade, stretch = int(n * share) // chunks, int(0.005 * rate), n // chunks
+    room = stretch - size - 2 * fade
+    gain = np.ones(len(at), np.float32)
+    if size > 0 and room >= 0:
+        starts = np.arange(chunks) * stretch + fade + (np.random.RandomState(_seed(ident)).uniform(0, 1, chunks) * (room + 1)).astype(int)
+        for start in starts.tolist():
+            away = np.maximum(start - at, at - (start + size - 1))  # 1 beside the piece, 0 and less in it
+            gain = np.minimum(gain, np.clip((away - 1) / max(1, fade - 1), 0, 1).astype(np.float32))
+    return gain
 
 
 def masked_chunks(x: np.ndarray, ident: str, share: float, chunks: int, rate: int) -> np.ndarray:
-    """x with `chunks` pieces of a share of its length zeroed, drawn apart from each other by its id, with 5 ms fades around them."""
-    rng, fade = np.random.RandomState(_seed(ident)), int(0.005 * rate)
-    size, out, used = int(len(x) * share) // chunks, x.astype(np.float32), np.zeros(len(x) + 1, np.int64)
-    starts = np.arange(fade + 1, len(x) - size - fade - 1, max(1, size // 4))
-    for _ in range(chunks):
-        below = np.concatenate([[0], np.cumsum(used[:-1])])  # used samples before each place
-        free = starts[below[np.minimum(len(x), starts + size + fade)] == below[np.maximum(0, starts - fade)]]
-        if not len(free):
-            break
-        a = int(rng.choice(free))
-        out[a - fade : a] *= np.linspace(1, 0, fade, dtype=np.float32)
-        out[a : a + size] = 0
-        if a + size + fade <= len(x):
-            out[a + size : a + size + fade] *= np.linspace(0, 1, fade, dtype=np.float32)
-        used[a : a + size] = 1
-    return out
+    """x with its masked pieces."""
+    return x.astype(np.float32) * mask_gain(np.arange(len(x)), len(x), ident, share, chunks, rate)
+
+
+def loudness(power: np.ndarray) -> np.ndarray:
+    """Decibels of a mean square."""
+    return 20 * np.log10(np.sqrt(power + 1e-12) + 1e-12)
 
 
 def voiced(x: np.ndarray, rate: int, floor_db: float = -35.0, least_ms: int = 200) -> np.ndarray:
@@ -150,7 +167,7 @@ def voiced(x: np.ndarray, rate: int, floor_db: float = -35.0, least_ms: int = 20
         return x
     squares = np.concatenate([[0.0], np.cumsum(x.astype(np.float64) ** 2)])
     heads = np.arange(0, len(x) - size + 1, hop)
-    quiet = 20 * np.log10(np.sqrt((squares[heads + size] - squares[heads]) / size + 1e-12) + 1e-12) < floor_db
+    quiet = loudness((squares[heads + size] - squares[heads]) / size) < floor_db
     edges = np.flatnonzero(np.diff(np.concatenate([[0], quiet.astype(np.int8), [0]]))).reshape(-1, 2)
     keep = np.ones(len(x), bool)
     for a, b in edges[edges[:, 1] - edges[:, 0] >= max(1, least_ms // 10)]:

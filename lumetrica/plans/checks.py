@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cover as C
 from ..operators import planning as P
+from ..operators import recordings as L
 from ..operators import signals as S
 from ..operators import validate as V
 from .base import MODELS, VARIANTS, labelled, predictions, rounded, table, with_pred
@@ -206,8 +207,43 @@ def reverb(spark, sf_dir):
     return e.select("vec_id", F.round(S.power(y), 4).alias("power"))
 
 
+RATE, SIZE = 1000, 32
+
+
+def _recordings(spark, sf_dir):
+    """Embeddings as short recordings, in blocks, so that what reaches over a border is met."""
+    return L.in_blocks(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", SIZE)
+
+
+def _levels(blocks, name):
+    """ident, samples, power, zeros of the transformed recordings."""
+    own = blocks.select("ident", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, v: a + v.cast("double") * v).alias("e"), F.size(F.filter("samples", lambda v: v == 0)).alias("z"))
+    out = own.groupBy("ident").agg(F.sum("n").alias("samples"), F.round(F.sum("e"), 6).alias("power"), F.sum("z").alias("zeros"))
+    return out.withColumn("transform", F.lit(name))
+
+
+def masked_recordings(spark, sf_dir):
+    return _levels(L.masked(_recordings(spark, sf_dir), 0.25, 2, RATE), "masked")
+
+
+def silenced_recordings(spark, sf_dir):
+    return _levels(L.silenced(_recordings(spark, sf_dir), 0.5, SIZE, RATE), "silenced")
+
+
+def reverberant_recordings(spark, sf_dir):
+    return _levels(L.reverberant(_recordings(spark, sf_dir), [1.0, 0.0, 0.5, 0.0, 0.25, 0.125], SIZE), "reverberant")
+
+
+def voiced_recordings(spark, sf_dir):
+    return _levels(L.voiced(_recordings(spark, sf_dir), SIZE, RATE, -20.0, 20), "voiced")
+
+
+def reverberation_times(spark, sf_dir):
+    return rounded(L.reverberation_time(_recordings(spark, sf_dir), RATE))
+
+
 QUERIES = {f.__name__: f for f in (
-    completeness, group_sizes, leakage, drift, duplicates, charset_failures, model_sanity, complete_slots, expected_missing, resume_remaining, run_matrix, union_by_name, batch_plan_total,
+    masked_recordings, silenced_recordings, reverberant_recordings, voiced_recordings, reverberation_times, completeness, group_sizes, leakage, drift, duplicates, charset_failures, model_sanity, complete_slots, expected_missing, resume_remaining, run_matrix, union_by_name, batch_plan_total,
     batch_plan_padded, plan_validation, calibration_subset, oversample_floor, stratified_quota, disjoint_split, group_folds, balanced_folds, pack_size, pack_documents, coverage_edges, greedy_cover, head_scores,
     signal_power, snr_mix, silence_and_masks, decay_index, reverb)}
 

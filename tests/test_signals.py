@@ -79,3 +79,36 @@ def test_quiet_runs_in_one_pass(spark):
             wanted += x[end : end + 1]
             at = end + 1
         assert r.y == wanted
+
+
+def test_blocks_of_recordings_equal_the_whole(spark):
+    """Each transform of blocks gives what the function of the whole recording gives."""
+    from lumetrica.operators import recordings as L
+
+    rng, rate, size = np.random.default_rng(3), 1000, 50
+    own = {"a": rng.normal(0, 0.3, 730), "b": rng.normal(0, 0.3, 50), "c": np.ones(49), "d": np.zeros(300), "e": 10 ** (-3 * np.arange(900) / 400), "f": rng.normal(0, 0.3, 1000), "g": np.ones(1)}
+    own["f"][130:520] = 0
+    own["a"][600:] = 0.0001
+    own = {k: v.astype(np.float32) for k, v in own.items()}
+    blocks = L.in_blocks(spark.createDataFrame([(k, [float(v) for v in x]) for k, x in own.items()] + [("null", None)], "ident string, x array<float>"), "ident", "x", size)
+
+    def whole(found):
+        rows = {}
+        for r in found.orderBy("ident", "start").collect():
+            rows.setdefault(r.ident, []).extend(r.samples)
+        return {k: np.array(rows.get(k, []), np.float64) for k in own}
+
+    kernel = np.exp(-np.arange(180) / 40)
+    found = {
+        "masked": whole(L.masked(blocks, 0.3, 3, rate)), "silenced": whole(L.silenced(blocks, 0.4, size, rate)), "voiced": whole(L.voiced(blocks, size, rate)),
+        "reverberant": whole(L.reverberant(blocks, kernel.tolist(), size))}
+    for k, x in own.items():
+        assert np.allclose(found["masked"][k], S.masked_chunks(x, k, 0.3, 3, rate)), k
+        assert np.allclose(found["silenced"][k], S.faded_silence(x, k, 0.4, rate)), k
+        assert np.allclose(found["voiced"][k], S.voiced(x, rate)), k
+        y = np.convolve(x.astype(float), kernel)[: len(x)]
+        assert np.allclose(found["reverberant"][k], y * np.sqrt((x.astype(float) ** 2).sum() / (y * y).sum()) if (y * y).sum() else y, atol=1e-6), k
+    assert len(found["voiced"]["f"]) < 1000 and len(found["silenced"]["f"]) == 1400
+    times = {r.ident: r.seconds for r in L.reverberation_time(blocks, rate).collect()}
+    for k, x in own.items():
+        assert abs(times[k] - S.reverberation_time(x, rate)) < 0.0021, k
