@@ -156,10 +156,11 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     half = F.expr("CAST(n_chars DIV 2 AS INT)")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("id", "n_chars", "kept", "next_kept", edited.alias("edited"), (F.col("n_chars").cast("int") - half).alias("own"))
-    other = F.length("edited") - F.col("own")
+    # a column of its own: within the functions over arrays it would be worked out for each element
+    rows = rows.select("*", (F.length("edited") - F.col("own")).alias("other"))
     rows = rows.select(
         "id", "n_chars", "kept", "next_kept", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        winnowed_edit(F.col("kept"), F.col("next_kept"), F.col("edited"), F.col("own"), other, k, window).alias("edited_kept"))
+        winnowed_edit(F.col("kept"), F.col("next_kept"), F.col("edited"), F.col("own"), F.col("other"), k, window).alias("edited_kept"))
     rows = rows.select("*", *(hashes_of(F.col(f"{c}kept")).alias(f"{c}hashes") for c in ("", "edited_", "next_")))
     own, other, after = (F.col(f"{c}hashes") for c in ("", "edited_", "next_"))
     rows = rows.select("*", F.size(F.array_intersect(own, other)).alias("with_edited"), F.size(F.array_intersect(own, after)).alias("with_next"))
