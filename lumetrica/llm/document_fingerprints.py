@@ -88,9 +88,8 @@ def likeness(a: Column, b: Column, both: Column) -> Column:
 
 
 def as_text(kept: Column) -> Column:
-    """place:hash of every kept hash, comma-joined."""
-    return F.array_join(F.transform(kept, lambda x: F.concat_ws(
-        ":", (F.lit(PLACES) - x.bitwiseAND(F.lit(PLACES))).cast("string"), F.lower(F.hex(F.shiftrightunsigned(x, PLACE_BITS))))), ",")
+    """Every kept hash with its place as one number (places_of and hashes_of take it apart), comma-joined."""
+    return F.array_join(kept.cast("array<string>"), ",")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
