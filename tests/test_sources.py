@@ -193,19 +193,19 @@ def test_a_batch_counts_wholly_or_not_at_all(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, K.read_committed(spark, path).collect())) == [(i, f"v{i}") for i in range(1, 6)]
 
 
-def test_patience_goes_on_over_batches(spark, tmp_path):
+def test_patience_goes_on_over_batches_and_restarts(spark, tmp_path):
     import random
 
     rng = random.Random(5)
     rows = [(u, t, u * 1000 + t, rng.choice([1.0, 1.05, 1.5, 0.9, 2.0]) * (1 if u % 2 else 3 / (t + 1))) for u in range(6) for t in range(12)]
     schema = "user_id long, ts long, event_id long, value double"
-    for k in range(4):
-        spark.createDataFrame([r for r in rows if r[1] // 3 == k], schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     found = {}
-    query = J.patience(stream, 0.1, 3).writeStream.outputMode("update").foreachBatch(lambda df, _: found.update({r.user_id: (r.best, r.bad, r.stopped) for r in df.collect()})).option(
-        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    for half in ((0, 1), (2, 3)):  # the stream stops between, and another with the same checkpoint goes on
+        for k in half:
+            spark.createDataFrame([r for r in rows if r[1] // 3 == k], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = J.patience(stream, 0.1, 3).writeStream.outputMode("update").foreachBatch(lambda df, _: found.update({r.user_id: (r.best, r.bad, r.stopped) for r in df.collect()}))
+        query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     for u in range(6):
         best, bad, stopped = float("inf"), 0, False
         for _, _, _, v in sorted(r for r in rows if r[0] == u):
