@@ -6,7 +6,7 @@ Alignment proper runs on lines of the texts (plans.alignment).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
@@ -73,3 +73,9 @@ def with_pred(body: str) -> str:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of places, for comparison with another engine."""
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def exact_mean(value: Column) -> Column:
+    """The mean from a decimal sum, which no order of rows changes, so that equal means compare as equal; the plain one where a value or the sum is out of a decimal's range."""
+    exact = value.try_cast("decimal(38,18)")
+    return F.coalesce(F.when(F.count(exact) == F.count(value), F.try_sum(exact)).cast("double") / F.nullif(F.count(value), F.lit(0)), F.avg(value))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import order as O
-from .base import rounded, table
+from .base import exact_mean, rounded, table
 
 
 def _events(spark, sf_dir):
@@ -87,7 +87,8 @@ def _placed(spark, sf_dir):
 
 def loss_trend(spark, sf_dir):
     q = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
-    x = _placed(spark, sf_dir).groupBy("user_id").agg(F.avg(F.when(F.col("r") <= q, F.col("value"))).alias("first_quarter"), F.avg(F.when(F.col("r") > F.col("n") - q, F.col("value"))).alias("last_quarter"))
+    quarter = lambda of: exact_mean(F.when(of, F.col("value")))
+    x = _placed(spark, sf_dir).groupBy("user_id").agg(quarter(F.col("r") <= q).alias("first_quarter"), quarter(F.col("r") > F.col("n") - q).alias("last_quarter"))
     return rounded(x.withColumn("falling", F.col("last_quarter") < F.col("first_quarter")), 10)
 
 

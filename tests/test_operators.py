@@ -213,3 +213,16 @@ def test_balanced_folds(spark, at_once):
 
 def test_balanced_folds_of_nothing(spark):
     assert P.balanced_folds(spark.createDataFrame([], "speaker long, g string"), "speaker", "g", 5).count() == 0
+
+
+def test_equal_quarters_do_not_fall(spark, tmp_path):
+    """Means of the same values in another order are equal; values that no decimal holds have a plain mean."""
+    import datetime as dt
+
+    from lumetrica.plans import selection as S
+
+    values = {1: [0.1, 0.2, 0.3, *[5.0] * 6, 0.3, 0.2, 0.1], 2: [0.3, 0.2, 0.1, *[5.0] * 6, 0.1, 0.2, 0.3], 3: [1e300, 2.0, 3.0, 4.0], 4: [2.0, None, None, None]}
+    rows = [(u * 100 + i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), u, "a", v, "{}") for u, own in values.items() for i, v in enumerate(own)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = {r.user_id: tuple(r)[1:] for r in S.loss_trend(spark, str(tmp_path)).collect()}
+    assert found == {1: (0.2, 0.2, False), 2: (0.2, 0.2, False), 3: (1e300, 4.0, True), 4: (2.0, None, None)}
