@@ -20,14 +20,15 @@ from ..functions.text import stars
 
 #: Poisson(1) below k, times 2**16, for k = 1..8.
 CUTS = [24109, 48218, 60273, 64291, 65296, 65497, 65530, 65535]
+#: The weight of each 16 bits.
+WEIGHTS = np.searchsorted(CUTS, np.arange(1 << 16), side="right").astype(np.float64)
 
 
 def weights(units: list[str], resamples: int) -> np.ndarray:
     """(units, resamples): Poisson(1) weights from 16 bits each."""
     blocks = [f"#{b}".encode() for b in range(-(-resamples // 8))]
     raw = b"".join(hashlib.md5(u + b).digest() for u in (x.encode() for x in units) for b in blocks)
-    bits = np.frombuffer(raw, ">u2").reshape(len(units), -1)[:, :resamples]
-    return np.searchsorted(CUTS, bits, side="right").astype(np.float64)
+    return WEIGHTS[np.frombuffer(raw, ">u2").reshape(len(units), -1)[:, :resamples]]
 
 
 def _partial(keys: list[str], unit: str, sums: list[str], resamples: int, most_groups: int = 256, rows_at_once: int = 1024):
@@ -69,6 +70,8 @@ def draws(rows: DataFrame, keys: list[str], unit: str, sums: list[str], resample
     """keys, _draw, and the weighted sums of the columns (whole numbers)."""
     fields = [T.StructField(c, rows.schema[c].dataType) for c in keys] + [T.StructField(c, T.LongType()) for c in ("_draw", *sums)]
     own = rows.select(*keys, F.coalesce(F.col(unit).cast("string"), F.lit("")).alias("_unit"), *(F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in sums))
+    # rows of a unit stand together, so that its weights are drawn once for all groups
+    own = own.repartition("_unit").sortWithinPartitions("_unit")
     found = own.mapInArrow(_partial(keys, "_unit", sums, resamples), T.StructType(fields))
     return found.groupBy(*keys, "_draw").agg(*(F.sum(c).alias(c) for c in sums))
 

@@ -226,3 +226,16 @@ def test_equal_quarters_do_not_fall(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     found = {r.user_id: tuple(r)[1:] for r in S.loss_trend(spark, str(tmp_path)).collect()}
     assert found == {1: (0.2, 0.2, False), 2: (0.2, 0.2, False), 3: (1e300, 4.0, True), 4: (2.0, None, None)}
+
+
+def test_weights_of_a_unit_are_drawn_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from lumetrica.operators import resample as R
+
+    rows = spark.range(600).select((F.col("id") % 40).alias("u"), (F.col("id") % 3).alias("g"), F.lit(2).alias("x"))
+    found = R.draws(rows, ["g"], "u", ["x"], 16)
+    assert "hashpartitioning(_unit" in found._jdf.queryExecution().executedPlan().toString()
+    drawn = R.weights([str(u) for u in range(40)], 16)
+    got = {(r.g, r["_draw"]): r.x for r in found.collect()}
+    assert got == {(g, k + 1): sum(int(2 * drawn[i % 40][k]) for i in range(600) if i % 3 == g) for g in range(3) for k in range(16)}
