@@ -28,6 +28,7 @@ def run_matrix(spark: SparkSession) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with n (words), and quality and toxic as labels that may be blank."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", word_count(F.col("text")).alias("n"))
+    docs = docs.repartition("doc_id")  # else Spark counts the words again for every run that a document is joined with
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("string").alias("quality"), F.max("toxic").cast("string").alias("toxic"))
     return docs.join(labels, "doc_id", "left").na.fill("", ["quality", "toxic"])
 

@@ -239,3 +239,10 @@ def test_weights_of_a_unit_are_drawn_in_one_task(spark):
     drawn = R.weights([str(u) for u in range(40)], 16)
     got = {(r.g, r["_draw"]): r.x for r in found.collect()}
     assert got == {(g, k + 1): sum(int(2 * drawn[i % 40][k]) for i in range(600) if i % 3 == g) for g in range(3) for k in range(16)}
+
+
+def test_words_of_a_document_are_counted_before_the_runs(spark, sf_dir):
+    from lumetrica.plans.base import predictions
+
+    plan = predictions(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_" not in plan[: plan.index("REPARTITION_BY_COL")] and plan.count("regexp_") == 1
