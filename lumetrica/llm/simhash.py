@@ -231,20 +231,24 @@ def _compare(words: int, least: float):
     return run
 
 
+def _with_texts(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes with their texts x and y; only texts of pairs move."""
+    spark = docs.sparkSession
+    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts.select("node", "key"), "node")
+    some = stash(some, "wanted")
+    bits = spark.sparkContext.broadcast(bitmap(some.select(F.xxhash64("key").alias("k")), "k", FILTER_BITS))
+    found = docs.select(F.xxhash64("key").alias("k"), "key", "text")
+    found = found.mapInArrow(_wanted(bits), found.schema).groupBy("key").agg(F.first("text").alias("text"))
+    found = stash(found.join(some, "key").select("node", "text"), "texts-of-candidates")
+    of = lambda end, name: found.select(F.col("node").alias(end), F.col("text").alias(name))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+
+
 def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
     """Of the pairs (a, b) of nodes those whose whole shingle sets have the likeness `least`; each candidate's text moves, no other."""
-    spark = docs.sparkSession
-    with scratch(spark):
+    with scratch(docs.sparkSession):
         pairs = stash(pairs, "candidates")
-        some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts.select("node", "key"), "node")
-        some = stash(some, "wanted")
-        bits = spark.sparkContext.broadcast(bitmap(some.select(F.xxhash64("key").alias("k")), "k", FILTER_BITS))
-        found = docs.select(F.xxhash64("key").alias("k"), "key", "text")
-        found = found.mapInArrow(_wanted(bits), found.schema).groupBy("key").agg(F.first("text").alias("text"))
-        found = stash(found.join(some, "key").select("node", "text"), "texts-of-candidates")
-        of = lambda end, name: found.select(F.col("node").alias(end), F.col("text").alias(name))
-        both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-        return kept(both.mapInArrow(_compare(words, least), pairs.schema), "alike")
+        return kept(_with_texts(docs, texts, pairs).mapInArrow(_compare(words, least), pairs.schema), "alike")
 
 
 def _quick_pairs(texts: DataFrame, least: float) -> DataFrame:
@@ -299,14 +303,20 @@ def _postings(bits):
     return run
 
 
+#: A shingle that more prefixes share is looked up by what their texts have apart from one of them.
+CROWDED = 256
+
+
 def _whole_pairs(docs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Candidates (a, b) among which are all pairs of likeness `least` that lie in two classes (the column c of texts).
+    """Candidates (a, b) that link all that pairs of likeness `least` in two classes (the column c of texts) link.
 
     A prefix filter: with all shingles in one order, rarest first, two sets that are so alike share one of the first
     n - least * n + 1 of each.  What they share beyond lies after one of the two prefixes, so what the prefixes share and
     what is left of a set after its prefix add up to the overlap that the likeness asks for.  A pair is a candidate only
     where that holds: of two equally large sets nearly half of the prefixes must be common.
-    Only hashes that two classes share are dealt out with their texts.
+    Only hashes that two classes share are dealt out with their texts.  Where more than CROWDED prefixes share one, it is
+    cut into parts by size, each of two neighbouring ranges (sizes so alike lie in one or in two neighbours).  Where a part is
+    crowded still, pairs are not made by it but by _crowded_pairs; for a pair in none of these all that the prefixes share counts.
     """
     spark = docs.sparkSession
     prefix = least, spark.sparkContext.broadcast(_frequent(docs, words))
@@ -317,12 +327,76 @@ def _whole_pairs(docs: DataFrame, texts: DataFrame, words: int, least: float) ->
     bits = spark.sparkContext.broadcast(bitmap(mixed, "h", FILTER_BITS))
     shared = rows.mapInArrow(_postings(bits), "h long, t long, c long, n int").join(mixed, "h", "left_semi")
     shared = stash(shared, "shared-prefixes")
-    other = shared.select("h", *(F.col(c).alias(f"{c}_") for c in ("t", "c", "n")))
-    met = shared.join(other, "h").where((F.col("t") < F.col("t_")) & (F.col("c") != F.col("c_")))
+    crowd = shared.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > CROWDED)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / least) if 0 < least < 1 else 1.0) + ROUNDING)
+    dealt = shared.join(crowd, "h", "left").withColumn("band", band)
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("size").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array("band", F.col("band") + 1))))
+    parts = dealt.where("part >= 0").groupBy("h", "part").agg(F.count("*").alias("of")).where(F.col("of") > CROWDED).select("h", "part")
+    parts = stash(parts, "crowded-shingles")
+    few = dealt.join(parts, ["h", "part"], "left_anti")
+    other = few.select("h", "part", *(F.col(c).alias(f"{c}_") for c in ("t", "c", "n", "band")))
+    met = few.join(other, ["h", "part"]).where((F.col("t") < F.col("t_")) & (F.col("c") != F.col("c_")) & ((F.col("part") < 0) | (F.col("part") == F.greatest("band", "band_"))))
     met = met.where(F.least("n", "n_") >= least * F.greatest("n", "n_") - ROUNDING).groupBy("t", "t_", "n", "n_").agg(F.count("*").alias("common"))
     after = lambda n: F.ceil(least * F.col(n) - ROUNDING) - 1  # noqa: E731  the shingles after the prefix
     wanted = least / (1 + least) * (F.col("n") + F.col("n_"))
-    return met.where(F.col("common") + F.greatest(after("n"), after("n_")) >= wanted - ROUNDING).select(F.col("t").alias("a"), F.col("t_").alias("b"))
+    met = met.where(F.col("common") + F.greatest(after("n"), after("n_")) >= wanted - ROUNDING).select(F.col("t").alias("a"), F.col("t_").alias("b"))
+    return met if parts.isEmpty() else met.union(_crowded_pairs(docs, texts, dealt.join(parts, ["h", "part"]), words, least)).distinct()
+
+
+def _differences(words: int):
+    """n, d and the hashes that just one of the texts x and y has, of each pair (a, b); n is the number of those of x, d that of the list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731,B023
+            sets, others = shingle_sets(at("x"), words), shingle_sets(at("y"), words)
+            apart = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(sets, others, strict=True)]
+            columns = [at("a"), at("b"), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(len, apart)), pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "d", "apart"])
+
+    return run
+
+
+def _crowded_pairs(docs: DataFrame, texts: DataFrame, postings: DataFrame, words: int, least: float) -> DataFrame:
+    """Candidates (a, b) among which are, or which link as well as, all pairs of likeness `least` that share one of the crowded hashes.
+
+    postings: (h, part, t, c, n, size).  The texts of a hash and part have one text r of theirs as reference, that with the
+    most crowded hashes: the middle of a group of edits.  What two sets do not have in common is what their differences from r
+    do not have in common, and it may be `spare` = (1 - least) / (1 + least) of their sizes together.  With slack = spare * n - d
+    (d: the size of a difference), two differences must share -(slack + slack') / 2.  r has the largest slack, so of two texts
+    that need share nothing both are linked to r, and each text that is linked to r meets only others that are not.  The rest
+    meet by what their differences share, rarest first, and only as far in this order as enough may still be common: what is
+    left of a list tells the least slack of the other text.  Slacks are cut into levels, finer near zero, so that two texts
+    meet where each is within the other's reach.
+    """
+    spare = (1 - least) / (1 + least)
+    scores = postings.groupBy("t").agg(F.sum("size").alias("score"))
+    scored = postings.join(scores, "t")
+    best = scored.groupBy("h", "part").agg(F.max(F.struct("score", "t")).alias("m")).select("h", "part", F.col("m.t").alias("b"))
+    pairs = stash(scored.join(best, ["h", "part"]).select(F.col("t").alias("a"), "b").distinct(), "references")
+    apart = _with_texts(docs, texts, pairs).mapInArrow(_differences(words), "a long, b long, n int, d int, apart array<long>")
+    apart = apart.join(texts.select(F.col("node").alias("a"), "c"), "a").withColumn("slack", spare * F.col("n") - F.col("d"))
+    heads = apart.where("a = b").select("b", F.col("c").alias("own"), F.col("slack").alias("top"))
+    apart = apart.join(heads, "b").withColumn("near", F.col("slack") + F.col("top") >= -4 * ROUNDING)
+    # those that are linked to r are of its class
+    apart = stash(apart.withColumn("k", F.when(F.col("near"), F.col("own")).otherwise(F.col("c"))), "differences")
+    links = apart.where("near AND c != own").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    each = apart.select("b", "a", "k", F.explode("apart").alias("e"))
+    mixed = each.groupBy("b", "e").agg(F.count("*").alias("times"), F.min("k").alias("x"), F.max("k").alias("y")).where("x != y").select("b", "e", "times")
+    # what only one class has comes first, and leads nowhere
+    listed = each.join(mixed, ["b", "e"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("found"))
+    listed = apart.drop("apart").join(listed, ["b", "a"]).select("*", F.posexplode("found").alias("i", "f"))
+    left = F.size("found") - F.col("i")  # hashes from this one on
+    level = lambda slack: F.floor(2 * F.asinh(slack / 8)).cast("int")
+    most = F.when(F.col("near"), -F.col("top")).otherwise(F.col("top"))  # who is linked to r meets only those that are not
+    reach = listed.select("b", "f.e", F.col("a").alias("t"), "k", "n", "slack", "near", left.alias("left"), level(F.col("slack")).alias("own"),
+                          level(-F.col("slack") - 2 * left - 4 * ROUNDING).alias("low"), level(most + 4 * ROUNDING).alias("high")).where("low <= high")
+    reach = reach.select("b", "e", "t", "k", "n", "slack", "near", "left", "own", F.explode(F.sequence("low", "high")).alias("at"))
+    reach = stash(reach, "reaches")
+    other = reach.select("b", "e", F.col("own").alias("at"), F.col("at").alias("own"), *(F.col(c).alias(f"{c}_") for c in ("t", "k", "n", "slack", "near", "left")))
+    met = reach.join(other, ["b", "e", "own", "at"]).where((F.col("t") < F.col("t_")) & (F.col("k") != F.col("k_")) & ~(F.col("near") & F.col("near_"))
+        & (F.least("n", "n_") >= least * F.greatest("n", "n_") - ROUNDING) & (2 * F.least("left", "left_") >= -F.col("slack") - F.col("slack_") - 4 * ROUNDING))
+    return links.union(met.select(F.col("t").alias("a"), F.col("t_").alias("b")))
 
 
 def text_groups(docs: DataFrame, words: int = 5, radius: int = 3, least: float = 0.8, sketch: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:

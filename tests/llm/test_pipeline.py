@@ -111,3 +111,50 @@ def test_near_dedup_stage_against_all_pairs(spark, tmp_path):
     for i, (key, _) in enumerate(rows):
         least[find(i)] = min(key, least.get(find(i), key))
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(least.values())
+
+
+@pytest.mark.parametrize("crowded", [12, 10_000])
+def test_a_crowd_just_below_the_likeness_makes_no_square(spark, monkeypatch, crowded):
+    """Groups of edits of two templates: most texts are far from each other, some are near a few, and all links are found."""
+    from lumetrica.llm import simhash
+    from lumetrica.llm.common import digest
+
+    rng = random.Random(45)
+    texts = []
+    for size in (120, 90):
+        base = make(rng, "abcdefgh", size).split()
+        for _ in range(150):
+            words = [*base]
+            for at in rng.sample(range(size), rng.choice([1, 2, 4, 5, 6])):
+                words[at] = make(rng, "xyz", 1) if rng.random() < 0.8 else ""
+            texts.append(" ".join(words))
+        # later edits of edited texts, so that some are near others that are far from the template
+        texts += [f"{x} {make(rng, 'xyz', rng.choice([1, 2]))}" for x in rng.sample(texts, 20)]
+    sets = [set(simhash.shingles(x.encode(), 5)) for x in texts]
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if (n := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        root[find(i)] = find(j)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("key", digest(F.col("text")))
+    nodes = docs.select(F.col("id").alias("node"), F.col("id").alias("c"), "key")
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    found = {(max(r), min(r)) for r in map(tuple, simhash._whole_pairs(docs, nodes, 5, 0.8).collect())}
+    mine = list(range(len(texts)))
+
+    def reach(i):
+        while mine[i] != i:
+            i = mine[i]
+        return i
+
+    for i, j in found & links:
+        mine[reach(i)] = reach(j)
+    assert all((find(i) == find(j)) == (reach(i) == reach(j)) for i in range(len(texts)) for j in range(i))
+    assert 1 < len({find(i) for i in range(len(texts))}) < len(texts)
+    if crowded < 100:
+        assert len(found - links) < 3 * len(texts), len(found - links)
