@@ -329,12 +329,17 @@ def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of whole texts as bytes."""
+    """The windows of whole texts as bytes, a block of texts at a time: windows_of takes some 40 bytes for each id of its texts."""
     for batch in batches:
-        if len(batch):
-            found = windows_of(*_ids_of(batch.column(0)))
+        if not len(batch):
+            continue
+        ids, counts = _ids_of(batch.column(0))
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        for start, stop in blocks(counts, 1 << 18):
+            found = windows_of(ids[bounds[start] : bounds[stop]], counts[start:stop])
             for i in range(0, len(found), 1 << 15):
-                yield pa.RecordBatch.from_arrays([_as_bytes(found[i : i + (1 << 15)].ravel(), np.full(len(found[i : i + (1 << 15)]), SPAN + 1))], names=["ids"])
+                part = found[i : i + (1 << 15)]
+                yield pa.RecordBatch.from_arrays([_as_bytes(part.ravel(), np.full(len(part), SPAN + 1))], names=["ids"])
 
 
 def _as_bytes(ids: np.ndarray, counts: np.ndarray) -> pa.Array:

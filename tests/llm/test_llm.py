@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -551,6 +553,18 @@ def test_lm_windows_cover_whole_texts():
     assert found == wanted
 
 
+def test_windows_of_a_large_batch_take_little_memory():
+    """A batch of 16 MB of ids (what a stash lets through) makes its windows block by block."""
+    counts = np.random.default_rng(5).integers(1, 2000, 8000)
+    ids = (np.arange(counts.sum()) % 30_000).astype(np.uint16)
+    batch = pa.RecordBatch.from_arrays([lm_scoring._as_bytes(ids, counts)], names=["ids"])
+    tracemalloc.start()
+    found, most = [np.frombuffer(out.column(0).buffers()[2], "<u2").reshape(-1, lm_scoring.SPAN + 1).copy() for out in lm_scoring._windows(iter([batch]))], tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.concatenate(found) == lm_scoring.windows_of(ids, counts)).all()
+    assert most < 100e6
+
+
 def test_lm_scores_equal_plain_attention():
     rng = np.random.default_rng(3)
     words = lm_scoring.Vocabulary(rng.integers(0, 50, 3000).astype(float), rng.integers(0, 2, 3000))
