@@ -10,27 +10,18 @@ from pyspark.sql import functions as F
 RANGES = 8192
 
 
-def count_below(bounds: Column, value: Column, size: int, equal: bool = False) -> Column:
-    """How many of at most `size` rising bounds are below the value (or equal, if asked), by halving; 0 for null."""
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, size).bit_length()))))
-
-    def step(low: Column, more: Column) -> Column:
-        bound = F.get(bounds, low + more - 1)
-        return F.when(F.coalesce(bound <= value if equal else bound < value, F.lit(False)), low + more).otherwise(low)
-
-    return F.aggregate(steps, F.lit(0), step)
-
-
 def with_ranges(rows: DataFrame, value: str, parts: int) -> DataFrame:
     """rows with `_range`, which rises with the value, and `_common`, true where a value fills whole ranges and has one by itself.
 
     Quantiles of all rows cut the ranges; they come as the one row of an aggregate within the query, which needs no job of its own.
     """
     quantiles = F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000)
-    bounded = rows.crossJoin(F.broadcast(rows.agg(quantiles.alias("_bounds"))))
-    below, upto = (count_below(F.col("_bounds"), F.col(value), parts, equal) for equal in (False, True))
-    cut = bounded.withColumns({"_below": below, "_upto": upto}).drop("_bounds")
-    return cut.withColumn("_common", F.col("_upto") - F.col("_below") > 1).withColumn("_range", 2 * F.col("_below") + F.col("_common").cast("int")).drop("_below", "_upto")
+    cut = rows.crossJoin(F.broadcast(rows.agg(quantiles.alias("_bounds")))).withColumn("_below", F.lit(0))
+    for k in reversed(range(parts.bit_length())):  # how many bounds are below the value, by halving, 0 for null; plain columns, which Spark compiles
+        cut = cut.withColumn("_below", F.col("_below") + F.when(F.get("_bounds", F.col("_below") + ((1 << k) - 1)) < F.col(value), 1 << k).otherwise(0))
+    # bounds rise, so two of them are equal to the value if the second that is not below it is not above it either
+    cut = cut.withColumn("_common", F.coalesce(F.get("_bounds", F.col("_below") + 1) <= F.col(value), F.lit(False))).drop("_bounds")
+    return cut.withColumn("_range", 2 * F.col("_below") + F.col("_common").cast("int")).drop("_below")
 
 
 def stable_rank(rows: DataFrame, group: list[str], value: str, ident: str, block: int = 4096, name: str = "rank") -> DataFrame:

@@ -92,8 +92,9 @@ def chunk_starts(maps: DataFrame, group: list[str]) -> DataFrame:
     return maps.join(upper, [*group, "upper"]).groupBy(*group, "upper").applyInPandas(followed("chunk"), f"{keys}, chunk long, state int, before long")
 
 
-def greedy_batches(placed: DataFrame, group: list[str], pos: str, duration: str, budget: float, cap: int, padded: bool, chunk: int = CHUNK) -> DataFrame:
-    """placed (with `pos`, from 1 in each group) with `batch`, from 0 in each group: each batch takes rows in order while it has room.
+def greedy_batches(placed: DataFrame, group: list[str], pos: str, duration: str, budget: float, cap: int, costs: dict[str, bool], chunk: int = CHUNK) -> DataFrame:
+    """placed (with `pos`, from 1 in each group) with a batch number, from 0 in each group, for each of `costs` (column: whether padded):
+    each batch takes rows in order while it has room.
 
     A batch that begins at a place takes the same rows whatever was before it, and `cap` rows at most.  So each chunk of places, with the
     `cap` rows after it, is filled from each of the cap + 1 places where its first batch may begin; the outcomes are
@@ -105,43 +106,54 @@ def greedy_batches(placed: DataFrame, group: list[str], pos: str, duration: str,
     ahead = F.struct(F.expr(f"({pos} - 1) DIV {chunk} - 1").alias("chunk"), F.lit(False).alias("own"))
     copies = F.when((at % chunk < cap) & (at >= chunk), F.array(own, ahead)).otherwise(F.array(own))
     cut = placed.withColumn("_c", F.explode(copies)).withColumns({"chunk": F.col("_c.chunk"), "_own": F.col("_c.own")}).drop("_c")
-    keys, columns = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in group), [*placed.columns, "batch"]
+    keys, columns = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in group), [*placed.columns, *costs]
 
-    def ordered(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int]:
+    def ordered(part: pd.DataFrame) -> tuple[pd.DataFrame, dict[str, np.ndarray], int]:
         part = part.sort_values(pos)
-        return part, batch_ends(part[duration].fillna(0).to_numpy(float), budget, cap, padded), int(part["_own"].sum())
+        values = part[duration].fillna(0).to_numpy(float)
+        return part, {name: batch_ends(values, budget, cap, padded) for name, padded in costs.items()}, int(part["_own"].sum())
 
     def outcome(part: pd.DataFrame) -> pd.DataFrame:
         part, ends, own = ordered(part)
-        exits, counts = _outcome(ends, own, cap)
-        return pd.DataFrame([[*part[[*group, "chunk"]].iloc[0], exits, counts]], columns=[*group, "chunk", "exits", "counts"])
+        key = [*part[[*group, "chunk"]].iloc[0]]
+        return pd.DataFrame([[*key, name, *_outcome(end, own, cap)] for name, end in ends.items()], columns=[*group, "chunk", "_cost", "exits", "counts"])
 
     def filled(part: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         part, ends, own = ordered(part)
-        begins, i = np.zeros(own, np.int64), int(start["state"].iloc[0])
-        while i < own:
-            begins[i] = 1
-            i = int(ends[i])
-        return part.iloc[:own].assign(batch=int(start["before"].iloc[0]) + np.cumsum(begins) - 1)[columns]
-
-    maps = cut.select(*group, pos, duration, "chunk", "_own").groupBy(*group, "chunk").applyInPandas(outcome, f"{keys}, chunk long, exits array<int>, counts array<long>")
-    starts = chunk_starts(maps, group)
+        start, numbers = start.set_index("_cost"), {}
+        for name, end in ends.items():
+            begins, i = np.zeros(own, np.int64), int(start["state"][name])
+            while i < own:
+                begins[i] = 1
+                i = int(end[i])
+            numbers[name] = int(start["before"][name]) + np.cumsum(begins) - 1
+        return part.iloc[:own].assign(**numbers)[columns]
+
+    maps = cut.select(*group, pos, duration, "chunk", "_own").groupBy(*group, "chunk").applyInPandas(outcome, f"{keys}, chunk long, _cost string, exits array<int>, counts array<long>")
+    starts = chunk_starts(maps, [*group, "_cost"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
-    return settled(cut.groupBy(*group, "chunk").cogroup(starts.groupBy(*group, "chunk")).applyInPandas(filled, f"{fields}, batch long"))
+    fields += "".join(f", `{name}` long" for name in costs)
+    return settled(cut.groupBy(*group, "chunk").cogroup(starts.groupBy(*group, "chunk")).applyInPandas(filled, fields))
 
 
-def batch_plan(rows: DataFrame, ident: str, duration: str, edges: list[float], budget: float, cap: int, padded: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """ident, duration, bucket, batch_id: buckets by duration, rows in each by duration, then id, filled greedily; a row over the
-    budget is a batch by itself.  Chunks of a bucket are filled side by side, however many rows or durations it has."""
+def batch_plans(rows: DataFrame, ident: str, duration: str, edges: list[float], budget: float, cap: int, costs: dict[str, bool], chunk: int = CHUNK) -> DataFrame:
+    """ident, duration, bucket, and a batch number for each of `costs` (column: whether padded): rows are ranked and shuffled once for all."""
     bucket = F.lit(0)
     for edge in edges:
         bucket = bucket + (F.col(duration) > edge).cast("int")
     cut = rows.select(ident, F.col(duration).cast("double").alias(duration)).withColumn("bucket", bucket)
     ranked = stable_rank(cut, ["bucket"], duration, ident, name="_pos")
-    plan = greedy_batches(ranked, ["bucket"], "_pos", duration, budget + 1e-9, cap, padded, chunk)
-    ends = plan.groupBy("bucket").agg((F.max("batch") + 1).alias("batches"))  # one row per bucket
-    starts = ends.select("bucket", F.coalesce(F.sum("batches").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    return plan.join(F.broadcast(starts), "bucket").select(ident, duration, "bucket", (F.col("start") + F.col("batch")).alias("batch_id"))
+    plan = greedy_batches(ranked, ["bucket"], "_pos", duration, budget + 1e-9, cap, costs, chunk)
+    ends = plan.groupBy("bucket").agg(*((F.max(c) + 1).alias(c) for c in costs))  # one row per bucket
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("bucket", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in costs))
+    return plan.join(F.broadcast(starts), "bucket").select(ident, duration, "bucket", *((F.col(f"_{c}") + F.col(c)).alias(c) for c in costs))
+
+
+def batch_plan(rows: DataFrame, ident: str, duration: str, edges: list[float], budget: float, cap: int, padded: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """ident, duration, bucket, batch_id: buckets by duration, rows in each by duration, then id, filled greedily; a row over the
+    budget is a batch by itself.  Chunks of a bucket are filled side by side, however many rows or durations it has."""
+    return batch_plans(rows, ident, duration, edges, budget, cap, {"batch_id": padded}, chunk)
 
 
 def plan_summary(plan: DataFrame, duration: str) -> DataFrame:
@@ -149,19 +161,34 @@ def plan_summary(plan: DataFrame, duration: str) -> DataFrame:
     return plan.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum(duration).alias("total"), (F.count("*") * F.max(duration)).alias("padded"))
 
 
-def validate_plan(plan: DataFrame, rows: DataFrame, ident: str, duration: str, budget: float, cap: int) -> DataFrame:
-    """One row: rows, planned rows, batches, batches over the cap or the budget, ids that the plan lacks, has besides or has
-    twice, and the status; every row must be planned exactly once."""
-    per = plan.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum(duration).alias("s"))
-    batches = per.agg(
-        F.count("*").alias("batches"), F.count(F.when(F.col("n") > cap, 1)).alias("over_cap"), F.count(F.when((F.col("s") > budget + 1e-6) & (F.col("n") > 1), 1)).alias("over_budget"))
-    planned, own = plan.groupBy(ident).agg(F.count("*").alias("p")), rows.groupBy(ident).agg(F.count("*").alias("r"))
-    p, r = F.coalesce(F.col("p"), F.lit(0)), F.coalesce(F.col("r"), F.lit(0))
-    ids = planned.join(own, ident, "full").agg(
-        F.sum(r).alias("rows"), F.sum(p).alias("planned"), F.count(F.when(p == 0, 1)).alias("missing"), F.count(F.when(r == 0, 1)).alias("extra"), F.count(F.when(p > 1, 1)).alias("planned_twice"))
-    out = batches.crossJoin(ids)  # one row each
+def validate_plans(plan: DataFrame, rows: DataFrame, ident: str, duration: str, budget: float, cap: int, costs: list[str]) -> DataFrame:
+    """A row for each of `costs` (columns of batch numbers): cost, rows, planned rows, batches, batches over the cap or the budget, ids that the plan lacks,
+    has besides or has twice, and the status; every row must be planned exactly once.  Then the most rows, seconds and padded seconds of a batch,
+    and the median of rows.  One pass over the ids serves all plans.
+    """
+    r, null = F.col("_r"), F.col(ident).isNull()  # a null id is no other's
+    counted = plan.select(ident, F.lit(0).alias("_r"), *(F.col(c).isNotNull().cast("int").alias(c) for c in costs))
+    given = rows.select(ident, F.lit(1).alias("_r"), *(F.lit(0).alias(c) for c in costs))
+    ids = counted.unionByName(given).groupBy(ident).agg(*(F.sum(c).alias(c) for c in ("_r", *costs)))
+    out = ids.agg(F.sum("_r").alias("rows"), *(F.struct(
+        F.sum(p).alias("planned"), F.count(F.when((r > 0) & ((p == 0) | null), 1)).alias("missing"), F.count(F.when((p > 0) & ((r == 0) | null), 1)).alias("extra"),
+        F.count(F.when(p > 1, 1)).alias("planned_twice")).alias(f"_ids_{c}") for c in costs for p in [F.col(c)]))
+    for c in costs:
+        over = (F.col("total") > budget + 1e-6) & (F.col("n") > 1)
+        own = plan_summary(plan.withColumnRenamed(c, "batch_id"), duration).agg(
+            F.count("*").alias("batches"), F.count(F.when(F.col("n") > cap, 1)).alias("over_cap"), F.count(F.when(over, 1)).alias("over_budget"),
+            F.max("n").alias("most_rows"), F.max("total").alias("most_total"), F.max("padded").alias("most_padded"), F.median("n").alias("median_rows"))
+        out = out.crossJoin(own.select(F.struct("*").alias(f"_own_{c}")))  # one row each
+    each = out.select("rows", F.explode(F.array(*(F.struct(F.lit(c).alias("cost"), F.col(f"_ids_{c}").alias("i"), F.col(f"_own_{c}").alias("o")) for c in costs))).alias("x"))
+    found = each.select("x.cost", "x.o.batches", "x.o.over_cap", "x.o.over_budget", "rows", "x.i.*", "x.o.most_rows", "x.o.most_total", "x.o.most_padded", "x.o.median_rows")
     bad = sum((F.col(c) for c in ("over_cap", "over_budget", "missing", "extra", "planned_twice")), F.lit(0))
-    return out.withColumn("status", F.when(bad == 0, "pass").otherwise("fail"))
+    return found.withColumn("status", F.when(bad == 0, "pass").otherwise("fail"))
+
+
+def validate_plan(plan: DataFrame, rows: DataFrame, ident: str, duration: str, budget: float, cap: int) -> DataFrame:
+    """The row of validate_plans for a plan with `batch_id`, without the measures of its batches."""
+    found = validate_plans(plan, rows, ident, duration, budget, cap, ["batch_id"])
+    return found.select("batches", "over_cap", "over_budget", "rows", "planned", "missing", "extra", "planned_twice", "status")
 
 
 def _gathered(tiny: DataFrame, least: int, chunk: int) -> DataFrame:
@@ -211,7 +238,7 @@ def mega_batches(rows: DataFrame, ident: str, duration: str, budget: float, cap:
     dealt = shuffled.select("_all", ident, duration, F.expr(f"(rank - 1) DIV {size}").alias("mega"))  # a mega-batch has `size` rows
     within = Window.partitionBy("mega").orderBy(duration, ident)
     placed = dealt.withColumn("_pos", F.col("mega") * size + F.row_number().over(within))
-    filled = greedy_batches(placed, ["_all"], "_pos", duration, budget, cap, True, chunk)
+    filled = greedy_batches(placed, ["_all"], "_pos", duration, budget, cap, {"batch": True}, chunk)
     sizes = settled(filled.groupBy("batch").agg(F.count("*").alias("n")))
     gathered = _gathered(sizes.where(F.col("n") < least), least, chunk)
     # a batch is complete at its own number, one that was gathered at that of its last part, what still waits behind all

@@ -82,31 +82,28 @@ def union_by_name(spark, sf_dir):
     return rounded(both.groupBy("kind", "segment").agg(F.count("*").alias("n"), F.sum(F.col("balance").cast("decimal(18,2)")).cast("double").alias("balance")), 2)
 
 
-def _plan(spark, sf_dir, padded):
+def _plan(spark, sf_dir, costs):
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), F.col("l_quantity").alias("seconds"))
-    return P.batch_plan(rows, "row_id", "seconds", [10, 30], 160, 16, padded)
+    return P.batch_plans(rows, "row_id", "seconds", [10, 30], 160, 16, costs)
 
 
 def batch_plan_total(spark, sf_dir):
-    return _plan(spark, sf_dir, False)
+    return _plan(spark, sf_dir, {"batch_id": False})
 
 
 def batch_plan_padded(spark, sf_dir):
-    return _plan(spark, sf_dir, True)
+    return _plan(spark, sf_dir, {"batch_id": True})
 
 
 def plan_validation(spark, sf_dir):
     """Both plans: limits kept, every row planned exactly once (line numbers repeat in some orders, which shows here), medians and buckets."""
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"))
-    out = None
-    for padded in (False, True):
-        plan = _plan(spark, sf_dir, padded)
-        found = P.validate_plan(plan, rows, "row_id", "seconds", 160, 16)
-        sums = P.plan_summary(plan, "seconds").agg(F.max("n").alias("most_rows"), F.max("total" if not padded else "padded").alias("most_seconds"), F.median("n").alias("median_rows"))
-        buckets = plan.agg(*(F.count(F.when(F.col("bucket") == i, 1)).alias(f"bucket{i}") for i in range(3)))
-        one = found.crossJoin(sums).crossJoin(buckets).withColumn("cost", F.lit("padded" if padded else "total"))  # one row each
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    plan = _plan(spark, sf_dir, {"total": False, "padded": True})
+    buckets = plan.agg(*(F.count(F.when(F.col("bucket") == i, 1)).alias(f"bucket{i}") for i in range(3)))
+    found = P.validate_plans(plan, rows, "row_id", "seconds", 160, 16, ["total", "padded"]).crossJoin(buckets)  # two rows and one
+    most = F.when(F.col("cost") == "padded", F.col("most_padded")).otherwise(F.col("most_total")).alias("most_seconds")
+    return rounded(found.select(
+        "batches", "over_cap", "over_budget", "rows", "planned", "missing", "extra", "planned_twice", "status", "most_rows", most, "median_rows", *(f"bucket{i}" for i in range(3)), "cost"))
 
 
 def calibration_subset(spark, sf_dir):

@@ -94,6 +94,26 @@ def test_batch_plans_of_distinct_durations_in_chunks(spark, padded):
     assert {r.id: r.batch_id for r in plan.collect()} == plain_plan(rows, [2, 9], 160, 12, padded)
 
 
+def test_plan_validation_ranks_its_rows_once_for_both_plans(spark, sf_dir, monkeypatch):
+    from lumetrica.plans import checks
+
+    ranked, rank = [], P.stable_rank
+    monkeypatch.setattr(P, "stable_rank", lambda *a, **k: ranked.append(a) or rank(*a, **k))
+    found = {r.cost: r for r in checks.plan_validation(spark, sf_dir).collect()}
+    assert len(ranked) == 1
+    for cost, query in (("total", checks.batch_plan_total), ("padded", checks.batch_plan_padded)):
+        plan = query(spark, sf_dir)
+        own = P.plan_summary(plan, "seconds").agg(F.count("*").alias("batches"), F.max("n").alias("most_rows"), F.max(cost).alias("most_seconds")).first()
+        assert (found[cost].batches, found[cost].most_rows, found[cost].most_seconds) == tuple(own)
+
+
+def test_a_null_id_is_missing_and_extra(spark):
+    rows = spark.createDataFrame([(1, 2.0), (None, 3.0)], "id long, s double")
+    plan = spark.createDataFrame([(1, 2.0, 0), (None, 3.0, 0)], "id long, s double, batch_id long")
+    found = P.validate_plan(plan, rows, "id", "s", 160, 16).first()
+    assert (found.status, found.rows, found.planned, found.missing, found.extra, found.planned_twice) == ("fail", 2, 2, 1, 1, 0)
+
+
 def test_outcomes_of_chunks_from_each_start():
     rng = random.Random(9)
     for _ in range(40):
