@@ -71,14 +71,17 @@ def reverberant(blocks: DataFrame, kernel: list[float], size: int) -> DataFrame:
             part = np.zeros(min(size, n - a))
             low, high = max(a, start), min(a + len(part), start + len(y))
             part[low - a : high - a] = y[low - start : high - start]
-            yield ident, a, part, float((x.astype(np.float64) ** 2).sum()) if a == start // size * size else 0.0
+            yield ident, a, start, part, float((x.astype(np.float64) ** 2).sum()) if a == start // size * size else 0.0
 
-    def added(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(part["part"].to_list()), axis=0)  # as many parts as a kernel reaches over blocks, and one
-        return pd.DataFrame([[part["ident"].iloc[0], part["start"].iloc[0], total, part["before"].sum(), float((total**2).sum())]], columns=["ident", "start", "part", "before", "after"])
+    def added(batches):
+        for batch in batches:
+            totals = [np.sum(np.stack([p["part"] for p in parts]), axis=0) for parts in batch["parts"]]
+            yield batch[["ident", "start", "before"]].assign(part=totals, after=[float((x**2).sum()) for x in totals])
 
-    parts = _mapped(with_length(blocks), one, "ident string, start long, part array<double>, before double")
-    found = parts.groupBy("ident", "start").applyInPandas(added, "ident string, start long, part array<double>, before double, after double")
+    parts = _mapped(with_length(blocks), one, "ident string, start long, source long, part array<double>, before double")
+    # as many parts as a kernel reaches over blocks, and one; many blocks go to Python together
+    gathered = parts.groupBy("ident", "start").agg(F.sort_array(F.collect_list(F.struct("source", "part"))).alias("parts"), F.sum("before").alias("before"))
+    found = gathered.mapInPandas(added, "ident string, start long, before double, part array<double>, after double")
     scale = found.groupBy("ident").agg(F.when(F.sum("after") > 0, F.sqrt(F.sum("before") / F.sum("after"))).otherwise(1.0).alias("scale"))
     return found.join(scale, "ident").select("ident", "start", F.transform("part", lambda v: v * F.col("scale")).cast("array<double>").alias("samples"))
 
@@ -88,21 +91,25 @@ def voiced(blocks: DataFrame, size: int, rate: int = 16_000, floor_db: float = -
     frame, hop = rate * 20 // 1000, rate * 10 // 1000
     if size < frame:
         raise ValueError("a block must hold a frame")
-    own = F.struct(F.expr(f"start DIV {size}").alias("b"), F.lit(0).alias("after"), "samples")
-    ahead = F.struct((F.expr(f"start DIV {size}") - 1).alias("b"), F.lit(1).alias("after"), F.slice("samples", 1, frame).alias("samples"))
+    own = F.struct(F.expr(f"start DIV {size}").alias("b"), F.lit(0).alias("after"), "start", "samples")
+    ahead = F.struct((F.expr(f"start DIV {size}") - 1).alias("b"), F.lit(1).alias("after"), "start", F.slice("samples", 1, frame).alias("samples"))
     copies = with_length(blocks).select("ident", "length", F.explode(F.when(F.col("start") > 0, F.array(own, ahead)).otherwise(F.array(own))).alias("x")).select("ident", "length", "x.*")
 
-    def runs(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("after")
-        start, n = int(part["b"].iloc[0]) * size, int(part["length"].iloc[0])
-        x = np.concatenate([np.asarray(v, np.float32) for v in part["samples"]])
+    def runs_of(b: int, n: int, parts) -> list[list[int]]:
+        start, x = b * size, np.concatenate([np.asarray(v["samples"], np.float32) for v in parts])
         heads = np.arange(-(-start // hop) * hop, min(start + size, n - frame + 1), hop)
         squares = np.concatenate([[0.0], np.cumsum(x.astype(np.float64) ** 2)])
         quiet = S.loudness((squares[heads - start + frame] - squares[heads - start]) / frame) < floor_db
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], quiet.astype(np.int8), [0]]))).reshape(-1, 2) + -(-start // hop)
-        return pd.DataFrame([(part["ident"].iloc[0], a, b) for a, b in edges.tolist()], columns=["ident", "first", "last"], dtype=object)
+        return (np.flatnonzero(np.diff(np.concatenate([[0], quiet.astype(np.int8), [0]]))).reshape(-1, 2) + -(-start // hop)).tolist()
+
+    def runs(batches):
+        for batch in batches:
+            out = [(i, *edge) for i, b, n, parts in zip(batch["ident"], batch["b"], batch["length"], batch["parts"], strict=True) for edge in runs_of(int(b), int(n), parts)]
+            yield pd.DataFrame(out, columns=["ident", "first", "last"], dtype=object)
 
-    found = copies.groupBy("ident", "b").applyInPandas(runs, "ident string, first long, last long")
+    # a block and the head of the next; many blocks go to Python together
+    gathered = copies.groupBy("ident", "b").agg(F.max("length").alias("length"), F.sort_array(F.collect_list(F.struct("after", "start", "samples"))).alias("parts"))
+    found = gathered.mapInPandas(runs, "ident string, first long, last long")
     order = Window.partitionBy("ident").orderBy("first")  # a row for each run of a block
     found = found.withColumn("new", F.coalesce((F.lag("last").over(order) < F.col("first")).cast("int"), F.lit(1)))
     found = found.withColumn("run", F.sum("new").over(order)).groupBy("ident", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))

@@ -112,3 +112,12 @@ def test_blocks_of_recordings_equal_the_whole(spark):
     times = {r.ident: r.seconds for r in L.reverberation_time(blocks, rate).collect()}
     for k, x in own.items():
         assert abs(times[k] - S.reverberation_time(x, rate)) < 0.0021, k
+
+
+def test_blocks_go_to_python_many_at_a_time(spark):
+    """Python is not called for each block by itself, which would cost far more than its samples."""
+    from lumetrica.operators import recordings as L
+
+    blocks = L.in_blocks(spark.createDataFrame([("a", [0.5] * 100)], "ident string, x array<float>"), "ident", "x", 32)
+    for found in (L.reverberant(blocks, [1.0, 0.5], 32), L.voiced(blocks, 32, 1000)):
+        assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
