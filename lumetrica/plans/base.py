@@ -33,9 +33,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").na.fill("", ["quality", "toxic"])
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, quality, toxic, model, variant, n, s, i, d, h, ref_words, errors, wer (4 places)."""
-    rows = labelled(spark, sf_dir).crossJoin(F.broadcast(run_matrix(spark)))
+def predictions(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang, source, quality, toxic, model, variant, n, s, i, d, h, ref_words, errors, wer (4 places); docs: what labelled() gives, where it is kept."""
+    rows = (labelled(spark, sf_dir) if docs is None else docs).crossJoin(F.broadcast(run_matrix(spark)))
     rows = rows.withColumn("s", F.least(F.col("n"), F.expr("(n * (2 * m + 4 * v) + doc_id % 7) DIV 100")))
     rows = rows.withColumn("d", F.least(F.expr("n - s"), F.expr("(n * (m + 3 * v) + doc_id % 5) DIV 150")))
     rows = rows.withColumn("i", F.expr("(n * m * (1 + v) + doc_id % 11) DIV 120")).withColumn("h", F.expr("n - s - d"))

@@ -9,7 +9,8 @@ from ..functions import text as X
 from ..operators import metrics as M
 from ..operators import order as O
 from ..operators import validate as V
-from .base import predictions, rounded, run_matrix, table, with_pred
+from ..operators.lineage import settled
+from .base import labelled, predictions, rounded, run_matrix, table, with_pred
 
 # The order in which users are listed where an order is canonical.
 USER_ORDER = [f"u{i}" for i in (7, 3, 11, 0, 5, 2, 9, 1, 8, 4, 10, 6)]
@@ -77,9 +78,9 @@ def filters_census(spark, sf_dir):
         one(events.where((loss < float("inf")) & ~F.isnan(loss)), "finite_loss")).unionByName(one(docs.orderBy("doc_id").limit(150), "first_rows"))
 
 
-def _insertion_deltas(spark, sf_dir):
+def _insertion_deltas(spark, sf_dir, docs=None):
     """model, variant, source as a head: its rate of insertions less that of the model's clean run."""
-    rates = M.group_rates(predictions(spark, sf_dir), ["model", "variant", "source"])
+    rates = M.group_rates(predictions(spark, sf_dir, docs), ["model", "variant", "source"])
     base = rates.where("variant = 'clean'").select("model", "source", F.col("i_rate").alias("base"))
     return rates.where("variant <> 'clean'").join(base, ["model", "source"]).withColumn("delta", F.col("i_rate") - F.col("base"))
 
@@ -109,14 +110,15 @@ def config_gates(spark, sf_dir):
 def sweep_gates(spark, sf_dir):
     """The gates of a sweep: its baseline's insertion rate near a target, effects of both signs, a replay that stays close, every run of every
     document there once, and the baseline's error rate near that of the labelled part."""
-    rows = predictions(spark, sf_dir)
+    docs = settled(labelled(spark, sf_dir))  # words are counted once, not for each gate
+    rows = predictions(spark, sf_dir, docs)
     clean = rows.where("variant = 'clean' AND n > 0")
     inserted = clean.agg((F.sum("i") / F.sum("n")).alias("v"))
     expected = table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(run_matrix(spark).select("model", "variant")))  # nine runs of each document
     labelled_only = clean.where("quality <> ''").agg((F.sum("errors") / F.sum("n")).alias("e"))
     wer = clean.agg((F.sum("errors") / F.sum("n")).alias("w")).crossJoin(labelled_only).select((F.col("w") - F.col("e")).alias("v"))  # one row each
     return rounded(
-        V.target_gate(inserted, "v", "baseline_insertions", 0.02, 0.005, "note").unionByName(V.run_gates(_insertion_deltas(spark, sf_dir), "delta", F.col("base"), 0.001, 0.005, 0.02))
+        V.target_gate(inserted, "v", "baseline_insertions", 0.02, 0.005, "note").unionByName(V.run_gates(_insertion_deltas(spark, sf_dir, docs), "delta", F.col("base"), 0.001, 0.005, 0.02))
         .unionByName(V.completeness_gate(rows, ["model", "variant", "doc_id"], expected, F.col("n") == 0)).unionByName(V.target_gate(wer, "v", "baseline_errors", 0.0, 0.005)))
 
 

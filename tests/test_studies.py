@@ -249,3 +249,11 @@ def test_running_and_last_rows_over_blocks(spark):
         assert [r.low for r in found] == [min(values[: n + 1]) for n in range(len(values))]
         assert [r.high for r in found] == [max(values[:n], default=None) for n in range(len(values))]
         assert [r.s for r in sorted((r for r in sums if r.k == k), key=lambda r: r.pos)] == [sum(values[max(0, n - 3) : n + 1]) for n in range(len(values))]
+
+
+def test_sweep_gates_count_words_once(spark, sf_dir):
+    from lumetrica.plans import studies
+
+    found = studies.sweep_gates(spark, sf_dir)
+    assert "regexp_count" not in found._jdf.queryExecution().analyzed().toString().lower()
+    assert found.count() == 6
