@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,24 @@ def test_a_crowd_just_below_the_likeness_makes_no_square(spark, monkeypatch, cro
     assert 1 < len({find(i) for i in range(len(texts))}) < len(texts)
     if crowded < 100:
         assert len(found - links) < 3 * len(texts), len(found - links)
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Whoever writes a stage: 12 MB of texts in one partition are several batches, and a setting of the session's own stays."""
+
+    def sizes(*_):
+        def run(batches):
+            for b in batches:
+                n = len(b)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b.nbytes] * n), pa.array([[]] * n, pa.list_(pa.int32())), pa.array([""] * n)], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline.sentencepiece, "_tokens", sizes)
+    for own in (None, "64m"):
+        session = spark.newSession()
+        if own:
+            session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", own)
+        docs = session.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('abcdefgh', 512) AS text")
+        most = corpus_pipeline.encode(session, docs, "").agg({"n_tokens": "max"}).first()[0]
+        assert most > 10_000_000 if own else most < 4_000_000
