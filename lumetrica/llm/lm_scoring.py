@@ -61,6 +61,8 @@ ALONE, BANDS = 16, 16
 #: Rows of the embedding: one for each of the most frequent ids, shared ones for the rest.
 OWN_ROWS, SHARED_ROWS = 1536, 512
 BOS, EOS = 1, 2
+#: Distinct words that a task holds before it starts anew, some 150 bytes each: with fewer, frequent words are met and segmented again.
+MOST_WORDS = 300_000
 
 
 def split(text: bytes) -> list[bytes]:
@@ -70,7 +72,7 @@ def split(text: bytes) -> list[bytes]:
 class Words:
     """Distinct words, each with a row in the order of first meeting (within a block in any order)."""
 
-    def __init__(self, limit: int = 120_000):
+    def __init__(self, limit: int = MOST_WORDS):
         self.limit, self.row_of = limit, {}
 
     def full(self) -> bool:
@@ -95,7 +97,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_col: str):
             yield batch, start, stop, [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
 
 
-def _count_words(text_col: str, limit: int = 120_000):
+def _count_words(text_col: str, limit: int = MOST_WORDS):
     """(word, n) of a task's texts; the end of a text is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,49 +198,67 @@ LATER = APART < 0
 SCALE = np.float32(1 / math.sqrt(WIDTH))
 
 
-def gradient(flat: np.ndarray, rows: np.ndarray, kinds: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+class Room:
+    """Arrays of the shapes of a batch, which every step fills anew: fresh ones may go back to the system after each step and be paged in again."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < n or self.held[name].dtype != kind:
+            self.held[name] = np.empty(n, kind)
+        return self.held[name][:n].reshape(shape)
+
+
+def gradient(flat: np.ndarray, rows: np.ndarray, kinds: np.ndarray, weights: np.ndarray | None = None, room: Room | None = None) -> tuple[float, np.ndarray]:
     """Mean loss and gradient over windows: rows (windows, SPAN) of the ids read, kinds of the ids to come, -1 for none."""
-    p, g = parts_of(flat), np.zeros_like(flat)
-    d = parts_of(g)
-    flat2 = lambda x: x.reshape(-1, x.shape[-1])
-    e = np.take(p["E"], rows, axis=0, mode="clip")
-    qkv = (flat2(e) @ np.concatenate([p["Wq"] * SCALE, p["Wk"], p["Wv"]], axis=1)).reshape(*rows.shape, 3 * WIDTH)
+    p, g, n, kind = parts_of(flat), np.zeros_like(flat), rows.size, flat.dtype
+    d, space, width = parts_of(g), room or Room(), p["We"].shape[1]
+    by_window = lambda x: x.reshape(*rows.shape, x.shape[-1])
+    of, into, onto = rows.ravel().astype(np.intp), np.concatenate([p["Wq"] * SCALE, p["Wk"], p["Wv"]], axis=1), np.concatenate([p["We"], p["Wa"]])
+    e = np.take(p["E"], of, axis=0, mode="clip", out=space("e", kind, n, WIDTH))
+    qkv = by_window(np.matmul(e, into, out=space("qkv", kind, n, 3 * WIDTH)))
     q, k, v = qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
-    s = np.matmul(q, k.transpose(0, 2, 1))
+    s = np.matmul(q, k.transpose(0, 2, 1), out=space("s", kind, *rows.shape, SPAN))
     s += np.where(LATER, np.float32(-1e9), p["near"][np.maximum(APART, 0)])
     np.minimum(s, 60, out=s)
     np.exp(s, out=s)
-    s *= 1 / s.sum(axis=2, keepdims=True)
-    a = np.matmul(s, v)
-    both, weight = np.concatenate([e, a], axis=2).reshape(-1, 2 * WIDTH), np.concatenate([p["We"], p["Wa"]])
-    z = both @ weight
+    s *= 1 / (s @ np.ones((SPAN, 1), kind))
+    both = space("both", kind, n, 2 * WIDTH)
+    both[:, :WIDTH] = e
+    a = by_window(both)[:, :, WIDTH:]
+    np.matmul(s, v, out=a)
+    z = np.matmul(both, onto, out=space("z", kind, n, width))
     z += p["b"]
     np.minimum(z, 60, out=z)
     np.exp(z, out=z)
-    z *= 1 / np.maximum(z.sum(axis=1, keepdims=True), 1e-30)
+    total = np.maximum(z @ np.ones(width, kind), 1e-30)
     own = kinds.ravel().astype(np.intp)
-    share = (own >= 0).astype(z.dtype)
+    share = (own >= 0).astype(kind)
     if weights is not None:
         share *= np.repeat(weights, SPAN)
     share /= max(1e-9, float(share.sum()))
-    at = np.arange(len(own)), np.maximum(own, 0)
-    loss = -float(np.log(np.maximum(z[at], 1e-30)) @ share)
-    z[at] -= 1
-    z *= share[:, None]
+    cells, at = z.reshape(-1), np.arange(n) * width + np.maximum(own, 0)
+    loss = -float(np.log(np.maximum(cells[at] / total, 1e-30)) @ share)
+    z *= (share / total)[:, None]
+    cells[at] -= share
     d["We"][:], d["Wa"][:] = np.vsplit(both.T @ z, 2)
-    d["b"][:] = z.sum(axis=0)
-    dboth = z @ weight.T
-    da = np.ascontiguousarray(dboth[:, WIDTH:]).reshape(a.shape)
-    ds = np.matmul(da, v.transpose(0, 2, 1))
-    ds -= (a * da).sum(axis=2, keepdims=True)
+    d["b"][:] = np.ones(n, kind) @ z
+    dboth = np.matmul(z, onto.T, out=space("dboth", kind, n, 2 * WIDTH))
+    da = by_window(dboth)[:, :, WIDTH:]
+    ds = np.matmul(da, v.transpose(0, 2, 1), out=space("ds", kind, *rows.shape, SPAN))
+    ds -= np.einsum("ijk,ijk->ij", a, da)[:, :, None]
     ds *= s
     d["near"][:] = np.bincount(APART[~LATER], ds.sum(axis=0)[~LATER], SPAN)
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), da)], axis=2).reshape(-1, 3 * WIDTH)
-    for name, x in zip(("Wq", "Wk", "Wv"), np.hsplit(flat2(e).T @ dqkv, 3), strict=True):
+    dqkv = space("dqkv", kind, n, 3 * WIDTH)
+    for i, (x, y) in enumerate(((ds, k), (ds.transpose(0, 2, 1), q), (s.transpose(0, 2, 1), da))):
+        np.matmul(x, y, out=by_window(dqkv)[:, :, i * WIDTH : (i + 1) * WIDTH])
+    for name, x in zip(("Wq", "Wk", "Wv"), np.hsplit(e.T @ dqkv, 3), strict=True):
         d[name][:] = x
     d["Wq"] *= SCALE
-    de = dboth[:, :WIDTH] + dqkv @ np.concatenate([p["Wq"] * SCALE, p["Wk"], p["Wv"]], axis=1).T
-    of, de = rows.ravel().astype(np.intp), np.ascontiguousarray(de.T)
+    de = np.matmul(into, dqkv.T, out=space("de", kind, WIDTH, n))
+    de += dboth[:, :WIDTH].T
     for i in range(WIDTH):
         d["E"][:, i] = np.bincount(of, de[i], len(d["E"]))
     return loss, g
@@ -252,12 +272,12 @@ def fit(
     flat, m, s, step = flat.copy(), np.zeros_like(flat), np.zeros_like(flat), 0
     n = -(-len(rows) // batch)
     turns = max(1, min(most_passes, -(-least_steps // max(1, n))))
-    rng = np.random.default_rng(seed)
+    rng, room = np.random.default_rng(seed), Room()
     for _ in range(turns):
         order = rng.permutation(len(rows))
         for i in range(0, len(rows), batch):
             at = order[i : i + batch]
-            _, g = gradient(flat, rows[at], kinds[at], weights[at])
+            _, g = gradient(flat, rows[at], kinds[at], weights[at], room)
             own = rate * (1 - 0.9 * step / (turns * n))
             step += 1
             m += 0.1 * (g - m)

@@ -565,6 +565,30 @@ def test_windows_of_a_large_batch_take_little_memory():
     assert most < 100e6
 
 
+def test_lm_steps_reuse_their_arrays():
+    """After the first step of a size, none takes much new memory; what a step before left there changes nothing."""
+    rng = np.random.default_rng(6)
+    words = lm_scoring.Vocabulary(rng.integers(0, 50, 3000).astype(float), rng.integers(0, 2, 3000))
+    flat, room = lm_scoring.initial(words.prior), lm_scoring.Room()
+    steps = [(rng.integers(0, 2048, (n, lm_scoring.SPAN)), rng.integers(-1, words.kinds, (n, lm_scoring.SPAN)), rng.integers(1, 5, n).astype(np.float32)) for n in (128, 128, 50)]
+    lm_scoring.gradient(flat, *steps[0], room)
+    for step in steps[1:]:
+        tracemalloc.start()
+        loss, found = lm_scoring.gradient(flat, *step, room)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        alone, wanted = lm_scoring.gradient(flat, *step)
+        assert most < 1 << 20 and loss == alone and (found == wanted).all()
+
+
+def test_lm_words_of_a_task_are_met_once():
+    """200,000 distinct words in a task, each in two batches: one count for each."""
+    text = " ".join(map(str, range(200_000)))
+    batches = [pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])] * 2
+    found = [r for out in lm_scoring._count_words("text")(iter(batches)) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert len(found) == 200_001 and {n for _, n in found} == {2}
+
+
 def test_lm_scores_equal_plain_attention():
     rng = np.random.default_rng(3)
     words = lm_scoring.Vocabulary(rng.integers(0, 50, 3000).astype(float), rng.integers(0, 2, 3000))
