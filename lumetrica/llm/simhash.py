@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, blocks, digest, free, in_bitmap, kept, named, scratch, stash, table, utf8
+from .common import bitmap, blocks, digest, free, in_bitmap, kept, named, scratch, shuffled, stash, table, utf8
 from .components import connected_components
 from .decontamination import grams, word_hashes
 
@@ -138,7 +138,7 @@ def near_pairs(fps: DataFrame, radius: int = 3, crowded: int = 200) -> DataFrame
         return cut.select("key", "part", F.explode(F.when(F.col("hotter"), sixes).otherwise(F.array(F.lit(0).cast("long")))).alias("six"), fp)
 
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
-    found = dealt(halves, "fp").join(dealt(probe, "other"), ["key", "part", "six"]).where((F.col("other") < F.col("fp")) & near)
+    found = dealt(halves, "fp").join(shuffled(dealt(probe, "other")), ["key", "part", "six"]).where((F.col("other") < F.col("fp")) & near)
     return found.select(F.col("other").alias("a"), F.col("fp").alias("b")).distinct()
 
 
@@ -155,7 +155,7 @@ def near_dedup(
         best = classes.groupBy("component").agg(F.min("least").alias("component_id"))
         classes = kept(classes.join(best, "component").select("fp", "component", "component_id"), "classes")
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return rows.join(classes, "fp").select(id_col, fingerprint, "component_id", "component", *extra)
+    return rows.join(shuffled(classes), "fp").select(id_col, fingerprint, "component_id", "component", *extra)
 
 
 #: Bits (as a power of two) of the filter by which tasks leave out what is in no candidate pair.
@@ -239,8 +239,8 @@ def _with_texts(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFram
     bits = spark.sparkContext.broadcast(bitmap(some.select(F.xxhash64("key").alias("k")), "k", FILTER_BITS))
     found = docs.select(F.xxhash64("key").alias("k"), "key", "text")
     found = found.mapInArrow(_wanted(bits), found.schema).groupBy("key").agg(F.first("text").alias("text"))
-    found = stash(found.join(some, "key").select("node", "text"), "texts-of-candidates")
-    of = lambda end, name: found.select(F.col("node").alias(end), F.col("text").alias(name))
+    found = stash(found.join(shuffled(some), "key").select("node", "text"), "texts-of-candidates")
+    of = lambda end, name: shuffled(found.select(F.col("node").alias(end), F.col("text").alias(name)))
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
 
 
@@ -257,13 +257,13 @@ def _quick_pairs(texts: DataFrame, least: float) -> DataFrame:
     no more than its size.  Sketches that share less than three eighths are left.  What is missed here the exact join finds."""
     each = texts.select(F.col("node").alias("t"), F.explode("sketch").alias("h"))
     sizes = each.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    each = stash(each.join(sizes, "h"), "buckets")
+    each = stash(each.join(shuffled(sizes), "h"), "buckets")
     scores = each.groupBy("t").agg(F.sum("size").alias("score"))
-    scored = each.join(scores, "t").select("h", "t", "score")
+    scored = each.join(shuffled(scores), "t").select("h", "t", "score")
     best = scored.groupBy("h", F.pmod(F.hash("t"), F.lit(4)).alias("part")).agg(F.max(F.struct("score", "t")).alias("m")).select("h", F.col("m.t").alias("r"))
-    met = scored.join(best, "h").where("t != r")
+    met = scored.join(shuffled(best), "h").where("t != r")
     pairs = met.select(F.least("t", "r").alias("a"), F.greatest("t", "r").alias("b")).distinct()
-    of = lambda end, name: texts.select(F.col("node").alias(end), F.col("sketch").alias(name))
+    of = lambda end, name: shuffled(texts.select(F.col("node").alias(end), F.col("sketch").alias(name)))
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(
         F.size(F.array_intersect("x", "y")) >= 0.375 * (least / 0.8) * F.least(F.size("x"), F.size("y"))).select("a", "b")
 
@@ -321,11 +321,11 @@ def _whole_pairs(docs: DataFrame, texts: DataFrame, words: int, least: float) ->
     spark = docs.sparkSession
     prefix = least, spark.sparkContext.broadcast(_frequent(docs, words))
     rows = _with_prefixes(docs, ["key"], words, prefix).groupBy("key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    rows = stash(rows.join(texts.select("key", "node", "c"), "key").select("node", "c", "n", "shingles"), "prefixes")
+    rows = stash(rows.join(shuffled(texts.select("key", "node", "c")), "key").select("node", "c", "n", "shingles"), "prefixes")
     mixed = rows.select("c", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
     mixed = stash(mixed, "mixed")
     bits = spark.sparkContext.broadcast(bitmap(mixed, "h", FILTER_BITS))
-    shared = rows.mapInArrow(_postings(bits), "h long, t long, c long, n int").join(mixed, "h", "left_semi")
+    shared = rows.mapInArrow(_postings(bits), "h long, t long, c long, n int").join(shuffled(mixed), "h", "left_semi")
     shared = stash(shared, "shared-prefixes")
     crowd = shared.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > CROWDED)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / least) if 0 < least < 1 else 1.0) + ROUNDING)
@@ -335,7 +335,7 @@ def _whole_pairs(docs: DataFrame, texts: DataFrame, words: int, least: float) ->
     parts = stash(parts, "crowded-shingles")
     few = dealt.join(parts, ["h", "part"], "left_anti")
     other = few.select("h", "part", *(F.col(c).alias(f"{c}_") for c in ("t", "c", "n", "band")))
-    met = few.join(other, ["h", "part"]).where((F.col("t") < F.col("t_")) & (F.col("c") != F.col("c_")) & ((F.col("part") < 0) | (F.col("part") == F.greatest("band", "band_"))))
+    met = few.join(shuffled(other), ["h", "part"]).where((F.col("t") < F.col("t_")) & (F.col("c") != F.col("c_")) & ((F.col("part") < 0) | (F.col("part") == F.greatest("band", "band_"))))
     met = met.where(F.least("n", "n_") >= least * F.greatest("n", "n_") - ROUNDING).groupBy("t", "t_", "n", "n_").agg(F.count("*").alias("common"))
     after = lambda n: F.ceil(least * F.col(n) - ROUNDING) - 1  # noqa: E731  the shingles after the prefix
     wanted = least / (1 + least) * (F.col("n") + F.col("n_"))
@@ -371,9 +371,9 @@ def _crowded_pairs(docs: DataFrame, texts: DataFrame, postings: DataFrame, words
     """
     spare = (1 - least) / (1 + least)
     scores = postings.groupBy("t").agg(F.sum("size").alias("score"))
-    scored = postings.join(scores, "t")
+    scored = postings.join(shuffled(scores), "t")
     best = scored.groupBy("h", "part").agg(F.max(F.struct("score", "t")).alias("m")).select("h", "part", F.col("m.t").alias("b"))
-    pairs = stash(scored.join(best, ["h", "part"]).select(F.col("t").alias("a"), "b").distinct(), "references")
+    pairs = stash(scored.join(shuffled(best), ["h", "part"]).select(F.col("t").alias("a"), "b").distinct(), "references")
     apart = _with_texts(docs, texts, pairs).mapInArrow(_differences(words), "a long, b long, n int, d int, apart array<long>")
     apart = apart.join(texts.select(F.col("node").alias("a"), "c"), "a").withColumn("slack", spare * F.col("n") - F.col("d"))
     heads = apart.where("a = b").select("b", F.col("c").alias("own"), F.col("slack").alias("top"))
@@ -384,8 +384,8 @@ def _crowded_pairs(docs: DataFrame, texts: DataFrame, postings: DataFrame, words
     each = apart.select("b", "a", "k", F.explode("apart").alias("e"))
     mixed = each.groupBy("b", "e").agg(F.count("*").alias("times"), F.min("k").alias("x"), F.max("k").alias("y")).where("x != y").select("b", "e", "times")
     # what only one class has comes first, and leads nowhere
-    listed = each.join(mixed, ["b", "e"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("found"))
-    listed = apart.drop("apart").join(listed, ["b", "a"]).select("*", F.posexplode("found").alias("i", "f"))
+    listed = each.join(shuffled(mixed), ["b", "e"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("found"))
+    listed = apart.drop("apart").join(shuffled(listed), ["b", "a"]).select("*", F.posexplode("found").alias("i", "f"))
     left = F.size("found") - F.col("i")  # hashes from this one on
     level = lambda slack: F.floor(2 * F.asinh(slack / 8)).cast("int")
     most = F.when(F.col("near"), -F.col("top")).otherwise(F.col("top"))  # who is linked to r meets only those that are not
@@ -394,7 +394,7 @@ def _crowded_pairs(docs: DataFrame, texts: DataFrame, postings: DataFrame, words
     reach = reach.select("b", "e", "t", "k", "n", "slack", "near", "left", "own", F.explode(F.sequence("low", "high")).alias("at"))
     reach = stash(reach, "reaches")
     other = reach.select("b", "e", F.col("own").alias("at"), F.col("at").alias("own"), *(F.col(c).alias(f"{c}_") for c in ("t", "k", "n", "slack", "near", "left")))
-    met = reach.join(other, ["b", "e", "own", "at"]).where((F.col("t") < F.col("t_")) & (F.col("k") != F.col("k_")) & ~(F.col("near") & F.col("near_"))
+    met = reach.join(shuffled(other), ["b", "e", "own", "at"]).where((F.col("t") < F.col("t_")) & (F.col("k") != F.col("k_")) & ~(F.col("near") & F.col("near_"))
         & (F.least("n", "n_") >= least * F.greatest("n", "n_") - ROUNDING) & (2 * F.least("left", "left_") >= -F.col("slack") - F.col("slack_") - 4 * ROUNDING))
     return links.union(met.select(F.col("t").alias("a"), F.col("t_").alias("b")))
 
