@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, blocks, free, in_bitmap, named, stash, table, utf8
+from .common import bitmap, blocks, free, in_bitmap, named, shuffled, stash, table, utf8
 
 #: Bits (as a power of two) of the filter.
 FILTER_BITS = 24
@@ -253,7 +253,7 @@ def find_contamination(
     schema = T.StructType([*fields, T.StructField(n_words, T.LongType()), T.StructField(uid, T.LongType()), T.StructField(held, T._parse_datatype_string(candidate))])
     some = stash(docs.mapInArrow(_first_pass(state, text_col, own, [n_words, uid, held], True), schema), "candidates")
     each = some.select(F.col(uid).alias("uid"), F.posexplode(held).alias("c", "x")).select("uid", "c", "x.size", "x.hash", "x.around")
-    met = each.join(postings.withColumnRenamed("around", "other"), ["size", "hash"])
+    met = each.join(shuffled(postings.withColumnRenamed("around", "other")), ["size", "hash"])
     equal = F.array_join(F.zip_with("around", "other", lambda a, b: F.when((a == b) & (a != 0), "1").otherwise("0")), "")
     # a surrounding is shorter than two windows: one run of equal words at most is long enough, and it holds the k-gram
     met = met.select("uid", "c", "item", "size", equal.alias("equal")).withColumn("run", F.expr("regexp_extract(equal, concat('1{', size, ',}'), 0)"))
